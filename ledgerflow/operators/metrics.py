@@ -20,7 +20,7 @@ from ledgerflow.constants import (
     PENDING_DELIVERY_STATES, POSTED, RISK_HIGH_COUNT, RISK_MEDIUM_COUNT, SALE_STATES, SEVERE_OVERDUE_DAYS,
     TOP_PRODUCTS_LIMIT, UNKNOWN_PARTNER,
 )
-from ledgerflow.operators.topk import lookup, top_k_per_group
+from ledgerflow.operators.topk import company_keys, lookup, top_k_per_group
 from ledgerflow.sources.tables import allowed, company_spine, per_company
 
 def _zero() -> F.Column:
@@ -112,9 +112,9 @@ def top_products(lines: DataFrame, orders: DataFrame, products: DataFrame, templ
     ranked = top_k_per_group(per_product, ["db"], [F.col("_rev").desc_nulls_last(), F.col("product_id").asc()],
                              limit)
     bounded = limit is not None
-    with_code = lookup(ranked, products, "product_id", "id", {"default_code": "product_code", "product_tmpl_id": "_tmpl"},
-                       bounded)
-    with_name = lookup(with_code, templates, "_tmpl", "id", {"name": "product_name"}, bounded)
+    with_code = lookup(ranked, products, company_keys("product_id", products),
+                       {"default_code": "product_code", "product_tmpl_id": "_tmpl"}, bounded)
+    with_name = lookup(with_code, templates, company_keys("_tmpl", templates), {"name": "product_name"}, bounded)
     return with_name.select(
         "db", "rank", "product_id", "product_code", "product_name",
         lf.money_out("_qty").alias("quantity"), lf.money_out("_rev").alias("revenue"),

@@ -43,24 +43,44 @@ def top_k(df: DataFrame, order_cols: Sequence[Column], k: int | None, offset: in
     return out
 
 
-def bounded_lookup(small: DataFrame, dim: DataFrame, left_on: str, right_on: str, take: dict[str, str]) -> DataFrame:
+def _keys(on: Sequence[tuple[str, str]] | tuple[str, str]) -> list[tuple[str, str]]:
+    return [on] if isinstance(on[0], str) else list(on)  # type: ignore[list-item]
+
+
+def bounded_lookup(small: DataFrame, dim: DataFrame, on, take: dict[str, str]) -> DataFrame:
     """Left-join ``dim`` columns onto ``small`` when ``small`` has a proven size bound.
 
-    The dimension is filtered by an inner join against the broadcast key set of
-    ``small`` (bounded), and the few matching dimension rows are broadcast back.
-    Neither step broadcasts or shuffles the dimension itself.
+    ``on`` is one ``(small_col, dim_col)`` pair or a list of them. The dimension
+    is filtered by an inner join against the broadcast key set of ``small``
+    (bounded), and the few matching dimension rows are broadcast back. Neither
+    step broadcasts or shuffles the dimension itself.
     """
-    keys = small.select(F.col(left_on).alias("_lk")).where(F.col("_lk").isNotNull()).distinct()
-    hit = dim.join(F.broadcast(keys), dim[right_on] == keys["_lk"], "inner").select(
-        F.col("_lk"), *[dim[src].alias(dst) for src, dst in take.items()]
+    pairs = _keys(on)
+    kn = [f"_lk{i}" for i in range(len(pairs))]
+    keys = small.select(*[F.col(a).alias(k) for (a, _), k in zip(pairs, kn)]).dropna().distinct()
+    cond = [dim[b] == keys[k] for (_, b), k in zip(pairs, kn)]
+    hit = dim.join(F.broadcast(keys), cond, "inner").select(
+        *[keys[k] for k in kn], *[dim[src].alias(dst) for src, dst in take.items()]
     )
-    return small.join(F.broadcast(hit), small[left_on] == hit["_lk"], "left").drop("_lk")
+    back = [small[a] == hit[k] for (a, _), k in zip(pairs, kn)]
+    return small.join(F.broadcast(hit), back, "left").drop(*kn)
+
 
+def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: bool) -> DataFrame:
+    """Left lookup of dimension columns; bounded inputs never shuffle the dimension.
 
-def lookup(big: DataFrame, dim: DataFrame, left_on: str, right_on: str, take: dict[str, str],
-           bounded: bool) -> DataFrame:
-    """Left lookup of dimension columns; bounded inputs avoid touching the dimension's partitioning."""
+    Unbounded inputs use a plain left join: AQE broadcasts the dimension only when
+    its runtime size is under the threshold, and otherwise sort-merges."""
     if bounded:
-        return bounded_lookup(big, dim, left_on, right_on, take)
-    right = dim.select(F.col(right_on).alias("_lk"), *[F.col(src).alias(dst) for src, dst in take.items()])
-    return big.join(right, big[left_on] == right["_lk"], "left").drop("_lk")
+        return bounded_lookup(big, dim, on, take)
+    pairs = _keys(on)
+    kn = [f"_lk{i}" for i in range(len(pairs))]
+    right = dim.select(*[F.col(b).alias(k) for (_, b), k in zip(pairs, kn)],
+                       *[F.col(src).alias(dst) for src, dst in take.items()])
+    cond = [big[a] == right[k] for (a, _), k in zip(pairs, kn)]
+    return big.join(right, cond, "left").drop(*kn)
+
+
+def company_keys(left_col: str, dim: DataFrame, dim_col: str = "id") -> list[tuple[str, str]]:
+    """Join keys for a per-company dimension (``db`` + id) or a shared one (id only)."""
+    return [("db", "db"), (left_col, dim_col)] if "db" in dim.columns else [(left_col, dim_col)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerflow.plans import metrics_queries  # noqa: F401
+from ledgerflow.plans import (  # noqa: F401
+    approval_queries, digest_queries, list_queries, metrics_queries, worklist_queries,
+)
 from ledgerflow.plans.registry import REGISTRY
 
-FLAGSHIP = "sales_today"
+FLAGSHIP = "sales_digest"
 
 __all__ = ["REGISTRY", "FLAGSHIP"]
