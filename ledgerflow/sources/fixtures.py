@@ -214,8 +214,9 @@ FROM {orders}""",
     "sales_order_change": """
 SELECT
   'SAL-ORD-' || lpad(CAST(l_orderkey AS string), 8, '0') AS name,
-  CAST(l_linenumber AS BIGINT) AS seq,
+  CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS seq,
   CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'delete'
+       WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'create'
        WHEN l_returnflag = 'A' THEN 'update' ELSE 'write' END AS op,
   CASE WHEN l_linestatus = 'O' THEN 'To Deliver' ELSE NULL END AS status,
   CASE WHEN l_returnflag = 'A' THEN 'Partly Delivered' ELSE NULL END AS delivery_status,
