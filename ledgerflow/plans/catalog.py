@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ledgerflow.plans import (  # noqa: F401
-    approval_queries, change_queries, chat_queries, digest_queries, list_queries, metrics_queries, worklist_queries,
+    approval_queries, change_queries, chat_queries, digest_queries, list_queries, metrics_queries, stream_queries,
+    worklist_queries,
 )
 from ledgerflow.plans.registry import REGISTRY
 

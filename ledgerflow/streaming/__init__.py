@@ -1,0 +1,121 @@
+"""Structured Streaming entry points (O-80..O-82).
+
+* ``audit_stream``: approval outcomes -> audit rows -> partitioned Parquet sink (stateless).
+* ``command_stream``: chat command log -> routed commands -> Parquet sink (stateless).
+* ``approval_stream``: approval requests -> ``foreachBatch`` fold against the
+  object states left by earlier batches. Running windows are not allowed on a
+  streaming DataFrame, and the fold needs the current object state, so each
+  micro-batch runs the batch operator. Every write is keyed by the batch id and
+  replays are dropped, so a restarted query never applies a request twice.
+
+All sinks use a checkpoint location; pass folders in the shared checkpoint
+root (``ledgerflow.session.work_dir``), never machine-local ones.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states
+from ledgerflow.operators.chat import parse_commands
+from ledgerflow.sources.audit import PARTITION_COLUMN
+
+
+def _trigger(writer, available_now: bool, interval: str | None):
+    if available_now:
+        return writer.trigger(availableNow=True)
+    if interval:
+        return writer.trigger(processingTime=interval)
+    return writer
+
+
+# O-80
+def audit_stream(outcomes: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True,
+                 interval: str | None = None) -> StreamingQuery:
+    rows = audit_rows(outcomes).withColumn(PARTITION_COLUMN, F.to_date("created_at"))
+    w = (rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+         .partitionBy(PARTITION_COLUMN))
+    return _trigger(w, available_now, interval).start(sink_path)
+
+
+# O-82
+def command_stream(log: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True,
+                   interval: str | None = None) -> StreamingQuery:
+    w = (parse_commands(log).writeStream.format("parquet").outputMode("append")
+         .option("checkpointLocation", checkpoint))
+    return _trigger(w, available_now, interval).start(sink_path)
+
+
+# O-81 -------------------------------------------------------------------------------------------
+
+def current_states(spark: SparkSession, states_path: str, before_batch: int | None = None) -> DataFrame | None:
+    """Latest state per object over the per-batch state deltas (an aggregate, so hot objects combine per task)."""
+    try:
+        deltas = spark.read.parquet(states_path)
+    except Exception as e:  # noqa: BLE001 - nothing written yet
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+            return None
+        raise
+    if before_batch is not None:
+        deltas = deltas.filter(F.col("batch_id") < before_batch)
+    return deltas.groupBy("db", "object_type", "object_id").agg(
+        F.max_by("state", F.struct("batch_id", "changed_at")).alias("state"))
+
+
+def overlay_states(objects: DataFrame, states: DataFrame | None, kind: str) -> DataFrame:
+    """Objects with the states the earlier batches left (``state`` and the snapshot's ``state``)."""
+    if states is None:
+        return objects
+    s = states.filter(F.col("object_type") == kind).select(
+        "db", F.col("object_id").cast(objects.schema["object_id"].dataType).alias("object_id"),
+        F.col("state").alias("_new_state"))
+    j = objects.join(s, ["db", "object_id"], "left")
+    st = F.coalesce(F.col("_new_state"), F.col("state"))
+    return j.withColumn("state", st).withColumn("_snapshot", F.col("_snapshot").withField("state", st)).drop("_new_state")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, objects: Callable[[], DataFrame],
+                   kind: str, outcomes_path: str, states_path: str) -> None:
+    """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``."""
+    out_dir = f"{outcomes_path}/batch_id={batch_id}"
+    if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
+        return  # this batch was fully written before a restart
+    reqs = batch
+    if _exists(spark, outcomes_path):
+        done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id).select("request_id")
+        reqs = reqs.join(done, "request_id", "left_anti")
+    objs = overlay_states(objects(), current_states(spark, states_path, batch_id), kind)
+    outcomes = apply_approvals(reqs, objs, kind)
+    outcomes.write.mode("overwrite").parquet(out_dir)
+    written = spark.read.parquet(out_dir)
+    new_states(written).write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
+
+
+def approval_stream(requests: DataFrame, objects: Callable[[], DataFrame], kind: str, outcomes_path: str,
+                    states_path: str, checkpoint: str, available_now: bool = True,
+                    interval: str | None = None) -> StreamingQuery:
+    spark = requests.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        approval_batch(spark, batch, batch_id, objects, kind, outcomes_path, states_path)
+
+    w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, interval).start()
+
+
+def drain(query: StreamingQuery) -> None:
+    """Wait for an ``availableNow`` query to finish; re-raise its failure."""
+    query.awaitTermination()
+    exc = query.exception()
+    if exc is not None:
+        raise RuntimeError(f"streaming query failed: {exc}")
