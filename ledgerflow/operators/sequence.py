@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.session import materialize
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row number in partition
 
 
@@ -31,7 +33,9 @@ def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     keys = [F.col(c) for c in group_cols] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
               .withColumn("_rid", F.monotonically_increasing_id()))
-    ranged = ranged.withColumn("_pid", F.shiftright(F.col("_rid"), _LOCAL_BITS))
+    # Range bounds come from sampling and the ids from row positions: read the
+    # three uses below from one materialised copy so they agree on every id.
+    ranged = materialize(ranged.withColumn("_pid", F.shiftright(F.col("_rid"), _LOCAL_BITS)))
     # One row per non-empty partition: its last row id. Bounded by the partition count.
     tails = ranged.groupBy("_pid").agg(F.max("_rid").alias("_tail"))
     tails = tails.withColumn("_prev_tail", F.lag("_tail").over(Window.orderBy("_pid"))).select("_pid", "_prev_tail")

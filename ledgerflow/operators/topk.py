@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.session import materialize
+
 RANK_COL = "rank"
 
 
@@ -57,6 +59,7 @@ def bounded_lookup(small: DataFrame, dim: DataFrame, on, take: dict[str, str]) -
     """
     pairs = _keys(on)
     kn = [f"_lk{i}" for i in range(len(pairs))]
+    small = materialize(small)  # bounded: read twice below without recomputing its inputs
     keys = small.select(*[F.col(a).alias(k) for (a, _), k in zip(pairs, kn)]).dropna().distinct()
     cond = [dim[b] == keys[k] for (_, b), k in zip(pairs, kn)]
     hit = dim.join(F.broadcast(keys), cond, "inner").select(

@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", app: str = "ledgerflow", shuffle_partit
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LEDGERFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -35,7 +36,10 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
     without it (tests) gets a fresh scratch folder; a cluster without it is an error,
     since a machine-local folder would not survive the loss of an executor.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if base and not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
     if not base:
         master = spark.sparkContext.master
         if not master.startswith("local"):
@@ -44,3 +48,13 @@ def work_dir(spark: SparkSession, *parts: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     base = base.rstrip("/")
     return "/".join([base, *parts]) if parts else base
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared checkpoint folder.
+
+    Used where a plan must read the same intermediate result more than once and
+    every read must see identical rows (ids from a range partitioning), or where
+    re-deriving a small bounded result would rescan large inputs."""
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
