@@ -33,9 +33,15 @@ REQUEST_COLUMNS = ("request_id", "object_type", "db", "object_id", "action", "ac
 
 
 # --- objects as the approval flow sees them ----------------------------------------------------
-
-def invoice_objects(moves: DataFrame, partners: DataFrame) -> DataFrame:
-    m = lookup(moves, partners, company_keys("partner_id", partners), {"name": "partner_name"}, False)
+# Each takes the rows of the object table that requests name (already restricted) and
+# shapes them: state, the fields the summary needs, and the snapshot stored in the audit row.
+
+def invoice_objects(moves: DataFrame, partners: DataFrame | None = None) -> DataFrame:
+    m = moves
+    if partners is not None:
+        m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name"}, False)
+    elif "partner_name" not in m.columns:
+        m = m.withColumn("partner_name", F.lit(None).cast("string"))
     return m.select(
         "db", F.col("id").alias("object_id"), "state",
         F.col("name").alias("_name"), F.col("amount_total").alias("_amount"), F.col("partner_name").alias("_partner"),
@@ -49,7 +55,7 @@ def invoice_objects(moves: DataFrame, partners: DataFrame) -> DataFrame:
     )
 
 
-def expense_objects(expenses: DataFrame) -> DataFrame:
+def expense_objects(expenses: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     return expenses.select(
         "db", F.col("id").alias("object_id"), "state",
         F.col("name").alias("_name"), F.col("total_amount").alias("_amount"),
@@ -60,7 +66,7 @@ def expense_objects(expenses: DataFrame) -> DataFrame:
     )
 
 
-def leave_objects(leaves: DataFrame) -> DataFrame:
+def leave_objects(leaves: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     return leaves.select(
         "db", F.col("id").alias("object_id"), "state",
         F.col("display_name").alias("_name"), F.col("number_of_days").alias("_days"),
@@ -72,6 +78,18 @@ def leave_objects(leaves: DataFrame) -> DataFrame:
     )
 
 
+SHAPERS = {"invoice": invoice_objects, "expense": expense_objects, "leave": leave_objects}
+
+
+def touched_objects(table: DataFrame, keys: DataFrame, kind: str, partners: DataFrame | None = None) -> DataFrame:
+    """Rows of the object table named by ``keys`` (``db, object_id``), shaped for the fold.
+
+    The semi-join comes first, so the table is streamed past the key set (AQE
+    broadcasts it when small) and only the named rows meet the partner table."""
+    named = table.join(keys.select("db", F.col("object_id").alias("id")), ["db", "id"], "left_semi")
+    return SHAPERS[kind](named, partners)
+
+
 # --- the fold ----------------------------------------------------------------------------------
 
 def _order_key() -> Column:
@@ -86,18 +104,20 @@ def _firsts(req: DataFrame) -> DataFrame:
     )
 
 
-def apply_approvals(requests: DataFrame, objects: DataFrame, kind: str,
+def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners: DataFrame | None = None,
                     transitions: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Outcome of every request in a batch, in request order per object.
 
-    ``objects`` comes from ``invoice_objects`` / ``expense_objects`` /
-    ``leave_objects``; ``transitions`` maps kind -> action -> new state."""
+    ``table`` is the object table (``account_move`` / ``hr_expense`` /
+    ``hr_leave``); ``partners`` names invoice partners; ``transitions`` maps
+    kind -> action -> new state."""
     trans = dict(DEFAULT_TRANSITIONS)
     trans.update({k: dict(v) for k, v in (transitions or {}).items()})
     t = trans[kind]
     req = requests.select(*REQUEST_COLUMNS)
     if kind in ("invoice", "expense"):
-        per_object = _firsts(req).join(objects, ["db", "object_id"], "left")
+        firsts = _firsts(req)  # one row per named object
+        per_object = firsts.join(touched_objects(table, firsts, kind, partners), ["db", "object_id"], "left")
         j = req.join(per_object, ["db", "object_id"], "left")
         k = _order_key()
         rejected_before = F.coalesce(F.col("_first_reject") < k, F.lit(False))
@@ -110,7 +130,8 @@ def apply_approvals(requests: DataFrame, objects: DataFrame, kind: str,
             before = F.when(approved_before, F.lit(t["approve"])).otherwise(F.col("state"))
     elif kind == "leave":
         seq = with_previous(req, ["db", "object_id"], ["requested_at", "request_id"], {"action": "_prev_action"})
-        j = seq.join(objects, ["db", "object_id"], "left")
+        keys = req.select("db", "object_id").distinct()
+        j = seq.join(touched_objects(table, keys, kind, partners), ["db", "object_id"], "left")
         before = (F.when(F.col("_prev_action") == "approve", F.lit(t["approve"]))
                   .when(F.col("_prev_action") == "reject", F.lit(t["reject"]))
                   .otherwise(F.col("state")))

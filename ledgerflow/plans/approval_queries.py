@@ -47,8 +47,7 @@ _INVOICE_VIEWS = ["approval_request", "account_move", "res_partner"]
 
 
 def _invoice_outcomes(fx):
-    return ap.apply_approvals(fx["approval_request"], ap.invoice_objects(fx["account_move"], fx["res_partner"]),
-                              "invoice")
+    return ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])
 
 
 @register("invoice_approvals", _INVOICE_VIEWS, _INVOICE_BASE + "\nSELECT * FROM res")
@@ -112,7 +111,7 @@ _EXPENSE_VIEWS = ["approval_request_expense", "hr_expense"]
 
 
 def _expense_outcomes(fx):
-    return ap.apply_approvals(fx["approval_request_expense"], ap.expense_objects(fx["hr_expense"]), "expense")
+    return ap.apply_approvals(fx["approval_request_expense"], fx["hr_expense"], "expense")
 
 
 @register("expense_approvals", _EXPENSE_VIEWS, _EXPENSE_BASE + "\nSELECT * FROM res")
@@ -151,7 +150,7 @@ _LEAVE_VIEWS = ["approval_request_leave", "hr_leave"]
 
 
 def _leave_outcomes(fx):
-    return ap.apply_approvals(fx["approval_request_leave"], ap.leave_objects(fx["hr_leave"]), "leave")
+    return ap.apply_approvals(fx["approval_request_leave"], fx["hr_leave"], "leave")
 
 
 @register("leave_approvals", _LEAVE_VIEWS, _LEAVE_BASE + "\nSELECT * FROM res")

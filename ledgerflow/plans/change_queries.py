@@ -59,8 +59,7 @@ def apply_sales_order_changes(fx):
     meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN to_json(struct_pack(reason := reason)) END"))
 def audit_append(fx):
     """O-03 + O-04: invoice audit rows appended twice (the replay is dropped) and read back from the table."""
-    outcomes = ap.apply_approvals(fx["approval_request"], ap.invoice_objects(fx["account_move"], fx["res_partner"]),
-                                  "invoice")
+    outcomes = ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])
     rows = ap.audit_rows(outcomes)
     path = work_dir(fx.spark, "audit", uuid.uuid4().hex)
     append_audit(rows, path)

@@ -54,12 +54,10 @@ def stream_invoice_approvals(fx):
     requests = fx["approval_request"]
     schema = requests.schema
 
-    def objects():
-        return ap.invoice_objects(fx["account_move"], fx["res_partner"])
-
     def start():
         src = spark.readStream.schema(schema).parquet(feed)
-        return st.approval_stream(src, objects, "invoice", outcomes, states, ckpt)
+        return st.approval_stream(src, lambda: fx["account_move"], "invoice", outcomes, states, ckpt,
+                                  partners=lambda: fx["res_partner"])
 
     _run_chunks(_time_chunks(requests, "requested_at", 3), feed, start)
     return spark.read.parquet(outcomes).drop("batch_id")
@@ -72,8 +70,7 @@ def stream_audit_rows(fx):
     spark = fx.spark
     root = work_dir(spark, "streams", uuid.uuid4().hex)
     feed, sink, ckpt = f"{root}/feed", f"{root}/audit", f"{root}/ckpt"
-    outcomes = ap.apply_approvals(fx["approval_request"], ap.invoice_objects(fx["account_move"], fx["res_partner"]),
-                                  "invoice")
+    outcomes = ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])
     schema = outcomes.schema
 
     def start():

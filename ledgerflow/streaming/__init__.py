@@ -66,16 +66,14 @@ def current_states(spark: SparkSession, states_path: str, before_batch: int | No
         F.max_by("state", F.struct("batch_id", "changed_at")).alias("state"))
 
 
-def overlay_states(objects: DataFrame, states: DataFrame | None, kind: str) -> DataFrame:
-    """Objects with the states the earlier batches left (``state`` and the snapshot's ``state``)."""
+def overlay_states(table: DataFrame, states: DataFrame | None, kind: str) -> DataFrame:
+    """The object table with the states the earlier batches left."""
     if states is None:
-        return objects
+        return table
     s = states.filter(F.col("object_type") == kind).select(
-        "db", F.col("object_id").cast(objects.schema["object_id"].dataType).alias("object_id"),
-        F.col("state").alias("_new_state"))
-    j = objects.join(s, ["db", "object_id"], "left")
-    st = F.coalesce(F.col("_new_state"), F.col("state"))
-    return j.withColumn("state", st).withColumn("_snapshot", F.col("_snapshot").withField("state", st)).drop("_new_state")
+        "db", F.col("object_id").cast(table.schema["id"].dataType).alias("id"), F.col("state").alias("_new_state"))
+    return (table.join(s, ["db", "id"], "left")
+            .withColumn("state", F.coalesce(F.col("_new_state"), F.col("state"))).drop("_new_state"))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -84,8 +82,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, objects: Callable[[], DataFrame],
-                   kind: str, outcomes_path: str, states_path: str) -> None:
+def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame],
+                   kind: str, outcomes_path: str, states_path: str,
+                   partners: Callable[[], DataFrame] | None = None) -> None:
     """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``."""
     out_dir = f"{outcomes_path}/batch_id={batch_id}"
     if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
@@ -94,20 +93,21 @@ def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, objects
     if _exists(spark, outcomes_path):
         done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id).select("request_id")
         reqs = reqs.join(done, "request_id", "left_anti")
-    objs = overlay_states(objects(), current_states(spark, states_path, batch_id), kind)
-    outcomes = apply_approvals(reqs, objs, kind)
+    objs = overlay_states(table(), current_states(spark, states_path, batch_id), kind)
+    outcomes = apply_approvals(reqs, objs, kind, partners() if partners is not None else None)
     outcomes.write.mode("overwrite").parquet(out_dir)
     written = spark.read.parquet(out_dir)
     new_states(written).write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
 
 
-def approval_stream(requests: DataFrame, objects: Callable[[], DataFrame], kind: str, outcomes_path: str,
+def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: str, outcomes_path: str,
                     states_path: str, checkpoint: str, available_now: bool = True,
-                    interval: str | None = None) -> StreamingQuery:
+                    interval: str | None = None, partners: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """``table`` / ``partners`` are callables so every micro-batch reads the current tables."""
     spark = requests.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        approval_batch(spark, batch, batch_id, objects, kind, outcomes_path, states_path)
+        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()

@@ -78,8 +78,11 @@ def _invoices(spark):
         "id bigint, db string, name string, state string, move_type string, amount_total decimal(18,2), "
         "amount_residual decimal(18,2), partner_id bigint, currency_id int, date date, invoice_date date, "
         "invoice_date_due date, create_date timestamp_ntz")
-    partners = spark.createDataFrame([(1, "P")], "id bigint, name string")
-    return ap.invoice_objects(moves, partners)
+    return moves
+
+
+def _partners(spark):
+    return spark.createDataFrame([(1, "P")], "id bigint, name string")
 
 
 def test_approval_stream_carries_state_and_survives_restart(spark):
@@ -93,7 +96,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
 
     def start():
         return st.approval_stream(spark.readStream.schema(schema).parquet(feed), lambda: _invoices(spark), "invoice",
-                                  outc, states, ckpt)
+                                  outc, states, ckpt, partners=lambda: _partners(spark))
 
     spark.createDataFrame(b1, REQ_SCHEMA).write.mode("append").parquet(feed)
     st.drain(start())
@@ -109,7 +112,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     assert cur == {"1": "posted", "2": "cancel"}
     # replaying batch 1 by hand changes nothing (idempotent by batch id)
     st.approval_batch(spark, spark.createDataFrame(b1, REQ_SCHEMA), 0, lambda: _invoices(spark), "invoice",
-                      outc, states)
+                      outc, states, lambda: _partners(spark))
     assert spark.read.parquet(outc).count() == 3
 
 
@@ -130,7 +133,7 @@ def test_audit_append_dedupes_replays(spark):
 
     t0 = dt.datetime(2024, 1, 1)
     reqs = spark.createDataFrame([("A", "invoice", "tln_db", 1, "approve", "u", None, None, None, t0)], REQ_SCHEMA)
-    rows = ap.audit_rows(ap.apply_approvals(reqs, _invoices(spark), "invoice"))
+    rows = ap.audit_rows(ap.apply_approvals(reqs, _invoices(spark), "invoice", _partners(spark)))
     path = tempfile.mkdtemp(prefix="lf-audit-", dir="/tmp") + "/audit"
     append_audit(rows, path)
     append_audit(rows, path)

@@ -65,16 +65,21 @@ def _objects(spark, kind, states):
                                             "currency_id int, date date, invoice_date date, invoice_date_due date, "
                                             "create_date timestamp_ntz")
         partners = spark.createDataFrame([(7, "Seven")], "id bigint, name string")
-        return ap.invoice_objects(moves, partners)
+        return moves, partners
     if kind == "expense":
         rows = [(i, "tln_db", f"E{i}", s, Decimal("5.00"), 1, "Emp", None, "d") for i, s in states.items()]
-        return ap.expense_objects(spark.createDataFrame(
+        return spark.createDataFrame(
             rows, "id bigint, db string, name string, state string, total_amount decimal(18,2), employee_id bigint, "
-                  "employee_name string, date date, description string"))
+                  "employee_name string, date date, description string"), None
     rows = [(i, "tln_db", f"L{i}", s, 1, "Emp", None, None, 2.0, "Annual Leave") for i, s in states.items()]
-    return ap.leave_objects(spark.createDataFrame(
+    return spark.createDataFrame(
         rows, "id bigint, db string, display_name string, state string, employee_id bigint, employee_name string, "
-              "date_from date, date_to date, number_of_days double, holiday_status_name string"))
+              "date_from date, date_to date, number_of_days double, holiday_status_name string"), None
+
+
+def _with_kind(tp, kind):
+    table, partners = tp
+    return table, kind, partners
 
 
 @pytest.mark.parametrize("kind,seed", [("invoice", 1), ("invoice", 2), ("invoice", 3), ("expense", 4),
@@ -89,7 +94,7 @@ def test_approval_fold_matches_sequential_model(spark, kind, seed):
     rng.shuffle(reqs)  # input order must not matter
     df = spark.createDataFrame(reqs, REQ_SCHEMA).repartition(5)
     got = {r.request_id: (r.outcome, r.state_before)
-           for r in ap.apply_approvals(df, _objects(spark, kind, initial), kind).collect()}
+           for r in ap.apply_approvals(df, *_with_kind(_objects(spark, kind, initial), kind)).collect()}
     assert got == _sequential(reqs, initial, kind)
 
 
@@ -97,8 +102,8 @@ def test_audit_rows_and_new_states(spark):
     reqs = [("A", "invoice", "tln_db", 1, "approve", "u", "manager", None, None, T0),
             ("B", "invoice", "tln_db", 1, "reject", "u", None, "bad", "api", T0 + dt.timedelta(hours=1)),
             ("C", "invoice", "tln_db", 9, "approve", "u", None, None, None, T0)]
-    out = ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), _objects(spark, "invoice", {1: "draft"}),
-                             "invoice")
+    table, partners = _objects(spark, "invoice", {1: "draft"})
+    out = ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), table, "invoice", partners)
     rows = {r.request_id: r for r in out.collect()}
     assert rows["A"].summary == "Invoice INV/1 approved (Seven, Rp 10)"
     assert rows["B"].summary == "Invoice INV/1 rejected (Seven, Rp 10)" and rows["B"].state_before == "posted"
