@@ -111,14 +111,29 @@ def period_bounds(as_of: _dt.date | str, period: str) -> tuple[_dt.date, _dt.dat
     raise ValueError(f"unknown period {period!r}")
 
 
-def in_range(col: ColumnOrName, start: _dt.date, end: _dt.date) -> Column:
-    """``start <= col < end`` for a naive timestamp or date column."""
+def local_midnight_utc(d: _dt.date, tz: str) -> _dt.datetime:
+    """Naive UTC instant of local midnight of ``d`` in ``tz`` (for zone-aware day bounds)."""
+    from zoneinfo import ZoneInfo
+
+    local = _dt.datetime(d.year, d.month, d.day, tzinfo=ZoneInfo(tz))
+    return local.astimezone(_dt.timezone.utc).replace(tzinfo=None)
+
+
+def in_range(col: ColumnOrName, start: _dt.date, end: _dt.date, tz: str | None = None) -> Column:
+    """``start <= col < end`` for a naive timestamp column.
+
+    With ``tz`` the column holds UTC and the days are local days in ``tz``; the
+    bounds are converted instead of the column, so the predicate still pushes
+    down to the scan."""
     c = _c(col)
-    return (c >= lit_ts_ntz(start)) & (c < lit_ts_ntz(end))
+    if tz is None:
+        return (c >= lit_ts_ntz(start)) & (c < lit_ts_ntz(end))
+    lo, hi = local_midnight_utc(start, tz), local_midnight_utc(end, tz)
+    return (c >= F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")) & (c < F.lit(hi.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
-def in_period(col: ColumnOrName, as_of: _dt.date | str, period: str) -> Column:
-    return in_range(col, *period_bounds(as_of, period))
+def in_period(col: ColumnOrName, as_of: _dt.date | str, period: str, tz: str | None = None) -> Column:
+    return in_range(col, *period_bounds(as_of, period), tz=tz)
 
 
 # O-70 / O-73 / O-74: null defaulting

@@ -37,13 +37,13 @@ def _avg(total: F.Column, count: F.Column) -> F.Column:
 
 
 def _sales_pass(orders: DataFrame, as_of: dt.date | str, period: str, dbs: Iterable[str] | None,
-                with_prev: bool) -> DataFrame:
+                with_prev: bool, tz: str | None = None) -> DataFrame:
     """One scan: completed-order count and revenue in the period and, optionally, the previous day's revenue."""
     orders = allowed(orders, dbs)
     cur_lo, cur_hi = lf.period_bounds(as_of, period)
     lo = lf.period_bounds(as_of, "yesterday")[0] if with_prev else cur_lo
-    done = orders.filter(lf.in_range("date_order", lo, cur_hi) & lf.in_set("state", SALE_STATES))
-    is_cur = lf.in_range("date_order", cur_lo, cur_hi)
+    done = orders.filter(lf.in_range("date_order", lo, cur_hi, tz) & lf.in_set("state", SALE_STATES))
+    is_cur = lf.in_range("date_order", cur_lo, cur_hi, tz)
     aggs = [lf.count_if(is_cur).alias("_n"), lf.sum_if(is_cur, "amount_total").alias("_sum")]
     if with_prev:
         aggs.append(lf.sum_if(~is_cur, "amount_total").alias("_prev"))
@@ -58,14 +58,16 @@ def _sales_pass(orders: DataFrame, as_of: dt.date | str, period: str, dbs: Itera
 
 # O-40 + O-42 in one pass, and O-41
 def sales_summary(orders: DataFrame, as_of: dt.date | str, period: str = "today",
-                  dbs: Iterable[str] | None = None, compare: bool = True) -> DataFrame:
+                  dbs: Iterable[str] | None = None, compare: bool = True, tz: str | None = None) -> DataFrame:
     """Per company: order count, revenue and average over completed orders in the period.
 
     ``period='today'`` also compares with the previous day (one scan, two
     conditional sums); ``'mtd'`` covers the whole calendar month of ``as_of``.
+    Order times are compared as stored (no zone shift) unless ``tz`` names the
+    zone whose days count (order times then read as UTC).
     """
     with_prev = compare and period == "today"
-    s = _sales_pass(orders, as_of, period, dbs, with_prev)
+    s = _sales_pass(orders, as_of, period, dbs, with_prev, tz)
     comparison = (lf.change_text("_sum", "_prev") if with_prev else F.lit(None).cast("string"))
     return s.select(
         F.col("db"),
@@ -80,15 +82,15 @@ def sales_summary(orders: DataFrame, as_of: dt.date | str, period: str = "today"
 
 # O-42 on its own
 def sales_comparison(orders: DataFrame, as_of: dt.date | str, period: str = "yesterday",
-                     dbs: Iterable[str] | None = None) -> DataFrame:
+                     dbs: Iterable[str] | None = None, tz: str | None = None) -> DataFrame:
     """Per company: today's and the previous day's revenue and the signed percent change.
 
     Any period other than ``yesterday`` answers ``N/A`` (as the reference does)."""
     if period != "yesterday":
-        s = _sales_pass(orders, as_of, "today", dbs, False)
+        s = _sales_pass(orders, as_of, "today", dbs, False, tz)
         return s.select("db", lf.money_out("_sum").alias("current_revenue"),
                         F.lit(None).cast("double").alias("previous_revenue"), F.lit("N/A").alias("comparison"))
-    s = _sales_pass(orders, as_of, "today", dbs, True)
+    s = _sales_pass(orders, as_of, "today", dbs, True, tz)
     return s.select("db", lf.money_out("_sum").alias("current_revenue"),
                     lf.money_out("_prev").alias("previous_revenue"),
                     lf.change_text("_sum", "_prev").alias("comparison"))
@@ -97,14 +99,15 @@ def sales_comparison(orders: DataFrame, as_of: dt.date | str, period: str = "yes
 # O-43
 def top_products(lines: DataFrame, orders: DataFrame, products: DataFrame, templates: DataFrame,
                  as_of: dt.date | str, period: str = "today", limit: int | None = TOP_PRODUCTS_LIMIT,
-                 dbs: Iterable[str] | None = None) -> DataFrame:
+                 dbs: Iterable[str] | None = None, tz: str | None = None) -> DataFrame:
     """Best-selling products per company by revenue over completed orders in the period.
 
     Lines are aggregated per (company, product) before any dimension join; code
     and name are looked up for the top ``limit`` rows only.
     """
     period = "today" if period == "today" else "mtd"
-    sel = (allowed(orders, dbs).filter(lf.in_period("date_order", as_of, period) & lf.in_set("state", SALE_STATES))
+    sel = (allowed(orders, dbs).filter(lf.in_period("date_order", as_of, period, tz)
+                                       & lf.in_set("state", SALE_STATES))
            .select("db", F.col("id").alias("order_id")))
     per_product = (allowed(lines, dbs).join(sel, ["db", "order_id"], "inner")
                    .groupBy("db", "product_id")

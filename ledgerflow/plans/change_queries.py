@@ -8,7 +8,7 @@ from ledgerflow.operators import approvals as ap
 from ledgerflow.operators import changes as chg
 from ledgerflow.plans.approval_queries import _AUDIT_SELECT, _INVOICE_BASE, _INVOICE_VIEWS
 from ledgerflow.plans.registry import register
-from ledgerflow.session import work_dir
+from ledgerflow.session import materialize, work_dir
 from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, read_audit
 from ledgerflow.sources.tables import allowed
 
@@ -60,7 +60,7 @@ def apply_sales_order_changes(fx):
 def audit_append(fx):
     """O-03 + O-04: invoice audit rows appended twice (the replay is dropped) and read back from the table."""
     outcomes = ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])
-    rows = ap.audit_rows(outcomes)
+    rows = materialize(ap.audit_rows(outcomes))  # the batch to append, computed once
     path = work_dir(fx.spark, "audit", uuid.uuid4().hex)
     append_audit(rows, path)
     append_audit(rows, path)

@@ -30,11 +30,14 @@ def _time_chunks(df: DataFrame, col: str, n: int) -> list[DataFrame]:
     step = (hi - lo) / n
     bounds = [lo + step * i for i in range(1, n)]
     out, prev = [], None
+    def ts(x):
+        return F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+
     for b in bounds:
-        cond = F.col(col) < F.lit(b).cast("timestamp_ntz")
-        out.append(df.filter(cond if prev is None else cond & (F.col(col) >= F.lit(prev).cast("timestamp_ntz"))))
+        cond = F.col(col) < ts(b)
+        out.append(df.filter(cond if prev is None else cond & (F.col(col) >= ts(prev))))
         prev = b
-    out.append(df.filter(F.col(col) >= F.lit(prev).cast("timestamp_ntz")) if prev is not None else df)
+    out.append(df.filter(F.col(col) >= ts(prev)) if prev is not None else df)
     return out
 
 
