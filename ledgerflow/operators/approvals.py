@@ -206,3 +206,14 @@ def audit_rows(outcomes: DataFrame, kind: str | None = None) -> DataFrame:
         meta.alias("metadata"),
         "source", "request_id",
     )
+
+
+def rejection_notes(outcomes: DataFrame) -> DataFrame:
+    """Chatter notes the ERP adds when an invoice is rejected with a reason (data effect of O-58)."""
+    rej = outcomes.filter(F.col("success") & (F.col("object_type") == "invoice") & (F.col("action") == "reject")
+                          & F.col("reason").isNotNull() & (F.col("reason") != ""))
+    return rej.select(
+        "db", F.lit("account.move").alias("model"), F.col("object_id").cast("bigint").alias("res_id"),
+        F.concat(F.lit("<p>Rejected: "), F.col("reason"), F.lit("</p>")).alias("body"),
+        F.lit("comment").alias("message_type"), "request_id", F.col("requested_at").alias("created_at"),
+    )

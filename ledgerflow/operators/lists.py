@@ -136,10 +136,12 @@ def _id_filter(df: DataFrame, ids, key: str) -> DataFrame:
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
+        # distinct() is a partial aggregate: a key repeated a million times reaches the
+        # semi-join as one row, so the key side of the join is never skewed.
         shared = [c for c in ids.columns if c in df.columns]
         if shared:
-            return df.join(ids.select(*shared), shared, "left_semi")
-        return df.join(ids.select(F.col(ids.columns[0]).alias(key)), key, "left_semi")
+            return df.join(ids.select(*shared).distinct(), shared, "left_semi")
+        return df.join(ids.select(F.col(ids.columns[0]).alias(key)).distinct(), key, "left_semi")
     return df.filter(F.col(key).isin(list(ids)))
 
 
@@ -196,7 +198,15 @@ def order_with_lines(orders: DataFrame, items: DataFrame, names=None) -> DataFra
     single array value in one task."""
     heads = get_doc(orders, names) if names is not None else orders
     lines = items.withColumnRenamed("parent", "name")
-    return heads.join(lines, "name", "left")
+    # Inner join (AQE may split a hot order on either side) plus the orders without
+    # lines (anti-join against the distinct parents) instead of one left join, whose
+    # line side could not be split.
+    with_lines = heads.join(lines, "name", "inner")
+    bare = heads.join(lines.select("name").distinct(), "name", "left_anti")
+    for f in lines.schema.fields:
+        if f.name != "name":
+            bare = bare.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return with_lines.unionByName(bare)
 
 
 def sales_orders(orders: DataFrame, status: str | None = None, customer: str | None = None,

@@ -196,6 +196,8 @@ def overdue_core(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0
                  limit: int | None = OVERDUE_LIMIT, dbs: Iterable[str] | None = None) -> DataFrame:
     """Posted customer moves with a residual, due strictly before ``as_of - threshold_days``,
     ranked worst first per company (``days_overdue desc, id``); ``limit=None`` keeps all."""
+    if int(threshold_days) < 0:
+        raise ValueError("threshold_days must be >= 0")
     d = lf.as_date(as_of)
     cutoff = d - dt.timedelta(days=int(threshold_days))
     late = (allowed(moves, dbs)

@@ -85,6 +85,16 @@ def invoice_new_states(fx):
     return ap.new_states(_invoice_outcomes(fx))
 
 
+@register("invoice_rejection_notes", _INVOICE_VIEWS, _INVOICE_BASE + """
+SELECT db, 'account.move' AS model, CAST(object_id AS BIGINT) AS res_id, '<p>Rejected: ' || reason || '</p>' AS body,
+       'comment' AS message_type, request_id, requested_at AS created_at
+FROM res WHERE success AND object_type = 'invoice' AND action = 'reject' AND reason IS NOT NULL AND reason <> ''
+""")
+def invoice_rejection_notes(fx):
+    """O-58 data effect: the note written on each invoice rejected with a reason."""
+    return ap.rejection_notes(_invoice_outcomes(fx))
+
+
 _EXPENSE_BASE = """
 , r AS (SELECT q.*, m.state AS initial_state, m.id AS mid, m.name AS e_name, m.total_amount, m.employee_id,
                m.employee_name, m.date AS e_date, m.description,
