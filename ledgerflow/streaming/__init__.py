@@ -52,18 +52,56 @@ def command_stream(log: DataFrame, sink_path: str, checkpoint: str, available_no
 
 # O-81 -------------------------------------------------------------------------------------------
 
-def current_states(spark: SparkSession, states_path: str, before_batch: int | None = None) -> DataFrame | None:
-    """Latest state per object over the per-batch state deltas (an aggregate, so hot objects combine per task)."""
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    if not _exists(spark, path):
+        return None
     try:
-        deltas = spark.read.parquet(states_path)
-    except Exception as e:  # noqa: BLE001 - nothing written yet
-        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        return spark.read.parquet(path)
+    except Exception as e:  # noqa: BLE001 - an empty folder has no schema yet
+        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
             return None
         raise
-    if before_batch is not None:
-        deltas = deltas.filter(F.col("batch_id") < before_batch)
-    return deltas.groupBy("db", "object_type", "object_id").agg(
-        F.max_by("state", F.struct("batch_id", "changed_at")).alias("state"))
+
+
+def _latest_compaction(spark: SparkSession, compact_path: str, before_batch: int | None) -> int | None:
+    """Highest batch id with a complete compacted state snapshot (below ``before_batch``)."""
+    if not _exists(spark, compact_path):
+        return None
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(compact_path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    ids = []
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith("batch_id=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            b = int(name.split("=", 1)[1])
+            if before_batch is None or b < before_batch:
+                ids.append(b)
+    return max(ids) if ids else None
+
+
+def current_states(spark: SparkSession, states_path: str, before_batch: int | None = None) -> DataFrame | None:
+    """Latest state per object: the newest compacted snapshot plus the deltas written after it.
+
+    Taking the latest is an aggregate (``max_by``), so hot objects combine per task."""
+    snap_id = _latest_compaction(spark, f"{states_path}_compact", before_batch)
+    parts = []
+    if snap_id is not None:
+        snap = spark.read.parquet(f"{states_path}_compact/batch_id={snap_id}")
+        parts.append(snap.withColumn("batch_id", F.lit(snap_id)))
+    deltas = _read_or_none(spark, states_path)
+    if deltas is not None:
+        if before_batch is not None:
+            deltas = deltas.filter(F.col("batch_id") < before_batch)
+        if snap_id is not None:
+            deltas = deltas.filter(F.col("batch_id") > snap_id)
+        parts.append(deltas.select("db", "object_type", "object_id", "state", "changed_at", "batch_id"))
+    if not parts:
+        return None
+    allrows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return allrows.groupBy("db", "object_type", "object_id").agg(
+        F.max_by("state", F.struct("batch_id", "changed_at")).alias("state"),
+        F.max("changed_at").alias("changed_at"))
 
 
 def overlay_states(table: DataFrame, states: DataFrame | None, kind: str) -> DataFrame:
@@ -84,7 +122,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame],
                    kind: str, outcomes_path: str, states_path: str,
-                   partners: Callable[[], DataFrame] | None = None) -> None:
+                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20) -> None:
     """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``."""
     out_dir = f"{outcomes_path}/batch_id={batch_id}"
     if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
@@ -98,16 +136,32 @@ def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table:
     outcomes.write.mode("overwrite").parquet(out_dir)
     written = spark.read.parquet(out_dir)
     new_states(written).write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
+    if compact_every and batch_id > 0 and batch_id % compact_every == 0:
+        # Fold all deltas so far into one snapshot; later batches read it plus newer deltas.
+        snap = current_states(spark, states_path, batch_id + 1)
+        if snap is not None:
+            snap.write.mode("overwrite").parquet(f"{states_path}_compact/batch_id={batch_id}")
 
 
 def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: str, outcomes_path: str,
                     states_path: str, checkpoint: str, available_now: bool = True,
-                    interval: str | None = None, partners: Callable[[], DataFrame] | None = None) -> StreamingQuery:
-    """``table`` / ``partners`` are callables so every micro-batch reads the current tables."""
+                    interval: str | None = None, partners: Callable[[], DataFrame] | None = None,
+                    dedupe_window: str | None = None, compact_every: int = 20) -> StreamingQuery:
+    """``table`` / ``partners`` are callables so every micro-batch reads the current tables.
+
+    ``dedupe_window`` (e.g. ``"1 day"``) drops repeated request ids in the stream
+    itself with bounded state (``dropDuplicatesWithinWatermark``); the per-batch
+    anti-join against earlier outcomes still drops any id seen before. Object
+    states are compacted every ``compact_every`` batches."""
     spark = requests.sparkSession
+    if dedupe_window:
+        # Watermarks need TIMESTAMP; request times are naive (TIMESTAMP_NTZ).
+        requests = (requests.withColumn("_event_time", F.col("requested_at").cast("timestamp"))
+                    .withWatermark("_event_time", dedupe_window)
+                    .dropDuplicatesWithinWatermark(["request_id"]).drop("_event_time"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners)
+        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()

@@ -91,12 +91,14 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     feed, outc, states, ckpt = (f"{root}/{x}" for x in ("feed", "out", "states", "ckpt"))
     b1 = [("A", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0)]
     b2 = [("B", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
+          ("C", "invoice", "tln_db", 2, "reject", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
           ("C", "invoice", "tln_db", 2, "reject", "u", None, None, "api", t0 + dt.timedelta(hours=1))]
     schema = spark.createDataFrame([], REQ_SCHEMA).schema
 
     def start():
         return st.approval_stream(spark.readStream.schema(schema).parquet(feed), lambda: _invoices(spark), "invoice",
-                                  outc, states, ckpt, partners=lambda: _partners(spark))
+                                  outc, states, ckpt, partners=lambda: _partners(spark), dedupe_window="1 day",
+                                  compact_every=1)
 
     spark.createDataFrame(b1, REQ_SCHEMA).write.mode("append").parquet(feed)
     st.drain(start())
@@ -110,6 +112,8 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     assert rows["C"].outcome == "success"
     cur = {r.object_id: r.state for r in st.current_states(spark, states).collect()}
     assert cur == {"1": "posted", "2": "cancel"}
+    import os
+    assert os.path.exists(f"{states}_compact/batch_id=1/_SUCCESS")  # compacted after batch 1
     # replaying batch 1 by hand changes nothing (idempotent by batch id)
     st.approval_batch(spark, spark.createDataFrame(b1, REQ_SCHEMA), 0, lambda: _invoices(spark), "invoice",
                       outc, states, lambda: _partners(spark))
