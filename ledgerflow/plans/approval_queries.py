@@ -36,11 +36,11 @@ _INVOICE_BASE = """
                     || (CASE WHEN q.action = 'approve' THEN 'approved' ELSE 'rejected' END)
                     || ' (' || coalesce(q.partner_name, 'Unknown') || ', Rp ' || format('{:,.0f}', CAST(q.amt AS DOUBLE))
                     || ')' END AS summary,
-               CASE WHEN q.mid IS NOT NULL THEN to_json(struct_pack(id := q.mid, name := q.inv_name,
+               CASE WHEN q.mid IS NOT NULL THEN CAST(to_json(struct_pack(id := q.mid, name := q.inv_name,
                     state := q.state_before, move_type := q.move_type, amount_total := q.amt,
                     amount_residual := q.amount_residual, partner_id := q.partner_id, partner_name := q.partner_name,
                     invoice_date := CAST(q.invoice_date AS VARCHAR), invoice_date_due := CAST(q.invoice_date_due AS VARCHAR),
-                    currency_id := q.currency_id)) END AS object_data
+                    currency_id := q.currency_id)) AS VARCHAR) END AS object_data
           FROM o q)"""
 
 _INVOICE_VIEWS = ["approval_request", "account_move", "res_partner"]
@@ -66,7 +66,7 @@ FROM res WHERE success
 
 
 @register("invoice_audit_rows", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
-    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN to_json(struct_pack(reason := reason)) END"))
+    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
 def invoice_audit_rows(fx):
     """O-05: audit rows of the successful invoice requests (object as it was before, reason as metadata)."""
     return ap.audit_rows(_invoice_outcomes(fx))
@@ -111,10 +111,10 @@ _EXPENSE_BASE = """
                CASE WHEN q.outcome = 'success' THEN 'Expense ' || q.e_name || ' '
                     || (CASE WHEN q.action = 'approve' THEN 'approved' ELSE 'rejected' END)
                     || ' (Rp ' || format('{:,.0f}', CAST(q.total_amount AS DOUBLE)) || ')' END AS summary,
-               CASE WHEN q.mid IS NOT NULL THEN to_json(struct_pack(id := q.mid, name := q.e_name,
+               CASE WHEN q.mid IS NOT NULL THEN CAST(to_json(struct_pack(id := q.mid, name := q.e_name,
                     state := q.state_before, total_amount := q.total_amount, employee_id := q.employee_id,
                     employee_name := q.employee_name, date := CAST(q.e_date AS VARCHAR),
-                    description := q.description)) END AS object_data
+                    description := q.description)) AS VARCHAR) END AS object_data
           FROM s q)"""
 
 _EXPENSE_VIEWS = ["approval_request_expense", "hr_expense"]
@@ -150,10 +150,10 @@ _LEAVE_BASE = """
                CASE WHEN q.outcome = 'success' THEN 'Leave ' || q.l_name || ' '
                     || (CASE WHEN q.action = 'approve' THEN 'approved' ELSE 'rejected' END)
                     || ' (' || CAST(q.number_of_days AS VARCHAR) || ' days)' END AS summary,
-               CASE WHEN q.mid IS NOT NULL THEN to_json(struct_pack(id := q.mid, display_name := q.l_name,
+               CASE WHEN q.mid IS NOT NULL THEN CAST(to_json(struct_pack(id := q.mid, display_name := q.l_name,
                     state := q.state_before, employee_id := q.employee_id, employee_name := q.employee_name,
                     date_from := CAST(q.date_from AS VARCHAR), date_to := CAST(q.date_to AS VARCHAR),
-                    number_of_days := q.number_of_days, holiday_status_name := q.holiday_status_name)) END AS object_data
+                    number_of_days := q.number_of_days, holiday_status_name := q.holiday_status_name)) AS VARCHAR) END AS object_data
           FROM s q)"""
 
 _LEAVE_VIEWS = ["approval_request_leave", "hr_leave"]

@@ -56,7 +56,7 @@ def apply_sales_order_changes(fx):
 
 
 @register("audit_append", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
-    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN to_json(struct_pack(reason := reason)) END"))
+    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
 def audit_append(fx):
     """O-03 + O-04: invoice audit rows appended twice (the replay is dropped) and read back from the table."""
     outcomes = ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])

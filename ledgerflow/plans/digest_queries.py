@@ -102,7 +102,8 @@ def _finance(fx) -> DataFrame:
 
 
 @register("finance_digest", ["account_move", "companies"], _FIN_BASE + """
-SELECT b.db, 'finance_daily' AS digest_type, '2001-07-31' AS period, 0.0 AS total_receivable, 0.0 AS total_payable,
+SELECT b.db, 'finance_daily' AS digest_type, '2001-07-31' AS period, CAST(0.0 AS DOUBLE) AS total_receivable,
+       CAST(0.0 AS DOUBLE) AS total_payable,
        CAST(b.tot AS DOUBLE) AS overdue_receivable, b.n AS overdue_count, b.ns AS severe_overdue_count,
        (SELECT count(*) FROM alerts a WHERE a.db = b.db) AS alerts_count
 FROM base b

@@ -109,7 +109,7 @@ SELECT c.db, p.id AS customer_id, p.name AS customer_name,
        CAST(coalesce(mv.recv, 0) AS DOUBLE) AS total_receivable,
        CAST(coalesce(mv.ovd, 0) AS DOUBLE) AS total_overdue,
        coalesce(mv.n_ovd, 0) AS overdue_count,
-       0.0 AS avg_days_to_pay,
+       CAST(0.0 AS DOUBLE) AS avg_days_to_pay,
        CAST(NULL AS DATE) AS last_payment_date,
        CASE WHEN coalesce(mv.ovd, 0) > 100000000 OR coalesce(mv.n_ovd, 0) > 5 THEN 'high'
             WHEN coalesce(mv.ovd, 0) > 50000000 OR coalesce(mv.n_ovd, 0) > 2 THEN 'medium'

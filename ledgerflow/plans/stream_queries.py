@@ -67,7 +67,7 @@ def stream_invoice_approvals(fx):
 
 
 @register("stream_audit_rows", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
-    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN to_json(struct_pack(reason := reason)) END"))
+    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
 def stream_audit_rows(fx):
     """O-80: approval outcomes streamed into the partitioned audit table."""
     spark = fx.spark
