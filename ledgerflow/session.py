@@ -58,3 +58,25 @@ def materialize(df):
     re-deriving a small bounded result would rescan large inputs."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_settings(total_cores: int, shuffle_bytes: int, target_partition_bytes: int = 200 << 20) -> dict[str, str]:
+    """Settings for a cluster run: partitions sized so each shuffle partition fits executor memory.
+
+    ``shuffle_bytes`` is the largest expected shuffle (e.g. the line table after
+    projection). Partitions start at max(2 x cores, shuffle / 200 MB); AQE then
+    coalesces small ones and splits skewed ones at runtime."""
+    parts = max(2 * total_cores, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    }
