@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerflow.session import work_dir
 from ledgerflow import streaming as st
 from ledgerflow.operators import approvals as ap
 from ledgerflow.operators.chat import parse_commands, user_facts
@@ -87,7 +88,7 @@ def _partners(spark):
 
 def test_approval_stream_carries_state_and_survives_restart(spark):
     t0 = dt.datetime(2024, 1, 1)
-    root = tempfile.mkdtemp(prefix="lf-stream-", dir="/tmp")
+    root = work_dir(spark, "tests", "stream-" + uuid.uuid4().hex)
     feed, outc, states, ckpt = (f"{root}/{x}" for x in ("feed", "out", "states", "ckpt"))
     b1 = [("A", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0)]
     b2 = [("B", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
@@ -112,8 +113,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     assert rows["C"].outcome == "success"
     cur = {r.object_id: r.state for r in st.current_states(spark, states).collect()}
     assert cur == {"1": "posted", "2": "cancel"}
-    import os
-    assert os.path.exists(f"{states}_compact/batch_id=1/_SUCCESS")  # compacted after batch 1
+    assert st._exists(spark, f"{states}_compact/batch_id=1/_SUCCESS")  # compacted after batch 1
     # replaying batch 1 by hand changes nothing (idempotent by batch id)
     st.approval_batch(spark, spark.createDataFrame(b1, REQ_SCHEMA), 0, lambda: _invoices(spark), "invoice",
                       outc, states, lambda: _partners(spark))
@@ -121,7 +121,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
 
 
 def test_command_stream_equals_batch(spark):
-    root = tempfile.mkdtemp(prefix="lf-cmd-", dir="/tmp")
+    root = work_dir(spark, "tests", "cmd-" + uuid.uuid4().hex)
     rows = [(i, c, t) for i, (c, t, _, _) in enumerate(CASES)]
     df = spark.createDataFrame(rows, "i int, command string, text string")
     df.write.parquet(f"{root}/feed")
@@ -138,7 +138,7 @@ def test_audit_append_dedupes_replays(spark):
     t0 = dt.datetime(2024, 1, 1)
     reqs = spark.createDataFrame([("A", "invoice", "tln_db", 1, "approve", "u", None, None, None, t0)], REQ_SCHEMA)
     rows = ap.audit_rows(ap.apply_approvals(reqs, _invoices(spark), "invoice", _partners(spark)))
-    path = tempfile.mkdtemp(prefix="lf-audit-", dir="/tmp") + "/audit"
+    path = work_dir(spark, "tests", "audit-" + uuid.uuid4().hex) + "/audit"
     append_audit(rows, path)
     append_audit(rows, path)
     got = read_audit(spark, path)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-import tempfile
+import uuid
 from decimal import Decimal
 
 import __spark_entry__ as se
+from ledgerflow.session import work_dir
 from ledgerflow import functions as lf
 from ledgerflow.operators import metrics as m
 from ledgerflow.sources.tables import load_tables
@@ -31,7 +32,7 @@ def test_period_filter_with_zone_still_pushes(spark):
     orders = spark.createDataFrame([(1, "tln_db", dt.datetime(2001, 7, 30, 18), "sale", Decimal("5.00"))],
                                    "id bigint, db string, date_order timestamp_ntz, state string, "
                                    "amount_total decimal(18,2)")
-    path = tempfile.mkdtemp(prefix="lf-tz-", dir="/tmp") + "/o"
+    path = work_dir(spark, "tests", "tz-" + uuid.uuid4().hex) + "/o"
     orders.write.parquet(path)
     df = m.sales_summary(spark.read.parquet(path), dt.date(2001, 7, 31), tz="Asia/Jakarta")
     assert "GreaterThanOrEqual(date_order,2001-07-29T17:00)" in _plan(df)
@@ -68,7 +69,7 @@ def test_company_aggregates_are_partial(spark):
 
 
 def test_load_tables_per_company_and_partitioned(spark):
-    root = tempfile.mkdtemp(prefix="lf-load-", dir="/tmp")
+    root = work_dir(spark, "tests", "load-" + uuid.uuid4().hex)
     a = spark.createDataFrame([(1, "x")], "id bigint, v string")
     b = spark.createDataFrame([(2, "y"), (3, "z")], "id bigint, v string")
     a.write.parquet(f"{root}/tln")
