@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
-from ledgerflow.constants import ACTION_PAST, CANCEL, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, UNKNOWN_PARTNER
+from ledgerflow.constants import ACTION_PAST, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, UNKNOWN_PARTNER
 from ledgerflow.operators.sequence import with_previous
 from ledgerflow.operators.topk import company_keys, lookup
 

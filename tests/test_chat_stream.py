@@ -7,7 +7,6 @@ import uuid
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from ledgerflow.session import work_dir
 from ledgerflow import streaming as st
@@ -143,6 +142,5 @@ def test_audit_append_dedupes_replays(spark):
     append_audit(rows, path)
     got = read_audit(spark, path)
     assert got.count() == 1 and got.first().created_date == dt.date(2024, 1, 1)
-    assert F is not None
     with pytest.raises(Exception):
         spark.read.parquet(path + "/missing").count()

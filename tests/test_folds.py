@@ -160,4 +160,18 @@ def test_apply_changes_matches_sequential_model(spark):
     cdf = spark.createDataFrame(changes, "name string, seq bigint, op string, status string, qty int")
     got = {r.name: r.asDict() for r in apply_changes(bdf, cdf, "name").collect()}
     assert got == _apply_model(base, changes, cols)
-    assert F is not None
+
+
+def test_range_partitioning_splits_a_hot_group(spark):
+    """The premise of with_previous: a group holding a third of all rows spans several partitions."""
+    n = 30000
+    rows = [("hot" if i % 3 == 0 else f"k{i % 997}", i) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, t int").repartitionByRange(12, "g", "t")
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert max(sizes) < 0.2 * n  # no partition holds the whole hot group (a third of the rows)
+    hot_parts = (df.filter(F.col("g") == "hot").select(F.spark_partition_id().alias("p")).distinct().count())
+    assert hot_parts >= 3
+    got = with_previous(spark.createDataFrame(rows, "g string, t int"), ["g"], ["t"], {"t": "prev_t"},
+                        num_partitions=12)
+    bad = got.filter((F.col("g") == "hot") & (F.col("t") > 0) & (F.col("prev_t") != F.col("t") - 3)).count()
+    assert bad == 0 and got.filter(F.col("prev_t").isNull()).count() == 1 + 997
