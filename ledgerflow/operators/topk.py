@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.session import materialize
+from ledgerflow.session import fits_broadcast, materialize
 
 RANK_COL = "rank"
 
@@ -70,16 +70,22 @@ def bounded_lookup(small: DataFrame, dim: DataFrame, on, take: dict[str, str]) -
 
 
 def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: bool) -> DataFrame:
-    """Left lookup of dimension columns; bounded inputs never shuffle the dimension.
-
-    Unbounded inputs use a plain left join: AQE broadcasts the dimension only when
-    its runtime size is under the threshold, and otherwise sort-merges."""
-    if bounded:
-        return bounded_lookup(big, dim, on, take)
+    """Left lookup of dimension columns.
+
+    * the projected dimension is estimated under the broadcast threshold: broadcast
+      it (a size-checked broadcast, one pass);
+    * else, ``big`` is bounded (top-k, id list): ``bounded_lookup``, which never
+      shuffles or broadcasts the dimension;
+    * else a plain left join: AQE broadcasts at runtime if a side turns out small,
+      and otherwise sort-merges."""
     pairs = _keys(on)
     kn = [f"_lk{i}" for i in range(len(pairs))]
     right = dim.select(*[F.col(b).alias(k) for (_, b), k in zip(pairs, kn)],
                        *[F.col(src).alias(dst) for src, dst in take.items()])
+    if fits_broadcast(right):
+        right = F.broadcast(right)
+    elif bounded:
+        return bounded_lookup(big, dim, on, take)
     cond = [big[a] == right[k] for (a, _), k in zip(pairs, kn)]
     return big.join(right, cond, "left").drop(*kn)
 

@@ -80,3 +80,30 @@ def cluster_settings(total_cores: int, shuffle_bytes: int, target_partition_byte
         "spark.sql.optimizer.windowGroupLimitThreshold": "1000",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
+
+
+def _bytes(conf_value: str) -> int:
+    v = conf_value.strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30,
+             "t": 1 << 40, "tb": 1 << 40}
+    for suffix in sorted(units, key=len, reverse=True):
+        if v.endswith(suffix) and v[: -len(suffix)].strip().lstrip("-").isdigit():
+            return int(v[: -len(suffix)]) * units[suffix]
+    return int(v)
+
+
+def broadcast_threshold(spark: SparkSession) -> int:
+    """The session's broadcast size limit in bytes (<= 0: broadcasting disabled)."""
+    return _bytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+
+
+def estimated_size_bytes(df) -> int:
+    """Catalyst's size estimate of ``df`` after pruning (file sizes scaled to the read columns)."""
+    v = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(v) if isinstance(v, int) else int(v.toString())
+
+
+def fits_broadcast(df) -> bool:
+    """True when ``df``'s estimated size is under the session's broadcast threshold."""
+    limit = broadcast_threshold(df.sparkSession)
+    return limit > 0 and estimated_size_bytes(df) <= limit
