@@ -193,9 +193,11 @@ def pending_deliveries(pickings: DataFrame, dbs: Iterable[str] | None = None) ->
 
 # O-24 core (decimal amounts); shaped by worklists/lists
 def overdue_core(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0,
-                 limit: int | None = OVERDUE_LIMIT, dbs: Iterable[str] | None = None) -> DataFrame:
+                 limit: int | None = OVERDUE_LIMIT, dbs: Iterable[str] | None = None,
+                 ranked: bool = True) -> DataFrame:
     """Posted customer moves with a residual, due strictly before ``as_of - threshold_days``,
-    ranked worst first per company (``days_overdue desc, id``); ``limit=None`` keeps all."""
+    ranked worst first per company (``days_overdue desc, id``); ``limit=None`` keeps all
+    (``ranked=False`` then skips the ranking)."""
     if int(threshold_days) < 0:
         raise ValueError("threshold_days must be >= 0")
     d = lf.as_date(as_of)
@@ -204,7 +206,8 @@ def overdue_core(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0
             .filter((F.col("state") == POSTED) & lf.in_set("move_type", CUSTOMER_MOVE_TYPES)
                     & (F.col("amount_residual") > 0) & (F.col("invoice_date_due") < lf.lit_date(cutoff)))
             .withColumn("days_overdue", F.datediff(lf.lit_date(d), F.col("invoice_date_due"))))
-    return top_k_per_group(late, ["db"], [F.col("days_overdue").desc(), F.col("id").asc()], limit)
+    return top_k_per_group(late, ["db"], [F.col("days_overdue").desc(), F.col("id").asc()], limit,
+                           "rank" if ranked or limit is not None else None)
 
 
 # O-47 + O-48
@@ -214,7 +217,7 @@ def overdue_summary(moves: DataFrame, as_of: dt.date | str, threshold_days: int
 
     With the default ``limit`` the totals cover the returned rows, as the
     reference reports them; ``limit=None`` gives the true totals."""
-    core = overdue_core(moves, as_of, threshold_days, limit, dbs)
+    core = overdue_core(moves, as_of, threshold_days, limit, dbs, ranked=False)
     severe = F.col("days_overdue") > SEVERE_OVERDUE_DAYS
     agg = core.groupBy("db").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("amount_residual").alias("_total"),

@@ -53,3 +53,27 @@ def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     out = j.select(*[F.col(c) for c in df.columns],
                    *[F.when(same, F.col(f"_pc_{dst}")).alias(dst) for dst in carry.values()])
     return out
+
+
+def rank_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column],
+                      rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+    """``row_number()`` per group without sending a group to one task.
+
+    Rows are range-partitioned on ``(group, order)``; a row's rank is the number
+    of rows of its group in earlier partitions (a running sum over a table of one
+    row per (group, partition)) plus its position inside its own partition.
+    ``order_cols`` must make the order total (end with a unique column)."""
+    spark = df.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in group_cols] + list(order_cols)
+    ranged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_rid", F.monotonically_increasing_id()))
+    ranged = materialize(ranged.withColumn("_pid", F.shiftright(F.col("_rid"), _LOCAL_BITS)))
+    local = F.col("_rid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS)
+    # One row per (group, partition): rows of the group there and its first position.
+    stats = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min(local).alias("_first"))
+    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
+    j = ranged.join(stats, [*group_cols, "_pid"], "left")
+    return j.select(*[F.col(c) for c in df.columns],
+                    (F.col("_before") + (local - F.col("_first")) + 1).cast("int").alias(rank_col))

@@ -15,18 +15,33 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.sequence import rank_within_group
 from ledgerflow.session import fits_broadcast, materialize
 
 RANK_COL = "rank"
 
 
+def _group_limit_threshold(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+
+
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int | None,
                     rank_col: str | None = RANK_COL) -> DataFrame:
     """Rows ranked ``1..k`` inside each group by ``order_cols`` (which must end in a unique tie-break).
 
-    ``k=None`` keeps every row (ranked when ``rank_col`` is given)."""
+    ``k=None`` keeps every row (ranked when ``rank_col`` is given). A small ``k``
+    uses ``row_number() <= k`` (Spark limits each task to k rows per group before
+    the shuffle); ``k=None`` or a k above the group-limit threshold uses the
+    range-partitioned rank, so a group holding a third of all rows is still
+    spread over many tasks."""
     if k is None and rank_col is None:
         return df
+    if k is None or int(k) > _group_limit_threshold(df):
+        name = rank_col or "_rn"
+        out = rank_within_group(df, group_cols, order_cols, name)
+        if k is not None:
+            out = out.filter(F.col(name) <= F.lit(int(k)))
+        return out if rank_col else out.drop(name)
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     name = rank_col or "_rn"
     out = df.withColumn(name, F.row_number().over(w))

@@ -175,3 +175,34 @@ def test_range_partitioning_splits_a_hot_group(spark):
                         num_partitions=12)
     bad = got.filter((F.col("g") == "hot") & (F.col("t") > 0) & (F.col("prev_t") != F.col("t") - 3)).count()
     assert bad == 0 and got.filter(F.col("prev_t").isNull()).count() == 1 + 997
+
+
+def test_rank_within_group_matches_pandas(spark):
+    import pandas as pd
+
+    from ledgerflow.operators.sequence import rank_within_group
+
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 == 0 else rng.choice(["a", "b"]), rng.randrange(50), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, v int, uid int")
+    got = {r.uid: r.rank for r in rank_within_group(df, ["g"], [F.col("v").desc(), F.col("uid").asc()],
+                                                    num_partitions=9).collect()}
+    pdf = pd.DataFrame(rows, columns=["g", "v", "uid"]).sort_values(["g", "v", "uid"], ascending=[True, False, True])
+    pdf["rank"] = pdf.groupby("g").cumcount() + 1
+    assert got == dict(zip(pdf.uid, pdf["rank"]))
+
+
+def test_top_k_above_group_limit_threshold_agrees(spark):
+    from ledgerflow.operators.topk import top_k_per_group
+
+    rows = [("hot" if i % 2 else "x", i % 17, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, v int, uid int")
+    order = [F.col("v").desc(), F.col("uid").asc()]
+    want = sorted(map(tuple, top_k_per_group(df, ["g"], order, 7).collect()))
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "5")
+    try:
+        got = sorted(map(tuple, top_k_per_group(df, ["g"], order, 7).collect()))
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert got == want and len(got) == 14
