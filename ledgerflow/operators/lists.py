@@ -12,7 +12,7 @@ import datetime as dt
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
@@ -284,14 +284,28 @@ def overdue_invoices(moves: DataFrame, partners: DataFrame, currencies: DataFram
 
 # O-25
 def recent_audit(audit: DataFrame, action_type: str | None = None, actor: str | None = None,
-                 limit: int | None = RECENT_AUDIT_LIMIT) -> DataFrame:
-    """Newest audit rows, optionally for one action type and/or actor (a global top-k)."""
+                 limit: int | None = RECENT_AUDIT_LIMIT, day_col: str = "created_date") -> DataFrame:
+    """Newest audit rows, optionally for one action type and/or actor (a global top-k).
+
+    On the day-partitioned audit table (``day_col`` present) a first, narrow pass
+    counts matching rows per day; the top-k then reads only the newest days that
+    hold ``limit`` rows (partition pruning), instead of every column of every day."""
     cond = F.lit(True)
     if action_type:
         cond = cond & (F.col("action_type") == action_type)
     if actor:
         cond = cond & (F.col("actor") == actor)
-    return top_k(audit.filter(cond), [F.col("created_at").desc(), F.col("id").desc()], limit)
+    rows = audit.filter(cond)
+    if limit is not None and day_col in audit.columns:
+        per_day = rows.filter(F.col(day_col).isNotNull()).groupBy(day_col).agg(F.count(F.lit(1)).alias("_n"))
+        # one row per day: a single-partition running sum is bounded by the number of days
+        newest = Window.orderBy(F.col(day_col).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        cut = (per_day.withColumn("_cum", F.sum("_n").over(newest))
+               .filter(F.col("_cum") - F.col("_n") < int(limit))
+               .agg(F.min(day_col).alias("d"), F.max("_cum").alias("covered")).first())
+        if cut is not None and cut["covered"] is not None and cut["covered"] >= int(limit):
+            rows = rows.filter(F.col(day_col) >= F.lit(cut["d"]))
+    return top_k(rows, [F.col("created_at").desc(), F.col("id").desc()], limit)
 
 
 # O-26

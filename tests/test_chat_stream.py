@@ -144,3 +144,27 @@ def test_audit_append_dedupes_replays(spark):
     assert got.count() == 1 and got.first().created_date == dt.date(2024, 1, 1)
     with pytest.raises(Exception):
         spark.read.parquet(path + "/missing").count()
+
+
+def test_recent_audit_prunes_days_and_stays_exact(spark):
+    from ledgerflow.operators.lists import recent_audit
+    from ledgerflow.sources.audit import append_audit, conform_audit, read_audit
+
+    rows = spark.createDataFrame(
+        [(f"k{i}", dt.datetime(2024, 1, 1 + i // 10, i % 24), "invoice.approve" if i % 2 else "leave.reject",
+          f"u{i % 3}", None, "tln_db", "invoice", str(i), None, "success", None, None, "api", f"R{i}")
+         for i in range(100)],
+        "id string, created_at timestamp_ntz, action_type string, actor string, actor_role string, odoo_db string, "
+        "object_type string, object_id string, object_data string, result string, error_message string, "
+        "metadata string, source string, request_id string")
+    path = work_dir(spark, "tests", "recent-" + uuid.uuid4().hex)
+    append_audit(rows, path, dedupe=False)
+    table = read_audit(spark, path)
+    for kwargs in ({"limit": 15}, {"limit": 7, "action_type": "invoice.approve"}, {"limit": 500}):
+        got = [r.id for r in recent_audit(table, **kwargs).collect()]
+        want = [r.id for r in recent_audit(conform_audit(rows), **kwargs).collect()]
+        assert got == want, kwargs
+    df = recent_audit(table, limit=15)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    pf = [x for x in plan.splitlines() if x.startswith("PartitionFilters")]
+    assert pf and "2024-01-09" in pf[0], pf  # only the newest two days are read
