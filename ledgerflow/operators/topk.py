@@ -50,11 +50,26 @@ def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
     return out if rank_col else out.drop(name)
 
 
+DEEP_PAGE = 10_000  # offsets beyond this page by a distributed rank
+
+
 def top_k(df: DataFrame, order_cols: Sequence[Column], k: int | None, offset: int = 0) -> DataFrame:
-    """Global top-k with offset paging (``TakeOrderedAndProject``); ``k=None`` sorts only."""
+    """Global top-k with offset paging; ``k=None`` sorts only.
+
+    Shallow pages use ``orderBy().offset().limit()`` (``TakeOrderedAndProject``: each
+    task keeps offset + k rows). An offset without a limit, or beyond ``DEEP_PAGE``,
+    would gather that many rows in one place, so those pages select on a
+    range-partitioned rank instead (``order_cols`` must then be a total order)."""
+    offset = int(offset or 0)
+    if offset and (k is None or offset + int(k) > DEEP_PAGE):
+        ranked = rank_within_group(df, [], order_cols, "_pos")
+        cond = F.col("_pos") > offset
+        if k is not None:
+            cond = cond & (F.col("_pos") <= offset + int(k))
+        return ranked.filter(cond).orderBy("_pos").drop("_pos")
     out = df.orderBy(*order_cols)
     if offset:
-        out = out.offset(int(offset))
+        out = out.offset(offset)
     if k is not None:
         out = out.limit(int(k))
     return out

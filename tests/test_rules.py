@@ -6,6 +6,7 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
 from ledgerflow.operators import lists as ls
@@ -234,3 +235,19 @@ def test_bounded_lookup_keeps_unmatched(spark):
     dim = spark.createDataFrame([(1, "a"), (3, "c")], "id bigint, v string")
     got = sorted(bounded_lookup(small, dim, ("k", "id"), {"v": "v"}).collect(), key=lambda r: (r.k is None, r.k))
     assert [(r.k, r.v) for r in got] == [(1, "a"), (2, None), (None, None)]
+
+
+def test_deep_and_open_ended_pages_match_shallow_paging(spark):
+    from ledgerflow.operators import topk
+
+    df = spark.createDataFrame([(f"N{i:05d}", i % 7) for i in range(300)], "name string, v int")
+    order = [F.col("v").desc(), F.col("name").asc()]
+    everything = [r.name for r in df.orderBy(*order).collect()]
+    assert [r.name for r in topk.top_k(df, order, None, 250).collect()] == everything[250:]
+    old = topk.DEEP_PAGE
+    topk.DEEP_PAGE = 10
+    try:
+        assert [r.name for r in topk.top_k(df, order, 20, 100).collect()] == everything[100:120]
+    finally:
+        topk.DEEP_PAGE = old
+    assert [r.name for r in topk.top_k(df, order, 20, 100).collect()] == everything[100:120]
