@@ -168,3 +168,23 @@ def test_recent_audit_prunes_days_and_stays_exact(spark):
     plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
     pf = [x for x in plan.splitlines() if x.startswith("PartitionFilters")]
     assert pf and "2024-01-09" in pf[0], pf  # only the newest two days are read
+
+
+def test_audit_stream_equals_batch_rows(spark):
+    from ledgerflow.sources.audit import AUDIT_COLUMNS
+
+    t0 = dt.datetime(2024, 1, 1)
+    reqs = spark.createDataFrame(
+        [("A", "invoice", "tln_db", 1, "approve", "u", None, None, None, t0),
+         ("B", "invoice", "tln_db", 2, "reject", "u", None, "dup", "api", t0 + dt.timedelta(days=1)),
+         ("C", "invoice", "tln_db", 9, "approve", "u", None, None, None, t0)], REQ_SCHEMA)
+    outcomes = ap.apply_approvals(reqs, _invoices(spark), "invoice", _partners(spark))
+    root = work_dir(spark, "tests", "auditstream-" + uuid.uuid4().hex)
+    outcomes.write.parquet(f"{root}/feed")
+    st.drain(st.audit_stream(spark.readStream.schema(outcomes.schema).parquet(f"{root}/feed"), f"{root}/audit",
+                             f"{root}/ckpt"))
+    got = spark.read.parquet(f"{root}/audit")
+    assert sorted(r.created_date.isoformat() for r in got.select("created_date").collect()) == [
+        "2024-01-01", "2024-01-02"]
+    want = ap.audit_rows(outcomes)
+    assert got.select(*AUDIT_COLUMNS).exceptAll(want).count() == 0 and got.count() == 2
