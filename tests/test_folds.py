@@ -206,3 +206,22 @@ def test_top_k_above_group_limit_threshold_agrees(spark):
     finally:
         spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
     assert got == want and len(got) == 14
+
+
+def test_snapshots_are_new_folders_and_latest_complete_wins(spark):
+    import uuid
+
+    from ledgerflow.operators.changes import latest_snapshot, write_snapshot
+    from ledgerflow.session import work_dir
+
+    root = work_dir(spark, "tests", "snap-" + uuid.uuid4().hex)
+    base = spark.createDataFrame([("K1", "x")], "name string, status string")
+    changes = spark.createDataFrame([("K1", 1, "update", "y"), ("K2", 2, "create", "z")],
+                                    "name string, seq bigint, op string, status string")
+    write_snapshot(base, root, 1)
+    write_snapshot(apply_changes(latest_snapshot(spark, root), changes, "name"), root, 2)
+    spark.createDataFrame([("K9", "broken")], "name string, status string").write.parquet(f"{root}/v=3/_temporary")
+    got = {r.name: r.status for r in latest_snapshot(spark, root).collect()}
+    assert got == {"K1": "y", "K2": "z"}
+    with pytest.raises(Exception):
+        write_snapshot(base, root, 2)  # never overwrites a snapshot
