@@ -26,7 +26,7 @@ from ledgerflow.sources.tables import allowed
 
 # --- filters -------------------------------------------------------------------------------------
 
-OPERATORS = ("=", "!=", "like", "not like", ">", ">=", "<", "<=", "in", "not in")
+OPERATORS = ("=", "!=", "like", "not like", "ilike", "not ilike", ">", ">=", "<", "<=", "in", "not in")
 
 
 def predicate(field: str, op: str, value: Any, case_insensitive_like: bool = True) -> Column:
@@ -37,9 +37,10 @@ def predicate(field: str, op: str, value: Any, case_insensitive_like: bool = Tru
         return c.isNull() if value is None else c == F.lit(value)
     if op in ("!=", "<>"):
         return c.isNotNull() if value is None else (c != F.lit(value)) | c.isNull()
-    if op in ("like", "not like"):
-        cond = (F.lower(c).like(str(value).lower()) if case_insensitive_like else c.like(str(value)))
-        return ~cond if op == "not like" else cond
+    if op in ("like", "not like", "ilike", "not ilike"):
+        ci = case_insensitive_like or op.endswith("ilike")
+        cond = F.lower(c).like(str(value).lower()) if ci else c.like(str(value))
+        return ~cond if op.startswith("not") else cond
     if op == ">":
         return c > F.lit(value)
     if op == ">=":

@@ -198,6 +198,8 @@ def test_search_customers_case_switch(spark):
     assert ls.search_customers(cust, "acme").count() == 2
     assert ls.search_customers(cust, "acme", case_insensitive=False).count() == 0
     assert ls.search_customers(cust, "Acme", case_insensitive=False).count() == 1
+    assert ls.list_query(cust, [["customer_name", "ilike", "%acme%"]], case_insensitive_like=False).count() == 2
+    assert ls.list_query(cust, [["customer_name", "not ilike", "%ltd"]], case_insensitive_like=False).count() == 1
 
 
 def test_digest_alert_rules(spark):
