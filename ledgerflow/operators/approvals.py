@@ -189,14 +189,19 @@ def audit_rows(outcomes: DataFrame, kind: str | None = None) -> DataFrame:
     """Audit log rows for successful requests, in the audit table layout.
 
     ``metadata`` carries ``{"reason": ...}`` for invoices with a reason and is
-    NULL otherwise; ``id`` is a content key (request, object, action) that also
-    guards against replays."""
+    NULL otherwise; ``id`` is a content key (request, object, action, actor, time)
+    that also guards against replays."""
     ok = outcomes.filter(F.col("success"))
     kind_col = F.col("object_type")
     meta = F.when((kind_col == "invoice") & F.col("reason").isNotNull() & (F.col("reason") != ""),
                   F.to_json(F.struct(F.col("reason").alias("reason"))))
+    # Content key: request id (optional in requests), object, action, actor and request time
+    # (formatted, so the key does not depend on the session zone).
+    key = F.concat_ws("|", F.coalesce(F.col("request_id"), F.lit("")), "object_type", "object_id", "action",
+                      F.coalesce(F.col("actor"), F.lit("")),
+                      F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     return ok.select(
-        F.sha2(F.concat_ws("|", "request_id", "object_type", "object_id", "action"), 256).alias("id"),
+        F.sha2(key, 256).alias("id"),
         F.col("requested_at").cast("timestamp_ntz").alias("created_at"),
         F.concat_ws(".", kind_col, F.col("action")).alias("action_type"),
         "actor", "actor_role", F.col("db").alias("odoo_db"), "object_type", "object_id",

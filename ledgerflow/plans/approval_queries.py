@@ -57,7 +57,8 @@ def invoice_approvals(fx):
 
 
 _AUDIT_SELECT = """
-SELECT sha256(concat_ws('|', request_id, object_type, object_id, action)) AS id,
+SELECT sha256(concat_ws('|', coalesce(request_id, ''), object_type, object_id, action, coalesce(actor, ''),
+                        strftime(requested_at, '%Y-%m-%d %H:%M:%S.%f'))) AS id,
        requested_at AS created_at, object_type || '.' || action AS action_type, actor, actor_role,
        db AS odoo_db, object_type, object_id, object_data, 'success' AS result, CAST(NULL AS VARCHAR) AS error_message,
        {meta} AS metadata, source, request_id

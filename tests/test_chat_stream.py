@@ -188,3 +188,17 @@ def test_audit_stream_equals_batch_rows(spark):
         "2024-01-01", "2024-01-02"]
     want = ap.audit_rows(outcomes)
     assert got.select(*AUDIT_COLUMNS).exceptAll(want).count() == 0 and got.count() == 2
+
+
+def test_requests_without_ids_keep_distinct_audit_rows(spark):
+    from ledgerflow.sources.audit import append_audit, read_audit
+
+    t0 = dt.datetime(2024, 1, 1)
+    reqs = spark.createDataFrame(
+        [(None, "invoice", "tln_db", 1, "reject", "u", None, None, None, t0),
+         (None, "invoice", "tln_db", 1, "reject", "u", None, None, None, t0 + dt.timedelta(minutes=5))], REQ_SCHEMA)
+    rows = ap.audit_rows(ap.apply_approvals(reqs, _invoices(spark), "invoice", _partners(spark)))
+    path = work_dir(spark, "tests", "noid-" + uuid.uuid4().hex)
+    append_audit(rows, path)
+    append_audit(rows, path)  # a replay of the same two rows adds nothing
+    assert read_audit(spark, path).count() == 2
