@@ -90,6 +90,15 @@ def touched_objects(table: DataFrame, keys: DataFrame, kind: str, partners: Data
     return SHAPERS[kind](named, partners)
 
 
+def request_key(df: DataFrame) -> Column:
+    """Identity of a request: its ``request_id`` when given, else a hash of its content
+    (company, object, action, actor, time), so requests without ids are never merged."""
+    content = F.concat_ws("|", F.col("db"), F.col("object_id").cast("string"), F.col("action"),
+                          F.coalesce(F.col("actor"), F.lit("")),
+                          F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.coalesce(F.col("request_id"), F.concat(F.lit("~"), F.sha2(content, 256)))
+
+
 # --- the fold ----------------------------------------------------------------------------------
 
 def _order_key() -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states
+from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states, request_key
 from ledgerflow.operators.chat import parse_commands
 from ledgerflow.sources.audit import PARTITION_COLUMN
 
@@ -129,8 +129,9 @@ def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table:
         return  # this batch was fully written before a restart
     reqs = batch
     if _exists(spark, outcomes_path):
-        done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id).select("request_id")
-        reqs = reqs.join(done, "request_id", "left_anti")
+        done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id)
+        reqs = (reqs.withColumn("_key", request_key(reqs))
+                .join(done.select(request_key(done).alias("_key")).distinct(), "_key", "left_anti").drop("_key"))
     objs = overlay_states(table(), current_states(spark, states_path, batch_id), kind)
     outcomes = apply_approvals(reqs, objs, kind, partners() if partners is not None else None)
     outcomes.write.mode("overwrite").parquet(out_dir)
@@ -157,8 +158,9 @@ def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: s
     if dedupe_window:
         # Watermarks need TIMESTAMP; request times are naive (TIMESTAMP_NTZ).
         requests = (requests.withColumn("_event_time", F.col("requested_at").cast("timestamp"))
+                    .withColumn("_key", request_key(requests))
                     .withWatermark("_event_time", dedupe_window)
-                    .dropDuplicatesWithinWatermark(["request_id"]).drop("_event_time"))
+                    .dropDuplicatesWithinWatermark(["_key"]).drop("_event_time", "_key"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
         approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every)

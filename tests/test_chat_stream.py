@@ -92,7 +92,9 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     b1 = [("A", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0)]
     b2 = [("B", "invoice", "tln_db", 1, "approve", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
           ("C", "invoice", "tln_db", 2, "reject", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
-          ("C", "invoice", "tln_db", 2, "reject", "u", None, None, "api", t0 + dt.timedelta(hours=1))]
+          ("C", "invoice", "tln_db", 2, "reject", "u", None, None, "api", t0 + dt.timedelta(hours=1)),
+          (None, "invoice", "tln_db", 2, "reject", "v", None, None, "api", t0 + dt.timedelta(hours=2)),
+          (None, "invoice", "tln_db", 2, "reject", "v", None, None, "api", t0 + dt.timedelta(hours=3))]
     schema = spark.createDataFrame([], REQ_SCHEMA).schema
 
     def start():
@@ -105,7 +107,9 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     spark.createDataFrame(b2, REQ_SCHEMA).write.mode("append").parquet(feed)
     st.drain(start())
     st.drain(start())  # nothing new: no batch, no duplicate rows
-    rows = {r.request_id: r for r in spark.read.parquet(outc).collect()}
+    all_rows = spark.read.parquet(outc).collect()
+    assert sum(r.request_id is None for r in all_rows) == 2  # id-less requests are not merged
+    rows = {r.request_id: r for r in all_rows if r.request_id is not None}
     assert set(rows) == {"A", "B", "C"}
     assert rows["A"].outcome == "success"
     assert rows["B"].outcome == "already_approved" and rows["B"].state_before == "posted"
@@ -116,7 +120,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
     # replaying batch 1 by hand changes nothing (idempotent by batch id)
     st.approval_batch(spark, spark.createDataFrame(b1, REQ_SCHEMA), 0, lambda: _invoices(spark), "invoice",
                       outc, states, lambda: _partners(spark))
-    assert spark.read.parquet(outc).count() == 3
+    assert spark.read.parquet(outc).count() == 5
 
 
 def test_command_stream_equals_batch(spark):
