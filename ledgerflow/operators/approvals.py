@@ -102,7 +102,8 @@ def request_key(df: DataFrame) -> Column:
 # --- the fold ----------------------------------------------------------------------------------
 
 def _order_key() -> Column:
-    return F.struct(F.col("requested_at"), F.col("request_id"))
+    # Request time, then the request key (never null) as a total tie-break.
+    return F.struct(F.col("requested_at"), F.col("_rk"))
 
 
 def _firsts(req: DataFrame) -> DataFrame:
@@ -124,6 +125,7 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
     trans.update({k: dict(v) for k, v in (transitions or {}).items()})
     t = trans[kind]
     req = requests.select(*REQUEST_COLUMNS)
+    req = req.withColumn("_rk", request_key(req))
     if kind in ("invoice", "expense"):
         firsts = _firsts(req)  # one row per named object
         per_object = firsts.join(touched_objects(table, firsts, kind, partners), ["db", "object_id"], "left")
@@ -138,7 +140,7 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
         else:
             before = F.when(approved_before, F.lit(t["approve"])).otherwise(F.col("state"))
     elif kind == "leave":
-        seq = with_previous(req, ["db", "object_id"], ["requested_at", "request_id"], {"action": "_prev_action"})
+        seq = with_previous(req, ["db", "object_id"], ["requested_at", "_rk"], {"action": "_prev_action"})
         keys = req.select("db", "object_id").distinct()
         j = seq.join(touched_objects(table, keys, kind, partners), ["db", "object_id"], "left")
         before = (F.when(F.col("_prev_action") == "approve", F.lit(t["approve"]))
@@ -188,7 +190,7 @@ def new_states(outcomes: DataFrame) -> DataFrame:
     ``max_by`` is an aggregate, so a hot object is combined per task first."""
     ok = outcomes.filter(F.col("success") & F.col("new_state").isNotNull())
     return ok.groupBy("db", "object_type", "object_id").agg(
-        F.max_by("new_state", F.struct("requested_at", "request_id")).alias("state"),
+        F.max_by("new_state", F.struct(F.col("requested_at"), request_key(ok))).alias("state"),
         F.max("requested_at").alias("changed_at"),
     )
 
