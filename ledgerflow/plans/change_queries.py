@@ -10,15 +10,34 @@ from ledgerflow.plans.approval_queries import _AUDIT_SELECT, _INVOICE_BASE, _INV
 from ledgerflow.plans.registry import register
 from ledgerflow.session import materialize, work_dir
 from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, read_audit
-from ledgerflow.sources.tables import allowed
+from ledgerflow.constants import COMPANIES
+from ledgerflow.sources.tables import allowed, load_tables
 
 
 @register("company_scan", ["sale_order"], """
 SELECT * FROM sale_order WHERE db IN ('tln_db', 'ieg_db', 'tmi_db')
 """)
 def company_scan(fx):
-    """O-01 + O-02: the sales orders of every allowed company."""
-    return allowed(fx["sale_order"])
+    """O-01 + O-02: sales orders stored partitioned by company, read back through ``load_tables``
+    (allowed companies only: a partition filter)."""
+    path = work_dir(fx.spark, "tables", uuid.uuid4().hex, "sale_order")
+    fx["sale_order"].write.partitionBy("db").parquet(path)
+    return load_tables(fx.spark, {"sale_order": path})["sale_order"]
+
+
+@register("company_scan_union", ["sale_order"], """
+SELECT * FROM sale_order WHERE db IN ('tln_db', 'ieg_db', 'tmi_db')
+""")
+def company_scan_union(fx):
+    """O-01: one folder per company (no ``db`` column, as with a schema per company), read through
+    ``load_tables``, tagged with the company and unioned by name."""
+    root = work_dir(fx.spark, "tables", uuid.uuid4().hex)
+    paths = []
+    for db in COMPANIES:
+        p = f"{root}/{db}/sale_order"
+        allowed(fx["sale_order"], [db]).drop("db").write.parquet(p)
+        paths.append(p)
+    return load_tables(fx.spark, {"sale_order": paths})["sale_order"]
 
 
 def _u(name: str, col: str) -> str:
