@@ -1,11 +1,16 @@
-"""Ranking, paging and bounded dimension lookups (O-36, O-37, O-39).
+"""Ranking, paging and dimension lookups (O-36, O-37, O-39).
 
 Top-k per company uses ``row_number() <= k`` so that Spark inserts a partial
 ``WindowGroupLimit`` below the exchange: each task forwards at most ``k`` rows
-per company, so a company holding a third of all rows never lands whole in
-one task. The lookup helper joins dimension tables against a result whose size
-is bounded by ``k * |companies|``, so that result (not the dimension) is what
-gets broadcast.
+per company, so a company holding a third of all rows never lands whole in one
+task. Unlimited or very large ``k`` rankings, and deep pages, use the
+range-partitioned rank from ``sequence``.
+
+Lookups broadcast a dimension only when its estimated size is under the
+session's broadcast threshold. Beyond it, a result with a proven bound (top-k:
+``k * |companies|`` rows, or an id list) is broadcast instead: its key set
+filters the streamed dimension and the few hits are broadcast back, so the
+dimension is never shuffled or broadcast.
 """
 
 from __future__ import annotations
