@@ -89,8 +89,9 @@ def bounded_lookup(small: DataFrame, dim: DataFrame, on, take: dict[str, str]) -
 
     ``on`` is one ``(small_col, dim_col)`` pair or a list of them. The dimension
     is filtered by an inner join against the broadcast key set of ``small``
-    (bounded), and the few matching dimension rows are broadcast back. Neither
-    step broadcasts or shuffles the dimension itself.
+    (bounded), and the few matching dimension rows are broadcast back (at most one
+    per key, as dimension keys are unique ids). Neither step broadcasts or
+    shuffles the dimension itself.
     """
     pairs = _keys(on)
     kn = [f"_lk{i}" for i in range(len(pairs))]

@@ -36,8 +36,9 @@ REGISTRY: dict[str, Query] = {}
 
 def register(name: str, views: tuple[str, ...] | list[str] = (), oracle: str | None = None):
     def deco(fn: Callable[[Fixtures], DataFrame]):
-        if name in REGISTRY:
+        prev = REGISTRY.get(name)
+        if prev is not None and prev.build.__qualname__ != fn.__qualname__:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, tuple(views), oracle, (fn.__doc__ or "").strip())
+        REGISTRY[name] = Query(name, fn, tuple(views), oracle, (fn.__doc__ or "").strip())  # reload-safe
         return fn
     return deco
