@@ -260,9 +260,13 @@ class Fixtures:
         self.spark = spark
         self.sf_dir = sf_dir
         self._cache: dict[str, DataFrame] = {}
+        self._raw: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return read_raw(self.spark, self.sf_dir, name)
+        # One reader per table (lazy DataFrames; this only saves repeated listing and footer reads).
+        if name not in self._raw:
+            self._raw[name] = read_raw(self.spark, self.sf_dir, name)
+        return self._raw[name]
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._cache:
