@@ -97,3 +97,17 @@ def test_lookup_paths_agree(spark):
                 assert "SortMergeJoin" not in _plan(df), n
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_company_table_layout_prunes_partitions_and_row_groups(spark):
+    from ledgerflow.sources.fixtures import fixtures
+    from ledgerflow.sources.tables import write_company_table
+
+    path = work_dir(spark, "tests", "layout-" + uuid.uuid4().hex)
+    write_company_table(fixtures(spark, SMOKE_DIR)["sale_order"], path, ["date_order"], files_per_company=4)
+    table = load_tables(spark, {"so": path}, dbs=["ieg_db"])["so"]
+    df = m.sales_summary(table, dt.date(2001, 7, 31), dbs=["ieg_db"])
+    plan = _plan(df)
+    assert "PartitionFilters: [isnotnull(db" in plan and "ieg_db" in plan
+    assert "GreaterThanOrEqual(date_order,2001-07-30T00:00)" in plan
+    assert df.filter("db = 'ieg_db'").first().order_count >= 0
