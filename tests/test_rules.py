@@ -253,3 +253,28 @@ def test_deep_and_open_ended_pages_match_shallow_paging(spark):
     finally:
         topk.DEEP_PAGE = old
     assert [r.name for r in topk.top_k(df, order, 20, 100).collect()] == everything[100:120]
+
+
+def test_parameter_variants(spark):
+    from ledgerflow.sources.fixtures import fixtures
+
+    from conftest import SMOKE_DIR
+
+    fx = fixtures(spark, SMOKE_DIR)
+    cmp_ = {r.db: r for r in m.sales_comparison(fx["sale_order"], AS_OF, period="week").collect()}
+    assert {r.comparison for r in cmp_.values()} == {"N/A"} and len(cmp_) == 3
+    some = [r.id for r in fx["res_partner"].limit(3).collect()]
+    risk = m.customer_risk(fx["account_move"], fx["res_partner"], AS_OF, customer_ids=some)
+    assert sorted({r.customer_id for r in risk.collect()}) == sorted(some) and risk.count() == 9
+    risk_df = m.customer_risk(fx["account_move"], fx["res_partner"], AS_OF,
+                              customer_ids=spark.createDataFrame([(some[0],)], "id bigint"))
+    assert risk_df.count() == 3
+    ids = [r.id for r in fx["account_move"].limit(4).collect()]
+    det = ls.invoice_detail(fx["account_move"], fx["res_partner"], fx["res_currency"], ids=ids)
+    assert sorted(r.id for r in det.collect()) == sorted(ids)
+    ctx = wl.invoice_context(fx["account_move"], fx["res_partner"], AS_OF, ids=ids[:2])
+    assert ctx.count() == 2
+    rec = ls.read_records(fx["hr_expense"], [r.id for r in fx["hr_expense"].limit(2).collect()], ["name"])
+    assert rec.columns == ["db", "id", "name"] and rec.count() == 2
+    with pytest.raises(ValueError):
+        m.overdue_summary(fx["account_move"], AS_OF, threshold_days=-1)
