@@ -57,7 +57,6 @@ CHAT_LEADS_DEFAULT = 5
 
 # --- fixed values: texts and defaults -----------------------------------------
 CURRENCY_CODE = "IDR"
-CURRENCY_SYMBOL_PREFIX = "Rp"
 UNKNOWN_PARTNER = "Unknown"
 DEFAULT_LEAVE_TYPE = "Leave"
 MANAGER_ROLE = "manager"
@@ -69,6 +68,19 @@ ROLE_PREFIX = "ak-role-"
 NOT_AVAILABLE = "N/A"
 PLUS_INFINITY = "+∞"
 
+# --- fixed values: digest alert and approval summary texts ------------------------
+# ``{name}`` marks a value filled in per row (see ``functions.fill``).
+ALERT_NO_ORDERS = "No orders today"
+ALERT_SALES_DOWN = "Sales down {comparison} vs yesterday"
+ALERT_PENDING_ORDERS = "{count} orders pending confirmation"
+ALERT_OVERDUE = "{count} invoices overdue (Rp {amount})"
+ALERT_SEVERE_OVERDUE = "{count} invoices >30 days overdue (Rp {amount})"
+ALERT_ORDERS_AWAITING = "{count} orders awaiting confirmation"
+ALERT_DELIVERIES_PENDING = "{count} deliveries pending"
+SUMMARY_INVOICE = "Invoice {name} {action} ({partner}, Rp {amount})"
+SUMMARY_EXPENSE = "Expense {name} {action} (Rp {amount})"
+SUMMARY_LEAVE = "Leave {name} {action} ({days} days)"
+
 # Past tense used in approval summaries ("reject" + "d" is not a word).
 ACTION_PAST = {"approve": "approved", "reject": "rejected"}
 

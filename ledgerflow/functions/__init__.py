@@ -172,3 +172,17 @@ def parse_iso(col: ColumnOrName) -> Column:
 # Money out: exact decimal inside, double only at the output edge
 def money_out(col: ColumnOrName) -> Column:
     return _c(col).cast("double")
+
+
+# Message templates: ``fill("Sales down {comparison} vs yesterday", comparison=col)``
+def fill(template: str, **values: ColumnOrName) -> Column:
+    """A string Column from a ``{name}`` template; the literal parts stay literal."""
+    import string
+
+    parts: list[Column] = []
+    for literal, field, _spec, _conv in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            parts.append(_c(values[field]).cast("string"))
+    return F.concat(*parts)

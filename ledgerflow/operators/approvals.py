@@ -24,7 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
-from ledgerflow.constants import ACTION_PAST, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, UNKNOWN_PARTNER
+from ledgerflow.constants import (
+    ACTION_PAST, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, SUMMARY_EXPENSE, SUMMARY_INVOICE, SUMMARY_LEAVE,
+    UNKNOWN_PARTNER,
+)
 from ledgerflow.operators.sequence import with_previous
 from ledgerflow.operators.topk import company_keys, lookup
 
@@ -165,15 +168,12 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
     new_state = F.when(ok, F.when(act == "approve", F.lit(t["approve"])).otherwise(F.lit(t["reject"])))
     past = F.when(act == "approve", F.lit(ACTION_PAST["approve"])).otherwise(F.lit(ACTION_PAST["reject"]))
     if kind == "invoice":
-        summary = F.concat(F.lit("Invoice "), F.col("_name"), F.lit(" "), past, F.lit(" ("),
-                           F.coalesce(F.col("_partner"), F.lit(UNKNOWN_PARTNER)), F.lit(", Rp "),
-                           lf.rupiah("_amount"), F.lit(")"))
+        summary = lf.fill(SUMMARY_INVOICE, name="_name", action=past,
+                          partner=F.coalesce(F.col("_partner"), F.lit(UNKNOWN_PARTNER)), amount=lf.rupiah("_amount"))
     elif kind == "expense":
-        summary = F.concat(F.lit("Expense "), F.col("_name"), F.lit(" "), past, F.lit(" (Rp "),
-                           lf.rupiah("_amount"), F.lit(")"))
+        summary = lf.fill(SUMMARY_EXPENSE, name="_name", action=past, amount=lf.rupiah("_amount"))
     else:
-        summary = F.concat(F.lit("Leave "), F.col("_name"), F.lit(" "), past, F.lit(" ("),
-                           F.col("_days").cast("string"), F.lit(" days)"))
+        summary = lf.fill(SUMMARY_LEAVE, name="_name", action=past, days="_days")
     snapshot = F.when(found, F.col("_snapshot").withField("state", sb))
     return j.select(
         "request_id", "db", F.lit(kind).alias("object_type"), F.col("object_id").cast("string").alias("object_id"),

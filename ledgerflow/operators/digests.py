@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
-    CURRENCY_SYMBOL_PREFIX, OPS_ALERT_MIN, OVERDUE_LIMIT, TOP_PRODUCTS_LIMIT,
+    ALERT_DELIVERIES_PENDING, ALERT_NO_ORDERS, ALERT_ORDERS_AWAITING, ALERT_OVERDUE, ALERT_PENDING_ORDERS,
+    ALERT_SALES_DOWN, ALERT_SEVERE_OVERDUE, OPS_ALERT_MIN, OVERDUE_LIMIT, TOP_PRODUCTS_LIMIT,
 )
 from ledgerflow.operators.metrics import overdue_summary, pending_deliveries, pending_orders, sales_summary, top_products
 
@@ -31,10 +32,6 @@ def alerts(*items: Column) -> Column:
     return F.array_compact(F.array(*items)).cast(f"array<{ALERT_TYPE}>")
 
 
-def _txt(*parts) -> Column:
-    return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-
-
 # O-50
 def sales_digest(orders: DataFrame, lines: DataFrame, products: DataFrame, templates: DataFrame,
                  as_of: dt.date | str, dbs: Iterable[str] | None = None,
@@ -59,10 +56,10 @@ def sales_digest(orders: DataFrame, lines: DataFrame, products: DataFrame, templ
         cmp_.alias("comparison_yesterday"),
         pend.alias("pending_orders"),
         alerts(
-            _alert(n == 0, "warning", F.lit("No orders today")),
+            _alert(n == 0, "warning", F.lit(ALERT_NO_ORDERS)),
             _alert((n != 0) & cmp_.startswith("-") & (F.length(cmp_) > 3), "warning",
-                   _txt("Sales down ", cmp_, " vs yesterday")),
-            _alert(pend > 0, "info", _txt(pend.cast("string"), " orders pending confirmation")),
+                   lf.fill(ALERT_SALES_DOWN, comparison=cmp_)),
+            _alert(pend > 0, "info", lf.fill(ALERT_PENDING_ORDERS, count=pend)),
         ).alias("alerts"),
     )
 
@@ -78,10 +75,8 @@ def finance_digest(moves: DataFrame, as_of: dt.date | str, limit: int | None = O
         F.lit(0.0).alias("total_receivable"), F.lit(0.0).alias("total_payable"),
         total.alias("overdue_receivable"), n.alias("overdue_count"), sn.alias("severe_overdue_count"),
         alerts(
-            _alert(n > 0, "warning", _txt(n.cast("string"), " invoices overdue (", CURRENCY_SYMBOL_PREFIX, " ",
-                                          lf.rupiah(total), ")")),
-            _alert(sn > 0, "critical", _txt(sn.cast("string"), " invoices >30 days overdue (",
-                                            CURRENCY_SYMBOL_PREFIX, " ", lf.rupiah(samt), ")")),
+            _alert(n > 0, "warning", lf.fill(ALERT_OVERDUE, count=n, amount=lf.rupiah(total))),
+            _alert(sn > 0, "critical", lf.fill(ALERT_SEVERE_OVERDUE, count=sn, amount=lf.rupiah(samt))),
         ).alias("alerts"),
     )
 
@@ -95,8 +90,8 @@ def ops_digest(orders: DataFrame, pickings: DataFrame, as_of: dt.date | str,
         "db", F.lit("ops_daily").alias("digest_type"), F.lit(lf.as_date(as_of).isoformat()).alias("period"),
         po, pd_, F.lit(0).cast("bigint").alias("low_stock_items"),
         alerts(
-            _alert(po > OPS_ALERT_MIN, "warning", _txt(po.cast("string"), " orders awaiting confirmation")),
-            _alert(pd_ > OPS_ALERT_MIN, "warning", _txt(pd_.cast("string"), " deliveries pending")),
+            _alert(po > OPS_ALERT_MIN, "warning", lf.fill(ALERT_ORDERS_AWAITING, count=po)),
+            _alert(pd_ > OPS_ALERT_MIN, "warning", lf.fill(ALERT_DELIVERIES_PENDING, count=pd_)),
         ).alias("alerts"),
     )
 
