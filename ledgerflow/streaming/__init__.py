@@ -122,14 +122,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame],
                    kind: str, outcomes_path: str, states_path: str,
-                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20) -> None:
-    """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``."""
+                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20,
+                   replay_window: str | None = None) -> None:
+    """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``.
+
+    With ``replay_window`` (e.g. ``"1 day"``) earlier outcomes are compared only
+    within that window of the batch's earliest request (file statistics skip the
+    rest); without it the whole history is checked."""
     out_dir = f"{outcomes_path}/batch_id={batch_id}"
     if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
         return  # this batch was fully written before a restart
     reqs = batch
     if _exists(spark, outcomes_path):
         done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id)
+        if replay_window:
+            lo = batch.agg(F.min("requested_at")).first()[0]
+            if lo is not None:
+                since = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr(f"INTERVAL {replay_window}")
+                done = done.filter(F.col("requested_at") >= since)
         reqs = (reqs.withColumn("_key", request_key(reqs))
                 .join(done.select(request_key(done).alias("_key")).distinct(), "_key", "left_anti").drop("_key"))
     objs = overlay_states(table(), current_states(spark, states_path, batch_id), kind)
@@ -150,10 +160,11 @@ def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: s
                     dedupe_window: str | None = None, compact_every: int = 20) -> StreamingQuery:
     """``table`` / ``partners`` are callables so every micro-batch reads the current tables.
 
-    ``dedupe_window`` (e.g. ``"1 day"``) drops repeated request ids in the stream
-    itself with bounded state (``dropDuplicatesWithinWatermark``); the per-batch
-    anti-join against earlier outcomes still drops any id seen before. Object
-    states are compacted every ``compact_every`` batches."""
+    ``dedupe_window`` (e.g. ``"1 day"``) drops repeated requests in the stream
+    itself with bounded state (``dropDuplicatesWithinWatermark``) and bounds the
+    per-batch anti-join against earlier outcomes to the same window; without it
+    that anti-join covers the whole history. Object states are compacted every
+    ``compact_every`` batches."""
     spark = requests.sparkSession
     if dedupe_window:
         # Watermarks need TIMESTAMP; request times are naive (TIMESTAMP_NTZ).
@@ -163,7 +174,8 @@ def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: s
                     .dropDuplicatesWithinWatermark(["_key"]).drop("_event_time", "_key"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every)
+        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every,
+                       dedupe_window)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
