@@ -257,7 +257,7 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # query still reads the files when it runs; this only avoids re-planning the same
 # input views (file listing, footer reads, SQL analysis) for every query, as a
 # user who loads tables once and runs many operators would.
-_VIEWS: dict[tuple[int, str, str], DataFrame] = {}
+_VIEWS: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
 class Fixtures:
@@ -266,10 +266,10 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._session = spark._jsparkSession.hashCode()
+        self._session = (spark.sparkContext.applicationId, spark._jsparkSession.hashCode())
 
     def _cached(self, kind: str, name: str, build) -> DataFrame:
-        key = (self._session, self.sf_dir, f"{kind}:{name}")
+        key = (*self._session, self.sf_dir, f"{kind}:{name}")
         if key not in _VIEWS:
             _VIEWS[key] = build()
         return _VIEWS[key]
