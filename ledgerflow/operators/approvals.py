@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
-    ACTION_PAST, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, SUMMARY_EXPENSE, SUMMARY_INVOICE, SUMMARY_LEAVE,
+    ACTION_PAST, APPROVAL_ACTIONS, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, SUMMARY_EXPENSE, SUMMARY_INVOICE, SUMMARY_LEAVE,
     UNKNOWN_PARTNER,
 )
 from ledgerflow.operators.sequence import with_previous
@@ -127,8 +127,18 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
     trans = dict(DEFAULT_TRANSITIONS)
     trans.update({k: dict(v) for k, v in (transitions or {}).items()})
     t = trans[kind]
-    req = requests.select(*REQUEST_COLUMNS)
-    req = req.withColumn("_rk", request_key(req))
+    allreq = requests.select(*REQUEST_COLUMNS)
+    allreq = allreq.withColumn("_rk", request_key(allreq))
+    # A request whose action is not approve/reject is refused at validation: it gets
+    # its own outcome and is invisible to the fold of the valid ones.
+    valid = F.coalesce(F.col("action").isin(*APPROVAL_ACTIONS), F.lit(False))
+    req = allreq.filter(valid)
+    refused = allreq.filter(~valid).select(
+        "request_id", "db", F.lit(kind).alias("object_type"), F.col("object_id").cast("string").alias("object_id"),
+        "action", "actor", "actor_role", "reason", F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source"),
+        "requested_at", F.lit("invalid_request").alias("outcome"), F.lit(False).alias("success"),
+        *[F.lit(None).cast("string").alias(c) for c in ("state_before", "new_state", "summary", "object_data")],
+    )
     if kind in ("invoice", "expense"):
         firsts = _firsts(req)  # one row per named object
         per_object = firsts.join(touched_objects(table, firsts, kind, partners), ["db", "object_id"], "left")
@@ -175,13 +185,14 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
     else:
         summary = lf.fill(SUMMARY_LEAVE, name="_name", action=past, days="_days")
     snapshot = F.when(found, F.col("_snapshot").withField("state", sb))
-    return j.select(
+    folded = j.select(
         "request_id", "db", F.lit(kind).alias("object_type"), F.col("object_id").cast("string").alias("object_id"),
         "action", "actor", "actor_role", "reason", F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source"),
         "requested_at", "outcome", ok.alias("success"), "state_before", new_state.alias("new_state"),
         F.when(ok, summary).alias("summary"),
         F.to_json(snapshot, {"ignoreNullFields": "false"}).alias("object_data"),
     )
+    return folded.unionByName(refused)
 
 
 def new_states(outcomes: DataFrame) -> DataFrame:

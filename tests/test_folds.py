@@ -225,3 +225,24 @@ def test_snapshots_are_new_folders_and_latest_complete_wins(spark):
     assert got == {"K1": "y", "K2": "z"}
     with pytest.raises(Exception):
         write_snapshot(base, root, 2)  # never overwrites a snapshot
+
+
+def test_unknown_actions_are_refused_and_do_not_affect_the_fold(spark):
+    reqs = [("A", "invoice", "tln_db", 1, "delete", "u", None, None, None, T0),
+            ("B", "invoice", "tln_db", 1, "approve", "u", None, None, None, T0 + dt.timedelta(hours=1)),
+            ("C", "leave", "tln_db", 1, None, "u", None, None, None, T0 + dt.timedelta(hours=2))]
+    table, partners = _objects(spark, "invoice", {1: "draft"})
+    out = {r.request_id: r for r in ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), table, "invoice",
+                                                       partners).collect()}
+    assert out["A"].outcome == "invalid_request" and not out["A"].success and out["A"].summary is None
+    assert out["B"].outcome == "success" and out["B"].state_before == "draft"
+    assert out["C"].outcome == "invalid_request"
+    leaves, _ = _objects(spark, "leave", {1: "confirm"})
+    lv = {r.request_id: r for r in ap.apply_approvals(
+        spark.createDataFrame([("L1", "leave", "tln_db", 1, "reject", "u", None, None, None, T0),
+                               ("L2", "leave", "tln_db", 1, "bogus", "u", None, None, None, T0 + dt.timedelta(hours=1)),
+                               ("L3", "leave", "tln_db", 1, "approve", "u", None, None, None, T0 + dt.timedelta(hours=2))],
+                              REQ_SCHEMA), leaves, "leave").collect()}
+    assert lv["L3"].state_before == "rejected"  # the refused request in between is not a step of the fold
+    assert len(ap.audit_rows(ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), table, "invoice",
+                                                partners)).collect()) == 1
