@@ -7,6 +7,7 @@ import uuid
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerflow.session import work_dir
 from ledgerflow import streaming as st
@@ -206,3 +207,23 @@ def test_requests_without_ids_keep_distinct_audit_rows(spark):
     append_audit(rows, path)
     append_audit(rows, path)  # a replay of the same two rows adds nothing
     assert read_audit(spark, path).count() == 2
+
+
+def test_leave_approval_stream_equals_batch(spark):
+    from ledgerflow.sources.fixtures import fixtures
+
+    from conftest import SMOKE_DIR
+
+    fx = fixtures(spark, SMOKE_DIR)
+    reqs, leaves = fx["approval_request_leave"], fx["hr_leave"]
+    batch = {r.request_id: (r.outcome, r.state_before, r.new_state)
+             for r in ap.apply_approvals(reqs, leaves, "leave").collect()}
+    root = work_dir(spark, "tests", "leavestream-" + uuid.uuid4().hex)
+    feed, outc, states, ckpt = (f"{root}/{x}" for x in ("feed", "out", "states", "ckpt"))
+    cut = reqs.agg(F.percentile_approx("requested_at", 0.5)).first()[0]
+    for part in (reqs.filter(F.col("requested_at") <= F.lit(cut)), reqs.filter(F.col("requested_at") > F.lit(cut))):
+        part.write.mode("append").parquet(feed)
+        st.drain(st.approval_stream(spark.readStream.schema(reqs.schema).parquet(feed), lambda: leaves, "leave",
+                                    outc, states, ckpt))
+    got = {r.request_id: (r.outcome, r.state_before, r.new_state) for r in spark.read.parquet(outc).collect()}
+    assert got == batch and len(got) == reqs.count()
