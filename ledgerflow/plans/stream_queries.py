@@ -18,7 +18,7 @@ from ledgerflow.operators import approvals as ap
 from ledgerflow.plans.approval_queries import _AUDIT_SELECT, _INVOICE_BASE, _INVOICE_VIEWS
 from ledgerflow.plans.chat_queries import PARSE_COMMANDS_SQL
 from ledgerflow.plans.registry import register
-from ledgerflow.session import work_dir
+from ledgerflow.session import materialize, work_dir
 from ledgerflow.sources.audit import AUDIT_COLUMNS
 
 
@@ -73,7 +73,9 @@ def stream_audit_rows(fx):
     spark = fx.spark
     root = work_dir(spark, "streams", uuid.uuid4().hex)
     feed, sink, ckpt = f"{root}/feed", f"{root}/audit", f"{root}/ckpt"
-    outcomes = ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"])
+    # The outcomes feed the stream in two time slices: fold them once, not once per slice.
+    outcomes = materialize(ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice",
+                                              fx["res_partner"]))
     schema = outcomes.schema
 
     def start():
