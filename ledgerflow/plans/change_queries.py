@@ -11,7 +11,7 @@ from ledgerflow.plans.registry import register
 from ledgerflow.session import materialize, work_dir
 from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, read_audit
 from ledgerflow.constants import COMPANIES
-from ledgerflow.sources.tables import allowed, load_tables
+from ledgerflow.sources.tables import load_tables
 
 
 @register("company_scan", ["sale_order"], """
@@ -31,12 +31,10 @@ SELECT * FROM sale_order WHERE db IN ('tln_db', 'ieg_db', 'tmi_db')
 def company_scan_union(fx):
     """O-01: one folder per company (no ``db`` column, as with a schema per company), read through
     ``load_tables``, tagged with the company and unioned by name."""
-    root = work_dir(fx.spark, "tables", uuid.uuid4().hex)
-    paths = []
-    for db in COMPANIES:
-        p = f"{root}/{db}/sale_order"
-        allowed(fx["sale_order"], [db]).drop("db").write.parquet(p)
-        paths.append(p)
+    root = work_dir(fx.spark, "tables", uuid.uuid4().hex, "sale_order")
+    # One write makes the per-company folders; read one by one they carry no db column.
+    fx["sale_order"].write.partitionBy("db").parquet(root)
+    paths = [f"{root}/db={db}" for db in COMPANIES]
     return load_tables(fx.spark, {"sale_order": paths})["sale_order"]
 
 
