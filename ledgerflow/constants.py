@@ -92,6 +92,9 @@ DEFAULT_TRANSITIONS: dict[str, dict[str, str]] = {
     "leave": {"approve": "approved", "reject": "rejected"},
 }
 
+# Actions that answer with a new state but leave the object as it is.
+UNCHANGED_BY: dict[str, tuple[str, ...]] = {"expense": ("reject",)}
+
 # Actions offered per object state.
 INVOICE_ACTIONABLE_STATES: tuple[str, ...] = ("draft",)
 INVOICE_VIEW_ONLY_STATES: tuple[str, ...] = ("posted", "cancel")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
     ACTION_PAST, APPROVAL_ACTIONS, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, SUMMARY_EXPENSE, SUMMARY_INVOICE, SUMMARY_LEAVE,
-    UNKNOWN_PARTNER,
+    UNCHANGED_BY, UNKNOWN_PARTNER,
 )
 from ledgerflow.operators.sequence import with_previous
 from ledgerflow.operators.topk import company_keys, lookup
@@ -196,10 +196,14 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
 
 
 def new_states(outcomes: DataFrame) -> DataFrame:
-    """State of each touched object after the batch (the last successful request wins).
+    """State of each touched object after the batch (the last successful request that
+    changes the object wins; an expense reject answers ``refused`` but changes nothing).
 
     ``max_by`` is an aggregate, so a hot object is combined per task first."""
-    ok = outcomes.filter(F.col("success") & F.col("new_state").isNotNull())
+    unchanged = F.lit(False)
+    for kind, actions in UNCHANGED_BY.items():
+        unchanged = unchanged | ((F.col("object_type") == kind) & F.col("action").isin(*actions))
+    ok = outcomes.filter(F.col("success") & F.col("new_state").isNotNull() & ~unchanged)
     return ok.groupBy("db", "object_type", "object_id").agg(
         F.max_by("new_state", F.struct(F.col("requested_at"), request_key(ok))).alias("state"),
         F.max("requested_at").alias("changed_at"),

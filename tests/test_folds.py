@@ -246,3 +246,14 @@ def test_unknown_actions_are_refused_and_do_not_affect_the_fold(spark):
     assert lv["L3"].state_before == "rejected"  # the refused request in between is not a step of the fold
     assert len(ap.audit_rows(ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), table, "invoice",
                                                 partners)).collect()) == 1
+
+
+def test_expense_reject_does_not_change_the_object(spark):
+    reqs = [("E1", "expense", "tln_db", 1, "approve", "u", None, None, None, T0),
+            ("E2", "expense", "tln_db", 1, "reject", "u", None, None, None, T0 + dt.timedelta(hours=1)),
+            ("E3", "expense", "tln_db", 2, "reject", "u", None, None, None, T0)]
+    table, _ = _objects(spark, "expense", {1: "draft", 2: "reported"})
+    out = ap.apply_approvals(spark.createDataFrame(reqs, REQ_SCHEMA), table, "expense")
+    assert {r.request_id: r.new_state for r in out.collect()} == {"E1": "approved", "E2": "refused", "E3": "refused"}
+    states = {r.object_id: r.state for r in ap.new_states(out).collect()}
+    assert states == {"1": "approved"}  # the rejects answered "refused" but left the expenses as they were
