@@ -38,3 +38,11 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_entry_schema_is_stable_and_names_are_plain(spark):
+    import re
+
+    assert se.entry(spark).schema == se.entry(spark).schema
+    assert all(re.fullmatch(r"[a-z][a-z0-9_]*", n) for n in QUERIES)
+    assert all(sql.lstrip().upper().startswith(("WITH", "SELECT")) for sql in ORACLES.values())
