@@ -20,6 +20,7 @@ _INVOICE_BASE = """
                coalesce(sum(CASE WHEN q.action = 'reject' THEN 1 ELSE 0 END) OVER w, 0) AS prior_rejects,
                coalesce(sum(CASE WHEN q.action = 'approve' THEN 1 ELSE 0 END) OVER w, 0) AS prior_approves
         FROM approval_request q LEFT JOIN obj m ON q.object_id = m.id AND q.db = m.db
+        WHERE q.action IN ('approve', 'reject')
         WINDOW w AS (PARTITION BY q.db, q.object_id ORDER BY q.requested_at, q.request_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   s AS (SELECT *, CASE WHEN mid IS NULL THEN NULL
@@ -41,7 +42,11 @@ _INVOICE_BASE = """
                     amount_residual := q.amount_residual, partner_id := q.partner_id, partner_name := q.partner_name,
                     invoice_date := CAST(q.invoice_date AS VARCHAR), invoice_date_due := CAST(q.invoice_date_due AS VARCHAR),
                     currency_id := q.currency_id)) AS VARCHAR) END AS object_data
-          FROM o q)"""
+          FROM o q
+          UNION ALL
+          SELECT """ + _REQ_COLS + """, 'invalid_request', false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+                 CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+          FROM approval_request q WHERE q.action IS NULL OR q.action NOT IN ('approve', 'reject'))"""
 
 _INVOICE_VIEWS = ["approval_request", "account_move", "res_partner"]
 
@@ -101,6 +106,7 @@ _EXPENSE_BASE = """
                m.employee_name, m.date AS e_date, m.description,
                coalesce(sum(CASE WHEN q.action = 'approve' THEN 1 ELSE 0 END) OVER w, 0) AS prior_approves
         FROM approval_request_expense q LEFT JOIN hr_expense m ON q.object_id = m.id AND q.db = m.db
+        WHERE q.action IN ('approve', 'reject')
         WINDOW w AS (PARTITION BY q.db, q.object_id ORDER BY q.requested_at, q.request_id
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   s AS (SELECT *, CASE WHEN mid IS NULL THEN NULL WHEN prior_approves > 0 THEN 'approved'
@@ -116,7 +122,11 @@ _EXPENSE_BASE = """
                     state := q.state_before, total_amount := q.total_amount, employee_id := q.employee_id,
                     employee_name := q.employee_name, date := CAST(q.e_date AS VARCHAR),
                     description := q.description)) AS VARCHAR) END AS object_data
-          FROM s q)"""
+          FROM s q
+          UNION ALL
+          SELECT """ + _REQ_COLS + """, 'invalid_request', false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+                 CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+          FROM approval_request_expense q WHERE q.action IS NULL OR q.action NOT IN ('approve', 'reject'))"""
 
 _EXPENSE_VIEWS = ["approval_request_expense", "hr_expense"]
 
@@ -141,7 +151,8 @@ _LEAVE_BASE = """
 , r AS (SELECT q.*, m.state AS initial_state, m.id AS mid, m.display_name AS l_name, m.employee_id, m.employee_name,
                m.date_from, m.date_to, m.number_of_days, m.holiday_status_name,
                lag(q.action) OVER (PARTITION BY q.db, q.object_id ORDER BY q.requested_at, q.request_id) AS prev_action
-        FROM approval_request_leave q LEFT JOIN hr_leave m ON q.object_id = m.id AND q.db = m.db),
+        FROM approval_request_leave q LEFT JOIN hr_leave m ON q.object_id = m.id AND q.db = m.db
+        WHERE q.action IN ('approve', 'reject')),
   s AS (SELECT *, CASE WHEN mid IS NULL THEN NULL WHEN prev_action = 'approve' THEN 'approved'
                        WHEN prev_action = 'reject' THEN 'rejected' ELSE initial_state END AS state_before,
                CASE WHEN mid IS NULL THEN 'not_found' ELSE 'success' END AS outcome FROM r),
@@ -155,7 +166,11 @@ _LEAVE_BASE = """
                     state := q.state_before, employee_id := q.employee_id, employee_name := q.employee_name,
                     date_from := CAST(q.date_from AS VARCHAR), date_to := CAST(q.date_to AS VARCHAR),
                     number_of_days := q.number_of_days, holiday_status_name := q.holiday_status_name)) AS VARCHAR) END AS object_data
-          FROM s q)"""
+          FROM s q
+          UNION ALL
+          SELECT """ + _REQ_COLS + """, 'invalid_request', false, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR),
+                 CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR)
+          FROM approval_request_leave q WHERE q.action IS NULL OR q.action NOT IN ('approve', 'reject'))"""
 
 _LEAVE_VIEWS = ["approval_request_leave", "hr_leave"]
 
