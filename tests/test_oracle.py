@@ -14,12 +14,12 @@ from oracle_check import digest  # noqa: E402
 
 from conftest import SMOKE_DIR  # noqa: E402
 
-QUERIES = se.queries()
 ORACLES = se.oracle_sql()
+QUERIES = {n: q for n, q in se.queries().items() if n in se.catalog.REGISTRY}  # tests/llm has the other ones
 
 
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 def test_entry_runs(spark):
