@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,17 +12,24 @@ from ledgerflow.session import work_dir
 
 #: Bytes of one Arrow batch sent to a Python task (long texts then make short batches).
 BATCH_BYTES = 16 << 20
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session by bytes, so that batches of long texts stay small."""
+def python_tasks(spark: SparkSession) -> None:
+    """Prepare a session for Python tasks.
+
+    Arrow batches are bounded by bytes, so that batches of long texts stay small, and workers get the
+    folder of this library on their path (where it is not installed on them already)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, str(2**31 - 1)).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, [env.get("PYTHONPATH")])])
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

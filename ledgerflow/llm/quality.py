@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import bounded_batches
+from ledgerflow.llm.common import python_tasks
 from ledgerflow.llm.text import U64, Words, inside, mix, ngrams, pieces, utf8
 
 #: log2 of the number of hash buckets. The model is two counts per bucket, whatever the corpus.
@@ -119,7 +119,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     Without any trusted text every ratio is 0 and only the base rules decide.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_tasks(spark)
     good = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_good")).dropna().distinct()
     marked = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
               .join(good, F.col("_id") == F.col("_good"), "left")

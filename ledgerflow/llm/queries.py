@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import quality
+from ledgerflow.llm import bpe, minhash, quality, secrets
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,24 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hashed n-gram log-likelihood ratio against the labelled good documents, with the base rules."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs, trusted(spark, sf_dir)).select("doc_id", "quality.*")
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern and sliding-window entropy spans of every document."""
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
+@query
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level BPE ids of every document and the bytes decoded from them, as hashes."""
+    import public_tokenizers
+
+    return bpe.round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN)
+
+
+@query
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 3-word shingles, similarity of 85 per cent or more."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
