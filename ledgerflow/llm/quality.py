@@ -121,8 +121,9 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     spark = docs.sparkSession
     python_tasks(spark)
     good = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_good")).dropna().distinct()
+    # The trusted ids grow with the corpus, so they are never broadcast: one plan at every size.
     marked = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-              .join(good, F.col("_id") == F.col("_good"), "left")
+              .join(good.hint("merge"), F.col("_id") == F.col("_good"), "left")
               .select("_text", F.col("_good").isNotNull().alias("_trusted")))
     weights = spark.sparkContext.broadcast(log_ratios(ngram_counts(marked, "_text", "_trusted", bits), bits))
     names = [f.name for f in docs.schema.fields]
