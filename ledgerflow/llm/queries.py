@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, minhash, quality, secrets
+from ledgerflow.llm import bpe, hnsw, interpolation, minhash, quality, secrets, substrings
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 3-word shingles, similarity of 85 per cent or more."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without the 13-word windows that a smaller doc_id has too."""
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+@query
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram deleted-interpolation score of every document, beside the add-0.1 unigram score."""
+    return interpolation.score_texts(read(spark, sf_dir, "documents"))
+
+
+@query
+def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
