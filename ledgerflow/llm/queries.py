@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, hnsw, interpolation, minhash, quality, secrets, substrings
+from ledgerflow.llm import bpe, hnsw, interpolation, minhash, quality, secrets, substrings, toxicity
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,9 @@ def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every vector whose id is divisible by 50."""
     return hnsw.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a classifier trained on the label model's posterior labels."""
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

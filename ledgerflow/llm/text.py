@@ -30,9 +30,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 #: A random-looking value per byte; the second table treats A-Z as a-z.
-_BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
+LOWER = BYTE.copy()
+LOWER[65:91] = BYTE[97:123]
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -67,8 +67,8 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of the rows of a batch: ``starts``/``ends`` in ``data``, ``first[i]:first[i+1]`` are row i's words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
-        space = SPACE[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, separators: np.ndarray = SPACE):
+        space = separators[data]
         before = np.empty(len(data), bool)
         before[:1] = True
         before[1:] = space[:-1]
@@ -83,11 +83,13 @@ class Words:
         self.first = np.searchsorted(self.starts, offsets)
         self._space, self._lower = space, lower
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash per word: a polynomial of its bytes, independent of its place."""
+    def hashes(self, values: np.ndarray | None = None) -> np.ndarray:
+        """One 64-bit hash per word: a polynomial of its bytes' values, independent of its place."""
         n = len(self.data)
         total = np.zeros(n + 1, U64)
-        np.cumsum((_LOWER if self._lower else _BYTE)[self.data] * powers(_ODD, n), out=total[1:])
+        if values is None:
+            values = LOWER if self._lower else BYTE
+        np.cumsum(values[self.data] * powers(_ODD, n), out=total[1:])
         h = (total[self.ends] - total[self.starts]) * powers(_INV, max(n, 1))[self.starts]
         return mix(h + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
@@ -134,3 +136,9 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, max_bytes: int = 2 << 2
             to = max(at + 1, int(np.searchsorted(off, off[at] + max_bytes, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    """The lower-case hashes that ``Words`` gives these words."""
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    return Words(data, np.array([0, len(data)]), lower=True).hashes()
