@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, hnsw, interpolation, minhash, quality, secrets, substrings, toxicity
+from ledgerflow.llm import bpe, hnsw, interpolation, minhash, mixing, quality, secrets, substrings, toxicity
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,9 @@ def op8_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, by a classifier trained on the label model's posterior labels."""
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in Pfair order, sources weighted by the square root of their sizes."""
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
