@@ -1,11 +1,67 @@
-"""Corpus pipeline (being filled stage by stage)."""
+"""The corpus pipeline: five stages over ``documents``, each a training-data operator.
 
+A stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again
+as the next stage's ``docs``. All but the last keep the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ledgerflow.llm import bpe, minhash, mixing, quality, secrets
+from ledgerflow.llm.common import read
+from ledgerflow.session import work_dir
+
+#: SQL cannot express the stages (trained statistics, hashes, a schedule, merges): tests/llm checks each
+#: against a brute-force version.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the likelihood-ratio threshold. The trusted text is that of the
+    labelled good documents."""
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality.kept_documents(docs, trusted)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates: five-word shingles, 80 per cent."""
+    return minhash.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked and ``n_chars`` brought up to date."""
+    return secrets.mask_secrets(docs)
+
+
+def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture (sources weighted by the square root of their sizes)."""
+    return mixing.in_mixed_order(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, valid) of every document."""
+    import public_tokenizers
+
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", mixing_order),
+    ("byte-level BPE encoding and decoding", byte_bpe),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written in the shared work folder and read again."""
+    docs = read(spark, sf_dir, "documents")
+    folder = work_dir(spark, "llm", f"pipeline-{uuid.uuid4().hex}")
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, hnsw, interpolation, minhash, mixing, quality, secrets, substrings, toxicity
+from ledgerflow.llm import bpe, hnsw, interpolation, minhash, mixing, quality, rendering, secrets, substrings, toxicity
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in Pfair order, sources weighted by the square root of their sizes."""
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return rendering.extract_text(read(spark, sf_dir, "pages"))
