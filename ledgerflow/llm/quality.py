@@ -2,8 +2,11 @@
 
 Two multinomials over hashed word n-grams (1 and 2 words) are counted over whole tables:
 one over trusted documents, one over all documents. A document's score is the sum of the
-log ratio of its n-grams, divided by their number. Documents under a fixed threshold are
-rejected, as are those that fail the base rules. Nothing depends on partitioning or order.
+log ratio of its n-grams, divided by their number. Documents under a threshold are
+rejected, as are those that fail the base rules. The threshold is taken from the scores of
+a half of the trusted documents that the counts leave out: how far text that is known to
+be good falls below zero just because its words are rare depends on the size of the
+corpus. Nothing depends on partitioning or order.
 """
 
 from __future__ import annotations
@@ -15,15 +18,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import python_tasks
+from ledgerflow.llm.common import fold, python_tasks
 from ledgerflow.llm.text import U64, Words, inside, mix, ngrams, pieces, utf8
 
 #: log2 of the number of hash buckets. The model is two counts per bucket, whatever the corpus.
 BUCKET_BITS = 17
-#: Documents whose mean log ratio per n-gram is under this are rejected.
-THRESHOLD = -0.15
 #: Added to every bucket count, as a share of the mean count of a bucket.
-SMOOTHING = 0.1
+SMOOTHING = 1.0
+#: The threshold lies so far (nats per n-gram) below the score that this share of the trusted documents
+#: left out of the counts does not reach.
+MARGIN, UNREACHED = 0.05, 0.001
+#: Scores are ranked on a grid of this width.
+GRID = 1e-4
 
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -109,8 +115,48 @@ def duplicate_lines(text: str | None) -> int:
     return len(lines) - len(set(lines))
 
 
+def _score(part: pa.RecordBatch, at: int, weights: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Columns n_words .. llr of the rows of a batch."""
+    words = Words(*utf8(part.column(at)), lower=True)
+    exact = Words(words.data, words.offsets, lower=False)
+    rows = part.num_rows
+    bucket, row = features(words, bits)
+    n = np.bincount(row, minlength=rows)
+    llr = np.bincount(row, weights=weights[bucket], minlength=rows) / np.maximum(n, 1)
+    n_words = np.diff(words.first)
+    repeat = repeated_words(exact, REPEAT_WINDOW)
+    failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
+    lines = np.array([duplicate_lines(t) for t in part.column(at).to_pylist()], np.int64)
+    return [n_words, words.code_points(), words.count(_SYMBOL[words.data]), lines, repeat, failed, llr]
+
+
+_SYMBOL = np.zeros(256, bool)
+_SYMBOL[list(SYMBOLS)] = True
+
+
+def _threshold(docs: DataFrame, left_out: DataFrame, weights, bits: int) -> float:
+    """The score under which documents are rejected, from trusted documents that the counts leave out."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 1):
+            *_, failed, llr = _score(part, 1, weights.value, bits)
+            yield pa.record_batch([part.column(0), pa.array(failed), pa.array(np.floor(llr / GRID).astype(np.int64))],
+                                  names=["_id", "failed", "cell"])
+
+    scores = docs.mapInArrow(score, "_id long, failed boolean, cell long").where("not failed").select("_id", "cell")
+    # A row per grid cell: log ratios of smoothed counts lie within some tens of nats.
+    cells = sorted(tuple(r) for r in scores.join(left_out.hint("merge"), F.col("_id") == F.col("_good"), "left_semi")
+                   .groupBy("cell").count().collect())
+    passed = int(UNREACHED * sum(n for _, n in cells))
+    for cell, n in cells:
+        if passed < n:
+            return cell * GRID - MARGIN
+        passed -= n
+    return -np.inf
+
+
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  bits: int = BUCKET_BITS, threshold: float = THRESHOLD) -> DataFrame:
+                  bits: int = BUCKET_BITS) -> DataFrame:
     """Every column of ``docs`` plus one struct column ``quality`` (the fields of ``SCORED``), one row per row.
 
     ``trusted_ids`` (one column, ids of trusted documents; repeats and nulls are ignored) marks the
@@ -120,43 +166,34 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     python_tasks(spark)
-    good = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_good")).dropna().distinct()
+    good = (trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_good")).dropna().distinct()
+            .withColumn("_counted", fold(F.col("_good"), 2) == 0))
+    plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The trusted ids grow with the corpus, so they are never broadcast: one plan at every size.
-    marked = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-              .join(good.hint("merge"), F.col("_id") == F.col("_good"), "left")
+    counted = good.where("_counted").hint("merge")
+    marked = (plain.join(counted, F.col("_id") == F.col("_good"), "left")
               .select("_text", F.col("_good").isNotNull().alias("_trusted")))
     weights = spark.sparkContext.broadcast(log_ratios(ngram_counts(marked, "_text", "_trusted", bits), bits))
+    threshold = _threshold(plain, good.where("not _counted").select("_good"), weights, bits)
     names = [f.name for f in docs.schema.fields]
     at = names.index(text_col)
     types = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
                        ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()),
                        ("llr", pa.float64()), ("kept", pa.bool_())])
-    symbol = np.zeros(256, bool)
-    symbol[list(SYMBOLS)] = True
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, at):
-            words = Words(*utf8(part.column(at)), lower=True)
-            exact = Words(words.data, words.offsets, lower=False)
-            rows = part.num_rows
-            bucket, row = features(words, bits)
-            n = np.bincount(row, minlength=rows)
-            llr = np.bincount(row, weights=weights.value[bucket], minlength=rows) / np.maximum(n, 1)
-            n_words = np.diff(words.first)
-            repeat = repeated_words(exact, REPEAT_WINDOW)
-            failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-            lines = [duplicate_lines(t) for t in part.column(at).to_pylist()]
-            columns = [n_words, words.code_points(), words.count(symbol[words.data]), lines, repeat, failed, llr,
-                       ~failed & (llr >= threshold)]
+            *base, failed, llr = _score(part, at, weights.value, bits)
+            columns = [*base, failed, llr, ~failed & (llr >= threshold)]
             q = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)],
                                            fields=list(types))
             yield pa.record_batch([*part.columns, q], names=[*out_names, "quality"])
 
     # Positions, not names, carry the columns through Python, so clashing names cannot be confused.
     out_names = [f"c{i}" for i in range(len(names))]
-    plain = docs.toDF(*out_names)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    scored = plain.mapInArrow(score, f"{schema}, quality struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
+    scored = docs.toDF(*out_names).mapInArrow(
+        score, f"{schema}, quality struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     return scored.toDF(*names, "quality")
 
 
