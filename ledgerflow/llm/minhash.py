@@ -128,7 +128,6 @@ def connect(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
     ``side``: 0 or 1 per set. Where both occur, only pairs from different sides are compared."""
     sizes = np.array([len(s) for s in sets])
     maps = _bitmaps(sets)
-    parent = list(range(len(ids)))
     root = np.arange(len(ids))
     both = side.any() and not side.all()
     links = []
@@ -152,7 +151,6 @@ def connect(ids: list[int], sets: list[np.ndarray], side: np.ndarray, percent: i
                 links.append((ids[x], ids[y]))
                 a, b = sorted((root[x], root[y]))
                 root[root == b] = a
-    del parent
     return links
 
 
@@ -166,8 +164,9 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     placed = members.join(sizes, "comp").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     # A class takes part in every pair of blocks that its block is in; one block is a pair with itself.
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    texts = docs.join(members.select("id", F.col("f1").alias("g1"), F.col("f2").alias("g2")),
-                      F.col("doc_id") == F.col("id")).select("id", "text", "g1", "g2")
+    # The members grow with the corpus, so they are never broadcast: one plan at every size.
+    texts = docs.join(members.select("id", F.col("f1").alias("g1")).hint("merge"),
+                      F.col("doc_id") == F.col("id")).select("id", "text", "g1")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
