@@ -6,9 +6,11 @@ the merges turn the bytes of s + t into s, t again. So the encoding of a text is
 the last token at a position is the one token that ends there, starts at an earlier
 position and is joinable with the last token there. The transducer reads a byte at a
 time. Its state holds the positions at which a token that is still growing may start,
-with the paths that lead to them (a nondeterministic set, made one deterministic state).
-Whatever all these paths share is emitted, which happens at most one longest token after
-a byte was read. States and transitions are made when first needed and kept.
+each as the place in the token trie that its growing token has reached and the last token
+before it (a nondeterministic set, made one deterministic state). A move yields the last
+token at the new position. The tokens up to the position that the paths to all live
+positions share are certain and emitted; no live position is further back than the longest
+token. States and moves are made when first needed and kept.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from ledgerflow.llm.common import python_tasks
 from ledgerflow.llm.text import pieces
 
 #: Bounds of what a worker keeps between rows; beyond them it starts afresh.
-MAX_STATES = 100_000
-MAX_PIECES = 250_000
+MAX_STATES = 200_000
+MAX_PIECES = 400_000
 MAX_KEPT_PIECE = 64
 
 
@@ -51,29 +53,46 @@ def merge(data: bytes, ranks: dict[bytes, int], stop: int = 1) -> list[bytes]:
 class Transducer:
     """The lazily determinised transducer of one rank table.
 
-    A state is a tuple of live positions, oldest first. Each is (tail, tokens): the bytes
-    read since that position and the tokens not emitted yet on the path to it, preceded by
-    the last emitted one (None at the start). The newest position has an empty tail. States
-    are numbered as they are met; ``moves[state]`` maps a byte to (state, emitted tokens)."""
+    A state is a flat tuple of live positions, oldest first: trie node, last token (-1 at the
+    start of a text) and so on. The newest position is at the root, node 0. States are numbered
+    as they are met; ``moves`` maps state * 256 + byte to state * 2**20 + last token at the new position."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
+        self.child: dict[int, int] = {}  # node * 256 + byte -> node
+        self.rank: list[int] = [-1]  # token that ends at a node, or -1
+        self.grows: list[bool] = [True]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.longest = max(map(len, ranks), default=1)
-        growing = {t[:i] for t in ranks for i in range(1, len(t))}
-        #: Every token and every beginning of one: its rank (None: no token) and whether it can grow.
-        self.strings = {t: (ranks.get(t), t in growing) for t in growing | ranks.keys()}
+            node = 0
+            for byte in token:
+                self.grows[node] = True
+                key = node * 256 + byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.rank)
+                    self.rank.append(-1)
+                    self.grows.append(False)
+                    self.depth.append(self.depth[key >> 8] + 1)
+            self.rank[node] = rank
+        self.length = [len(t) for t in self.tokens]
+        self.longest = max(self.length, default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
+        self.numbers: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        start = ((b"", (None,)),)
-        self.numbers: dict[tuple, int] = {start: 0}
-        self.states: list[tuple] = [start]
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        """Forget all states and moves but the start."""
+        start = (0, -1)
+        self.numbers.clear()
+        self.numbers[start] = 0
+        self.states[:] = [start]
+        self.moves.clear()
 
     def last_merge(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two parts that the last merge of a token joins; None for a byte, or where merges end elsewhere."""
@@ -82,8 +101,8 @@ class Transducer:
             self.halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self.halves[token]
 
-    def joinable(self, s: int | None, t: int) -> bool:
-        """Do the merges leave token t as it is at the start of a text (s None), or after token s?
+    def joinable(self, s: int, t: int) -> bool:
+        """Do the merges leave token t as it is at the start of a text (s -1), or after token s?
 
         Undo the merges inside both tokens from the latest to the earliest. If, before one of
         them was made, the parts on either side of the border would merge earlier, they join."""
@@ -93,10 +112,10 @@ class Transducer:
             return known
         if len(self.pairs) > 4 * MAX_STATES:
             self.pairs.clear()
-        if s is None:
+        if s < 0:
             self.pairs[key] = merge(self.tokens[t], self.ranks) == [self.tokens[t]]
             return self.pairs[key]
-        ok = self.joinable(None, t)
+        ok = self.joinable(-1, t)
         left, right = self.tokens[s], self.tokens[t]
         before = (1 << 60, 0)  # merges made before this moment: (rank, side); at one rank the left side goes first
         ranks = self.ranks
@@ -116,58 +135,99 @@ class Transducer:
         self.pairs[key] = ok
         return ok
 
-    def step(self, state: tuple, byte: bytes) -> tuple[tuple, tuple[int, ...]]:
-        """State after one more byte, and the tokens that are certain now."""
-        live, found, emitted_ends = [], None, False
-        strings, pairs = self.strings, self.pairs
-        for tail, path in state:
-            grown = tail + byte
-            known = strings.get(grown)
-            if known is None:
+    def step(self, state: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """State after one more byte, and the last token at the new position."""
+        live: list[int] = []
+        found = -1
+        child, rank, grows, pairs = self.child, self.rank, self.grows, self.pairs
+        for i in range(0, len(state), 2):
+            node = child.get(state[i] * 256 + byte)
+            if node is None:
                 continue
-            rank, growing = known
-            if found is None and rank is not None:
-                ok = pairs.get((path[-1], rank))
-                if ok or ok is None and self.joinable(path[-1], rank):
-                    found = path + (rank,)
-            if growing:
-                live.append((grown, path))
-                if len(path) == 1:
-                    emitted_ends = True
-        if found is None:
-            raise ValueError(f"no token for byte {byte!r}")
-        live.append((b"", found))
-        if emitted_ends:  # a live position right after what was emitted: nothing more is certain
-            return tuple(live), ()
-        shared, shortest = 0, min([len(p) for _, p in live])
-        while shared + 1 < shortest and all([p[shared + 1] == found[shared + 1] for _, p in live]):
-            shared += 1
-        return tuple([(tail, p[shared:]) for tail, p in live]), found[1:shared + 1]
+            before, token = state[i + 1], rank[node]
+            if found < 0 <= token:
+                ok = pairs.get((before, token))
+                if ok or ok is None and self.joinable(before, token):
+                    found = token
+            if grows[node]:
+                live += (node, before)
+        if found < 0:
+            raise ValueError(f"no token for byte {byte}")
+        live += (0, found)
+        return tuple(live), found
+
+    def move(self, at: int, byte: int) -> int:
+        """A move that is not known yet. Tables that have grown too large are emptied first."""
+        state, found = self.step(self.states[at], byte)
+        number = self.numbers.get(state)
+        if number is None:
+            if len(self.states) >= MAX_STATES:
+                self.clear()
+                at = -1
+            number = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        move = number << 20 | found
+        if at >= 0:
+            self.moves[at << 8 | byte] = move
+        return move
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
-        if len(self.states) > MAX_STATES:
-            self.clear()
-        at, out, moves = 0, [], self.moves
-        for i, byte in enumerate(data):
-            move = moves[at].get(byte)
+        if len(data) > 4 * self.longest:
+            stream = Stream(self)
+            return [t for i in range(0, len(data), self.longest) for t in stream.feed(data[i:i + self.longest])] \
+                + stream.finish()
+        at, last, known = 0, [], self.moves.get
+        for byte in data:
+            move = known(at << 8 | byte)
             if move is None:
-                state, certain = self.step(self.states[at], data[i:i + 1])
-                number = self.numbers.get(state)
-                if number is None:
-                    if len(self.states) > 2 * MAX_STATES:  # inside one very long piece
-                        self.clear()
-                        moves = self.moves
-                        at = None
-                    number = self.numbers[state] = len(self.states)
-                    self.states.append(state)
-                    moves.append({})
-                move = number, certain
-                if at is not None:
-                    moves[at][byte] = move
-            at = move[0]
-            out.extend(move[1])
-        out.extend(self.states[at][-1][1][1:])  # the path to the last position
+                move = self.move(at, byte)
+            at = move >> 20
+            last.append(move & 0xFFFFF)
+        return self.path(last, 0, len(last))
+
+    def path(self, last: list[int], start: int, end: int) -> list[int]:
+        """Tokens from one position to another, given the last token at each."""
+        out = []
+        length = self.length
+        while end > start:
+            token = last[end - 1]
+            out.append(token)
+            end -= length[token]
+        out.reverse()
+        return out
+
+
+class Stream:
+    """Encodes one piece that arrives in portions; holds the bytes of the lookahead only."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.at = machine, 0
+        self.last: list[int] = []  # last tokens at the positions after the last certain one
+
+    def feed(self, data: bytes) -> list[int]:
+        """Tokens that have become certain."""
+        m = self.machine
+        for byte in data:
+            move = m.moves.get(self.at << 8 | byte)
+            if move is None:
+                move = m.move(self.at, byte)
+            self.at = move >> 20
+            self.last.append(move & 0xFFFFF)
+        ends = {len(self.last) - m.depth[node] for node in m.states[self.at][::2]}
+        while len(ends) > 1:  # the position that the paths to all live positions share
+            far = max(ends)
+            ends.remove(far)
+            ends.add(far - m.length[self.last[far - 1]])
+        shared = ends.pop()
+        out = m.path(self.last, 0, shared)
+        del self.last[:shared]
+        return out
+
+    def finish(self) -> list[int]:
+        """The rest."""
+        out = self.machine.path(self.last, 0, len(self.last))
+        self.at, self.last = 0, []
         return out
 
 

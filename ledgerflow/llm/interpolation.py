@@ -141,7 +141,7 @@ class Estimates:
         t = self.tokens
         p = np.zeros((len(self.count) + 1, len(t.row)))
         p[0] = 1 / (sizes["types"] + 1)
-        p[1] = self.count[0] / max(1, sizes["tokens"])
+        p[1] = self.count[0] / sizes["tokens"] if sizes["tokens"] else p[0]
         kind = np.zeros(len(t.row), np.int64)
         for n in range(1, len(self.count)):
             context = np.empty(len(t.row), np.int64)
