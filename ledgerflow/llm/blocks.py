@@ -56,6 +56,12 @@ def deltas(sorted_keys: np.ndarray) -> np.ndarray:
     return np.diff(sorted_keys, prepend=sorted_keys.dtype.type(0))
 
 
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of each run of equal values (none of them -1)."""
+    first = np.flatnonzero(np.diff(values, prepend=-1))
+    return zip(first, [*first[1:], len(values)] if len(first) else (), strict=True)
+
+
 class Block:
     """ids (and which are null), the UTF-8 bytes of all texts, and where each text begins."""
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.blocks import Block, deltas, exchange, grouped, pack, to_blocks, unpack
+from ledgerflow.llm.blocks import Block, deltas, exchange, grouped, pack, runs, to_blocks, unpack
 from ledgerflow.llm.common import documents, fold, partitions_for, stored
 from ledgerflow.llm.text import U64, Words, mix
 
@@ -76,8 +76,7 @@ def _send(batches: Iterator[pa.RecordBatch], order: int, buckets: int) -> Iterat
                     count[:] = 0
                 bucket = (key % U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
-                cut = np.flatnonzero(np.diff(bucket[by], prepend=-1))
-                for a, b in zip(cut, np.append(cut[1:], len(by)), strict=True):
+                for a, b in runs(bucket[by]):
                     some = by[a:b]
                     yield pa.record_batch([
                         pa.array([n * buckets + int(bucket[some[0]])]), pa.array([number]), pa.array([kind], pa.int32()),

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.blocks import Block, exchange, grouped, pack, to_blocks, unpack
+from ledgerflow.llm.blocks import Block, exchange, grouped, pack, runs, to_blocks, unpack
 from ledgerflow.llm.common import documents, partitions_for
 from ledgerflow.llm.text import U64, Words, inside, mix, ngrams, powers
 
@@ -103,8 +103,7 @@ def _send(batches: Iterator[pa.RecordBatch], window: int, k: int, buckets: int)
             e = Entries(Block(payload), window, k)
             bucket = (mix(e.minimiser) % U64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            for a, b in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            for a, b in runs(bucket[order]):
                 some = order[a:b]
                 strings = [e.strings[i] for i in some.tolist()]
                 lengths = np.fromiter(map(len, strings), np.int32, len(strings))
@@ -164,8 +163,7 @@ def _meet(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
         n = np.diff(np.append(s, len(hit)))
         r, p, d = r[s], p[s], d[s]
         of = block[r]
-        cut = np.flatnonzero(np.diff(of, prepend=-1))
-        for a, b in zip(cut, np.append(cut[1:], len(of)), strict=True):
+        for a, b in runs(of):
             yield pa.record_batch([pa.array([rows[of[a]][1]]), pa.array([0], pa.int32()), pa.array([pack(
                 entry[r[a:b]].astype(np.int32), p[a:b].astype(np.int32), n[a:b].astype(np.int32), d[a:b])],
                 pa.binary())], names=["block", "part", "payload"])
