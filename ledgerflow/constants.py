@@ -102,3 +102,8 @@ EXPENSE_ACTIONABLE_STATES: tuple[str, ...] = ("draft", "reported")
 LEAVE_ACTIONABLE_STATES: tuple[str, ...] = ("confirm",)
 FULL_ACTIONS: tuple[str, ...] = ("approve", "reject", "view")
 VIEW_ACTIONS: tuple[str, ...] = ("view",)
+
+# Refusal messages of approval requests (fixed text)
+MESSAGE_NOT_FOUND = "{kind} {id} not found"
+MESSAGE_ALREADY_APPROVED = "{kind} {id} is already approved"
+MESSAGE_INVALID_STATE = "{kind} {id} cannot be approved in state {state}"

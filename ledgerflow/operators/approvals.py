@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
     ACTION_PAST, APPROVAL_ACTIONS, DEFAULT_SOURCE, DEFAULT_TRANSITIONS, DRAFT, POSTED, SUMMARY_EXPENSE, SUMMARY_INVOICE, SUMMARY_LEAVE,
-    UNCHANGED_BY, UNKNOWN_PARTNER,
+    MESSAGE_ALREADY_APPROVED, MESSAGE_INVALID_STATE, MESSAGE_NOT_FOUND, UNCHANGED_BY, UNKNOWN_PARTNER,
 )
 from ledgerflow.operators.sequence import with_previous
 from ledgerflow.operators.topk import company_keys, lookup
@@ -42,7 +42,7 @@ REQUEST_COLUMNS = ("request_id", "object_type", "db", "object_id", "action", "ac
 def invoice_objects(moves: DataFrame, partners: DataFrame | None = None) -> DataFrame:
     m = moves
     if partners is not None:
-        m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name"}, False)
+        m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name"}, None)
     elif "partner_name" not in m.columns:
         m = m.withColumn("partner_name", F.lit(None).cast("string"))
     return m.select(
@@ -93,20 +93,29 @@ def touched_objects(table: DataFrame, keys: DataFrame, kind: str, partners: Data
     return SHAPERS[kind](named, partners)
 
 
-def request_key(df: DataFrame) -> Column:
-    """Identity of a request: its ``request_id`` when given, else a hash of its content
-    (company, object, action, actor, time), so requests without ids are never merged."""
-    content = F.concat_ws("|", F.col("db"), F.col("object_id").cast("string"), F.col("action"),
-                          F.coalesce(F.col("actor"), F.lit("")),
-                          F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return F.coalesce(F.col("request_id"), F.concat(F.lit("~"), F.sha2(content, 256)))
+def request_key(df: DataFrame, kind: str | None = None) -> Column:
+    """Identity of a request: a hash of company, object type (``kind``, else the column), object, action,
+    actor, time and ``request_id``. The id alone is a tracing field: one id may come with several objects."""
+    parts = [F.col("db"), F.lit(kind) if kind else F.col("object_type"), F.col("object_id").cast("string"),
+             F.col("action"), F.col("actor"), F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+             F.col("request_id")]
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)
+
+
+def distinct_requests(requests: DataFrame, kind: str) -> DataFrame:
+    """Requests with their identity ``_rk``, repeats of one identity merged (the smallest of the other fields)."""
+    identity = ["request_id", "db", "object_id", "action", "actor", "requested_at"]
+    other = [c for c in REQUEST_COLUMNS if c not in identity]
+    one = requests.groupBy(*identity).agg(F.min(F.struct(*other)).alias("_other"))
+    one = one.select(*identity, *[F.col(f"_other.{c}").alias(c) for c in other])
+    return one.select(*REQUEST_COLUMNS, request_key(one, kind).alias("_rk"))
 
 
 # --- the fold ----------------------------------------------------------------------------------
 
 def _order_key() -> Column:
-    # Request time, then the request key (never null) as a total tie-break.
-    return F.struct(F.col("requested_at"), F.col("_rk"))
+    # Request time (none: first), then id and identity, which make the order total.
+    return F.struct(F.col("requested_at"), F.coalesce(F.col("request_id"), F.lit("")), F.col("_rk"))
 
 
 def _firsts(req: DataFrame) -> DataFrame:
@@ -117,18 +126,29 @@ def _firsts(req: DataFrame) -> DataFrame:
     )
 
 
+def transitions_of(kind: str, transitions: Mapping[str, Mapping[str, str]] | None) -> dict[str, str]:
+    """New state per action: the defaults with the given ones put over them, action by action."""
+    if kind not in DEFAULT_TRANSITIONS:
+        raise ValueError(f"unknown object kind {kind!r}")
+    given = dict((transitions or {}).get(kind, {}))
+    unknown = set(given) - set(APPROVAL_ACTIONS)
+    if unknown:
+        raise ValueError(f"unknown actions in transitions: {sorted(unknown)}")
+    out = {**DEFAULT_TRANSITIONS[kind], **given}
+    if kind == "invoice" and out["reject"] == DRAFT:
+        raise ValueError("an invoice that is rejected must leave draft")
+    return out
+
+
 def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners: DataFrame | None = None,
                     transitions: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
     """Outcome of every request in a batch, in request order per object.
 
     ``table`` is the object table (``account_move`` / ``hr_expense`` /
     ``hr_leave``); ``partners`` names invoice partners; ``transitions`` maps
-    kind -> action -> new state."""
-    trans = dict(DEFAULT_TRANSITIONS)
-    trans.update({k: dict(v) for k, v in (transitions or {}).items()})
-    t = trans[kind]
-    allreq = requests.select(*REQUEST_COLUMNS)
-    allreq = allreq.withColumn("_rk", request_key(allreq))
+    kind -> action -> new state. Repeats of one request (see ``request_key``) have one outcome."""
+    t = transitions_of(kind, transitions)
+    allreq = distinct_requests(requests, kind)
     # A request whose action is not approve/reject is refused at validation: it gets
     # its own outcome and is invisible to the fold of the valid ones.
     valid = F.coalesce(F.col("action").isin(*APPROVAL_ACTIONS), F.lit(False))
@@ -153,7 +173,8 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
         else:
             before = F.when(approved_before, F.lit(t["approve"])).otherwise(F.col("state"))
     elif kind == "leave":
-        seq = with_previous(req, ["db", "object_id"], ["requested_at", "_rk"], {"action": "_prev_action"})
+        seq = with_previous(req.withColumn("_id", F.coalesce("request_id", F.lit(""))), ["db", "object_id"], ["requested_at", "_id", "_rk"],
+                            {"action": "_prev_action"})
         keys = req.select("db", "object_id").distinct()
         j = seq.join(touched_objects(table, keys, kind, partners), ["db", "object_id"], "left")
         before = (F.when(F.col("_prev_action") == "approve", F.lit(t["approve"]))
@@ -205,7 +226,8 @@ def new_states(outcomes: DataFrame) -> DataFrame:
         unchanged = unchanged | ((F.col("object_type") == kind) & F.col("action").isin(*actions))
     ok = outcomes.filter(F.col("success") & F.col("new_state").isNotNull() & ~unchanged)
     return ok.groupBy("db", "object_type", "object_id").agg(
-        F.max_by("new_state", F.struct(F.col("requested_at"), request_key(ok))).alias("state"),
+        F.max_by("new_state", F.struct(F.col("requested_at"), F.coalesce("request_id", F.lit("")),
+                                       request_key(ok))).alias("state"),
         F.max("requested_at").alias("changed_at"),
     )
 
@@ -215,30 +237,46 @@ def audit_rows(outcomes: DataFrame, kind: str | None = None) -> DataFrame:
     """Audit log rows for successful requests, in the audit table layout.
 
     ``metadata`` carries ``{"reason": ...}`` for invoices with a reason and is
-    NULL otherwise; ``id`` is a content key (request, object, action, actor, time)
-    that also guards against replays."""
+    NULL otherwise; ``id`` is the request's identity, which also guards against replays."""
     ok = outcomes.filter(F.col("success"))
-    kind_col = F.col("object_type")
-    meta = F.when((kind_col == "invoice") & F.col("reason").isNotNull() & (F.col("reason") != ""),
+    meta = F.when((F.col("object_type") == "invoice") & F.col("reason").isNotNull() & (F.col("reason") != ""),
                   F.to_json(F.struct(F.col("reason").alias("reason"))))
-    # Content key: request id (optional in requests), object, action, actor and request time
-    # (formatted, so the key does not depend on the session zone).
-    key = F.concat_ws("|", F.coalesce(F.col("request_id"), F.lit("")), "object_type", "object_id", "action",
-                      F.coalesce(F.col("actor"), F.lit("")),
-                      F.date_format("requested_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    return ok.select(
-        F.sha2(key, 256).alias("id"),
+    return _audit(ok, F.col("object_data"), "success", F.lit(None).cast("string"), meta, F.col("actor_role"))
+
+
+def failed_audit_rows(requests: DataFrame, kind: str, error_col: str = "error_message") -> DataFrame:
+    """Audit log rows for requests that the ERP answered with an error (``error_col`` is not null).
+
+    They carry the error and no object data; only invoice rows name the actor's role."""
+    bad = requests.filter(F.col(error_col).isNotNull()).withColumn("object_type", F.lit(kind))
+    role = F.col("actor_role") if kind == "invoice" else F.lit(None).cast("string")
+    none = F.lit(None).cast("string")
+    return _audit(bad, none, "failed", F.col(error_col), none, role)
+
+
+def _audit(rows: DataFrame, data: Column, result: str, error: Column, meta: Column, role: Column) -> DataFrame:
+    return rows.select(
+        F.sha2(F.concat_ws("|", request_key(rows), F.lit(result)), 256).alias("id"),
         F.col("requested_at").cast("timestamp_ntz").alias("created_at"),
-        F.concat_ws(".", kind_col, F.col("action")).alias("action_type"),
-        "actor", "actor_role", F.col("db").alias("odoo_db"), "object_type", "object_id",
-        "object_data",
-        F.lit("success").alias("result"),
-        F.lit(None).cast("string").alias("error_message"),
-        meta.alias("metadata"),
-        "source", "request_id",
+        F.concat_ws(".", "object_type", F.col("action")).alias("action_type"),
+        "actor", role.alias("actor_role"), F.col("db").alias("odoo_db"), "object_type",
+        F.col("object_id").cast("string").alias("object_id"), data.alias("object_data"),
+        F.lit(result).alias("result"), error.alias("error_message"), meta.alias("metadata"),
+        F.coalesce("source", F.lit(DEFAULT_SOURCE)).alias("source"), "request_id",
     )
 
 
+def approval_messages(outcomes: DataFrame) -> DataFrame:
+    """Outcomes with ``result`` (``success`` or ``failed``) and the ``error_message`` of each refusal."""
+    label = F.initcap("object_type")
+    message = (F.when(F.col("outcome") == "not_found", lf.fill(MESSAGE_NOT_FOUND, kind=label, id="object_id"))
+               .when(F.col("outcome") == "already_approved", lf.fill(MESSAGE_ALREADY_APPROVED, kind=label, id="object_id"))
+               .when(F.col("outcome") == "invalid_state", lf.fill(MESSAGE_INVALID_STATE, kind=label, id="object_id",
+                                                                  state="state_before")))
+    return (outcomes.withColumn("result", F.when(F.col("success"), F.lit("success")).otherwise(F.lit("failed")))
+            .withColumn("error_message", message))
+
+
 def rejection_notes(outcomes: DataFrame) -> DataFrame:
     """Chatter notes the ERP adds when an invoice is rejected with a reason (data effect of O-58)."""
     rej = outcomes.filter(F.col("success") & (F.col("object_type") == "invoice") & (F.col("action") == "reject")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
     ALERT_DELIVERIES_PENDING, ALERT_NO_ORDERS, ALERT_ORDERS_AWAITING, ALERT_OVERDUE, ALERT_PENDING_ORDERS,
-    ALERT_SALES_DOWN, ALERT_SEVERE_OVERDUE, OPS_ALERT_MIN, OVERDUE_LIMIT, TOP_PRODUCTS_LIMIT,
+    ALERT_SALES_DOWN, ALERT_SEVERE_OVERDUE, OPS_ALERT_MIN, TOP_PRODUCTS_LIMIT,
 )
 from ledgerflow.operators.metrics import overdue_summary, pending_deliveries, pending_orders, sales_summary, top_products
 
@@ -65,7 +65,7 @@ def sales_digest(orders: DataFrame, lines: DataFrame, products: DataFrame, templ
 
 
 # O-51
-def finance_digest(moves: DataFrame, as_of: dt.date | str, limit: int | None = OVERDUE_LIMIT,
+def finance_digest(moves: DataFrame, as_of: dt.date | str, limit: int | None = None,
                    dbs: Iterable[str] | None = None) -> DataFrame:
     o = overdue_summary(moves, as_of, 0, limit, dbs)
     n, total = F.col("overdue_count"), F.col("total_overdue_amount")

@@ -21,7 +21,7 @@ from ledgerflow.constants import (
     PENDING_LIMIT, RECENT_AUDIT_LIMIT, UNKNOWN_PARTNER,
 )
 from ledgerflow.operators.metrics import overdue_core
-from ledgerflow.operators.topk import company_keys, lookup, top_k, top_k_per_group
+from ledgerflow.operators.topk import company_keys, lookup, row_bound, top_k, top_k_per_group
 from ledgerflow.sources.tables import allowed
 
 # --- filters -------------------------------------------------------------------------------------
@@ -30,7 +30,10 @@ OPERATORS = ("=", "!=", "like", "not like", "ilike", "not ilike", ">", ">=", "<"
 
 
 def predicate(field: str, op: str, value: Any, case_insensitive_like: bool = True) -> Column:
-    """One ``field op value`` condition as a Column."""
+    """One ``field op value`` condition as a Column.
+
+    A row without a value passes every negative operator (``!=``, ``not in``, ``not like``) and
+    no other one; comparing with ``None`` by ``=`` or ``!=`` tests for a missing value."""
     c = F.col(field)
     op = op.strip().lower()
     if op in ("=", "=="):
@@ -39,8 +42,9 @@ def predicate(field: str, op: str, value: Any, case_insensitive_like: bool = Tru
         return c.isNotNull() if value is None else (c != F.lit(value)) | c.isNull()
     if op in ("like", "not like", "ilike", "not ilike"):
         ci = case_insensitive_like or op.endswith("ilike")
-        cond = F.lower(c).like(str(value).lower()) if ci else c.like(str(value))
-        return ~cond if op.startswith("not") else cond
+        pattern = str(value).replace("\\", "\\\\")  # a backslash is an ordinary character
+        cond = F.lower(c).like(pattern.lower()) if ci else c.like(pattern)
+        return ~cond | c.isNull() if op.startswith("not") else cond
     if op == ">":
         return c > F.lit(value)
     if op == ">=":
@@ -51,7 +55,7 @@ def predicate(field: str, op: str, value: Any, case_insensitive_like: bool = Tru
         return c <= F.lit(value)
     if op in ("in", "not in"):
         vals = list(value) if not isinstance(value, str) else [v.strip() for v in value.split(",")]
-        return ~c.isin(vals) if op == "not in" else c.isin(vals)
+        return ~c.isin(vals) | c.isNull() if op == "not in" else c.isin(vals)
     raise ValueError(f"unsupported filter operator {op!r}; supported: {OPERATORS}")
 
 
@@ -110,6 +114,8 @@ def list_query(df: DataFrame, filters: dict | Sequence | None = None, fields: Se
     cond = filters_to_column(filters, case_insensitive_like)
     out = df.filter(cond) if cond is not None else df
     tie = [k for k in key if k in df.columns]
+    if (length or start) and not tie:
+        raise ValueError(f"paging needs a unique key; the table has none of {tuple(key)}")
     order = order_columns(order_by, tie)
     if length or start:
         out = top_k(out, order, length or None, start)
@@ -240,7 +246,7 @@ def invoice_detail(moves: DataFrame, partners: DataFrame, currencies: DataFrame,
                    dbs: Iterable[str] | None = None) -> DataFrame:
     """Invoices with partner and currency (13 columns + ``db``); ``ids`` optionally narrows them."""
     m = _id_filter(allowed(moves, dbs), ids, "id")
-    bounded = ids is not None and not isinstance(ids, DataFrame)
+    bounded = len(ids) if ids is not None and not isinstance(ids, DataFrame) else None
     m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name", "id": "_pid"}, bounded)
     m = lookup(m, currencies, [("currency_id", "id")], {"symbol": "currency_symbol"}, bounded)
     return m.select(
@@ -252,16 +258,18 @@ def invoice_detail(moves: DataFrame, partners: DataFrame, currencies: DataFrame,
 
 
 def pending_core(moves: DataFrame, state: str = DRAFT, limit: int | None = PENDING_LIMIT,
-                 dbs: Iterable[str] | None = None) -> DataFrame:
-    """Customer moves in ``state``, newest first per company (nulls first, as PostgreSQL sorts DESC)."""
+                 dbs: Iterable[str] | None = None, ranked: bool = True) -> DataFrame:
+    """Customer moves in ``state``, newest first per company (nulls first, as PostgreSQL sorts DESC);
+    ``limit=None`` keeps all (``ranked=False`` then skips the ranking)."""
     cand = allowed(moves, dbs).filter((F.col("state") == state) & lf.in_set("move_type", CUSTOMER_MOVE_TYPES))
-    return top_k_per_group(cand, ["db"], [F.col("create_date").desc_nulls_first(), F.col("id").asc()], limit)
+    return top_k_per_group(cand, ["db"], [F.col("create_date").desc_nulls_first(), F.col("id").asc()], limit,
+                           "rank" if ranked or limit is not None else None)
 
 
 def pending_invoices(moves: DataFrame, partners: DataFrame, state: str = DRAFT, limit: int | None = PENDING_LIMIT,
                      dbs: Iterable[str] | None = None) -> DataFrame:
     core = pending_core(moves, state, limit, dbs)
-    out = lookup(core, partners, company_keys("partner_id", partners), {"name": "partner_name"}, limit is not None)
+    out = lookup(core, partners, company_keys("partner_id", partners), {"name": "partner_name"}, row_bound(limit, dbs))
     return out.select("db", "rank", "id", "name", "state", lf.money_out("amount_total").alias("amount_total"),
                       "create_date", "partner_name")
 
@@ -271,7 +279,7 @@ def overdue_invoices(moves: DataFrame, partners: DataFrame, currencies: DataFram
                      dbs: Iterable[str] | None = None) -> DataFrame:
     """O-24: overdue customer invoices per company, worst first, with partner and currency."""
     core = overdue_core(moves, as_of, threshold_days, limit, dbs)
-    bounded = limit is not None
+    bounded = row_bound(limit, dbs)
     out = lookup(core, partners, company_keys("partner_id", partners), {"name": "_pname"}, bounded)
     out = lookup(out, currencies, [("currency_id", "id")], {"symbol": "_sym"}, bounded)
     return out.select(

@@ -20,7 +20,7 @@ from ledgerflow.constants import (
     PENDING_DELIVERY_STATES, POSTED, RISK_HIGH_COUNT, RISK_MEDIUM_COUNT, SALE_STATES, SEVERE_OVERDUE_DAYS,
     TOP_PRODUCTS_LIMIT, UNKNOWN_PARTNER,
 )
-from ledgerflow.operators.topk import company_keys, lookup, top_k_per_group
+from ledgerflow.operators.topk import company_keys, lookup, top_k_per_group, row_bound
 from ledgerflow.sources.tables import allowed, company_spine, per_company
 
 def _zero() -> F.Column:
@@ -114,7 +114,7 @@ def top_products(lines: DataFrame, orders: DataFrame, products: DataFrame, templ
                    .agg(F.sum("product_uom_qty").alias("_qty"), F.sum("price_subtotal").alias("_rev")))
     ranked = top_k_per_group(per_product, ["db"], [F.col("_rev").desc_nulls_last(), F.col("product_id").asc()],
                              limit)
-    bounded = limit is not None
+    bounded = row_bound(limit, dbs)
     with_code = lookup(ranked, products, company_keys("product_id", products),
                        {"default_code": "product_code", "product_tmpl_id": "_tmpl"}, bounded)
     with_name = lookup(with_code, templates, company_keys("_tmpl", templates), {"name": "product_name"}, bounded)
@@ -212,11 +212,11 @@ def overdue_core(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0
 
 # O-47 + O-48
 def overdue_summary(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0,
-                    limit: int | None = OVERDUE_LIMIT, dbs: Iterable[str] | None = None) -> DataFrame:
+                    limit: int | None = None, dbs: Iterable[str] | None = None) -> DataFrame:
     """Count and total of the overdue list per company, plus the part more than 30 days late.
 
-    With the default ``limit`` the totals cover the returned rows, as the
-    reference reports them; ``limit=None`` gives the true totals."""
+    The totals are true by default; with a ``limit`` they cover the rows of a list
+    cut at so many per company, as a list report shows them."""
     core = overdue_core(moves, as_of, threshold_days, limit, dbs, ranked=False)
     severe = F.col("days_overdue") > SEVERE_OVERDUE_DAYS
     agg = core.groupBy("db").agg(

@@ -74,6 +74,12 @@ def rank_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     stats = ranged.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min(local).alias("_first"))
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    j = ranged.join(stats, [*group_cols, "_pid"], "left")
+    # Null group keys are groups too.
+    names = [*group_cols, "_pid"]
+    stats = stats.select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(names)], "_before", "_first")
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    j = ranged.join(stats, same, "left")
     return j.select(*[F.col(c) for c in df.columns],
                     (F.col("_before") + (local - F.col("_first")) + 1).cast("int").alias(rank_col))

@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.constants import COMPANIES
 from ledgerflow.operators.sequence import rank_within_group
 from ledgerflow.session import fits_broadcast, materialize
 
@@ -105,13 +106,23 @@ def bounded_lookup(small: DataFrame, dim: DataFrame, on, take: dict[str, str]) -
     return small.join(F.broadcast(hit), back, "left").drop(*kn)
 
 
-def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: bool) -> DataFrame:
+#: Largest proven number of rows that a lookup broadcasts.
+BOUND_ROWS = 100_000
+
+
+def row_bound(limit: int | None, dbs=None) -> int | None:
+    """Rows that ``limit`` per company can give at most; None when there is no limit."""
+    return None if limit is None else int(limit) * len(list(dbs) if dbs is not None else COMPANIES)
+
+
+def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: int | None) -> DataFrame:
     """Left lookup of dimension columns.
 
     * the projected dimension is estimated under the broadcast threshold: broadcast
       it (a size-checked broadcast, one pass);
-    * else, ``big`` is bounded (top-k, id list): ``bounded_lookup``, which never
-      shuffles or broadcasts the dimension;
+    * else, ``big`` has ``bounded`` rows at most (top-k, id list) and that is no more
+      than ``BOUND_ROWS``: ``bounded_lookup``, which never shuffles or broadcasts the
+      dimension;
     * else a plain left join: AQE broadcasts at runtime if a side turns out small,
       and otherwise sort-merges."""
     pairs = _keys(on)
@@ -120,7 +131,7 @@ def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: bo
                        *[F.col(src).alias(dst) for src, dst in take.items()])
     if fits_broadcast(right):
         right = F.broadcast(right)
-    elif bounded:
+    elif bounded is not None and bounded <= BOUND_ROWS:
         return bounded_lookup(big, dim, on, take)
     cond = [big[a] == right[k] for (a, _), k in zip(pairs, kn)]
     return big.join(right, cond, "left").drop(*kn)

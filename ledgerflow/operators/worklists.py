@@ -74,16 +74,23 @@ def overdue_items(moves: DataFrame, as_of: dt.date | str, threshold_days: int =
 
 
 # O-49
-def pending_item_counts(moves: DataFrame, as_of: dt.date | str, limit: int | None = WORKLIST_LIMIT,
+def pending_item_counts(moves: DataFrame, as_of: dt.date | str, limit: int | None = None,
                         dbs: Iterable[str] | None = None) -> DataFrame:
-    """Item counts of both work lists per company (after the cap, as the lists report them)."""
-    a = pending_approvals(moves, as_of, limit, dbs).groupBy("db").agg(F.count(F.lit(1)).alias("_a"))
-    o = overdue_items(moves, as_of, limit=limit, dbs=dbs).groupBy("db").agg(F.count(F.lit(1)).alias("_o"))
+    """Item counts of both work lists per company; with a ``limit``, as lists cut at it report them.
+
+    Plain counts: nothing is ranked to be counted."""
+    a = pending_core(moves, DRAFT, None, dbs, ranked=False).groupBy("db").agg(F.count(F.lit(1)).alias("_a"))
+    late = overdue_core(moves, as_of, WORKLIST_OVERDUE_THRESHOLD, None, dbs, ranked=False)
+    o = late.groupBy("db").agg(F.count(F.lit(1)).alias("_o"))
     # Both sides hold at most one row per allowed company.
     spine = company_spine(moves.sparkSession, dbs)
     j = spine.join(F.broadcast(a), "db", "left").join(F.broadcast(o), "db", "left")
-    return j.select("db", F.coalesce("_a", F.lit(0)).cast("bigint").alias("pending_approvals_count"),
-                    F.coalesce("_o", F.lit(0)).cast("bigint").alias("overdue_items_count"))
+
+    def cut(c: str) -> Column:
+        n = F.coalesce(c, F.lit(0)).cast("bigint")
+        return n if limit is None else F.least(n, F.lit(int(limit)).cast("bigint"))
+
+    return j.select("db", cut("_a").alias("pending_approvals_count"), cut("_o").alias("overdue_items_count"))
 
 
 def _actions(state: Column, actionable: Iterable[str], view_only: Iterable[str] | None) -> Column:

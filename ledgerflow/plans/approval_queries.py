@@ -6,6 +6,8 @@ window, or ``lag``), independent of the aggregate-based Spark plan.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerflow.operators import approvals as ap
 from ledgerflow.plans.registry import register
 
@@ -61,9 +63,10 @@ def invoice_approvals(fx):
     return _invoice_outcomes(fx)
 
 
+_AUDIT_ID = """sha256(concat_ws('|', sha256(CAST(to_json([db, object_type, CAST(object_id AS VARCHAR), action, actor,
+                strftime(requested_at, '%Y-%m-%d %H:%M:%S.%f'), request_id]) AS VARCHAR)), '{result}'))"""
 _AUDIT_SELECT = """
-SELECT sha256(concat_ws('|', coalesce(request_id, ''), object_type, object_id, action, coalesce(actor, ''),
-                        strftime(requested_at, '%Y-%m-%d %H:%M:%S.%f'))) AS id,
+SELECT """ + _AUDIT_ID.format(result="success") + """ AS id,
        requested_at AS created_at, object_type || '.' || action AS action_type, actor, actor_role,
        db AS odoo_db, object_type, object_id, object_data, 'success' AS result, CAST(NULL AS VARCHAR) AS error_message,
        {meta} AS metadata, source, request_id
@@ -189,3 +192,39 @@ def leave_approvals(fx):
 def leave_audit_rows(fx):
     """O-05 for leave requests."""
     return ap.audit_rows(_leave_outcomes(fx))
+
+
+# Repeats of one request, one id on two objects, equal numbers in two companies, requests without a time.
+_REPLAYS = (_INVOICE_BASE.replace("FROM approval_request q", "FROM (SELECT DISTINCT * FROM approval_request_replays) q")
+            .replace("ORDER BY q.requested_at, q.request_id", "ORDER BY q.requested_at NULLS FIRST, q.request_id"))
+_REPLAY_VIEWS = ["approval_request_replays", "account_move", "res_partner"]
+
+
+@register("approvals_with_replays", _REPLAY_VIEWS, _REPLAYS + "\nSELECT * FROM res")
+def approvals_with_replays(fx):
+    """O-58: a batch that repeats requests; each has one outcome."""
+    return ap.apply_approvals(fx["approval_request_replays"], fx["account_move"], "invoice", fx["res_partner"])
+
+
+@register("approval_messages", _INVOICE_VIEWS, _INVOICE_BASE + """
+SELECT *, CASE WHEN success THEN 'success' ELSE 'failed' END AS result,
+       CASE outcome WHEN 'not_found' THEN 'Invoice ' || object_id || ' not found'
+                    WHEN 'already_approved' THEN 'Invoice ' || object_id || ' is already approved'
+                    WHEN 'invalid_state' THEN 'Invoice ' || object_id || ' cannot be approved in state ' || state_before
+       END AS error_message
+FROM res""")
+def approval_messages(fx):
+    """O-58: result and refusal message of each request."""
+    return ap.approval_messages(_invoice_outcomes(fx))
+
+
+@register("failed_audit_rows", ["approval_request"], """
+SELECT """ + _AUDIT_ID.format(result="failed") + """ AS id,
+       requested_at AS created_at, object_type || '.' || action AS action_type, actor, actor_role, db AS odoo_db,
+       object_type, CAST(object_id AS VARCHAR) AS object_id, CAST(NULL AS VARCHAR) AS object_data, 'failed' AS result,
+       'remote error ' || action AS error_message, CAST(NULL AS VARCHAR) AS metadata, source, request_id
+FROM approval_request WHERE reason IS NOT NULL""")
+def failed_audit_rows(fx):
+    """O-05: audit rows of requests that the ERP answered with an error."""
+    error = F.when(F.col("reason").isNotNull(), F.concat(F.lit("remote error "), "action"))
+    return ap.failed_audit_rows(fx["approval_request"].withColumn("error_message", error), "invoice")

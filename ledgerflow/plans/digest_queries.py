@@ -82,7 +82,8 @@ def sales_digest_products(fx):
     return dg.explode_products(_sales(fx))
 
 
-_FIN_BASE = overdue_rows_sql(0, 100) + """
+def _fin_base(limit: int | None) -> str:
+    return overdue_rows_sql(0, limit) + """
 , agg AS (SELECT db, count(*) AS n, sum(amount_residual) AS tot,
                  count(CASE WHEN days_overdue > 30 THEN 1 END) AS ns,
                  sum(CASE WHEN days_overdue > 30 THEN amount_residual END) AS sa FROM od GROUP BY db),
@@ -97,32 +98,48 @@ _FIN_BASE = overdue_rows_sql(0, 100) + """
                     || ')' FROM base WHERE ns > 0)"""
 
 
-def _finance(fx) -> DataFrame:
-    return dg.finance_digest(fx["account_move"], AS_OF)
-
-
-@register("finance_digest", ["account_move", "companies"], _FIN_BASE + """
+_FIN_ROWS = """
 SELECT b.db, 'finance_daily' AS digest_type, '2001-07-31' AS period, CAST(0.0 AS DOUBLE) AS total_receivable,
        CAST(0.0 AS DOUBLE) AS total_payable,
        CAST(b.tot AS DOUBLE) AS overdue_receivable, b.n AS overdue_count, b.ns AS severe_overdue_count,
        (SELECT count(*) FROM alerts a WHERE a.db = b.db) AS alerts_count
 FROM base b
-""")
+"""
+_FIN_ALERTS = """
+SELECT db, 'finance_daily' AS digest_type,
+       CAST(row_number() OVER (PARTITION BY db ORDER BY k) AS INTEGER) AS alert_no, type, message
+FROM alerts
+"""
+
+
+def _finance(fx, limit: int | None = None) -> DataFrame:
+    return dg.finance_digest(fx["account_move"], AS_OF, limit)
+
+
+@register("finance_digest", ["account_move", "companies"], _fin_base(None) + _FIN_ROWS)
 def finance_digest(fx):
-    """O-51: finance digest per company."""
+    """O-51: finance digest per company, with true totals."""
     return _flat_digest(_finance(fx))
 
 
-@register("finance_digest_alerts", ["account_move", "companies"], _FIN_BASE + """
-SELECT db, 'finance_daily' AS digest_type,
-       CAST(row_number() OVER (PARTITION BY db ORDER BY k) AS INTEGER) AS alert_no, type, message
-FROM alerts
-""")
+@register("finance_digest_alerts", ["account_move", "companies"], _fin_base(None) + _FIN_ALERTS)
 def finance_digest_alerts(fx):
     """O-51 + O-53: the finance digest's alerts."""
     return dg.explode_alerts(_finance(fx))
 
 
+@register("finance_digest_capped", ["account_move", "companies"], _fin_base(100) + _FIN_ROWS)
+def finance_digest_capped(fx):
+    """O-51 with totals over the 100 rows per company that the overdue list shows."""
+    return _flat_digest(_finance(fx, 100))
+
+
+@register("finance_digest_alerts_capped", ["account_move", "companies"], _fin_base(100) + _FIN_ALERTS)
+def finance_digest_alerts_capped(fx):
+    """O-51 + O-53 over the 100 rows per company that the overdue list shows."""
+    return dg.explode_alerts(_finance(fx, 100))
+
+
 _OPS_BASE = """
 , po AS (SELECT db, count(*) AS n FROM sale_order WHERE state = 'draft' GROUP BY db),
   pd AS (SELECT db, count(*) AS n FROM stock_picking WHERE state IN ('confirmed', 'assigned') GROUP BY db),

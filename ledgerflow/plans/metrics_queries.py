@@ -167,13 +167,13 @@ FROM companies c LEFT JOIN agg ON c.db = agg.db
 """
 
 
-@register("overdue_summary", ["account_move", "companies"], _overdue_summary_sql(100))
+@register("overdue_summary", ["account_move", "companies"], _overdue_summary_sql(None))
 def overdue_summary(fx):
-    """O-47 + O-48: count and total of the (capped) overdue list per company, and its >30-day part."""
+    """O-47 + O-48: true overdue totals per company, and the >30-day part."""
     return m.overdue_summary(fx["account_move"], AS_OF)
 
 
-@register("overdue_summary_uncapped", ["account_move", "companies"], _overdue_summary_sql(None))
-def overdue_summary_uncapped(fx):
-    """O-47 + O-48 with ``limit=None``: true overdue totals per company."""
-    return m.overdue_summary(fx["account_move"], AS_OF, limit=None)
+@register("overdue_summary_capped", ["account_move", "companies"], _overdue_summary_sql(100))
+def overdue_summary_capped(fx):
+    """O-47 + O-48 over the 100 rows per company that the overdue list shows."""
+    return m.overdue_summary(fx["account_move"], AS_OF, limit=100)

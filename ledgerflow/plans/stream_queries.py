@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 
 from ledgerflow import streaming as st
 from ledgerflow.operators import approvals as ap
-from ledgerflow.plans.approval_queries import _AUDIT_SELECT, _INVOICE_BASE, _INVOICE_VIEWS
+from ledgerflow.plans.approval_queries import _AUDIT_SELECT, _INVOICE_BASE, _INVOICE_VIEWS, _REPLAY_VIEWS, _REPLAYS
 from ledgerflow.plans.chat_queries import PARSE_COMMANDS_SQL
 from ledgerflow.plans.registry import register
 from ledgerflow.session import materialize, work_dir
-from ledgerflow.sources.audit import AUDIT_COLUMNS
+from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, read_audit
 
 
 def _time_chunks(df: DataFrame, col: str, n: int) -> list[DataFrame]:
-    """Split rows into ``n`` consecutive time ranges (bounds from one min/max aggregate)."""
+    """Split rows into ``n`` consecutive time ranges (bounds from one min/max aggregate); rows without a time
+    come in the first."""
     lo, hi = df.agg(F.min(col), F.max(col)).first()
     if lo is None:
         return [df]
@@ -35,7 +36,7 @@ def _time_chunks(df: DataFrame, col: str, n: int) -> list[DataFrame]:
 
     for b in bounds:
         cond = F.col(col) < ts(b)
-        out.append(df.filter(cond if prev is None else cond & (F.col(col) >= ts(prev))))
+        out.append(df.filter((cond | F.col(col).isNull()) if prev is None else cond & (F.col(col) >= ts(prev))))
         prev = b
     out.append(df.filter(F.col(col) >= ts(prev)) if prev is not None else df)
     return out
@@ -66,6 +67,40 @@ def stream_invoice_approvals(fx):
     return spark.read.parquet(outcomes).drop("batch_id")
 
 
+@register("stream_approvals_replays", _REPLAY_VIEWS, _REPLAYS + "\nSELECT * FROM res")
+def stream_approvals_replays(fx):
+    """O-81: requests that repeat inside a batch and in later batches; each has one outcome."""
+    spark = fx.spark
+    root = work_dir(spark, "streams", uuid.uuid4().hex)
+    feed, outcomes, states, ckpt = (f"{root}/{x}" for x in ("feed", "outcomes", "states", "ckpt"))
+    requests = fx["approval_request_replays"]
+    schema = requests.schema
+
+    def start():
+        src = spark.readStream.schema(schema).parquet(feed)
+        return st.approval_stream(src, lambda: fx["account_move"], "invoice", outcomes, states, ckpt,
+                                  partners=lambda: fx["res_partner"])
+
+    chunks = _time_chunks(requests, "requested_at", 2)
+    _run_chunks([chunks[0], chunks[1].unionByName(chunks[0])], feed, start)
+    return spark.read.parquet(outcomes).drop("batch_id")
+
+
+@register("audit_stream_then_append", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
+    meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
+def audit_stream_then_append(fx):
+    """O-80, O-04: half of the audit rows streamed, then all of them appended by a batch: each is stored once."""
+    spark = fx.spark
+    root = work_dir(spark, "streams", uuid.uuid4().hex)
+    feed, sink, ckpt = f"{root}/feed", f"{root}/audit", f"{root}/ckpt"
+    outcomes = materialize(ap.apply_approvals(fx["approval_request"], fx["account_move"], "invoice", fx["res_partner"]))
+    first = _time_chunks(outcomes, "requested_at", 2)[0]
+    _run_chunks([first], feed, lambda: st.audit_stream(
+        spark.readStream.schema(outcomes.schema).parquet(feed), sink, ckpt))
+    append_audit(ap.audit_rows(outcomes), sink)
+    return read_audit(spark, sink).select(*AUDIT_COLUMNS)
+
+
 @register("stream_audit_rows", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
     meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
 def stream_audit_rows(fx):
@@ -98,5 +133,6 @@ def stream_parse_commands(fx):
         return st.command_stream(spark.readStream.schema(schema).parquet(feed), sink, ckpt)
 
     half = log.agg(F.percentile_approx("conv_id", 0.5)).first()[0]
-    _run_chunks([log.filter(F.col("conv_id") <= half), log.filter(F.col("conv_id") > half)], feed, start)
+    early = F.coalesce(F.col("conv_id") <= half, F.lit(True))  # rows without a conversation come first
+    _run_chunks([log.filter(early), log.filter(~early)], feed, start)
     return spark.read.parquet(sink)

@@ -51,16 +51,26 @@ def overdue_items(fx):
     return wl.overdue_items(fx["account_move"], AS_OF)
 
 
-@register("pending_item_counts", ["account_move", "companies"], _PENDING_SQL + _OVERDUE_ITEMS_SQL + """
-SELECT c.db, (SELECT count(*) FROM p20 WHERE p20.db = c.db) AS pending_approvals_count,
+@register("pending_item_counts", ["account_move", "companies"], _PENDING_SQL + overdue_rows_sql(14, None) + """
+SELECT c.db, (SELECT count(*) FROM p WHERE p.db = c.db) AS pending_approvals_count,
        (SELECT count(*) FROM od WHERE od.db = c.db) AS overdue_items_count
 FROM companies c
 """)
 def pending_item_counts(fx):
-    """O-49: item counts of both work lists per company."""
+    """O-49: true item counts of both work lists per company."""
     return wl.pending_item_counts(fx["account_move"], AS_OF)
 
 
+@register("pending_item_counts_capped", ["account_move", "companies"], _PENDING_SQL + _OVERDUE_ITEMS_SQL + """
+SELECT c.db, (SELECT count(*) FROM p20 WHERE p20.db = c.db) AS pending_approvals_count,
+       (SELECT count(*) FROM od WHERE od.db = c.db) AS overdue_items_count
+FROM companies c
+""")
+def pending_item_counts_capped(fx):
+    """O-49: item counts of the work lists cut at 20 items."""
+    return wl.pending_item_counts(fx["account_move"], AS_OF, limit=20)
+
+
 def _flat_context(df: DataFrame, info: list[str]) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c not in ("available_actions", "additional_info")],

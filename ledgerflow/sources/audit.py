@@ -48,7 +48,8 @@ def audit_entries(df: DataFrame) -> DataFrame:
         if name in df.columns and not isinstance(df.schema[name].dataType, T.StringType):
             dtype = df.schema[name].dataType
             empty = F.size(F.col(name)) == 0 if isinstance(dtype, (T.MapType, T.ArrayType)) else F.lit(False)
-            out = out.withColumn(name, F.when(F.col(name).isNotNull() & ~empty, F.to_json(F.col(name))))
+            out = out.withColumn(name, F.when(F.col(name).isNotNull() & ~empty, F.to_json(
+                F.col(name), {"ignoreNullFields": "false"})))
         elif name in df.columns:
             out = out.withColumn(name, F.when(F.col(name) != "", F.col(name)))
     return conform_audit(out)
@@ -57,15 +58,17 @@ def audit_entries(df: DataFrame) -> DataFrame:
 def append_audit(df: DataFrame, path: str, dedupe: bool = True) -> None:
     """O-04: append audit rows to the table at ``path``.
 
-    With ``dedupe`` the rows whose ``id`` is already stored (a replayed batch)
-    are dropped by a left-anti join against the existing partitions of the same
-    dates, so a retried append writes nothing twice."""
+    With ``dedupe`` an ``id`` is written once: repeats in the batch are merged, and
+    ids already stored (a replayed batch) are dropped by a left-anti join against
+    the existing partitions of the same dates (none is a date too)."""
     rows = audit_entries(df).withColumn(PARTITION_COLUMN, F.to_date("created_at"))
     if dedupe:
+        rows = rows.dropDuplicates(["id"])
         existing = read_audit(df.sparkSession, path)
         if existing is not None:
             dates = rows.select(PARTITION_COLUMN).distinct()
-            seen = existing.join(dates, PARTITION_COLUMN, "left_semi").select("id")
+            same_day = existing[PARTITION_COLUMN].eqNullSafe(dates[PARTITION_COLUMN])
+            seen = existing.join(dates, same_day, "left_semi").select("id")
             rows = rows.join(seen, "id", "left_anti")
     # Range partitioning splits a busy day over several tasks (files), each sorted.
     (rows.repartitionByRange(PARTITION_COLUMN, "action_type", "actor", "id")

@@ -119,6 +119,22 @@ SELECT
   'api' AS source,
   ts AS requested_at
 FROM {{events}} WHERE event_type IN ('purchase', 'signup', 'error')""",
+    "approval_request_replays": f"""
+SELECT request_id, object_type, db, object_id, action, actor, actor_role, reason, source, requested_at FROM (
+SELECT e.event_id, copy,
+  'I' || lpad(CAST(e.event_id AS string), 9, '0') AS request_id,
+  'invoice' AS object_type,
+  {_DB3.format(k='((e.event_id + shift) % 97) * 16')} AS db,
+  ((e.event_id + shift) % 97) * 16 AS object_id,
+  CASE WHEN e.event_type = 'error' THEN 'reject' ELSE 'approve' END AS action,
+  'user' || CAST(e.user_id AS string) || '@example.com' AS actor,
+  CASE WHEN e.user_id % 2 = 0 THEN 'manager' END AS actor_role,
+  CASE WHEN e.event_type = 'error' THEN 'amount mismatch' END AS reason,
+  'api' AS source,
+  CASE WHEN e.event_id % 41 = 0 THEN NULL ELSE e.ts END AS requested_at
+FROM {{events}} e CROSS JOIN (SELECT 0 AS copy, 0 AS shift UNION ALL SELECT 1, 0 UNION ALL SELECT 2, 1) c
+WHERE e.event_type IN ('purchase', 'signup', 'error')) r
+WHERE copy = 0 OR (copy = 1 AND event_id % 5 = 0) OR (copy = 2 AND event_id % 7 = 0)""",
     "approval_request_expense": f"""
 SELECT
   'H' || CAST(event_id AS string) AS request_id,

@@ -1,6 +1,6 @@
 """Structured Streaming entry points (O-80..O-82).
 
-* ``audit_stream``: approval outcomes -> audit rows -> partitioned Parquet sink (stateless).
+* ``audit_stream``: approval outcomes -> audit rows -> the audit table, through ``append_audit``.
 * ``command_stream``: chat command log -> routed commands -> Parquet sink (stateless).
 * ``approval_stream``: approval requests -> ``foreachBatch`` fold against the
   object states left by earlier batches. Running windows are not allowed on a
@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states, request_key
 from ledgerflow.operators.chat import parse_commands
-from ledgerflow.sources.audit import PARTITION_COLUMN
+from ledgerflow.sources.audit import append_audit
 
 
 def _trigger(writer, available_now: bool, interval: str | None):
@@ -36,10 +36,13 @@ def _trigger(writer, available_now: bool, interval: str | None):
 # O-80
 def audit_stream(outcomes: DataFrame, sink_path: str, checkpoint: str, available_now: bool = True,
                  interval: str | None = None) -> StreamingQuery:
-    rows = audit_rows(outcomes).withColumn(PARTITION_COLUMN, F.to_date("created_at"))
-    w = (rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
-         .partitionBy(PARTITION_COLUMN))
-    return _trigger(w, available_now, interval).start(sink_path)
+    """Audit rows of a stream of outcomes, appended batch by batch like any other audit rows: same
+    layout, and a repeated batch writes nothing twice."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        append_audit(audit_rows(batch), sink_path)
+
+    w = outcomes.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return _trigger(w, available_now, interval).start()
 
 
 # O-82
@@ -122,26 +125,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame],
                    kind: str, outcomes_path: str, states_path: str,
-                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20,
-                   replay_window: str | None = None) -> None:
+                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20) -> None:
     """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``.
 
-    With ``replay_window`` (e.g. ``"1 day"``) earlier outcomes are compared only
-    within that window of the batch's earliest request (file statistics skip the
-    rest); without it the whole history is checked."""
+    A replay has the time of the request it repeats, so earlier outcomes are compared
+    only from the batch's earliest to its latest request (file statistics skip the
+    rest) and where they have no time. A late request is folded when it arrives."""
     out_dir = f"{outcomes_path}/batch_id={batch_id}"
     if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
         return  # this batch was fully written before a restart
     reqs = batch
     if _exists(spark, outcomes_path):
         done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id)
-        if replay_window:
-            lo = batch.agg(F.min("requested_at")).first()[0]
-            if lo is not None:
-                since = F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz") - F.expr(f"INTERVAL {replay_window}")
-                done = done.filter(F.col("requested_at") >= since)
-        reqs = (reqs.withColumn("_key", request_key(reqs))
-                .join(done.select(request_key(done).alias("_key")).distinct(), "_key", "left_anti").drop("_key"))
+        lo, hi = batch.agg(F.min("requested_at"), F.max("requested_at")).first()
+        time = F.col("requested_at")
+        same = time.isNull()
+        if lo is not None:
+            low, high = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in (lo, hi))
+            same = same | ((time >= low) & (time <= high))
+        done = done.filter(same).select(request_key(done, kind).alias("_key")).distinct()
+        reqs = reqs.withColumn("_key", request_key(reqs, kind)).join(done, "_key", "left_anti").drop("_key")
     objs = overlay_states(table(), current_states(spark, states_path, batch_id), kind)
     outcomes = apply_approvals(reqs, objs, kind, partners() if partners is not None else None)
     outcomes.write.mode("overwrite").parquet(out_dir)
@@ -157,25 +160,15 @@ def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table:
 def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: str, outcomes_path: str,
                     states_path: str, checkpoint: str, available_now: bool = True,
                     interval: str | None = None, partners: Callable[[], DataFrame] | None = None,
-                    dedupe_window: str | None = None, compact_every: int = 20) -> StreamingQuery:
+                    compact_every: int = 20) -> StreamingQuery:
     """``table`` / ``partners`` are callables so every micro-batch reads the current tables.
 
-    ``dedupe_window`` (e.g. ``"1 day"``) drops repeated requests in the stream
-    itself with bounded state (``dropDuplicatesWithinWatermark``) and bounds the
-    per-batch anti-join against earlier outcomes to the same window; without it
-    that anti-join covers the whole history. Object states are compacted every
-    ``compact_every`` batches."""
+    Repeated requests have one outcome, in a batch and across batches; late ones are
+    folded when they arrive. Object states are compacted every ``compact_every`` batches."""
     spark = requests.sparkSession
-    if dedupe_window:
-        # Watermarks need TIMESTAMP; request times are naive (TIMESTAMP_NTZ).
-        requests = (requests.withColumn("_event_time", F.col("requested_at").cast("timestamp"))
-                    .withColumn("_key", request_key(requests))
-                    .withWatermark("_event_time", dedupe_window)
-                    .dropDuplicatesWithinWatermark(["_key"]).drop("_event_time", "_key"))
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every,
-                       dedupe_window)
+        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()

@@ -100,8 +100,7 @@ def test_approval_stream_carries_state_and_survives_restart(spark):
 
     def start():
         return st.approval_stream(spark.readStream.schema(schema).parquet(feed), lambda: _invoices(spark), "invoice",
-                                  outc, states, ckpt, partners=lambda: _partners(spark), dedupe_window="1 day",
-                                  compact_every=1)
+                                  outc, states, ckpt, partners=lambda: _partners(spark), compact_every=1)
 
     spark.createDataFrame(b1, REQ_SCHEMA).write.mode("append").parquet(feed)
     st.drain(start())
