@@ -34,6 +34,8 @@ BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_ODD))
 LOWER = BYTE.copy()
 LOWER[65:91] = BYTE[97:123]
 _powers: dict[int, np.ndarray] = {}
+#: Bytes that are hashed at a time (a longer word by itself).
+HASH_BYTES = 1 << 19
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -84,14 +86,23 @@ class Words:
         self._space, self._lower = space, lower
 
     def hashes(self, values: np.ndarray | None = None) -> np.ndarray:
-        """One 64-bit hash per word: a polynomial of its bytes' values, independent of its place."""
-        n = len(self.data)
-        total = np.zeros(n + 1, U64)
+        """One 64-bit hash per word: a polynomial of its bytes' values, independent of its place.
+
+        Worked out for some bytes at a time, so that the tables of powers stay small."""
         if values is None:
             values = LOWER if self._lower else BYTE
-        np.cumsum(values[self.data] * powers(_ODD, n), out=total[1:])
-        h = (total[self.ends] - total[self.starts]) * powers(_INV, max(n, 1))[self.starts]
-        return mix(h + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        out = np.empty(len(self.starts), U64)
+        first = 0
+        while first < len(out):
+            begin = int(self.starts[first])
+            last = max(first + 1, int(np.searchsorted(self.ends, begin + HASH_BYTES, side="right")))
+            end = int(self.ends[last - 1])
+            total = np.zeros(end - begin + 1, U64)
+            np.cumsum(values[self.data[begin:end]] * powers(_ODD, end - begin), out=total[1:])
+            at, to = self.starts[first:last] - begin, self.ends[first:last] - begin
+            out[first:last] = (total[to] - total[at]) * powers(_INV, end - begin)[at]
+            first = last
+        return mix(out + (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
     def rows(self) -> np.ndarray:
         """The row number of each word."""
