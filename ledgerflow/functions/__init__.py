@@ -77,15 +77,14 @@ def days_between(start: ColumnOrName, end: Column | _dt.date | str) -> Column:
     return F.datediff(end_c, F.to_date(_c(start)))
 
 
-# O-67: format in the local zone
-def format_date(ts: ColumnOrName, tz: str | None = LOCAL_TZ) -> Column:
+# O-67: format in the local zone; ``fmt`` is a Spark datetime pattern
+def format_date(ts: ColumnOrName, tz: str | None = LOCAL_TZ, fmt: str = "yyyy-MM-dd") -> Column:
     x = to_local(ts, tz) if tz else _c(ts)
-    return F.date_format(x, "yyyy-MM-dd")
+    return F.date_format(x, fmt)
 
 
-def format_datetime(ts: ColumnOrName, tz: str | None = LOCAL_TZ) -> Column:
-    x = to_local(ts, tz) if tz else _c(ts)
-    return F.date_format(x, "yyyy-MM-dd HH:mm:ss")
+def format_datetime(ts: ColumnOrName, tz: str | None = LOCAL_TZ, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    return format_date(ts, tz, fmt)
 
 
 # O-68: start and end of day (kept naive)
@@ -166,7 +165,7 @@ def json_or_null(struct_col: Column, present: Column | None = None) -> Column:
 
 # O-76: ISO text to timestamp
 def parse_iso(col: ColumnOrName) -> Column:
-    return F.to_timestamp_ntz(_c(col))
+    return _c(col).try_cast("timestamp_ntz")
 
 
 # Money out: exact decimal inside, double only at the output edge

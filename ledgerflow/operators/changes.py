@@ -1,70 +1,110 @@
 """Apply create / update / write / delete changes to a keyed table (O-77).
 
-Per key the fold is fixed by two facts, both plain aggregates (partial per task,
-so a key with a third of all changes costs one row per task):
+Per key the fold is fixed by a few plain aggregates (summed per task first, so a key
+with a third of all changes costs one row per task):
 
-* the latest *reset* (``create`` or ``delete``) with its values, and
-* per column, the latest non-null ``update`` / ``write`` value.
+* the latest ``delete``, and the first ``create`` after it: the create by which the key
+  exists (creates that meet a live key are refused), and
+* per column, the latest value set after that.
 
-An update counts only if it is later than the reset. A delete removes the row
-(later updates find nothing, as on the ERP); a create starts the row from its
-own values (columns it does not carry are NULL). Keys without a reset start
-from the current row; updates to keys that do not exist are dropped.
-
-The new snapshot is the full outer join of the table with the folded changes.
-Write it to a new folder (``write_snapshot``); never overwrite the folder being read.
+A delete removes the row (later updates find nothing, as on the ERP); a create starts the
+row from its own values (columns it does not carry are NULL). Updates to keys that do not
+exist are dropped. The new snapshot is the full outer join of the table with the folded
+changes. Write it to a new folder (``write_snapshot``); never overwrite the folder being read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RESET_OPS = ("create", "delete")
 UPDATE_OPS = ("update", "write")
 
 
-def fold_changes(changes: DataFrame, key: Sequence[str] | str, columns: Sequence[str],
-                 seq_col: str = "seq", op_col: str = "op") -> DataFrame:
-    keys = [key] if isinstance(key, str) else list(key)
-    op = F.lower(F.col(op_col))
-    ch = changes.filter(op.isin(*RESET_OPS, *UPDATE_OPS))
-    reset = F.max(F.when(op.isin(*RESET_OPS), F.struct(F.col(seq_col).alias("seq"), op.alias("op"),
-                                                        *[F.col(c).alias(c) for c in columns])))
-    aggs = [reset.alias("_reset")]
-    for c in columns:
-        aggs.append(F.max(F.when(op.isin(*UPDATE_OPS) & F.col(c).isNotNull(),
-                                 F.struct(F.col(seq_col).alias("seq"), F.col(c).alias("v")))).alias(f"_u_{c}"))
-    return ch.groupBy(*keys).agg(*aggs)
+def _named(c: str, mask_col: str | None) -> Column:
+    """Does a change name column ``c``? With a mask column (array of names) it says so, else a value does."""
+    return F.col(c).isNotNull() if mask_col is None else F.coalesce(F.array_contains(mask_col, c), F.lit(False))
 
 
 def apply_changes(base: DataFrame, changes: DataFrame, key: Sequence[str] | str = "name",
-                  seq_col: str = "seq", op_col: str = "op") -> DataFrame:
-    """New snapshot of ``base`` after ``changes`` (columns of ``changes`` that ``base`` has are changeable)."""
+                  seq_col: str = "seq", op_col: str = "op", mask_col: str | None = None) -> DataFrame:
+    """New snapshot of ``base`` after ``changes`` (columns of ``changes`` that ``base`` has are changeable).
+
+    * ``create`` adds a row for a key that does not exist then; on a live key it is refused and changes
+      nothing (see ``refused_creates``);
+    * ``update`` / ``write`` set the columns they name on a live key: with ``mask_col`` those in that array,
+      to NULL too; without it those with a value;
+    * ``delete`` removes the row. A later ``create`` starts it anew.
+
+    Changes of one key apply in the order of ``seq_col``, which is unique per key.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     columns = [c for c in base.columns if c not in keys and c in changes.columns]
-    folded = fold_changes(changes, keys, columns, seq_col, op_col)
-    b = base.withColumn("_present", F.lit(True))
-    j = b.join(folded, keys, "full_outer")
-    reset_seq = F.col("_reset.seq")
-    is_create = F.col("_reset.op") == "create"
-    exists = F.when(F.col("_reset").isNull(), F.coalesce(F.col("_present"), F.lit(False))).otherwise(is_create)
-    out_cols = []
+    live = _life(base, changes, keys, seq_col, op_col)
+    op = F.lower(F.col(op_col))
+    # What counts for a key: its valid create after the last delete, and the updates after that.
+    ch = changes.join(live, keys).filter(F.col("_exists"))
+    since = F.coalesce(F.col("_born"), F.col(seq_col))
+    ch = ch.filter(op.isin(*UPDATE_OPS) & (F.col(seq_col) >= since) | (op == "create") & (F.col(seq_col) == F.col("_born")))
+    aggs = []
+    for c in columns:
+        sets = F.when(op == "create", F.lit(True)).otherwise(_named(c, mask_col))
+        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(sets, F.col(seq_col))).alias(f"_u_{c}"))
+    folded = ch.groupBy(*keys).agg(*aggs) if aggs else ch.select(*keys).distinct()
+    j = base.join(live.join(folded, keys, "left"), keys, "full_outer").filter(F.coalesce("_exists", F.lit(True)))
+    out = []
     for c in base.columns:
         if c in keys:
-            out_cols.append(F.col(c))
+            out.append(F.col(c))
             continue
-        start = F.when(is_create, F.col(f"_reset.{c}") if c in columns else F.lit(None)).otherwise(F.col(c))
+        value = F.when(F.col("_born").isNull(), F.col(c))  # a created row starts empty
         if c in columns:
-            upd = F.col(f"_u_{c}")
-            later = upd.isNotNull() & (F.col("_reset").isNull() | (upd["seq"] > reset_seq))
-            val = F.when(later, upd["v"]).otherwise(start)
-        else:
-            val = start
-        out_cols.append(val.cast(base.schema[c].dataType).alias(c))
-    return j.filter(exists).select(*out_cols)
+            value = F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(value)
+        out.append(value.cast(base.schema[c].dataType).alias(c))
+    return j.select(*out)
+
+
+def _life(base: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str) -> DataFrame:
+    """Per changed key: does it exist at the end (``_exists``), and the create it exists by (``_born``, else null)."""
+    op = F.lower(F.col(op_col))
+    steps = changes.filter(op.isin(*RESET_OPS, *UPDATE_OPS)).select(*keys, F.col(seq_col).alias("_seq"), op.alias("_op"))
+    last = steps.groupBy(*keys).agg(F.max(F.when(F.col("_op") == "delete", F.col("_seq"))).alias("_deleted"))
+    creates = steps.filter("_op = 'create'").join(last, keys)
+    creates = creates.filter(F.col("_deleted").isNull() | (F.col("_seq") > F.col("_deleted")))
+    first = creates.groupBy(*keys).agg(F.min("_seq").alias("_create"))
+    present = base.select(*keys).withColumn("_here", F.lit(True))
+    j = last.join(present, keys, "left").join(first, keys, "left")
+    stays = F.col("_here").isNotNull() & F.col("_deleted").isNull()
+    return j.select(*keys, F.when(~stays, F.col("_create")).alias("_born"),
+                    (stays | F.col("_create").isNotNull()).alias("_exists"))
+
+
+def refused_creates(base: DataFrame, changes: DataFrame, key: Sequence[str] | str = "name",
+                    seq_col: str = "seq", op_col: str = "op") -> DataFrame:
+    """The ``create`` changes that met a live key: those after no delete on a key of ``base``, and those after
+    the first create that follows the key's latest earlier delete."""
+    keys = [key] if isinstance(key, str) else list(key)
+    op = F.lower(F.col(op_col))
+    steps = changes.filter(op.isin(*RESET_OPS))
+    deletes = steps.filter(op == "delete").select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col(seq_col).alias("_d"))
+    creates = steps.filter(op == "create")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_d_{k}"))
+    before = (creates.join(deletes, same & (F.col("_d") < F.col(seq_col)), "left")
+              .groupBy(*creates.columns).agg(F.max("_d").alias("_life")))
+    first = before.groupBy(*keys, "_life").agg(F.min(seq_col).alias("_first"))
+    same = F.col("_life").eqNullSafe(F.col("_l"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_k_{k}"))
+    first = first.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_life").alias("_l"), "_first")
+    present = base.select(*keys).distinct().withColumn("_here", F.lit(True))
+    j = before.join(first, same).join(present, keys, "left")
+    live = (F.col(seq_col) > F.col("_first")) | (F.col("_life").isNull() & F.col("_here").isNotNull())
+    return j.filter(live).select(*creates.columns)
 
 
 def write_snapshot(df: DataFrame, path: str, version: int | str, partition_by: Sequence[str] = ()) -> str:

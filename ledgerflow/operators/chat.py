@@ -32,6 +32,9 @@ UNKNOWN_COMMAND = "Unknown command: /"
 UNKNOWN_LEAVE_ACTION = "Unknown leave action: "
 UNKNOWN_CRM_ACTION = "Unknown CRM action: "
 
+#: White space that separates words of a command, as a character class: ASCII controls, spaces, and Unicode's.
+SPACE = "[\\x{9}-\\x{D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
+
 OUTPUT_FIELDS = ("handler", "object_id", "db", "period", "action", "arg", "lead_limit", "doctype", "query", "error")
 
 
@@ -120,11 +123,12 @@ def parse_commands(log: DataFrame, command_col: str = "command", text_col: str =
     """Route every command row; keeps the input columns and adds ``subcommand`` plus ``OUTPUT_FIELDS``.
 
     ``command`` is replaced by its normal form (lower case, no leading or
-    trailing ``/``); ``text`` by its trimmed form."""
-    cmd = F.regexp_replace(F.lower(F.col(command_col)), r"^/+|/+$", "")
-    txt = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"^\s+|\s+$", "")
+    trailing ``/``); ``text`` by its trimmed form. Words are separated by Unicode
+    white space. A missing command is an unknown one with an empty name."""
+    cmd = F.regexp_replace(F.lower(F.coalesce(F.col(command_col), F.lit(""))), r"^/+|/+$", "")
+    txt = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"^{SPACE}+|{SPACE}+$", "")
     base = log.withColumn("_cmd", cmd).withColumn("_txt", txt)
-    parts = F.split(F.col("_txt"), r"\s+")
+    parts = F.split(F.col("_txt"), f"{SPACE}+")
     base = (base.withColumn("_n", F.when(F.col("_txt") == "", F.lit(0)).otherwise(F.size(parts)))
             .withColumn("_parts", parts))
     n = F.col("_n")
@@ -162,17 +166,22 @@ def parse_commands(log: DataFrame, command_col: str = "command", text_col: str =
 
 
 def user_facts(users: DataFrame, groups_col: str = "groups") -> DataFrame:
-    """O-91: business unit (first ``ak-bu-*`` group), roles (every ``ak-role-*``), and the actor role
-    used for audit rows (first role, else ``service``)."""
+    """O-91: business unit (first ``ak-bu-*`` group), roles (every ``ak-role-*``), the user name (the
+    ``preferred_username`` column where there is one, else the e-mail), and the actor and actor role used
+    for audit rows (the e-mail; the first role, else ``service``). Missing groups are no groups."""
     g = F.col(groups_col)
     if users.schema[groups_col].dataType.simpleString() == "string":
         g = F.array(g)
+    g = F.filter(F.coalesce(g, F.array().cast("array<string>")), lambda x: x.isNotNull())
     bu = F.get(F.filter(g, lambda x: x.startswith(BUSINESS_UNIT_PREFIX)), 0)
     roles = F.transform(F.filter(g, lambda x: x.startswith(ROLE_PREFIX)),
                         lambda x: F.regexp_replace(x, ROLE_PREFIX, ""))
+    email = F.coalesce(F.col("email"), F.lit("")) if "email" in users.columns else F.lit("")
+    name = F.coalesce(F.col("preferred_username"), email) if "preferred_username" in users.columns else email
     return users.select(
         *users.columns,
         F.coalesce(F.regexp_replace(bu, BUSINESS_UNIT_PREFIX, ""), F.lit("")).alias("business_unit"),
         roles.alias("roles"),
         F.coalesce(F.get(roles, 0), F.lit(SERVICE_ROLE)).alias("actor_role"),
+        name.alias("username"), email.alias("actor"),
     )

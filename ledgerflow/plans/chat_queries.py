@@ -98,11 +98,12 @@ SELECT user_id, email, array_to_string(groups, ',') AS groups,
        array_to_string(list_transform(list_filter(groups, lambda g: starts_with(g, 'ak-role-')),
                                       lambda g: replace(g, 'ak-role-', '')), ',') AS roles,
        coalesce(list_transform(list_filter(groups, lambda g: starts_with(g, 'ak-role-')),
-                               lambda g: replace(g, 'ak-role-', ''))[1], 'service') AS actor_role
+                               lambda g: replace(g, 'ak-role-', ''))[1], 'service') AS actor_role,
+       email AS username, email AS actor
 FROM user_groups
 """)
 def user_facts(fx):
     """O-91: business unit, roles and audit actor role of every user."""
     out = chat.user_facts(fx["user_groups"])
     return out.select("user_id", "email", F.array_join("groups", ",").alias("groups"), "business_unit",
-                      F.array_join("roles", ",").alias("roles"), "actor_role")
+                      F.array_join("roles", ",").alias("roles"), "actor_role", "username", "actor")

@@ -179,6 +179,8 @@ SELECT
   'api' AS source,
   'R' || CAST(event_id AS string) AS request_id
 FROM {{events}}""",
+    "events_raw": """
+SELECT event_id, ts FROM {events}""",
     "lead": """
 SELECT
   'LEAD-' || lpad(CAST(c_custkey AS string), 6, '0') AS name,
@@ -229,7 +231,7 @@ SELECT
 FROM {orders}""",
     "sales_order_change": """
 SELECT
-  'SAL-ORD-' || lpad(CAST(l_orderkey AS string), 8, '0') AS name,
+  CASE WHEN l_orderkey % 50 = 0 THEN 'SAL-NEW-' ELSE 'SAL-ORD-' END || lpad(CAST(l_orderkey AS string), 8, '0') AS name,
   CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey AS seq,
   CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'delete'
        WHEN l_returnflag = 'N' AND l_linenumber = 1 THEN 'create'

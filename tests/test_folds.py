@@ -137,9 +137,9 @@ def _apply_model(base, changes, cols):
     for name, seq, op, *vals in sorted(changes, key=lambda c: (c[0], c[1])):
         if op == "delete":
             table.pop(name, None)
-        elif op == "create":
+        elif op == "create" and name not in table:  # refused on a live key
             table[name] = {"name": name, **dict(zip(cols, vals))}
-        elif name in table:
+        elif op != "create" and name in table:
             for c, v in zip(cols, vals):
                 if v is not None:
                     table[name][c] = v
@@ -257,3 +257,51 @@ def test_expense_reject_does_not_change_the_object(spark):
     assert {r.request_id: r.new_state for r in out.collect()} == {"E1": "approved", "E2": "refused", "E3": "refused"}
     states = {r.object_id: r.state for r in ap.new_states(out).collect()}
     assert states == {"1": "approved"}  # the rejects answered "refused" but left the expenses as they were
+
+
+def test_masked_updates_set_null_and_refused_creates_are_listed(spark):
+    from ledgerflow.operators.changes import refused_creates
+
+    base = spark.createDataFrame([("K1", "x", 1), ("K2", "y", 2)], "name string, status string, qty int")
+    rows = [("K1", 1, "update", None, 7, ["status"]), ("K2", 2, "create", "z", 9, ["status"]), ("K3", 3, "create", "n", None, None),
+            ("K3", 4, "write", None, 5, ["qty"]), ("K3", 5, "create", "again", 0, None), ("K4", 6, "update", "lost", 1, ["status"]),
+            ("K2", 7, "delete", None, None, None), ("K2", 8, "create", "w", None, None), ("K2", 9, "create", "v", None, None)]
+    changes = spark.createDataFrame(rows, "name string, seq bigint, op string, status string, qty int, fields array<string>")
+    got = sorted(tuple(r) for r in apply_changes(base, changes, "name", mask_col="fields").collect())
+    assert got == [("K1", None, 1), ("K2", "w", None), ("K3", "n", 5)]
+    assert sorted(r.seq for r in refused_creates(base, changes, "name").collect()) == [2, 5, 9]
+
+
+def test_repeats_and_equal_ids_have_one_outcome_each(spark):
+    """Exact repeats, one id on two objects, equal numbers in two companies, a missing time."""
+    rows = [("A", "invoice", "tln_db", 1, "approve", "u", None, None, None, T0)] * 2 + [
+        ("A", "invoice", "ieg_db", 1, "approve", "u", None, None, None, T0),
+        ("A", "invoice", "tln_db", 2, "approve", "u", None, None, None, T0),
+        ("B", "invoice", "tln_db", 2, "reject", "u", None, None, None, None)]
+    schema = ("request_id string, object_type string, db string, object_id bigint, action string, actor string, "
+              "actor_role string, reason string, source string, requested_at timestamp_ntz")
+    moves = spark.createDataFrame(
+        [(db, i, "draft") for db in ("tln_db", "ieg_db") for i in (1, 2)], "db string, id bigint, state string").selectExpr(
+        "*", "concat('N', id) as name", "'out_invoice' as move_type", "cast(1 as decimal(18,2)) as amount_total",
+        "cast(1 as decimal(18,2)) as amount_residual", "1 as partner_id", "date'2024-01-01' as invoice_date",
+        "date'2024-01-01' as invoice_date_due", "1 as currency_id")
+    out = ap.apply_approvals(spark.createDataFrame(rows, schema), moves, "invoice")
+    got = sorted((r.request_id, r.db, r.object_id, r.outcome) for r in out.collect())
+    assert got == [("A", "ieg_db", "1", "success"), ("A", "tln_db", "1", "success"), ("A", "tln_db", "2", "invalid_state"),
+                   ("B", "tln_db", "2", "success")]
+    ids = [r.id for r in ap.audit_rows(out).collect()]
+    assert len(ids) == len(set(ids)) == 3
+    with pytest.raises(ValueError):
+        ap.apply_approvals(spark.createDataFrame(rows, schema), moves, "invoice", transitions={"invoice": {"reject": "draft"}})
+    part = ap.apply_approvals(spark.createDataFrame(rows, schema), moves, "invoice", transitions={"invoice": {"approve": "ok"}})
+    assert {r.new_state for r in part.collect() if r.success} == {"ok", "cancel"}
+
+
+def test_ranks_of_null_groups_do_not_depend_on_the_limit(spark):
+    from ledgerflow.operators.topk import top_k_per_group
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1), ("a", 3)], "g string, v int")
+    small, large = (sorted(map(repr, (tuple(r) for r in top_k_per_group(df, ["g"], [F.col("v")], k).collect())))
+                    for k in (1000, 1001))
+    assert small == large and len(small) == 4

@@ -42,7 +42,7 @@ def test_period_filter_with_zone_still_pushes(spark):
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
-    tree = QS["overdue_summary"](spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
+    tree = QS["overdue_summary_capped"](spark, SMOKE_DIR)._jdf.queryExecution().executedPlan().toString()
     lines = tree.split("\n")
     final = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Final" in x)
     partial = next(i for i, x in enumerate(lines) if "WindowGroupLimit" in x and "Partial" in x)
