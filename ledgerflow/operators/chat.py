@@ -165,7 +165,8 @@ def parse_commands(log: DataFrame, command_col: str = "command", text_col: str =
                        F.when(known, sub).alias("subcommand"), *out_cols)
 
 
-def user_facts(users: DataFrame, groups_col: str = "groups") -> DataFrame:
+def user_facts(users: DataFrame, groups_col: str = "groups", unit_prefix: str = BUSINESS_UNIT_PREFIX,
+               role_prefix: str = ROLE_PREFIX) -> DataFrame:
     """O-91: business unit (first ``ak-bu-*`` group), roles (every ``ak-role-*``), the user name (the
     ``preferred_username`` column where there is one, else the e-mail), and the actor and actor role used
     for audit rows (the e-mail; the first role, else ``service``). Missing groups are no groups."""
@@ -173,14 +174,14 @@ def user_facts(users: DataFrame, groups_col: str = "groups") -> DataFrame:
     if users.schema[groups_col].dataType.simpleString() == "string":
         g = F.array(g)
     g = F.filter(F.coalesce(g, F.array().cast("array<string>")), lambda x: x.isNotNull())
-    bu = F.get(F.filter(g, lambda x: x.startswith(BUSINESS_UNIT_PREFIX)), 0)
-    roles = F.transform(F.filter(g, lambda x: x.startswith(ROLE_PREFIX)),
-                        lambda x: F.regexp_replace(x, ROLE_PREFIX, ""))
+    bu = F.get(F.filter(g, lambda x: x.startswith(unit_prefix)), 0)
+    roles = F.transform(F.filter(g, lambda x: x.startswith(role_prefix)),
+                        lambda x: F.replace(x, F.lit(role_prefix), F.lit("")))
     email = F.coalesce(F.col("email"), F.lit("")) if "email" in users.columns else F.lit("")
     name = F.coalesce(F.col("preferred_username"), email) if "preferred_username" in users.columns else email
     return users.select(
         *users.columns,
-        F.coalesce(F.regexp_replace(bu, BUSINESS_UNIT_PREFIX, ""), F.lit("")).alias("business_unit"),
+        F.coalesce(F.replace(bu, F.lit(unit_prefix), F.lit("")), F.lit("")).alias("business_unit"),
         roles.alias("roles"),
         F.coalesce(F.get(roles, 0), F.lit(SERVICE_ROLE)).alias("actor_role"),
         name.alias("username"), email.alias("actor"),

@@ -20,9 +20,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerflow.constants import COMPANIES
 from ledgerflow.operators.sequence import rank_within_group
 from ledgerflow.session import fits_broadcast, materialize
+from ledgerflow.sources.tables import companies
 
 RANK_COL = "rank"
 
@@ -112,7 +112,7 @@ BOUND_ROWS = 100_000
 
 def row_bound(limit: int | None, dbs=None) -> int | None:
     """Rows that ``limit`` per company can give at most; None when there is no limit."""
-    return None if limit is None else int(limit) * len(list(dbs) if dbs is not None else COMPANIES)
+    return None if limit is None else int(limit) * len(list(dbs) if dbs is not None else companies())
 
 
 def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: int | None) -> DataFrame:

@@ -10,12 +10,34 @@ from pyspark.sql import functions as F
 from ledgerflow.constants import COMPANIES
 
 
+_allowed: tuple[str, ...] = COMPANIES
+
+
+def set_companies(names: Iterable[str] | str | None = None) -> tuple[str, ...]:
+    """Set the allowed companies (names, or one comma-separated text; None: the default set); returns them."""
+    global _allowed
+    if names is None:
+        _allowed = COMPANIES
+    else:
+        parts = names.split(",") if isinstance(names, str) else names
+        chosen = tuple(dict.fromkeys(p.strip() for p in parts if p.strip()))
+        if not chosen:
+            raise ValueError("at least one company must be allowed")
+        _allowed = chosen
+    return _allowed
+
+
+def companies() -> tuple[str, ...]:
+    """The allowed companies."""
+    return _allowed
+
+
 def check_companies(dbs: Iterable[str] | None) -> tuple[str, ...]:
     """Validate a company list against the allowed set; ``None`` means all of them."""
     if dbs is None:
-        return COMPANIES
+        return _allowed
     dbs = tuple(dbs)
-    bad = [d for d in dbs if d not in COMPANIES]
+    bad = [d for d in dbs if d not in _allowed]
     if bad:
         raise ValueError(f"Database {bad[0]} not in allowed list")
     return dbs

@@ -278,3 +278,35 @@ def test_parameter_variants(spark):
     assert rec.columns == ["db", "id", "name"] and rec.count() == 2
     with pytest.raises(ValueError):
         m.overdue_summary(fx["account_move"], AS_OF, threshold_days=-1)
+
+
+def test_the_allowed_companies_can_be_set(spark):
+    from ledgerflow.operators import metrics
+    from ledgerflow.sources import tables
+
+    pickings = spark.createDataFrame([("hris_db", "assigned"), ("tln_db", "confirmed"), ("other", "assigned")],
+                                     "db string, state string")
+    try:
+        assert tables.set_companies(" tln_db, ieg_db,tmi_db , hris_db,") == ("tln_db", "ieg_db", "tmi_db", "hris_db")
+        got = {r.db: r.pending_deliveries for r in metrics.pending_deliveries(pickings).collect()}
+        assert got == {"tln_db": 1, "ieg_db": 0, "tmi_db": 0, "hris_db": 1}
+        with pytest.raises(ValueError):
+            tables.check_companies(["other"])
+        with pytest.raises(ValueError):
+            tables.set_companies(" , ")
+    finally:
+        assert tables.set_companies() == tables.COMPANIES
+    with pytest.raises(ValueError):
+        tables.check_companies(["hris_db"])
+
+
+def test_null_rows_and_backslashes_in_filters(spark):
+    from ledgerflow.operators.lists import list_query, predicate
+
+    df = spark.createDataFrame([(1, "a\\b"), (2, None), (3, "ab"), (4, "a%b")], "name int, v string")
+    def names(op, value):
+        return sorted(r.name for r in df.filter(predicate("v", op, value)).collect())
+    assert names("!=", "ab") == [1, 2, 4] and names("not in", ["ab"]) == [1, 2, 4]
+    assert names("not like", "a%") == [2] and names("like", "a\\b") == [1] and names("like", "%\\") == []
+    with pytest.raises(ValueError):
+        list_query(df.select("v"), length=2)
