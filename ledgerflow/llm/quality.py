@@ -157,7 +157,8 @@ def _threshold(docs: DataFrame, left_out: DataFrame, weights, bits: int) -> floa
 
 def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   bits: int = BUCKET_BITS) -> DataFrame:
-    """Every column of ``docs`` plus one struct column ``quality`` (the fields of ``SCORED``), one row per row.
+    """Every column of ``docs`` plus one struct column ``quality`` (the fields of ``SCORED``; it takes the place
+    of a column of that name), one row per row.
 
     ``trusted_ids`` (one column, ids of trusted documents; repeats and nulls are ignored) marks the
     target text. Null text counts as empty; an empty or short text fails the base rules. Rows with a null
@@ -194,7 +195,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     scored = docs.toDF(*out_names).mapInArrow(
         score, f"{schema}, quality struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
-    return scored.toDF(*names, "quality")
+    return scored.select(*[F.col(c).alias(n) for c, n in zip(out_names, names, strict=True) if n != "quality"], "quality")
 
 
 def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFrame:
