@@ -15,9 +15,9 @@ from ledgerflow.llm.common import stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """``edges`` have u > v. The smallest neighbour of v (or itself) is the smallest v that it points to."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("p"), "m")
+    return edges.join(least, F.col("v") == F.col("p"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
