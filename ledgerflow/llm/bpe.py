@@ -28,8 +28,8 @@ from ledgerflow.llm.common import python_tasks
 from ledgerflow.llm.text import pieces
 
 #: Bounds of what a worker keeps between rows; beyond them it starts afresh.
-MAX_STATES = 200_000
-MAX_PIECES = 400_000
+MAX_STATES = 100_000
+MAX_PIECES = 250_000
 MAX_KEPT_PIECE = 64
 
 
@@ -78,6 +78,7 @@ class Transducer:
                     self.depth.append(self.depth[key >> 8] + 1)
             self.rank[node] = rank
         self.length = [len(t) for t in self.tokens]
+        self.number = list(range(len(self.tokens)))  # one object per id, however often it is kept
         self.longest = max(self.length, default=1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.halves: dict[bytes, tuple[bytes, bytes] | None] = {}
@@ -189,10 +190,10 @@ class Transducer:
     def path(self, last: list[int], start: int, end: int) -> list[int]:
         """Tokens from one position to another, given the last token at each."""
         out = []
-        length = self.length
+        length, number = self.length, self.number
         while end > start:
             token = last[end - 1]
-            out.append(token)
+            out.append(number[token])
             end -= length[token]
         out.reverse()
         return out

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ledgerflow.session import work_dir
 
 #: Bytes of one Arrow batch sent to a Python task (long texts then make short batches).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
