@@ -26,8 +26,8 @@ BLOCK_DOCUMENTS = 64
 RESOLUTION = 1000
 #: Sources with a weight of their own, at most; the others share one lane.
 MAX_SOURCES = 500
-#: Documents that are ranked together: a source has a group for each so many documents.
-RANK_ROWS = 20_000
+#: Documents that are ranked together, about: a source has a group for each so many of its documents.
+RANK_ROWS = 2_000
 
 
 def shares(weights: list[float], slots: int) -> list[int]:
@@ -139,14 +139,16 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
     else:
         docs = docs.withColumn("_lane", lane.cast("int"))
     counts = {r["_lane"]: r["count"] for r in docs.groupBy("_lane").count().collect()}
-    total = sum(counts.values())
     sizes = [-(-counts.get(i, 0) // block_docs) for i in range(len(named) + 1)]
     # Sources without a weight share the last lane, of weight 0; with tempered weights it gets the smallest.
     rest = 0.0 if weights is not None else min(weight_of.values(), default=0.0)
     runs = schedule([weight_of[s] for s in named] + [rest], sizes, resolution)
 
     # Ranks inside a lane, in the order of a hash: groups by the hash's first bits, so that no lane is one group.
-    groups = max(1, -(-total // RANK_ROWS))
+    groups = F.lit(1)
+    if counts:
+        pairs = [F.lit(x) for i, n in counts.items() for x in (i, -(-n // RANK_ROWS))]
+        groups = F.element_at(F.create_map(*pairs), F.col("_lane"))
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     docs = docs.withColumn("_h", h).withColumn("_g", F.floor(
         (F.col("_h").cast("double") / float(1 << 64) + 0.5) * groups).cast("long"))
