@@ -42,10 +42,12 @@ def mixing_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, valid) of every document."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, valid, position) of every document: ``position`` counts
+    the documents before it in the mixture that the stage before wrote."""
     import public_tokenizers
 
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(mixing.written_order(docs), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+                          public_tokenizers.PATTERN, keep=("position",))
 
 
 STAGES = [

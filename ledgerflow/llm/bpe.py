@@ -339,8 +339,9 @@ def coder(path: str, pattern: str) -> tuple[Encoder, Decoder]:
 
 
 def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str,
-              make: Callable[[str | None], tuple]) -> DataFrame:
+              make: Callable[[str | None], tuple], keep: tuple[str, ...] = ()) -> DataFrame:
     python_tasks(docs.sparkSession)
+    schema = ", ".join([schema, *(f"{c} long" for c in keep)])
     kinds = pa.schema([("doc_id", pa.int64())] + [
         (c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(),
                         "array<int>": pa.list_(pa.int32())}[c.split()[1]]) for c in schema.split(", ")])
@@ -348,9 +349,10 @@ def _per_text(docs: DataFrame, id_col: str, text_col: str, schema: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
             rows = [make(t) for t in part.column(1).to_pylist()]
-            yield pa.record_batch([part.column(0), *map(list, zip(*rows, strict=True))], schema=kinds)
+            yield pa.record_batch([part.column(0), *map(list, zip(*rows, strict=True)), *part.columns[2:]], schema=kinds)
 
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                        *[F.col(c).cast("long").alias(c) for c in keep])
     return plain.mapInArrow(run, f"doc_id long, {schema}")
 
 
@@ -363,11 +365,13 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     return _per_text(docs, id_col, text_col, "ids array<int>", lambda t: (coder(path, pattern)[0].encode(t or ""),))
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+               keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode every text and decode its ids again; edge cases as in ``encode``.
 
     (doc_id, n_tokens, ids_sha256, decoded_sha256, valid): hashes of the comma-joined decimal ids and of
-    the decoded bytes; ``valid`` when the decoder's state machine accepted them as complete UTF-8."""
+    the decoded bytes; ``valid`` when the decoder's state machine accepted them as complete UTF-8. The
+    whole-number columns ``keep`` follow as they are."""
 
     def digest(text: str | None) -> tuple:
         encoder, decoder = coder(path, pattern)
@@ -380,4 +384,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 state == BETWEEN)
 
     return _per_text(docs, id_col, text_col,
-                     "n_tokens long, ids_sha256 string, decoded_sha256 string, valid boolean", digest)
+                     "n_tokens long, ids_sha256 string, decoded_sha256 string, valid boolean", digest, keep)

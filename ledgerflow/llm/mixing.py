@@ -201,3 +201,21 @@ def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = No
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (out.repartitionByRange(parts, "_slot", "_place").sortWithinPartitions("_slot", "_place")
             .select(*plain.columns).toDF(*names))
+
+
+def written_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, position): rows of ``docs``, which was read from the Parquet files that ``in_mixed_order``
+    was written to, with their places in that order (from 0).
+
+    A reader packs files by their sizes, so the order of the rows read is not that of the mixture. The place is
+    the row's number in its file after the rows of the files before, by the number of the task that wrote them.
+    The table of files has a row per file, so as many as the writer had partitions."""
+    meta = docs.metadataColumn("_metadata")
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
+                        meta["file_name"].alias("_file"), meta["row_index"].alias("_row"))
+    number = [F.regexp_extract("_file", pattern, 1).try_cast("long") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = Window.orderBy(*number, "_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = plain.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).select(
+        F.col("_file").alias("_file2"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return plain.join(F.broadcast(files), F.col("_file") == F.col("_file2")).select(
+        "doc_id", "text", (F.col("_before") + F.col("_row")).alias("position"))

@@ -75,3 +75,20 @@ def test_registered_once_with_all_ten():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
     assert set(QUERIES) <= set(queries) and set(ORACLES) <= set(QUERIES)
     assert words("a b") == ["a", "b"]
+
+
+def test_rows_of_the_run_have_their_place_in_the_mixture(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, DIR)
+    mixed = sorted((r["slot"], r["place"], r["doc_id"]) for r in mixing.mix_sources(docs).collect())
+    rows = sorted((r["position"], r["doc_id"]) for r in corpus_pipeline.run(spark, DIR).collect())
+    assert rows == [(i, doc) for i, (_, _, doc) in enumerate(mixed)]
+
+
+def test_place_does_not_depend_on_how_files_are_read(spark, tmp_path):
+    """Files of very different sizes, read in an order that is not that of their names."""
+    rows = spark.range(400, numPartitions=1).selectExpr("id as doc_id", "repeat('x', cast((id * 37) % 101 as int)) as text")
+    rows.repartitionByRange(8, "doc_id").sortWithinPartitions("doc_id").write.parquet(str(tmp_path / "t"))
+    got = mixing.written_order(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert len(got) == 400 and all(r["position"] == r["doc_id"] for r in got)
