@@ -86,3 +86,79 @@ def test_edge_rows(edge, none):
     assert mixing.mix_sources(none).count() == 0 and mixing.in_mixed_order(none).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_sources(edge, {"a": -1.0})
+
+
+def off_target(rows, weights):
+    """The largest deviation from the requested weights, in blocks, at any slot of any phase."""
+    worst, phase_now = 0.0, -1
+    for lane, _, phase, slot in rows:
+        if phase != phase_now:
+            phase_now, start, got = phase, slot, [0] * len(weights)
+            here = {r[0] for r in rows if r[2] == phase} if phase else set(range(len(weights)))
+            total = sum(weights[i] for i in here)
+        got[lane] += 1
+        worst = max(worst, *(abs(got[i] - weights[i] / total * (slot - start + 1)) for i in here))
+    return worst
+
+
+def test_requested_weights_hold_over_many_periods():
+    """A third of 3 million documents in one source, the rest in 19 equal ones, square-root weights."""
+    docs = [1_000_000, *[2_000_000 // 19] * 19]
+    blocks = [-(-n // 64) for n in docs]
+    weights = [n ** 0.5 for n in docs]
+    rows = list(mixing.placements(weights, blocks))
+    assert len(set(r[:2] for r in rows)) == len(rows) == sum(blocks) and [r[3] for r in rows] == list(range(len(rows)))
+    first = [r for r in rows if r[2] == 0]
+    assert len(first) > 20_000 and off_target(first, weights) < 1
+    assert off_target(sorted(mixing.placements(weights, blocks, 1000), key=lambda r: r[3])[:len(first)], weights) > 1
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_exact_windows_in_all_phases(seed):
+    r = random.Random(seed)
+    weights = [r.random() ** 3 + 0.001 for _ in range(r.randint(1, 9))]
+    rows = list(mixing.placements(weights, [r.randint(1, 300) for _ in weights]))
+    assert [x[3] for x in rows] == list(range(len(rows)))
+    worst, last = 0.0, max(x[2] for x in rows)
+    left = {i: sum(x[0] == i for x in rows) for i in range(len(weights))}
+    for phase in range(last + 1):
+        here = [x for x in rows if x[2] == phase]
+        total = sum(weights[i] for i, n in left.items() if n)
+        got = dict.fromkeys([i for i, n in left.items() if n], 0)
+        for t, (lane, _, _, _) in enumerate(here, 1):
+            got[lane] += 1
+            worst = max(worst, *(abs(got[i] - weights[i] / total * t) for i in got))
+        for i, n in got.items():
+            left[i] -= n
+    assert worst < 1 + 1e-9
+
+
+def test_shared_lane_is_dealt_out_by_weights():
+    docs = [6400, 3200, 3200, *[640] * 30]
+    weights, blocks = [n ** 0.5 for n in docs], [n // 64 for n in docs]
+    order = list(mixing.dealt(weights, blocks))
+    assert sorted(order) == sorted((s, b) for s, n in enumerate(blocks) for b in range(n))
+    got = [0] * len(docs)
+    until = int(min(n / w for n, w in zip(blocks, weights, strict=True)) * sum(weights))  # nobody is through before
+    for t, (s, b) in enumerate(order, 1):
+        assert b == got[s]
+        got[s] += 1
+        if t <= until:
+            assert all(abs(g - w / sum(weights) * t) < 1 + 1e-9 for g, w in zip(got, weights, strict=True))
+
+
+def test_sources_beyond_the_largest_keep_their_weights(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    monkeypatch.setattr(mixing, "RANK_ROWS", 50)
+    docs = spark.range(1100).selectExpr("id as doc_id", "if(id < 300, 'a', if(id < 500, 'b', concat('c', id % 4))) as source")
+    rows = mixing.mix_sources(docs, block_docs=3).collect()
+    assert len({r["doc_id"] for r in rows}) == len(rows) == 1100
+    of_slot = {}
+    for r in rows:
+        of_slot.setdefault(r["slot"], set()).add(r["source"])
+    assert sorted(of_slot) == list(range(len(of_slot))) and all(len(x) == 1 for x in of_slot.values())
+    weights = {"a": 300 ** 0.5, "b": 200 ** 0.5, **{f"c{i}": 150 ** 0.5 for i in range(4)}}
+    got = dict.fromkeys(weights, 0)
+    for slot in range(min(r["slot"] for r in rows if r["phase"] == 1)):
+        got[of_slot[slot].copy().pop()] += 1
+        assert all(abs(got[s] - w / sum(weights.values()) * (slot + 1)) < 2 for s, w in weights.items())
