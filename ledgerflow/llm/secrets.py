@@ -3,8 +3,8 @@
 Candidate strings are runs of token characters. A window of fixed length slides over each
 candidate; the counts of its characters change by one in and one out, so its entropy is
 kept up to date from the terms of the two counts that change. Windows at or over the
-threshold of the candidate's character class are joined into spans. Candidates that match
-an allow-list entry are suppressed.
+threshold of their own character class are joined into spans. Windows that lie inside a
+part of the candidate that allow-list entries match are suppressed, and no others.
 """
 
 from __future__ import annotations
@@ -34,15 +34,19 @@ KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 #: A candidate is a run of these, at least a window long.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
 WINDOW = 20
-#: Least entropy of a window, in bits per character, by character class of the candidate.
-THRESHOLDS = {"decimal": math.inf, "hex": 3.0, "letters": math.inf, "alphanumeric": 3.5, "base64": 3.7}
-#: Candidates that fully match one of these are not reported (UUIDs, rulers, words joined by
-#: separators with short numbers at most, well-known placeholders).
+#: Least entropy of a window, in bits per character, by its character class.
+THRESHOLDS = {"decimal": 2.7, "hex": 3.0, "letters": 3.7, "alphanumeric": 3.5, "base64": 3.7}
+_WHOLE = r"(?![A-Za-z0-9])"
+#: Parts of candidates in which nothing is reported (UUIDs, rulers, words of one case or with humps that are shorter
+#: than a window, joined by separators with short numbers at most, digits that count up, and the surroundings of
+#: well-known placeholders, up to a window with the whole word).
 ALLOW = (
-    r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
-    r"(.)\1*",
-    r"(?:[A-Za-z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Za-z]+|[0-9]{1,4}))*[-_/=+]*",
-    r"(?i:.*(?:example|placeholder|changeme|xxxxxx).*)",
+    rf"(?<![A-Za-z0-9])[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}{_WHOLE}",
+    r"(.)\1{7,}",
+    rf"[-_/=+]*(?<![A-Za-z0-9])(?:(?:(?=[A-Za-z]{{1,19}}{_WHOLE})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}})*)|[0-9]{{1,4}})"
+    rf"{_WHOLE}[-_/=+]*)+",
+    rf"(?<![A-Za-z0-9])0?(?:1234567890)+1?2?3?4?5?6?7?8?9?{_WHOLE}",
+    r"[A-Za-z0-9]{0,13}(?i:example|placeholder|changeme|xxxxxx)[A-Za-z0-9]{0,13}",
 )
 
 _TERM = [0.0] + [n * math.log2(n) for n in range(1, 1025)]
@@ -77,19 +81,27 @@ def window_entropies(s: str, window: int) -> Iterator[float]:
 
 
 def entropy_spans(text: str, window: int = WINDOW, thresholds: dict[str, float] | None = None,
-                  allow: re.Pattern | None = None) -> list[tuple[int, int]]:
+                  allow: tuple[re.Pattern, ...] | None = None) -> list[tuple[int, int]]:
     """Joined windows of high entropy in the candidates of a text, in code points."""
     thresholds = thresholds or THRESHOLDS
-    allow = allow or _allow(ALLOW)
+    allow = _allow(ALLOW) if allow is None else allow
+    least = min(thresholds.values()) - 1e-9
     spans: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         s, at = m.group(), m.start()
-        least = thresholds[char_class(s)]
-        if least == math.inf or len(s) < window or allow.fullmatch(s):
+        if len(s) < window:
             continue
+        parts: list[tuple[int, int]] | None = None
+        now = 0
         begin = end = -1
         for i, e in enumerate(window_entropies(s, window)):
-            if e >= least - 1e-9:
+            if e >= least and e >= thresholds[char_class(s[i:i + window])] - 1e-9:
+                if parts is None:
+                    parts = _allowed(s, allow)
+                while now < len(parts) and parts[now][1] < i + window:
+                    now += 1
+                if now < len(parts) and parts[now][0] <= i:
+                    continue
                 if i > end:
                     if begin >= 0:
                         spans.append((at + begin, at + end))
@@ -100,18 +112,19 @@ def entropy_spans(text: str, window: int = WINDOW, thresholds: dict[str, float]
     return spans
 
 
-_patterns: dict[tuple[str, ...], re.Pattern] = {}
+def _allowed(s: str, allow: tuple[re.Pattern, ...]) -> list[tuple[int, int]]:
+    """Joined parts of a candidate that the allow-list matches."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(m.span() for p in allow for m in p.finditer(s) if m.group()):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
 
-def _allow(entries: tuple[str, ...]) -> re.Pattern:
-    if entries not in _patterns:
-        # Each entry's group numbers are its own: \1 is turned into the number it has in the union.
-        out, groups = [], 0
-        for e in entries:
-            out.append("(?:" + re.sub(r"\\(\d)", lambda m: f"\\{int(m[1]) + groups}", e) + ")")  # noqa: B023
-            groups += re.compile(e).groups
-        _patterns[entries] = re.compile("|".join(out) or r"(?!)", re.DOTALL)
-    return _patterns[entries]
+def _allow(entries: tuple[str, ...]) -> tuple[re.Pattern, ...]:
+    return tuple(re.compile(e, re.DOTALL) for e in entries)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

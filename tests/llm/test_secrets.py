@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -83,3 +84,35 @@ def test_masking_keeps_rows_and_columns(spark, edge):
     by_id = {r["doc_id"]: r for r in out.collect()}
     assert by_id[11]["text"] == "[SECRET]' [SECRET] [SECRET]" and by_id[11]["n_chars"] == len(by_id[11]["text"])
     assert by_id[1] == docs.where("doc_id = 1").first() and by_id[2]["text"] is None
+
+
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+@pytest.mark.parametrize(("before", "digits", "n", "least"), [
+    ("", LETTERS, 32, 0.99), ("", "0123456789", 32, 0.95), ("sig=", "0123456789ABCDEF", 40, 0.99),
+    ("sig=", "0123456789abcdef", 20, 0.9), ("sig=", LETTERS, 32, 0.99),
+])
+def test_random_keys_are_found(before, digits, n, least):
+    r = random.Random(7)
+    keys = ["".join(r.choice(digits) for _ in range(n)) for _ in range(1000)]
+    assert sum(bool(secrets.entropy_spans(before + k)) for k in keys) >= least * len(keys)
+
+
+KEY = "sk9fJ2kLq8Zx7Vb3Nm5Wp1RtYh6Uc4"
+
+
+@pytest.mark.parametrize(("text", "inside"), [
+    ("example" + KEY + KEY[::-1], KEY[13:]), ("docs/example/" + KEY, KEY), ("user_id=123e4567-e89b-12d3-a456-426614174000/" + KEY, KEY),
+    ("a-long-name-with-many-words/" + KEY, KEY), ("kJhGfDsAqW-eRtYuIoPzX-mNbVcXzLkQ", "kJhGfDsAqW-eRtYuIoPzX-mNbVcXzLkQ"),
+])
+def test_allow_list_covers_matching_parts_only(text, inside):
+    at = text.index(inside)
+    assert any(s <= at and at + len(inside) <= e for s, e in secrets.entropy_spans(text))
+
+
+@pytest.mark.parametrize("text", [
+    "user_id=123e4567-e89b-12d3-a456-426614174000", "quick-brown-fox-jumps/over-2-lazy-dogs", "src/main/MyClass/someMethod",
+    "=" * 30 + "quick-brown-fox-jumps", "Rindfleischetikettierungs", "docs/example/your-key-here"])
+def test_plain_parts_are_not_reported(text):
+    assert not secrets.entropy_spans(text)
