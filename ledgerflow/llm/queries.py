@@ -61,8 +61,8 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram deleted-interpolation score of every document, beside the add-0.1 unigram score."""
-    return interpolation.score_texts(read(spark, sf_dir, "documents"))
+    """Trigram deleted-interpolation score of every document, beside the add-0.1 unigram score."""
+    return interpolation.score_texts(read(spark, sf_dir, "documents"), order=3)
 
 
 @query

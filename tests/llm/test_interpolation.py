@@ -83,3 +83,11 @@ def test_no_rows_and_no_training_text(spark, none):
     r = lm.score_texts(only).first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (True, 3, 0, 0)
     assert r["base_score"] == 0 and r["score"] == pytest.approx(0, abs=1e-9)
+
+
+def test_registered_query_uses_trigrams(spark, small):
+    from ledgerflow.llm.queries import op1_deleted_interpolation
+
+    got = {r["doc_id"]: r["score"] for r in op1_deleted_interpolation(spark, "/root/testdata/sf0.001").collect()}
+    want, less = ({r["doc_id"]: r["score"] for r in lm.score_texts(small, order=n).collect()} for n in (3, 2))
+    assert got == pytest.approx(want, rel=1e-9) and got != pytest.approx(less, rel=1e-3)
