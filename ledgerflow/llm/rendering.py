@@ -2,7 +2,7 @@
 
 A page is read into a tree with the tags that HTML implies (ends of paragraphs, list items,
 cells; table bodies and rows), elements that are not shown are left out (by kind, by
-attribute, by inline style or by simple rules of the page's own style sheets), and the rest
+attribute, or by what the page's own style sheets and inline styles say last for a screen), and the rest
 is laid out as text: blocks on lines of their own with the blank lines their margins give,
 list items with bullets or numbers, table cells in aligned columns. Runs of white space
 collapse as in a browser, except in preformatted text.
@@ -26,8 +26,17 @@ from ledgerflow.llm.text import pieces
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NOT_SHOWN = frozenset("head script style title template noscript datalist iframe object audio video canvas svg math "
-                      "noembed noframes area base link meta param source track input map rp".split())
+NOT_SHOWN = frozenset("head script style title template noscript datalist iframe object audio video canvas "
+                      "noembed noframes area base link meta param source track input map rp "
+                      "annotation annotation-xml".split())
+#: Elements whose parts have no implied ends, what is read as a page inside them, and start tags that end them.
+FOREIGN = frozenset("svg math".split())
+PAGE_IN_FOREIGN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BORDERS = FOREIGN | PAGE_IN_FOREIGN
+ENDS_FOREIGN = frozenset("b big blockquote br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu "
+                         "nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Parts of a drawing that are only shown where others refer to them.
+DEFINITIONS = frozenset("defs symbol clippath mask pattern marker metadata desc".split())
 #: Blocks with a blank line before and after, and blocks that only start lines of their own.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
 LINED = frozenset("html body div section article header footer nav main aside address form li dt dd figcaption details "
@@ -63,19 +72,25 @@ _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN_STYLE = re.compile(r"(?:^|[;{\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.IGNORECASE)
-_SHOWN_STYLE = re.compile(r"(?:^|[;{\s])visibility\s*:\s*visible\b", re.IGNORECASE)
-_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
-_SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)\Z")
+_CSS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[{};]", re.DOTALL)
+_DECLARATION = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+(?:\s+[a-z-]+)*)\s*(!\s*important)?\s*(?=[;}]|\Z)",
+                          re.IGNORECASE)
+_COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+|\[\s*[\w-]+\s*(?:=\s*(?:\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\])*)\Z")
+_PART = re.compile(r"([.#])([\w-]+)|\[\s*([\w-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[\w-]+)\s*)?\]")
+#: The screen that style sheets are read for, in pixels.
+SCREEN_WIDTH, SCREEN_HEIGHT = 1280, 800
+_MEDIA = {"orientation": "landscape", "prefers-color-scheme": "light", "prefers-reduced-motion": "no-preference",
+          "hover": "hover", "any-hover": "hover", "pointer": "fine", "any-pointer": "fine", "scripting": "enabled"}
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    __slots__ = ("attributes", "children", "shown", "tag")
 
     def __init__(self, tag: str, attributes: dict[str, str]):
         self.tag, self.attributes = tag, attributes
         self.children: list[Node | str] = []
+        self.shown = True
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -121,6 +136,7 @@ def build_tree(html: str) -> Node:
     root = Node("html", {})
     open_ = [root]
     body: Node | None = None
+    drawn = False
 
     def close(kinds: set[str] | frozenset[str], until: set[str] | frozenset[str]) -> bool:
         for i in range(len(open_) - 1, 0, -1):
@@ -131,6 +147,10 @@ def build_tree(html: str) -> Node:
                 return False
         return False
 
+    def border() -> int:
+        """Place of the nearest open drawing or formula, or page inside one (0: none)."""
+        return next((i for i in range(len(open_) - 1, 0, -1) if open_[i].tag in BORDERS), 0)
+
     def put(tag: str, attributes: dict[str, str]) -> Node:
         node = Node(tag, attributes)
         open_[-1].children.append(node)
@@ -166,6 +186,14 @@ def build_tree(html: str) -> Node:
                 body = put("body", {})
             elif open_[-1] is root and body is not None:
                 open_.append(body)
+            inside = border() if drawn else 0
+            foreign = open_[inside].tag in FOREIGN
+            drawn = drawn or name in FOREIGN
+            if foreign and name in ENDS_FOREIGN:
+                while inside and open_[inside].tag not in PAGE_IN_FOREIGN:
+                    del open_[inside:]
+                    inside = border()
+                foreign = False
             if name in ENDS_P:
                 close({"p"}, SCOPE)
             if name in HEADINGS and open_[-1].tag in HEADINGS:
@@ -182,7 +210,9 @@ def build_tree(html: str) -> Node:
                     put("tbody", {})
                 if open_[-1].tag in ("thead", "tbody", "tfoot"):
                     put("tr", {})
-            put(name, attributes_of(rest) if rest.strip(" /") else {})
+            node = put(name, attributes_of(rest) if rest.strip(" /") else {})
+            if (foreign or name in FOREIGN) and rest.endswith("/") and open_[-1] is node:
+                open_.pop()
         elif name in ("html", "body"):
             continue
         elif name == "br":
@@ -197,53 +227,228 @@ def build_tree(html: str) -> Node:
     return root
 
 
+def _length(text: str) -> float | None:
+    m = re.fullmatch(r"\s*(\d+(?:\.\d+)?|\.\d+)\s*(px|em|rem|)\s*", text)
+    return float(m.group(1)) * (16 if m.group(2) in ("em", "rem") else 1) if m else None
+
+
+def _feature(text: str) -> bool:
+    """A media feature in brackets, for the screen; unknown ones do not hold."""
+    size = {"width": SCREEN_WIDTH, "height": SCREEN_HEIGHT, "device-width": SCREEN_WIDTH, "device-height": SCREEN_HEIGHT}
+    m = re.fullmatch(r"\s*(min-|max-)?((?:device-)?(?:width|height))\s*:\s*(.*)", text)
+    if m:
+        n, have = _length(m.group(3)), size[m.group(2)]
+        return n is not None and (have >= n if m.group(1) == "min-" else have <= n if m.group(1) else have == n)
+    m = re.fullmatch(r"(?:([^<>=]+?)\s*(<=?)\s*)?\s*(width|height)\s*(?:(<=?|>=?|=)\s*([^<>=]+))?\s*", text)
+    if m:
+        have, ok = size[m.group(3)], True
+        if m.group(1):
+            n = _length(m.group(1))
+            ok = n is not None and (n <= have if m.group(2) == "<=" else n < have)
+        if m.group(4):
+            n = _length(m.group(5))
+            ok = ok and n is not None and {"<": have < n, "<=": have <= n, ">": have > n, ">=": have >= n, "=": have == n}[m.group(4)]
+        return ok
+    name, _, value = (x.strip() for x in text.partition(":"))
+    return name == "color" and not value or name in _MEDIA and value in ("", _MEDIA[name])
+
+
+def on_screen(media: str) -> bool:
+    """Whether a list of media queries holds for the screen."""
+    for query in media.lower().split(","):
+        words = re.findall(r"\([^()]*\)|[^\s()]+", query)
+        negated = words[:1] == ["not"] and len(words) > 1
+        ok, either = True, False
+        for w in words[1:] if negated else words:
+            if w in ("and", "only"):
+                continue
+            if w == "or":
+                either = True
+                continue
+            holds = _feature(w[1:-1]) if w[0] == "(" else w in ("all", "screen")
+            ok, either = (ok or holds) if either else (ok and holds), False
+        if ok != negated:
+            return True
+    return False
+
+
+def _declared(body: str) -> dict[str, tuple[bool, str]]:
+    """The last declaration of display and of visibility, and whether it is important."""
+    out: dict[str, tuple[bool, str]] = {}
+    for name, value, important in _DECLARATION.findall(body):
+        name = name.lower()
+        if name not in out or bool(important) >= out[name][0]:
+            out[name] = (bool(important), value.lower())
+    return out
+
+
+class Compound:
+    """An element's name, classes, ids and attributes in a selector."""
+
+    def __init__(self, tag: str, parts: list[tuple[str, str, str, str]]):
+        self.tag = "" if tag == "*" else tag.lower()
+        self.classes = frozenset(name for kind, name, _, _ in parts if kind == ".")
+        self.ids = frozenset(name for kind, name, _, _ in parts if kind == "#")
+        self.attributes = [(name.lower(), value.strip("\"'") if value else None) for _, _, name, value in parts if name]
+
+    def matches(self, node: Node, classes: set[str]) -> bool:
+        a = node.attributes
+        return ((not self.tag or self.tag == node.tag) and self.classes <= classes
+                and all(x == a.get("id") for x in self.ids)
+                and all(n in a and (v is None or a[n] == v) for n, v in self.attributes))
+
+
 class Rules:
-    """Simple selectors (an element name with classes and an id) that the page's style sheets hide."""
+    """What the page's style sheets say of display and visibility, for selectors of names, classes, ids and
+    attributes, one inside another (others are passed over), and which elements that shows."""
 
     def __init__(self, root: Node):
-        self.hidden: list[tuple[str, frozenset[str], str]] = []
+        #: Rules by one thing that the element must have.
+        self.rules: dict[str, list[tuple]] = {}
+        self.n = 0
+        sheets: list[Node] = []
         todo = [root]
         while todo:
             node = todo.pop()
-            for child in node.children:
-                if isinstance(child, Node):
-                    todo.append(child)
             if node.tag == "style":
+                sheets.append(node)
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+        for node in sheets:
+            if on_screen(node.attributes.get("media", "") or "all"):
                 self._read("".join(c for c in node.children if isinstance(c, str)))
+        self._decide(root, [], False)
 
     def _read(self, css: str) -> None:
-        for selectors, body in _RULE.findall(_COMMENT.sub("", css)):
-            if not _HIDDEN_STYLE.search(body):
+        css = _COMMENT.sub("", css).replace("<!--", "").replace("-->", "")
+        holds, start, at = [True], 0, 0
+        while m := _CSS.search(css, at):
+            at = m.end()
+            if m.group() == ";":
+                start = at
+            elif m.group() == "}":
+                if len(holds) > 1:
+                    holds.pop()
+                start = at
+            elif m.group() == "{":
+                head = css[start:m.start()].strip()
+                start = at
+                if head.startswith("@"):
+                    name, rest = re.match(r"@([\w-]*)(.*)", head, re.DOTALL).groups()
+                    ok = (on_screen(rest) if name.lower() == "media" else name.lower() == "layer"
+                          or name.lower() == "supports" and not rest.strip().lower().startswith("not"))
+                    holds.append(holds[-1] and ok)
+                    continue
+                depth, body = 1, []  # declarations, without rules nested in them
+                while depth and (m := _CSS.search(css, at)):
+                    if m.group() == "{":
+                        if depth == 1:
+                            body.append(css[start:m.start()].rpartition(";")[0] + ";")
+                        depth += 1
+                    elif m.group() == "}":
+                        depth -= 1
+                        if not depth:
+                            body.append(css[start:m.start()])
+                        start = m.end()
+                    at = m.end()
+                if depth == 1:
+                    body.append(css[start:])
+                if depth:
+                    at = len(css)
+                if holds[-1]:
+                    self._add(head, "".join(body))
+
+    def _add(self, selectors: str, body: str) -> None:
+        said = _declared(body)
+        if not said:
+            return
+        for selector in selectors.split(","):
+            words = re.sub(r"\s*>\s*", " > ", selector).split()
+            chain: list[tuple[str, Compound]] = []
+            how = ""
+            for w in words:
+                if w == ">":
+                    how = ">"
+                    continue
+                m = _COMPOUND.match(w)
+                if not m:
+                    chain = []
+                    break
+                chain.append((how, Compound(m.group(1) or "", _PART.findall(m.group(2)))))
+                how = ""
+            if not chain or how:
+                continue
+            weight = (sum(len(c.ids) for _, c in chain), sum(len(c.classes) + len(c.attributes) for _, c in chain),
+                      sum(bool(c.tag) for _, c in chain))
+            last = chain[-1][1]
+            key = f"#{min(last.ids)}" if last.ids else f".{min(last.classes)}" if last.classes else last.tag
+            self.n += 1
+            self.rules.setdefault(key, []).append((weight, self.n, chain, said))
+
+    def _said(self, node: Node, above: list[Node]) -> dict[str, str]:
+        """Value of display and of visibility by the declaration that decides."""
+        best: dict[str, tuple] = {}
+        a = node.attributes
+        classes = set(a["class"].split()) if "class" in a else set()
+        if self.rules:
+            keys = ["", node.tag, *(f".{c}" for c in classes)] + ([f"#{a['id']}"] if "id" in a else [])
+            for key in keys:
+                for weight, n, chain, said in self.rules.get(key, ()):
+                    if chain[-1][1].matches(node, classes) and (len(chain) == 1 or _inside(chain, len(chain) - 1, above, len(above))):
+                        for name, (important, value) in said.items():
+                            rank = (important, False, weight, n, value)
+                            if name not in best or rank > best[name]:
+                                best[name] = rank
+        if a.get("style"):
+            for name, (important, value) in _declared(a["style"]).items():
+                rank = (important, True, (), 0, value)
+                if name not in best or rank[:2] > best[name][:2]:
+                    best[name] = rank
+        return {name: rank[-1] for name, rank in best.items()}
+
+    def _decide(self, node: Node, above: list[Node], unseen: bool) -> bool:
+        """Mark the elements that are not shown, take away text that is not visible; whether any is left."""
+        above.append(node)
+        some = False
+        for child in node.children:
+            if not isinstance(child, Node):
+                some = some or not unseen
+                continue
+            a = child.attributes
+            said = self._said(child, above) if a or self.rules else {}
+            display = said.get("display", "revert")
+            if display in ("revert", "revert-layer"):
+                there = not ("hidden" in a and a["hidden"].lower() != "until-found") and (child.tag != "dialog" or "open" in a)
+            else:
+                there = display != "none"
+            if child.tag in NOT_SHOWN or not there:
+                child.shown = False
                 continue
-            for selector in selectors.split(","):
-                m = _SIMPLE.match(selector.strip())
-                if m and selector.strip():
-                    parts = re.findall(r"[.#][\w-]+", m.group(2))
-                    ids = [p[1:] for p in parts if p[0] == "#"]
-                    self.hidden.append(((m.group(1) or "").lower(), frozenset(p[1:] for p in parts if p[0] == "."),
-                                        ids[0] if ids else ""))
+            visibility = said.get("visibility", "inherit")
+            here = unseen if visibility in ("inherit", "unset", "revert", "revert-layer") else \
+                visibility in ("hidden", "collapse")
+            left = self._decide(child, above, here)
+            child.shown = left or not here
+            some = some or child.shown
+        above.pop()
+        if unseen:
+            node.children = [c for c in node.children if isinstance(c, Node) and c.tag != "br"]
+        return some
 
     def shows(self, node: Node) -> bool:
-        a = node.attributes
-        if node.tag in NOT_SHOWN:
-            return False
-        if a:
-            if "hidden" in a and a["hidden"].lower() != "until-found":
-                return False
-            style = a.get("style", "")
-            if style:
-                if _HIDDEN_STYLE.search(style):
-                    return False
-                if _SHOWN_STYLE.search(style):
-                    return True
-        if node.tag == "dialog" and "open" not in a:
-            return False
-        if self.hidden:
-            classes = set(a.get("class", "").split())
-            for tag, wanted, name in self.hidden:
-                if (not tag or tag == node.tag) and wanted <= classes and (not name or name == a.get("id")):
-                    return False
+        return node.shown
+
+
+def _inside(chain: list[tuple[str, Compound]], i: int, above: list[Node], n: int) -> bool:
+    """Whether the elements around (``above``, up to ``n``) match the selector's parts before part ``i``."""
+    if not i:
         return True
+    for k in range(n - 1, -1, -1):
+        around = above[k]
+        if chain[i - 1][1].matches(around, set(around.attributes.get("class", "").split())) and _inside(chain, i - 1, above, k):
+            return True
+        if chain[i][0] == ">":
+            return False
+    return False
 
 
 class Lines:
@@ -313,6 +518,19 @@ class Lines:
         return self.lines
 
 
+def _drawing(node: Node, out: Lines, rules: Rules, keep: bool) -> None:
+    """The texts of a drawing, apart from each other and from what is around."""
+    for child in node.children:
+        if not isinstance(child, Node) or not rules.shows(child) or child.tag in DEFINITIONS:
+            continue
+        if child.tag in ("text", "foreignobject"):
+            out.space = True
+            _lay(child, out, rules, keep)
+            out.space = True
+        else:
+            _drawing(child, out, rules, keep)
+
+
 def _number(text: str, default: int, most: int) -> int:
     m = re.match(r"\s*([+-]?\d{1,9})", text or "")
     return max(-most, min(most, int(m.group(1)))) if m else default
@@ -377,6 +595,8 @@ def _lay(node: Node, out: Lines, rules: Rules, keep: bool) -> None:
         elif tag in ("td", "th"):  # a cell outside a table
             _lay(child, out, rules, keep)
             out.space = True
+        elif tag == "svg":
+            _drawing(child, out, rules, keep)
         elif tag == "q":
             out.text("“", keep)
             _lay(child, out, rules, keep)

@@ -80,3 +80,26 @@ def test_visible_words_of_real_pages_are_all_there(spark):
         got = set(re.sub(r"(?m)^[\s-]*- ", " ", render(r["html"])).split())
         joined = render(r["html"])
         assert all(w in got or w in joined for w in want)
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<style>@media print { .content { display:none } }</style><p class=content>yes", "yes"),
+    ("<style>@media (max-width:600px){.a{display:none}} @media screen and (min-width:50em){.b{display:none}}</style>"
+     "<p class=a>yes<p class=b>no", "yes"),
+    ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ("<style>@media print{p{color:red} @supports (x:y){.a{display:none}}} .b{display:none}</style><p class=a>yes<p class=b>no", "yes"),
+    ("<style>.a{display:none} .a{display:block}</style><p class=a>yes", "yes"),
+    ("<style>p.a{display:block} .a{display:none}</style><p class=a>yes<div class=a>no</div>", "yes"),
+    ("<style>.a{display:none} .open .a{display:block} div>.b{display:none}</style><div class=open><i><b class=a>yes</b></i></div>"
+     "<p class=a>no<p><span class=b>too</span><div><b class=b>no</b></div>", "yes\n\ntoo"),
+    ("<style>.a{display:none!important} #x{display:block}</style><p class=a id=x>no<p>yes", "yes"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>yes", "yes"),
+    ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
+    ("<style>.a:hover{display:none} .b{visibility:hidden} .b{visibility:visible}</style><p class=a>yes<p class=b>too", "yes\n\ntoo"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><g>no<text x=1>one</text><text>two<tspan>!</tspan></text></g></svg>b",
+     "a one two! b"),
+    ("<p>area <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> ok", "area a=2 ok"),
+    ("<svg><path d='M0'><p>cut off", "cut off"),
+])
+def test_text_that_a_screen_shows(html, text):
+    assert render(html) == text
