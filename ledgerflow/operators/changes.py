@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.sequence import with_previous
+
 RESET_OPS = ("create", "delete")
 UPDATE_OPS = ("update", "write")
 
@@ -88,23 +90,18 @@ def refused_creates(base: DataFrame, changes: DataFrame, key: Sequence[str] | st
     the first create that follows the key's latest earlier delete."""
     keys = [key] if isinstance(key, str) else list(key)
     op = F.lower(F.col(op_col))
-    steps = changes.filter(op.isin(*RESET_OPS))
-    deletes = steps.filter(op == "delete").select(*[F.col(k).alias(f"_d_{k}") for k in keys], F.col(seq_col).alias("_d"))
-    creates = steps.filter(op == "create")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_d_{k}"))
-    before = (creates.join(deletes, same & (F.col("_d") < F.col(seq_col)), "left")
-              .groupBy(*creates.columns).agg(F.max("_d").alias("_life")))
-    first = before.groupBy(*keys, "_life").agg(F.min(seq_col).alias("_first"))
-    same = F.col("_life").eqNullSafe(F.col("_l"))
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_k_{k}"))
-    first = first.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_life").alias("_l"), "_first")
-    present = base.select(*keys).distinct().withColumn("_here", F.lit(True))
-    j = before.join(first, same).join(present, keys, "left")
-    live = (F.col(seq_col) > F.col("_first")) | (F.col("_life").isNull() & F.col("_here").isNotNull())
-    return j.filter(live).select(*creates.columns)
+    creates = changes.filter(op == "create")
+    # A create meets a live key if the key's step before it is a create, or if there is none and the key is in base.
+    steps = (changes.filter(op.isin(*RESET_OPS)).dropna(subset=[*keys, seq_col]).groupBy(*keys, seq_col)
+             .agg(F.max(op == "create").alias("_creates"), F.max(op == "delete").alias("_deletes")))
+    steps = with_previous(steps, keys, [seq_col], {"_deletes": "_after_delete"}).filter("_creates")
+    present = base.select(*keys).distinct()
+    refused = (steps.filter(~F.col("_after_delete"))
+               .unionByName(steps.filter(F.col("_after_delete").isNull()).join(present, keys, "left_semi"))
+               .select(*keys, seq_col))
+    unordered = creates.filter(F.col(seq_col).isNull()).join(present, keys, "left_semi").select(*creates.columns)
+    return (creates.join(refused, [*keys, seq_col], "left_semi").select(*creates.columns)
+            .unionByName(unordered).distinct())
 
 
 def write_snapshot(df: DataFrame, path: str, version: int | str, partition_by: Sequence[str] = ()) -> str:

@@ -305,3 +305,26 @@ def test_ranks_of_null_groups_do_not_depend_on_the_limit(spark):
     small, large = (sorted(map(repr, (tuple(r) for r in top_k_per_group(df, ["g"], [F.col("v")], k).collect())))
                     for k in (1000, 1001))
     assert small == large and len(small) == 4
+
+
+def test_refused_creates_of_a_hot_key_are_found_without_listing_pairs(spark):
+    import random
+
+    from ledgerflow.operators.changes import refused_creates
+
+    r = random.Random(3)
+    rows = [(r.choice(["hot", "hot", "a", "b", "c"]), i, r.choice(["create", "delete", "update", "Create"])) for i in range(3000)]
+    rows += [("hot", None, "create"), ("c", None, "create"), (None, 5000, "create"), ("d", 6000, "delete"), ("d", 6000, "create")]
+    live, want = {"hot", "a"}, [("hot", None)]
+    for name, seq, op in rows[:3000]:
+        if op.lower() == "create":
+            if name in live:
+                want.append((name, seq))
+            live.add(name)
+        elif op == "delete":
+            live.discard(name)
+    base = spark.createDataFrame([("hot",), ("a",)], "name string")
+    got = refused_creates(base, spark.createDataFrame(rows, "name string, seq long, op string").repartition(5), "name")
+    assert sorted(((x.name, x.seq) for x in got.collect()), key=repr) == sorted(want, key=repr)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "<" in line.replace("<=>", "")]
