@@ -7,9 +7,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SMOKE_DIR = "/root/testdata/sf0.001"
-ORACLE_DIR = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -24,6 +21,7 @@ def spark():
 def duck():
     import duckdb
 
+    from __spark_entry__ import SMOKE_DIR
     from ledgerflow.sources.fixtures import RAW_TABLES
 
     con = duckdb.connect()

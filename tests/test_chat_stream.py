@@ -211,7 +211,7 @@ def test_requests_without_ids_keep_distinct_audit_rows(spark):
 def test_leave_approval_stream_equals_batch(spark):
     from ledgerflow.sources.fixtures import fixtures
 
-    from conftest import SMOKE_DIR
+    from __spark_entry__ import SMOKE_DIR
 
     fx = fixtures(spark, SMOKE_DIR)
     reqs, leaves = fx["approval_request_leave"], fx["hr_leave"]

@@ -7,7 +7,7 @@ import random
 from ledgerflow.operators import lists as ls
 from ledgerflow.sources.fixtures import duckdb_cte, fixtures
 
-from conftest import SMOKE_DIR
+from __spark_entry__ import SMOKE_DIR
 
 FIELDS = {
     "status": ["Draft", "Completed", "To Deliver and Bill", "Nope"],

@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as se  # noqa: E402
 from oracle_check import digest  # noqa: E402
 
-from conftest import SMOKE_DIR  # noqa: E402
+from __spark_entry__ import SMOKE_DIR  # noqa: E402
 
 ORACLES = se.oracle_sql()
 QUERIES = {n: q for n, q in se.queries().items() if n in se.catalog.REGISTRY}  # tests/llm has the other ones

@@ -12,7 +12,7 @@ from ledgerflow import functions as lf
 from ledgerflow.operators import metrics as m
 from ledgerflow.sources.tables import load_tables
 
-from conftest import SMOKE_DIR
+from __spark_entry__ import SMOKE_DIR
 
 QS = se.queries()
 

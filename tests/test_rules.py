@@ -258,7 +258,7 @@ def test_deep_and_open_ended_pages_match_shallow_paging(spark):
 def test_parameter_variants(spark):
     from ledgerflow.sources.fixtures import fixtures
 
-    from conftest import SMOKE_DIR
+    from __spark_entry__ import SMOKE_DIR
 
     fx = fixtures(spark, SMOKE_DIR)
     cmp_ = {r.db: r for r in m.sales_comparison(fx["sale_order"], AS_OF, period="week").collect()}

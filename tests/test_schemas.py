@@ -13,7 +13,7 @@ from ledgerflow.operators import worklists as wl
 from ledgerflow.plans.registry import AS_OF
 from ledgerflow.sources.fixtures import fixtures
 
-from conftest import SMOKE_DIR
+from __spark_entry__ import SMOKE_DIR
 
 CASES = {
     "SALES_SUMMARY": lambda fx: m.sales_summary(fx["sale_order"], AS_OF),
