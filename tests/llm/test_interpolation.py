@@ -6,7 +6,7 @@ import zlib
 
 import pytest
 
-from conftest import words
+from llm_helpers import words
 from ledgerflow.llm import interpolation as lm
 
 

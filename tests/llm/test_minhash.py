@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from conftest import words
+from llm_helpers import words
 from ledgerflow.llm import minhash
 from ledgerflow.llm.components import components
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import __spark_entry__ as entry
-from conftest import words
+from llm_helpers import words
 from ledgerflow.llm import bpe, mixing, quality, secrets
 from ledgerflow.llm.queries import ORACLES, QUERIES
 from test_minhash import brute

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from conftest import as_rows, words  # noqa: F401
+from llm_helpers import as_rows, words  # noqa: F401
 from ledgerflow.llm import quality
 from ledgerflow.llm.text import Words, utf8
 

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import words
+from llm_helpers import words
 from ledgerflow.llm import substrings
 
 

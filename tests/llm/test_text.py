@@ -4,7 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from conftest import words
+from llm_helpers import words
 from ledgerflow.llm.blocks import deltas, pack, unpack
 from ledgerflow.llm.text import U64, Words, inside, ngrams, pieces, utf8
 
