@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import bpe, hnsw, interpolation, minhash, mixing, quality, rendering, secrets, substrings, toxicity
+from ledgerflow.llm import (
+    bpe, hnsw, importance, interpolation, minhash, mixing, oracles, quality, rendering, secrets, substrings, toxicity,
+)
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL per query, where SQL can express it over whole tables in reasonable time.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_importance_resampling": oracles.OP11}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -87,3 +89,9 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page, laid out."""
     return rendering.extract_text(read(spark, sf_dir, "pages"))
+
+
+@query
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents drawn towards the benchmark texts' distribution of words."""
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
