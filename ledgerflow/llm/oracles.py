@@ -41,3 +41,47 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
        CASE WHEN k <= 10 * n // 100 THEN k END AS rank
 FROM scored LEFT JOIN ranked USING (r)
 """
+
+
+def _encoded(text: str) -> str:
+    return f"CASE WHEN {text} IS NULL THEN '-' ELSE strlen(CAST({text} AS VARCHAR)) || ':' || CAST({text} AS VARCHAR) END"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256(concat({', '.join(_encoded(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))}))"
+
+
+#: One more height of a list of nodes.
+_UP = "list_transform(range(0, len(nodes), 3), lambda i: sha256(array_to_string(nodes[i + 1:i + 3], '')))"
+#: The nodes of a run before and after the one at ``i`` with a mark between them.
+_RUN = "array_to_string(nodes[i - i % 3 + 1:i], '') || '*' || array_to_string(nodes[i + 2:i - i % 3 + 3], '')"
+
+OP13 = f"""
+WITH RECURSIVE {CRC_TABLE},
+  docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce('+' || source, '') AS g, {_leaf('text')} AS leaf,
+                  CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} END AS other
+           FROM documents, crc),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM docs),
+  up AS (SELECT g, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM placed GROUP BY g
+         UNION ALL SELECT g, level + 1, {_UP} FROM up WHERE len(nodes) > 1),
+  subroots AS (SELECT g, nodes[1] AS subroot, row_number() OVER (ORDER BY g) - 1 AS pos FROM up WHERE len(nodes) = 1),
+  top AS (SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM subroots
+          UNION ALL SELECT level + 1, {_UP} FROM top WHERE len(nodes) > 1),
+  runs AS (SELECT g, level, run, nodes[3 * run + 1:3 * run + 3] AS nodes
+           FROM (SELECT *, unnest(range(0, (len(nodes) + 2) // 3)) AS run FROM up WHERE len(nodes) > 1)),
+  top_runs AS (SELECT level, run, nodes[3 * run + 1:3 * run + 3] AS nodes
+               FROM (SELECT *, unnest(range(0, (len(nodes) + 2) // 3)) AS run FROM top WHERE len(nodes) > 1)),
+  top_path AS (SELECT g, list({_RUN} ORDER BY level) AS path
+               FROM (SELECT g, level, nodes, (pos // CAST(3 ** level AS BIGINT)) % 3 AS i FROM subroots JOIN top_runs ON run = pos // CAST(3 ** (level + 1) AS BIGINT))
+               GROUP BY g),
+  path AS (SELECT r, list({_RUN} ORDER BY level) AS path
+           FROM (SELECT r, level, nodes, (pos // CAST(3 ** level AS BIGINT)) % 3 AS i
+                 FROM placed JOIN runs ON placed.g = runs.g AND run = pos // CAST(3 ** (level + 1) AS BIGINT))
+           GROUP BY r),
+  whole AS (SELECT placed.*, subroot, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root,
+                   list_concat(coalesce(path.path, []), coalesce(top_path.path, [])) AS way
+            FROM placed JOIN subroots ON placed.g = subroots.g LEFT JOIN path USING (r) LEFT JOIN top_path ON placed.g = top_path.g),
+  ended AS (SELECT *, list_reduce(list_prepend(coalesce(other, leaf), way), lambda a, b: sha256(replace(b, '*', a))) AS folded_root FROM whole)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '*', '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified FROM ended
+"""

@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import (
-    bpe, hnsw, importance, interpolation, minhash, mixing, oracles, quality, rendering, secrets, substrings, toxicity,
+    bpe, hnsw, importance, interpolation, manifest, minhash, mixing, oracles, quality, rendering, secrets, substrings, toxicity,
 )
 from ledgerflow.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: DuckDB SQL per query, where SQL can express it over whole tables in reasonable time.
-ORACLES: dict[str, str] = {"op11_importance_resampling": oracles.OP11}
+ORACLES: dict[str, str] = {
+    "op11_importance_resampling": oracles.OP11, "op13_merkle_manifest": oracles.OP13,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]):
@@ -95,3 +97,11 @@ def op4_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents drawn towards the benchmark texts' distribution of words."""
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its tampered text would give."""
+    docs = read(spark, sf_dir, "documents")
+    tampered, changed = manifest.without_newlines(docs)
+    return manifest.manifest(docs, tampered=tampered, changed=changed)
