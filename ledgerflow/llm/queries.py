@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import (
-    bpe, hnsw, importance, interpolation, manifest, minhash, mixing, oracles, quality, rendering, secrets, substrings, toxicity,
+    bpe, fingerprints, hnsw, importance, interpolation, manifest, minhash, mixing, oracles, quality, rendering, secrets, substrings,
+    toxicity,
 )
 from ledgerflow.llm.common import read
 
@@ -99,6 +100,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.fingerprint_pairs(read(spark, sf_dir, "documents"))
+
+
 @query
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document, and the root that its tampered text would give."""
