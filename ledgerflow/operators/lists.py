@@ -246,7 +246,7 @@ def invoice_detail(moves: DataFrame, partners: DataFrame, currencies: DataFrame,
                    dbs: Iterable[str] | None = None) -> DataFrame:
     """Invoices with partner and currency (13 columns + ``db``); ``ids`` optionally narrows them."""
     m = _id_filter(allowed(moves, dbs), ids, "id")
-    bounded = len(ids) if ids is not None and not isinstance(ids, DataFrame) else None
+    bounded = row_bound(len(list(ids)), dbs) if ids is not None and not isinstance(ids, DataFrame) else None
     m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name", "id": "_pid"}, bounded)
     m = lookup(m, currencies, [("currency_id", "id")], {"symbol": "currency_symbol"}, bounded)
     return m.select(

@@ -125,6 +125,8 @@ def lookup(big: DataFrame, dim: DataFrame, on, take: dict[str, str], bounded: in
       dimension;
     * else a plain left join: AQE broadcasts at runtime if a side turns out small,
       and otherwise sort-merges."""
+    if isinstance(bounded, bool):
+        raise TypeError("bounded is a number of rows or None")
     pairs = _keys(on)
     kn = [f"_lk{i}" for i in range(len(pairs))]
     right = dim.select(*[F.col(b).alias(k) for (_, b), k in zip(pairs, kn)],

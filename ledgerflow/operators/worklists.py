@@ -17,7 +17,7 @@ from ledgerflow.constants import (
 )
 from ledgerflow.operators.lists import _id_filter, pending_core
 from ledgerflow.operators.metrics import overdue_core
-from ledgerflow.operators.topk import company_keys, lookup
+from ledgerflow.operators.topk import company_keys, lookup, row_bound
 from ledgerflow.sources.tables import allowed, company_spine
 
 
@@ -107,8 +107,9 @@ def invoice_context(moves: DataFrame, partners: DataFrame, as_of: dt.date | str,
                     dbs: Iterable[str] | None = None) -> DataFrame:
     """Context of each invoice: actions offered by state, role needed, days overdue when posted."""
     m = _id_filter(allowed(moves, dbs), ids, "id")
-    m = lookup(m, partners, company_keys("partner_id", partners), {"name": "_pname"},
-               ids is not None and not isinstance(ids, DataFrame))
+    # A list of ids bounds the rows (one per id and company); a table of ids or none does not.
+    bounded = row_bound(len(list(ids)), dbs) if ids is not None and not isinstance(ids, DataFrame) else None
+    m = lookup(m, partners, company_keys("partner_id", partners), {"name": "_pname"}, bounded)
     state = F.col("state")
     overdue = F.when((state == POSTED) & F.col("invoice_date_due").isNotNull(),
                      F.greatest(F.lit(0), F.datediff(lf.lit_date(as_of), F.col("invoice_date_due")))).otherwise(0)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import lists as ls
 from ledgerflow.plans.metrics_queries import overdue_rows_sql
 from ledgerflow.plans.registry import AS_OF, register
-from ledgerflow.sources.audit import conform_audit
+from ledgerflow.session import work_dir
+from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, audit_by, conform_audit, read_audit
 
 
 @register("invoice_detail", ["account_move", "res_partner", "res_currency"], """
@@ -229,3 +232,36 @@ ORDER BY created_at DESC, CAST(id AS VARCHAR) DESC LIMIT 100
 def recent_audit_rejects(fx):
     """O-25 filtered on action type and actor."""
     return ls.recent_audit(conform_audit(fx["audit_log"]), action_type="invoice.reject", actor="user1@example.com")
+
+
+def _stored_audit(fx):
+    """The audit log in the layout of the audit table (days, sorted files, Bloom filters)."""
+    path = work_dir(fx.spark, "audit", uuid.uuid4().hex)
+    append_audit(fx["audit_log"], path)
+    return read_audit(fx.spark, path)
+
+
+@register("recent_audit_partitioned", ["audit_log"], f"""
+SELECT {_AUDIT_COLS} FROM audit_log ORDER BY created_at DESC, CAST(id AS VARCHAR) DESC LIMIT 100
+""")
+def recent_audit_partitioned(fx):
+    """O-25 on the stored table: only the newest days that hold 100 rows are read whole."""
+    return ls.recent_audit(_stored_audit(fx)).select(*AUDIT_COLUMNS)
+
+
+@register("audit_by_actor", ["audit_log"], f"""
+SELECT {_AUDIT_COLS} FROM audit_log WHERE actor = 'user1@example.com' ORDER BY created_at, CAST(id AS VARCHAR)
+""")
+def audit_by_actor(fx):
+    """O-03: all audit rows of one actor, found by Bloom filters and statistics."""
+    return audit_by(_stored_audit(fx), actor="user1@example.com").select(*AUDIT_COLUMNS)
+
+
+@register("audit_by_object", ["audit_log"], f"""
+SELECT {_AUDIT_COLS} FROM audit_log WHERE object_type = 'invoice' AND object_id = (SELECT min(object_id) FROM audit_log WHERE object_type = 'invoice')
+""")
+def audit_by_object(fx):
+    """O-03: the history of one object."""
+    table = _stored_audit(fx)
+    first = table.where("object_type = 'invoice'").agg(F.min("object_id")).first()[0]
+    return audit_by(table, object_type="invoice", object_id=first).select(*AUDIT_COLUMNS)

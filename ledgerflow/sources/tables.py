@@ -110,6 +110,6 @@ def write_company_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ()
     statistics skip row groups for the date-range filters. Range partitioning also
     splits a company holding a third of the rows over many files."""
     cols = ["db", *cluster_by]
-    out = df.repartitionByRange(files_per_company * len(COMPANIES), *cols) if files_per_company \
+    out = df.repartitionByRange(files_per_company * len(companies()), *cols) if files_per_company \
         else df.repartitionByRange(*cols)
     out.sortWithinPartitions(*cols).write.mode(mode).partitionBy("db").parquet(path)
