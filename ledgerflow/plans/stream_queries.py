@@ -67,9 +67,9 @@ def stream_invoice_approvals(fx):
     return spark.read.parquet(outcomes).drop("batch_id")
 
 
-@register("stream_approvals_replays", _REPLAY_VIEWS, _REPLAYS + "\nSELECT * FROM res")
-def stream_approvals_replays(fx):
-    """O-81: requests that repeat inside a batch and in later batches; each has one outcome."""
+def replayed_approvals(fx, chunks: int) -> DataFrame:
+    """Outcomes of the requests with repeats, streamed in ``chunks`` time ranges; each chunk after the first comes
+    with all requests of the first once more (late, and replays)."""
     spark = fx.spark
     root = work_dir(spark, "streams", uuid.uuid4().hex)
     feed, outcomes, states, ckpt = (f"{root}/{x}" for x in ("feed", "outcomes", "states", "ckpt"))
@@ -81,11 +81,17 @@ def stream_approvals_replays(fx):
         return st.approval_stream(src, lambda: fx["account_move"], "invoice", outcomes, states, ckpt,
                                   partners=lambda: fx["res_partner"])
 
-    chunks = _time_chunks(requests, "requested_at", 2)
-    _run_chunks([chunks[0], chunks[1].unionByName(chunks[0])], feed, start)
+    parts = _time_chunks(requests, "requested_at", chunks)
+    _run_chunks([parts[0], *(p.unionByName(parts[0]) for p in parts[1:])], feed, start)
     return spark.read.parquet(outcomes).drop("batch_id")
 
 
+@register("stream_approvals_replays", _REPLAY_VIEWS, _REPLAYS + "\nSELECT * FROM res")
+def stream_approvals_replays(fx):
+    """O-81: requests that repeat inside a batch and in later batches; each has one outcome."""
+    return replayed_approvals(fx, 2)
+
+
 @register("audit_stream_then_append", _INVOICE_VIEWS, _INVOICE_BASE + _AUDIT_SELECT.format(
     meta="CASE WHEN reason IS NOT NULL AND reason <> '' THEN CAST(to_json(struct_pack(reason := reason)) AS VARCHAR) END"))
 def audit_stream_then_append(fx):

@@ -5,8 +5,10 @@
 * ``approval_stream``: approval requests -> ``foreachBatch`` fold against the
   object states left by earlier batches. Running windows are not allowed on a
   streaming DataFrame, and the fold needs the current object state, so each
-  micro-batch runs the batch operator. Every write is keyed by the batch id and
-  replays are dropped, so a restarted query never applies a request twice.
+  micro-batch runs the batch operator. States and request keys are kept in buckets
+  by object; a batch reads and replaces only those of its requests. Every write is
+  keyed by the batch id and replays are dropped, so a restarted query never applies
+  a request twice.
 
 All sinks use a checkpoint location; pass folders in the shared checkpoint
 root (``ledgerflow.session.work_dir``), never machine-local ones.
@@ -14,14 +16,17 @@ root (``ledgerflow.session.work_dir``), never machine-local ones.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states, request_key
 from ledgerflow.operators.chat import parse_commands
+from ledgerflow.session import materialize
+from ledgerflow.sources import versions as vs
 from ledgerflow.sources.audit import append_audit
 
 
@@ -55,56 +60,35 @@ def command_stream(log: DataFrame, sink_path: str, checkpoint: str, available_no
 
 # O-81 -------------------------------------------------------------------------------------------
 
-def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    if not _exists(spark, path):
-        return None
-    try:
-        return spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001 - an empty folder has no schema yet
-        if "UNABLE_TO_INFER_SCHEMA" in str(e) or "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
-
-
-def _latest_compaction(spark: SparkSession, compact_path: str, before_batch: int | None) -> int | None:
-    """Highest batch id with a complete compacted state snapshot (below ``before_batch``)."""
-    if not _exists(spark, compact_path):
-        return None
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(compact_path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    ids = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("batch_id=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            b = int(name.split("=", 1)[1])
-            if before_batch is None or b < before_batch:
-                ids.append(b)
-    return max(ids) if ids else None
-
-
-def current_states(spark: SparkSession, states_path: str, before_batch: int | None = None) -> DataFrame | None:
-    """Latest state per object: the newest compacted snapshot plus the deltas written after it.
-
-    Taking the latest is an aggregate (``max_by``), so hot objects combine per task."""
-    snap_id = _latest_compaction(spark, f"{states_path}_compact", before_batch)
-    parts = []
-    if snap_id is not None:
-        snap = spark.read.parquet(f"{states_path}_compact/batch_id={snap_id}")
-        parts.append(snap.withColumn("batch_id", F.lit(snap_id)))
-    deltas = _read_or_none(spark, states_path)
-    if deltas is not None:
-        if before_batch is not None:
-            deltas = deltas.filter(F.col("batch_id") < before_batch)
-        if snap_id is not None:
-            deltas = deltas.filter(F.col("batch_id") > snap_id)
-        parts.append(deltas.select("db", "object_type", "object_id", "state", "changed_at", "batch_id"))
-    if not parts:
-        return None
-    allrows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return allrows.groupBy("db", "object_type", "object_id").agg(
-        F.max_by("state", F.struct("batch_id", "changed_at")).alias("state"),
-        F.max("changed_at").alias("changed_at"))
+#: Buckets of objects (by hash) whose states are kept, read and replaced together, and of a day's request keys.
+BUCKETS, DAY_BUCKETS = 16, 4
+
+_STATES = T.StructType([T.StructField("db", T.StringType()), T.StructField("object_type", T.StringType()),
+                        T.StructField("object_id", T.StringType()), T.StructField("state", T.StringType()),
+                        T.StructField("changed_at", T.TimestampNTZType()), T.StructField("bucket", T.IntegerType())])
+_SEEN = T.StructType([T.StructField("_key", T.StringType()), T.StructField("day", T.StringType()),
+                      T.StructField("part", T.IntegerType())])
+
+
+def _bucket(kind: Column, buckets: int) -> Column:
+    """Bucket of an object: a hash of company, type and id."""
+    return F.pmod(F.xxhash64("db", kind, F.col("object_id").cast("string")), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _day_part(kind: Column, buckets: int) -> list[Column]:
+    """Where a request's key is kept: its day (``none`` without a time) and a part of that by its object."""
+    day = F.coalesce(F.date_format("requested_at", "yyyy-MM-dd"), F.lit("none"))
+    return [day.alias("day"), (_bucket(kind, buckets) % DAY_BUCKETS).cast("int").alias("part")]
+
+
+def current_states(spark: SparkSession, states_path: str, before_batch: int | None = None,
+                   buckets: Iterable[int] | None = None) -> DataFrame | None:
+    """Latest state per object that batches (below ``before_batch``) left, of all or some ``buckets``: one row per
+    object, as each bucket's newest version holds them all."""
+    if buckets is None:
+        buckets = vs.partitions(spark, states_path, "bucket")
+    got = vs.read_version(spark, states_path, ["bucket"], [[b] for b in buckets], _STATES, before_batch)
+    return None if got is None else got.drop("bucket")
 
 
 def overlay_states(table: DataFrame, states: DataFrame | None, kind: str) -> DataFrame:
@@ -125,50 +109,78 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def approval_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame],
                    kind: str, outcomes_path: str, states_path: str,
-                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 20) -> None:
-    """One micro-batch of O-81: drop replays, fold, write outcomes and state deltas under ``batch_id``.
-
-    A replay has the time of the request it repeats, so earlier outcomes are compared
-    only from the batch's earliest to its latest request (file statistics skip the
-    rest) and where they have no time. A late request is folded when it arrives."""
-    out_dir = f"{outcomes_path}/batch_id={batch_id}"
-    if _exists(spark, f"{out_dir}/_SUCCESS") and _exists(spark, f"{states_path}/batch_id={batch_id}/_SUCCESS"):
-        return  # this batch was fully written before a restart
-    reqs = batch
-    if _exists(spark, outcomes_path):
-        done = spark.read.parquet(outcomes_path).filter(F.col("batch_id") < batch_id)
-        lo, hi = batch.agg(F.min("requested_at"), F.max("requested_at")).first()
-        time = F.col("requested_at")
-        same = time.isNull()
-        if lo is not None:
-            low, high = (F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz") for x in (lo, hi))
-            same = same | ((time >= low) & (time <= high))
-        done = done.filter(same).select(request_key(done, kind).alias("_key")).distinct()
-        reqs = reqs.withColumn("_key", request_key(reqs, kind)).join(done, "_key", "left_anti").drop("_key")
-    objs = overlay_states(table(), current_states(spark, states_path, batch_id), kind)
-    outcomes = apply_approvals(reqs, objs, kind, partners() if partners is not None else None)
-    outcomes.write.mode("overwrite").parquet(out_dir)
+                   partners: Callable[[], DataFrame] | None = None, compact_every: int = 0,
+                   buckets: int = BUCKETS) -> None:
+    """One micro-batch of O-81: drop replays, fold, write the outcomes, then the states and request keys.
+
+    What earlier batches left is kept by bucket (a hash of the object): the states as ``states_path/bucket=``, the
+    keys of the requests seen as ``states_path_seen/day=/part=`` (a replay has the time and object of the request
+    it repeats). A batch lists, reads and replaces only the buckets and days of its own requests, late ones
+    included, whatever came before. The outcomes are written first, under the batch id; states and keys are versions
+    of that id (``sources.versions``), so a batch that failed anywhere is simply run again."""
+    out_dir, seen_path = f"{outcomes_path}/batch_id={batch_id}", f"{states_path}_seen"
+    if not _exists(spark, f"{out_dir}/_SUCCESS"):
+        _fold_batch(spark, batch, batch_id, table, kind, out_dir, seen_path, states_path, partners, buckets)
     written = spark.read.parquet(out_dir)
-    new_states(written).write.mode("overwrite").parquet(f"{states_path}/batch_id={batch_id}")
+    new = written.select(request_key(written, kind).alias("_key"), *_day_part(F.lit(kind), buckets))
+    days = _parts(new, "day", "part")
+    if not days:
+        return
+    seen = vs.read_version(spark, seen_path, ["day", "part"], days, _SEEN, batch_id)
+    vs.write_version(new if seen is None else seen.unionByName(new), seen_path, ["day", "part"], batch_id)
+    vs.drop_old(spark, seen_path, ["day", "part"], days, batch_id)
+    changed = new_states(written).withColumn("bucket", _bucket(F.col("object_type"), buckets))
+    touched = _parts(changed, "bucket")
+    if touched:
+        old = vs.read_version(spark, states_path, ["bucket"], touched, _STATES, batch_id)
+        rows = changed.withColumn("_new", F.lit(1))
+        if old is not None:
+            rows = rows.unionByName(old.withColumn("_new", F.lit(0)))
+        merged = rows.groupBy("db", "object_type", "object_id", "bucket").agg(
+            F.max_by("state", F.struct("_new", "changed_at")).alias("state"), F.max("changed_at").alias("changed_at"))
+        vs.write_version(merged, states_path, ["bucket"], batch_id)
+        vs.drop_old(spark, states_path, ["bucket"], touched, batch_id)
     if compact_every and batch_id > 0 and batch_id % compact_every == 0:
-        # Fold all deltas so far into one snapshot; later batches read it plus newer deltas.
+        # All states in one folder, for readers that want them as of a batch.
         snap = current_states(spark, states_path, batch_id + 1)
         if snap is not None:
             snap.write.mode("overwrite").parquet(f"{states_path}_compact/batch_id={batch_id}")
 
 
+def _parts(df: DataFrame, *keys: str) -> list[tuple]:
+    """The partitions that rows belong to: a row per bucket and day, whatever the number of rows."""
+    return [tuple(r) for r in df.select(*keys).distinct().collect()]
+
+
+def _fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame], kind: str,
+                out_dir: str, seen_path: str, states_path: str, partners: Callable[[], DataFrame] | None, buckets: int) -> None:
+    # The batch is read once; what follows uses its requests several times.
+    reqs = materialize(batch.select("*", request_key(batch, kind).alias("_key"), _bucket(F.lit(kind), buckets),
+                                    *_day_part(F.lit(kind), buckets)))
+    touched = _parts(reqs, "day", "part", "bucket")
+    seen = vs.read_version(spark, seen_path, ["day", "part"], sorted({(d, p) for d, p, _ in touched}), _SEEN, batch_id)
+    if seen is not None:
+        reqs = reqs.join(seen.select("_key"), "_key", "left_anti")
+    states = current_states(spark, states_path, batch_id, sorted({b for _, _, b in touched}))
+    named = reqs.select("db", F.col("object_id").alias("id")).distinct()
+    objects = overlay_states(table().join(named, ["db", "id"], "left_semi"), states, kind)
+    outcomes = apply_approvals(reqs.drop("_key", "bucket", "day", "part"), objects, kind, partners() if partners is not None else None)
+    outcomes.write.mode("overwrite").parquet(out_dir)
+
+
 def approval_stream(requests: DataFrame, table: Callable[[], DataFrame], kind: str, outcomes_path: str,
                     states_path: str, checkpoint: str, available_now: bool = True,
                     interval: str | None = None, partners: Callable[[], DataFrame] | None = None,
-                    compact_every: int = 20) -> StreamingQuery:
+                    compact_every: int = 0, buckets: int = BUCKETS) -> StreamingQuery:
     """``table`` / ``partners`` are callables so every micro-batch reads the current tables.
 
-    Repeated requests have one outcome, in a batch and across batches; late ones are
-    folded when they arrive. Object states are compacted every ``compact_every`` batches."""
+    Repeated requests have one outcome, in a batch and across batches; late ones are folded when they arrive.
+    ``buckets`` (the same for the life of a state folder) is chosen so that one bucket's objects are a few files;
+    with ``compact_every`` all states are also written as one folder every so many batches."""
     spark = requests.sparkSession
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every)
+        approval_batch(spark, batch, batch_id, table, kind, outcomes_path, states_path, partners, compact_every, buckets)
 
     w = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return _trigger(w, available_now, interval).start()
