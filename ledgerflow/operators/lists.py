@@ -9,7 +9,7 @@ scan. Every ordering ends in a unique key, so pages are deterministic.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,7 @@ from ledgerflow.constants import (
     PENDING_LIMIT, RECENT_AUDIT_LIMIT, UNKNOWN_PARTNER,
 )
 from ledgerflow.operators.metrics import overdue_core
+from ledgerflow.operators.ordering import SortKey, after as behind, columns_of, last_key
 from ledgerflow.operators.topk import company_keys, lookup, row_bound, top_k, top_k_per_group
 from ledgerflow.sources.tables import allowed
 
@@ -83,7 +84,7 @@ def filters_to_column(filters: dict | Sequence | None, case_insensitive_like: bo
     return out
 
 
-def order_columns(order_by: str | Sequence[str] | None, tie_break: Sequence[str] = ()) -> list[Column]:
+def order_keys(order_by: str | Sequence[str] | None, tie_break: Sequence[str] = ()) -> list[SortKey]:
     """``"creation desc, name"`` style ordering plus unique tie-break columns."""
     if order_by is None:
         items: list[str] = []
@@ -91,14 +92,18 @@ def order_columns(order_by: str | Sequence[str] | None, tie_break: Sequence[str]
         items = [x.strip() for x in order_by.split(",") if x.strip()]
     else:
         items = list(order_by)
-    cols, seen = [], set()
+    keys, seen = [], set()
     for it in items:
         parts = it.split()
         name, direction = parts[0], (parts[1].lower() if len(parts) > 1 else "asc")
         seen.add(name)
-        cols.append(F.col(name).desc() if direction == "desc" else F.col(name).asc())
-    cols.extend(F.col(t).asc() for t in tie_break if t not in seen)
-    return cols
+        keys.append(SortKey(name, direction == "desc"))
+    keys.extend(SortKey(t) for t in tie_break if t not in seen)
+    return keys
+
+
+def order_columns(order_by: str | Sequence[str] | None, tie_break: Sequence[str] = ()) -> list[Column]:
+    return columns_of(order_keys(order_by, tie_break))
 
 
 # O-12 / O-13 --------------------------------------------------------------------------------------
@@ -106,28 +111,40 @@ def order_columns(order_by: str | Sequence[str] | None, tie_break: Sequence[str]
 def list_query(df: DataFrame, filters: dict | Sequence | None = None, fields: Sequence[str] | None = None,
                order_by: str | Sequence[str] | None = None, start: int = 0,
                length: int | None = LIST_PAGE_LENGTH, key: Sequence[str] = ("name",),
-               case_insensitive_like: bool = True) -> DataFrame:
+               case_insensitive_like: bool = True, after: Mapping[str, Any] | None = None) -> DataFrame:
     """Filter, order, page and project a table.
 
     ``length=None`` (or 0) returns every match; ``key`` is the unique tie-break
-    appended to the ordering so that pages never overlap."""
+    appended to the ordering so that pages never overlap. A page starts at the row number ``start`` or, cheaper,
+    behind the row whose order columns and key are ``after`` (``next_page`` gives them for a page)."""
     cond = filters_to_column(filters, case_insensitive_like)
     out = df.filter(cond) if cond is not None else df
     tie = [k for k in key if k in df.columns]
-    if (length or start) and not tie:
+    if (length or start or after) and not tie:
         raise ValueError(f"paging needs a unique key; the table has none of {tuple(key)}")
-    order = order_columns(order_by, tie)
+    order = order_keys(order_by, tie)
+    if after is not None:
+        if start:
+            raise ValueError("a page starts at a number or behind a key, not both")
+        out = out.where(behind(out, order, after))
     if length or start:
         out = top_k(out, order, length or None, start)
     elif order_by:
-        out = out.orderBy(*order)
+        out = out.orderBy(*columns_of(order))
     return out.select(*fields) if fields else out
 
 
+def next_page(page: DataFrame, order_by: str | Sequence[str] | None = None, key: Sequence[str] = ("name",)) -> dict[str, Any] | None:
+    """What ``list_query`` takes as ``after`` for the page that follows ``page`` (None: there was no row).
+
+    The page must hold the columns of its order and key."""
+    return last_key(page, order_keys(order_by, [k for k in key if k in page.columns]))
+
+
 def search(df: DataFrame, filters=None, fields=None, order=None, offset: int = 0, limit: int | None = None,
-           key: Sequence[str] = ("id",)) -> DataFrame:
+           key: Sequence[str] = ("id",), after: Mapping[str, Any] | None = None) -> DataFrame:
     """O-13 search / search_read: like ``list_query`` with ``limit``/``offset``; a falsy limit means all rows."""
-    return list_query(df, filters, fields, order, offset, limit or None, key)
+    return list_query(df, filters, fields, order, offset, limit or None, key, after=after)
 
 
 # O-15
@@ -262,7 +279,7 @@ def pending_core(moves: DataFrame, state: str = DRAFT, limit: int | None = PENDI
     """Customer moves in ``state``, newest first per company (nulls first, as PostgreSQL sorts DESC);
     ``limit=None`` keeps all (``ranked=False`` then skips the ranking)."""
     cand = allowed(moves, dbs).filter((F.col("state") == state) & lf.in_set("move_type", CUSTOMER_MOVE_TYPES))
-    return top_k_per_group(cand, ["db"], [F.col("create_date").desc_nulls_first(), F.col("id").asc()], limit,
+    return top_k_per_group(cand, ["db"], [SortKey("create_date", True, nulls_first=True), SortKey("id")], limit,
                            "rank" if ranked or limit is not None else None)
 
 
@@ -314,7 +331,7 @@ def recent_audit(audit: DataFrame, action_type: str | None = None, actor: str |
                .agg(F.min(day_col).alias("d"), F.max("_cum").alias("covered")).first())
         if cut is not None and cut["covered"] is not None and cut["covered"] >= int(limit):
             rows = rows.filter(F.col(day_col) >= F.lit(cut["d"]))
-    return top_k(rows, [F.col("created_at").desc(), F.col("id").desc()], limit)
+    return top_k(rows, [SortKey("created_at", True), SortKey("id", True)], limit)
 
 
 # O-26

@@ -20,6 +20,7 @@ from ledgerflow.constants import (
     PENDING_DELIVERY_STATES, POSTED, RISK_HIGH_COUNT, RISK_MEDIUM_COUNT, SALE_STATES, SEVERE_OVERDUE_DAYS,
     TOP_PRODUCTS_LIMIT, UNKNOWN_PARTNER,
 )
+from ledgerflow.operators.ordering import SortKey
 from ledgerflow.operators.topk import company_keys, lookup, top_k_per_group, row_bound
 from ledgerflow.sources.tables import allowed, company_spine, per_company
 
@@ -112,8 +113,7 @@ def top_products(lines: DataFrame, orders: DataFrame, products: DataFrame, templ
     per_product = (allowed(lines, dbs).join(sel, ["db", "order_id"], "inner")
                    .groupBy("db", "product_id")
                    .agg(F.sum("product_uom_qty").alias("_qty"), F.sum("price_subtotal").alias("_rev")))
-    ranked = top_k_per_group(per_product, ["db"], [F.col("_rev").desc_nulls_last(), F.col("product_id").asc()],
-                             limit)
+    ranked = top_k_per_group(per_product, ["db"], [SortKey("_rev", True), SortKey("product_id")], limit)
     bounded = row_bound(limit, dbs)
     with_code = lookup(ranked, products, company_keys("product_id", products),
                        {"default_code": "product_code", "product_tmpl_id": "_tmpl"}, bounded)
@@ -206,7 +206,7 @@ def overdue_core(moves: DataFrame, as_of: dt.date | str, threshold_days: int = 0
             .filter((F.col("state") == POSTED) & lf.in_set("move_type", CUSTOMER_MOVE_TYPES)
                     & (F.col("amount_residual") > 0) & (F.col("invoice_date_due") < lf.lit_date(cutoff)))
             .withColumn("days_overdue", F.datediff(lf.lit_date(d), F.col("invoice_date_due"))))
-    return top_k_per_group(late, ["db"], [F.col("days_overdue").desc(), F.col("id").asc()], limit,
+    return top_k_per_group(late, ["db"], [SortKey("days_overdue", True), SortKey("id")], limit,
                            "rank" if ranked or limit is not None else None)
 
 

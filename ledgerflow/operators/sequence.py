@@ -82,4 +82,4 @@ def rank_within_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
         same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
     j = ranged.join(stats, same, "left")
     return j.select(*[F.col(c) for c in df.columns],
-                    (F.col("_before") + (local - F.col("_first")) + 1).cast("int").alias(rank_col))
+                    (F.col("_before") + (local - F.col("_first")) + 1).cast("long").alias(rank_col))

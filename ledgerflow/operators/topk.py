@@ -3,8 +3,8 @@
 Top-k per company uses ``row_number() <= k`` so that Spark inserts a partial
 ``WindowGroupLimit`` below the exchange: each task forwards at most ``k`` rows
 per company, so a company holding a third of all rows never lands whole in one
-task. Unlimited or very large ``k`` rankings, and deep pages, use the
-range-partitioned rank from ``sequence``.
+task. Very large ``k`` and deep pages are located first (``ordering``) and use, as
+unlimited rankings do, the range-partitioned rank from ``sequence``.
 
 Lookups broadcast a dimension only when its estimated size is under the
 session's broadcast threshold. Beyond it, a result with a proven bound (top-k:
@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerflow.operators.ordering import SortKey, first_of_each, from_to
 from ledgerflow.operators.sequence import rank_within_group
 from ledgerflow.session import fits_broadcast, materialize
 from ledgerflow.sources.tables import companies
@@ -31,49 +32,58 @@ def _group_limit_threshold(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
 
 
-def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int | None,
+def _order(order: Sequence[Column | SortKey]) -> tuple[list[Column], list[SortKey] | None]:
+    """The columns of an order, and its sort keys where it is given by these."""
+    keys = list(order) if all(isinstance(k, SortKey) for k in order) else None
+    return [k.column() if isinstance(k, SortKey) else k for k in order], keys
+
+
+def top_k_per_group(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | SortKey], k: int | None,
                     rank_col: str | None = RANK_COL) -> DataFrame:
     """Rows ranked ``1..k`` inside each group by ``order_cols`` (which must end in a unique tie-break).
 
-    ``k=None`` keeps every row (ranked when ``rank_col`` is given). A small ``k``
+    ``k=None`` keeps every row (ranked when ``rank_col`` is given, as a long). A small ``k``
     uses ``row_number() <= k`` (Spark limits each task to k rows per group before
-    the shuffle); ``k=None`` or a k above the group-limit threshold uses the
-    range-partitioned rank, so a group holding a third of all rows is still
-    spread over many tasks."""
+    the shuffle). Above the group-limit threshold the value of the first sort key at rank ``k`` is located
+    by counting ranges (``ordering.first_of_each``; needs ``SortKey``s), and only the rows up to it are ranked, by the
+    range-partitioned rank, so a group holding a third of all rows is spread over many tasks."""
     if k is None and rank_col is None:
         return df
+    columns, keys = _order(order_cols)
     if k is None or int(k) > _group_limit_threshold(df):
         name = rank_col or "_rn"
-        out = rank_within_group(df, group_cols, order_cols, name)
+        rows = first_of_each(df, group_cols, keys, int(k)) if k is not None and keys else df
+        out = rank_within_group(rows, group_cols, columns, name)
         if k is not None:
-            out = out.filter(F.col(name) <= F.lit(int(k)))
+            out = out.filter(F.col(name) <= F.lit(int(k))).withColumn(name, F.col(name).cast("int"))
         return out if rank_col else out.drop(name)
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    w = Window.partitionBy(*group_cols).orderBy(*columns)
     name = rank_col or "_rn"
-    out = df.withColumn(name, F.row_number().over(w))
-    if k is not None:
-        out = out.filter(F.col(name) <= F.lit(int(k)))
+    out = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= F.lit(int(k)))
     return out if rank_col else out.drop(name)
 
 
-DEEP_PAGE = 10_000  # offsets beyond this page by a distributed rank
+DEEP_PAGE = 10_000  # pages that end beyond this are located by counting and ranked in many tasks
 
 
-def top_k(df: DataFrame, order_cols: Sequence[Column], k: int | None, offset: int = 0) -> DataFrame:
+def top_k(df: DataFrame, order_cols: Sequence[Column | SortKey], k: int | None, offset: int = 0) -> DataFrame:
     """Global top-k with offset paging; ``k=None`` sorts only.
 
     Shallow pages use ``orderBy().offset().limit()`` (``TakeOrderedAndProject``: each
-    task keeps offset + k rows). An offset without a limit, or beyond ``DEEP_PAGE``,
-    would gather that many rows in one place, so those pages select on a
-    range-partitioned rank instead (``order_cols`` must then be a total order)."""
+    task keeps offset + k rows). A page that ends beyond ``DEEP_PAGE``, also one without an offset, would gather
+    that many rows in one place: with ``SortKey``s the values of the first key at its ends are located by counting
+    ranges, so only the rows between them are read whole and ranked (range-partitioned); else all rows are
+    ranked. ``order_cols`` must then be a total order."""
     offset = int(offset or 0)
-    if offset and (k is None or offset + int(k) > DEEP_PAGE):
-        ranked = rank_within_group(df, [], order_cols, "_pos")
-        cond = F.col("_pos") > offset
+    columns, keys = _order(order_cols)
+    if (offset or k is not None) and (k is None or offset + int(k) > DEEP_PAGE):
+        rows, base = from_to(df, keys, offset + 1, None if k is None else offset + int(k)) if keys else (df, 0)
+        ranked = rank_within_group(rows, [], columns, "_pos")
+        cond = F.col("_pos") > offset - base
         if k is not None:
-            cond = cond & (F.col("_pos") <= offset + int(k))
+            cond = cond & (F.col("_pos") <= offset + int(k) - base)
         return ranked.filter(cond).orderBy("_pos").drop("_pos")
-    out = df.orderBy(*order_cols)
+    out = df.orderBy(*columns)
     if offset:
         out = out.offset(offset)
     if k is not None:

@@ -201,7 +201,7 @@ def overdue_invoices(fx):
 
 
 @register("overdue_invoices_all", ["account_move", "res_partner", "res_currency"], overdue_rows_sql(30, None) + """
-SELECT od.db, CAST(od.rn AS INTEGER) AS rank, od.id, od.name, od.state, coalesce(rp.name, 'Unknown') AS partner_name,
+SELECT od.db, od.rn AS rank, od.id, od.name, od.state, coalesce(rp.name, 'Unknown') AS partner_name,
        CAST(od.amount_total AS DOUBLE) AS amount_total, CAST(od.amount_residual AS DOUBLE) AS amount_residual,
        od.invoice_date_due AS date_due, od.days_overdue,
        coalesce(nullif(rc.symbol, ''), 'IDR') AS currency
@@ -265,3 +265,49 @@ def audit_by_object(fx):
     table = _stored_audit(fx)
     first = table.where("object_type = 'invoice'").agg(F.min("object_id")).first()[0]
     return audit_by(table, object_type="invoice", object_id=first).select(*AUDIT_COLUMNS)
+
+
+_ORDER_COLUMNS = "name, customer, transaction_date, grand_total, status, delivery_status"
+#: A row number beyond the pages that one task gathers, in a table of 15,000 orders.
+DEEP = 12_000
+
+
+@register("sales_orders_deep_page", ["frappe_sales_order"], f"""
+SELECT {_ORDER_COLUMNS} FROM frappe_sales_order ORDER BY transaction_date DESC, name LIMIT 20 OFFSET {DEEP}
+""")
+def sales_orders_deep_page(fx):
+    """O-12 + O-39: page 601 of all orders, newest first: the dates at its ends are located by counting."""
+    return ls.list_query(fx["frappe_sales_order"], None, ls.SALES_ORDER_FIELDS, "transaction_date desc", start=DEEP, length=20)
+
+
+@register("sales_orders_keyset_page", ["frappe_sales_order"], f"""
+SELECT {_ORDER_COLUMNS} FROM frappe_sales_order ORDER BY transaction_date DESC, name LIMIT 20 OFFSET {DEEP}
+""")
+def sales_orders_keyset_page(fx):
+    """O-12 + O-39: the same page, as the one behind the last row of the page before."""
+    table, order = fx["frappe_sales_order"], "transaction_date desc"
+    page = ls.list_query(table, None, ls.SALES_ORDER_FIELDS, order, start=DEEP - 20, length=20)
+    last = ls.next_page(page, order)
+    return ls.list_query(table, None, ls.SALES_ORDER_FIELDS, order, length=20, after=last).where(
+        F.lit(last is not None))
+
+
+@register("sales_orders_top_large", ["frappe_sales_order"], f"""
+SELECT {_ORDER_COLUMNS} FROM frappe_sales_order ORDER BY grand_total DESC NULLS LAST, name LIMIT {DEEP}
+""")
+def sales_orders_top_large(fx):
+    """O-37 with a large k: the 12,000 largest orders, none of them gathered in one task."""
+    return ls.list_query(fx["frappe_sales_order"], None, ls.SALES_ORDER_FIELDS, "grand_total desc", length=DEEP)
+
+
+@register("pending_invoices_top_large", ["account_move", "res_partner"], """
+, p AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY create_date DESC NULLS FIRST, id) AS rn
+        FROM account_move WHERE state = 'posted' AND move_type IN ('out_invoice', 'out_refund'))
+SELECT p.db, CAST(p.rn AS INTEGER) AS rank, p.id, p.name, p.state, CAST(p.amount_total AS DOUBLE) AS amount_total,
+       p.create_date, rp.name AS partner_name
+FROM p LEFT JOIN res_partner rp ON p.partner_id = rp.id
+WHERE p.rn <= 1500
+""")
+def pending_invoices_top_large(fx):
+    """O-36 with a k above the group limit: the newest 1,500 posted customer invoices per company."""
+    return ls.pending_invoices(fx["account_move"], fx["res_partner"], state="posted", limit=1_500)

@@ -113,3 +113,30 @@ def write_company_table(df: DataFrame, path: str, cluster_by: Sequence[str] = ()
     out = df.repartitionByRange(files_per_company * len(companies()), *cols) if files_per_company \
         else df.repartitionByRange(*cols)
     out.sortWithinPartitions(*cols).write.mode(mode).partitionBy("db").parquet(path)
+
+
+def bucket_count(total_bytes: int, bucket_bytes: int = 256 << 20) -> int:
+    """Buckets so that one holds about ``bucket_bytes`` (a power of two, so that tables of other sizes can still share work)."""
+    return 1 << max(0, -(-total_bytes // bucket_bytes) - 1).bit_length()
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """Store a table bucketed and sorted by ``keys`` and return it.
+
+    Two tables with the same number of buckets on the columns of a join (lines by company and order, orders by
+    company and id) are joined bucket by bucket: neither is shuffled, however often the join is asked. Hashing
+    the rows to their buckets before the write makes one sorted file per bucket."""
+    rows = df.repartition(int(buckets), *keys)
+    (rows.write.format("parquet").mode("errorifexists").bucketBy(int(buckets), *keys).sortBy(*keys)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
+def bucketed_table(spark: SparkSession, name: str, path: str, keys: Sequence[str], buckets: int) -> DataFrame:
+    """The table that ``write_bucketed`` stored at ``path``, made known to another session's catalog."""
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema.fields)
+        by = ", ".join(f"`{k}`" for k in keys)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {int(buckets)} BUCKETS "
+                  f"LOCATION '{path}'")
+    return spark.table(name)
