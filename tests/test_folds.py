@@ -177,6 +177,35 @@ def test_range_partitioning_splits_a_hot_group(spark):
     assert bad == 0 and got.filter(F.col("prev_t").isNull()).count() == 1 + 997
 
 
+def test_with_previous_has_one_exchange_of_rows(spark):
+    """Groups that fit a task: one hash exchange. A large one: one more key in that exchange, and tables of bounds."""
+    rows = [("hot" if i % 3 == 0 else f"k{i % 97}", i, i % 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, t int, v int")
+
+    def exchanges(out):
+        plan = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "simple")
+        return [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
+
+    plain = with_previous(df, ["g"], ["t"], {"v": "p"})
+    assert len(exchanges(plain)) == 1 and "hashpartitioning(g" in exchanges(plain)[0]
+    cut = with_previous(df, ["g"], ["t"], {"v": "p"}, slice_rows=100)
+    whole = [x for x in exchanges(cut) if "_slice" in x and "hashpartitioning(g" in x]
+    assert len(whole) == 2 and not any("rangepartitioning" in x for x in exchanges(cut))  # rows, and a row per slice
+    assert sorted(map(tuple, cut.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+
+
+def test_with_previous_nulls_ties_and_empty_table(spark):
+    rows = [(None if i % 4 == 0 else "a", None if i % 5 else i, None if i % 3 else 1.0, f"u{i:03d}") for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, t int, v double, uid string")
+    want = {r.uid: (r.p, r.q) for r in with_previous(df, ["g"], ["t", "uid"], {"v": "p", "uid": "q"}).collect()}
+    assert {r.uid: (r.p, r.q) for r in with_previous(df, ["g"], ["t", "uid"], {"v": "p", "uid": "q"}, slice_rows=7).collect()} == want
+    last = {}
+    for g, t, v, uid in sorted(rows, key=lambda r: (r[0] or "", r[1] is not None, r[1] or 0, r[3])):
+        assert want[uid] == last.get(g, (None, None))
+        last[g] = (v, uid)
+    assert with_previous(df.limit(0), ["g"], ["t", "uid"], {"v": "p"}, num_partitions=4).collect() == []
+
+
 def test_rank_within_group_matches_pandas(spark):
     import pandas as pd
 
