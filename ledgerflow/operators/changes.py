@@ -10,7 +10,9 @@ with a third of all changes costs one row per task):
 A delete removes the row (later updates find nothing, as on the ERP); a create starts the
 row from its own values (columns it does not carry are NULL). Updates to keys that do not
 exist are dropped. The new snapshot is the full outer join of the table with the folded
-changes. Write it to a new folder (``write_snapshot``); never overwrite the folder being read.
+changes. Write it to a new folder (``write_snapshot``); never overwrite the folder being read. A large table with few
+changes is kept by ranges of its key (``create_ranged``): ``apply_to_ranged`` reads and rewrites only the ranges that
+the changes name.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerflow.operators.sequence import with_previous
+from ledgerflow.operators.sequence import GROUP_SLICES, SEEN, slice_of, with_previous
+from ledgerflow.session import materialize
+from ledgerflow.sources import versions as vs
 
 RESET_OPS = ("create", "delete")
 UPDATE_OPS = ("update", "write")
@@ -131,3 +136,72 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     if not versions:
         raise FileNotFoundError(f"no complete snapshot under {path}")
     return spark.read.parquet(f"{path.rstrip('/')}/v={max(versions)}")
+
+
+# --- a table kept by ranges of its key ---------------------------------------------------------------
+
+#: Rows of a range when the table is created; there are ``GROUP_SLICES`` ranges at most.
+RANGE_ROWS = 1_000_000
+RANGE = "_range"
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], bounds: DataFrame) -> DataFrame:
+    """``df`` with the number of the range of its key. ``bounds`` is one row: an array of some thousand keys at most."""
+    key = F.struct(*[F.col(k) for k in keys])
+    one = df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
+    return one.withColumn(RANGE, slice_of(key)).drop("_one", "_bounds")
+
+
+def _bounds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/_bounds")
+
+
+def create_ranged(df: DataFrame, path: str, key: Sequence[str] | str = "name", version: int = 0, range_rows: int = RANGE_ROWS) -> None:
+    """Store a table by ranges of its key, cut at quantiles of keys picked by their hash; the bounds are kept beside it."""
+    keys = [key] if isinstance(key, str) else list(key)
+    spark = df.sparkSession
+    n = df.count()
+    ranges = min(max(1, -(-n // range_rows)), GROUP_SLICES)
+    order = F.struct(*[F.col(k) for k in keys])
+    picked = df.select(order.alias("_key")).where(F.pmod(F.xxhash64("_key"), F.lit(max(1, n // (ranges * SEEN)))) == 0)
+    at = F.transform(F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.get("_keys", (i * F.size("_keys") / ranges).cast("int")))
+    cuts = picked.agg(F.sort_array(F.collect_list("_key")).alias("_keys")).select(
+        F.filter(F.array_distinct(at), lambda k: k.isNotNull()).alias("_bounds"))
+    cuts.write.mode("errorifexists").parquet(f"{path}/_bounds")
+    vs.write_version(_ranged(df, keys, _bounds(spark, path)), path, [RANGE], version)
+    vs.commit(spark, path, version)
+
+
+def read_ranged(spark: SparkSession, path: str, schema: T.StructType, ranges: Sequence[int] | None = None,
+                version: int | None = None) -> DataFrame:
+    """The table (columns of ``schema``) as of the newest committed version (or ``version``), or some of its ranges."""
+    last = vs.committed(spark, path) if version is None else version
+    if last is None:
+        raise FileNotFoundError(f"no committed version under {path}")
+    numbers = vs.partitions(spark, path, RANGE) if ranges is None else ranges
+    whole = T.StructType([*schema.fields, T.StructField(RANGE, T.IntegerType())])
+    got = vs.read_version(spark, path, [RANGE], [[r] for r in numbers], whole, last + 1)
+    return spark.createDataFrame([], schema) if got is None else got.drop(RANGE)
+
+
+def apply_to_ranged(spark: SparkSession, path: str, schema: T.StructType, changes: DataFrame, key: Sequence[str] | str = "name",
+                    version: int | None = None, **options) -> int:
+    """Apply a batch of changes (see ``apply_changes``) to a table kept by ranges; returns the new version.
+
+    Only the ranges that hold a changed key are read and written, as files of the new version; the others keep
+    theirs. The version is committed at the end, so a failed batch is run again and readers see all of it or
+    nothing; the version before stays readable until the next but one."""
+    keys = [key] if isinstance(key, str) else list(key)
+    before = vs.committed(spark, path)
+    new = before + 1 if version is None else int(version)
+    if before is not None and new <= before:
+        return before  # this batch is in the table already
+    batch = materialize(_ranged(changes, keys, _bounds(spark, path)))
+    touched = [(r[0],) for r in batch.select(RANGE).distinct().collect()]  # a row per range
+    if touched:
+        base = read_ranged(spark, path, schema, [r for r, in touched])
+        out = apply_changes(base, batch.drop(RANGE), keys, **options)
+        vs.write_version(_ranged(out, keys, _bounds(spark, path)), path, [RANGE], new, touched)
+    vs.commit(spark, path, new)
+    vs.drop_old(spark, path, [RANGE], touched, new)
+    return new

@@ -47,7 +47,7 @@ def slice_bounds(df: DataFrame, group_cols: Sequence[str], order: Column, slice_
     return sorted_.where("_slices > 1").select(*[f"_b{c}" for c in group_cols], F.array_distinct(at).alias("_bounds"))
 
 
-def _slice_of(key: Column) -> Column:
+def slice_of(key: Column) -> Column:
     """How many bounds are not above the key (0 without bounds): a binary search."""
     steps = F.array(*[F.lit(1 << p) for p in reversed(range(GROUP_SLICES.bit_length() - 1))])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) <= key, at + step).otherwise(at))
@@ -77,7 +77,7 @@ def with_previous(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence
     order = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(columns)])
     bounds = materialize(slice_bounds(df, group_cols, order, slice_rows))
     sliced = df.withColumn("_key", order).join(F.broadcast(bounds), _same(df, bounds, group_cols, "_b"), "left")
-    sliced = sliced.withColumn("_slice", _slice_of(F.col("_key"))).withColumn("_row", row)
+    sliced = sliced.withColumn("_slice", slice_of(F.col("_key"))).withColumn("_row", row)
     tails = (sliced.where(F.col("_bounds").isNotNull()).groupBy(*group_cols, "_slice").agg(F.max_by("_row", "_key").alias("_last")))
     before = F.lag("_last").over(Window.partitionBy(*group_cols).orderBy("_slice"))
     tails = tails.select(*[F.col(c).alias(f"_t{c}") for c in group_cols], F.col("_slice").alias("_tslice"), before.alias("_before"))

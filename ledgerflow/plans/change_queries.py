@@ -79,6 +79,19 @@ def apply_sales_order_changes(fx):
     return chg.latest_snapshot(fx.spark, root)
 
 
+@register("apply_changes_by_range", ["frappe_sales_order", "sales_order_change"], _changes_sql(
+    {c: f"h.{c} IS NOT NULL" for c in ("status", "delivery_status", "grand_total")}))
+def apply_changes_by_range(fx):
+    """O-77 on a table kept by ranges of its key: two batches, each rewriting only the ranges it names."""
+    table, changes = fx["frappe_sales_order"], fx["sales_order_change"]
+    path = work_dir(fx.spark, "ranged", uuid.uuid4().hex)
+    chg.create_ranged(table, path, "name", range_rows=2_000)
+    half = changes.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for batch in (changes.where(F.col("seq") <= F.lit(half)), changes.where(F.col("seq") > F.lit(half))):
+        chg.apply_to_ranged(fx.spark, path, table.schema, batch, "name")
+    return chg.read_ranged(fx.spark, path, table.schema)
+
+
 @register("apply_masked_changes", ["frappe_sales_order", "sales_order_change"], _changes_sql(
     {"status": "true", "delivery_status": "false", "grand_total": "h.seq % 3 <> 0"}))
 def apply_masked_changes(fx):

@@ -45,12 +45,27 @@ def partitions(spark: SparkSession, path: str, key: str) -> list[str]:
     return [n.split("=", 1)[1] for n in _folders(spark, path) if n.startswith(f"{key}=")]
 
 
-def write_version(df: DataFrame, path: str, keys: Sequence[str], version: int) -> None:
+def write_version(df: DataFrame, path: str, keys: Sequence[str], version: int, parts: Iterable[Sequence] = ()) -> None:
     """Replace the partitions that ``df`` has rows for. Rows are rebalanced by the keys: a large partition is split
-    over tasks and files at run time, small ones share a task."""
+    over tasks and files at run time, small ones share a task. ``parts`` are replaced even if no row is left."""
     rows = df.withColumn(VERSION, F.lit(int(version)))
     (rows.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*keys, VERSION).parquet(path))
+    for part in parts:
+        p, fs = _fs(df.sparkSession, f"{_place(path, keys, part)}/{VERSION}={int(version)}")
+        fs.mkdirs(p)  # a partition without rows is an empty folder
+
+
+def commit(spark: SparkSession, path: str, version: int) -> None:
+    """Make a version the one that ``committed`` names: readers that ask for it see all of its partitions or none."""
+    p, fs = _fs(spark, f"{path}/_commits/{VERSION}={int(version)}")
+    fs.mkdirs(p)
+
+
+def committed(spark: SparkSession, path: str) -> int | None:
+    """The newest committed version."""
+    names = _folders(spark, f"{path}/_commits")
+    return max((int(n.split("=", 1)[1]) for n in names if n.startswith(f"{VERSION}=")), default=None)
 
 
 def read_version(spark: SparkSession, path: str, keys: Sequence[str], parts: Iterable[Sequence], schema: T.StructType,
