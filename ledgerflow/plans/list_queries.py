@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerflow.operators import lists as ls
+from ledgerflow.operators import trigrams as tg
 from ledgerflow.plans.metrics_queries import overdue_rows_sql
 from ledgerflow.plans.registry import AS_OF, register
 from ledgerflow.session import work_dir
@@ -118,6 +119,18 @@ def search_customers(fx):
     return ls.search_customers(fx["frappe_customer"], "customer#0000001")
 
 
+@register("search_customers_indexed", ["frappe_customer"], """
+SELECT name, customer_name, customer_group, territory FROM frappe_customer
+WHERE lower(customer_name) LIKE '%mer#00000_1%'
+ORDER BY name LIMIT 10
+""")
+def search_customers_indexed(fx):
+    """O-18: a customer-name search with a wildcard, by the trigrams of the names."""
+    path = work_dir(fx.spark, "grams", uuid.uuid4().hex)
+    tg.write_grams(fx["frappe_customer"], path, "name", "customer_name")
+    return tg.search_customers_indexed(fx["frappe_customer"], path, "mer#00000_1")
+
+
 @register("order_with_lines", ["frappe_sales_order", "frappe_sales_order_item"], """
 SELECT o.name, o.customer, o.transaction_date, o.grand_total, o.status, o.delivery_status, o.docstatus,
        i.idx, i.item_code, i.qty, i.amount
