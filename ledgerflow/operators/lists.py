@@ -14,6 +14,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerflow import functions as lf
 from ledgerflow.constants import (
@@ -156,10 +157,50 @@ def count_query(df: DataFrame, filters: dict | Sequence | None = None) -> DataFr
 
 # O-11 / O-14 ------------------------------------------------------------------------------------
 
-def _id_filter(df: DataFrame, ids, key: str) -> DataFrame:
+#: Ranges that a table of ids is described by, for a table clustered on the id, and tiles that they are made of.
+ID_RANGES, ID_TILES = 32, 256
+
+
+def id_ranges(ids: DataFrame, key: str, ranges: int = ID_RANGES, tiles: int = ID_TILES) -> Column:
+    """The ranges of ``key`` that hold the ids: up to ``ranges`` of them for numbers, one for other types.
+
+    Two aggregations over the ids (of one and of ``tiles`` rows): tiles of about as many ids, each with its least and
+    largest id, are joined where the gap between them is not among the largest. So what lies between old ids and new
+    ones, say, is not read."""
+    c = F.col(key)
+    if not isinstance(ids.schema[key].dataType, T.IntegralType):
+        lo, hi = ids.agg(F.min(key), F.max(key)).first()
+        return F.lit(False) if lo is None else (c >= F.lit(lo)) & (c <= F.lit(hi))
+    cuts = ids.agg(F.percentile_approx(key, [i / tiles for i in range(1, tiles)])).first()[0]
+    if not cuts:
+        return F.lit(False)
+    tile = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(cuts))]), lambda x: x < c))
+    found = [(r["lo"], r["hi"]) for r in ids.where(c.isNotNull()).groupBy(tile.alias("_tile")).agg(
+        F.min(key).alias("lo"), F.max(key).alias("hi")).collect()]
+    found.sort()
+    gaps = sorted((b[0] - a[1] for a, b in zip(found, found[1:])), reverse=True)
+    least = gaps[ranges - 2] if len(gaps) >= ranges else 0
+    joined = [list(found[0])]
+    for lo, hi in found[1:]:
+        if lo - joined[-1][1] > least and len(joined) < ranges:
+            joined.append([lo, hi])
+        else:
+            joined[-1][1] = hi
+    out = None
+    for lo, hi in joined:
+        inside = (c >= F.lit(lo)) & (c <= F.lit(hi))
+        out = inside if out is None else out | inside
+    return out
+
+
+def _id_filter(df: DataFrame, ids, key: str, clustered: bool = False) -> DataFrame:
+    """Rows of ``df`` that ``ids`` names. ``clustered``: the table is stored in the order of ``key``, so the ranges of
+    the ids are pushed into its scan first (files and row groups between them are skipped)."""
     if ids is None:
         return df
     if isinstance(ids, DataFrame):
+        if clustered:
+            df = df.where(id_ranges(ids if key in ids.columns else ids.select(F.col(ids.columns[0]).alias(key)), key))
         # distinct() is a partial aggregate: a key repeated a million times reaches the
         # semi-join as one row, so the key side of the join is never skewed.
         shared = [c for c in ids.columns if c in df.columns]
@@ -169,11 +210,13 @@ def _id_filter(df: DataFrame, ids, key: str) -> DataFrame:
     return df.filter(F.col(key).isin(list(ids)))
 
 
-def read_records(df: DataFrame, ids=None, fields: Sequence[str] | None = None, key: str = "id") -> DataFrame:
+def read_records(df: DataFrame, ids=None, fields: Sequence[str] | None = None, key: str = "id",
+                 clustered: bool = False) -> DataFrame:
     """Rows whose ``key`` is in ``ids`` (a list or a one-column DataFrame), projected on ``fields``.
 
-    A DataFrame of ids is a left-semi join, so ids may be as many as the table."""
-    out = _id_filter(df, ids, key)
+    A DataFrame of ids is a left-semi join, so ids may be as many as the table; on a table stored in the order of
+    the key (``write_company_table`` with it in ``cluster_by``) ``clustered`` reads only the ids' ranges."""
+    out = _id_filter(df, ids, key, clustered)
     if fields:
         keep = [key] + [f for f in fields if f != key]
         if "db" in df.columns and "db" not in keep:
@@ -182,11 +225,11 @@ def read_records(df: DataFrame, ids=None, fields: Sequence[str] | None = None, k
     return out
 
 
-def get_doc(df: DataFrame, names, fields: Sequence[str] | None = None, key: str = "name") -> DataFrame:
+def get_doc(df: DataFrame, names, fields: Sequence[str] | None = None, key: str = "name", clustered: bool = False) -> DataFrame:
     """Documents by name; names that do not exist give no row (an empty result, not an error)."""
     if isinstance(names, str):
         names = [names]
-    return read_records(df, names, fields, key)
+    return read_records(df, names, fields, key, clustered)
 
 
 # presets O-16..O-22 -----------------------------------------------------------------------------
@@ -260,9 +303,10 @@ def sales_invoices(invoices: DataFrame, status: str | None = None, customer: str
 # O-10 / O-23 / O-24 -----------------------------------------------------------------------------
 
 def invoice_detail(moves: DataFrame, partners: DataFrame, currencies: DataFrame, ids=None,
-                   dbs: Iterable[str] | None = None) -> DataFrame:
-    """Invoices with partner and currency (13 columns + ``db``); ``ids`` optionally narrows them."""
-    m = _id_filter(allowed(moves, dbs), ids, "id")
+                   dbs: Iterable[str] | None = None, clustered: bool = False) -> DataFrame:
+    """Invoices with partner and currency (13 columns + ``db``); ``ids`` optionally narrows them (``clustered``: see
+    ``read_records``)."""
+    m = _id_filter(allowed(moves, dbs), ids, "id", clustered)
     bounded = row_bound(len(list(ids)), dbs) if ids is not None and not isinstance(ids, DataFrame) else None
     m = lookup(m, partners, company_keys("partner_id", partners), {"name": "partner_name", "id": "_pid"}, bounded)
     m = lookup(m, currencies, [("currency_id", "id")], {"symbol": "currency_symbol"}, bounded)

@@ -11,6 +11,7 @@ from ledgerflow.operators import trigrams as tg
 from ledgerflow.plans.metrics_queries import overdue_rows_sql
 from ledgerflow.plans.registry import AS_OF, register
 from ledgerflow.session import work_dir
+from ledgerflow.sources.tables import load_tables, write_company_table
 from ledgerflow.sources.audit import AUDIT_COLUMNS, append_audit, audit_by, conform_audit, read_audit
 
 
@@ -27,6 +28,24 @@ def invoice_detail(fx):
     return ls.invoice_detail(fx["account_move"], fx["res_partner"], fx["res_currency"])
 
 
+@register("invoice_detail_by_ids", ["account_move", "res_partner", "res_currency", "approval_request"], """
+SELECT am.db, am.id, am.name, am.state, am.move_type,
+       CAST(am.amount_total AS DOUBLE) AS amount_total, CAST(am.amount_residual AS DOUBLE) AS amount_residual,
+       am.currency_id, am.date, am.invoice_date, am.invoice_date_due,
+       rp.name AS partner_name, rp.id AS partner_id, rc.symbol AS currency_symbol
+FROM account_move am LEFT JOIN res_partner rp ON am.partner_id = rp.id
+     LEFT JOIN res_currency rc ON am.currency_id = rc.id
+WHERE EXISTS (SELECT 1 FROM approval_request r WHERE r.db = am.db AND r.object_id = am.id)
+""")
+def invoice_detail_by_ids(fx):
+    """O-10 by a table of ids, from invoices stored in the order of their ids: the ids' ranges are pushed down."""
+    path = work_dir(fx.spark, "tables", uuid.uuid4().hex, "account_move")
+    write_company_table(fx["account_move"], path, ["id"], files_per_company=8)
+    ids = fx["approval_request"].select("db", F.col("object_id").alias("id"))
+    return ls.invoice_detail(load_tables(fx.spark, {"account_move": path})["account_move"], fx["res_partner"], fx["res_currency"],
+                             ids, clustered=True)
+
+
 @register("read_expenses", ["hr_expense", "approval_request_expense"], """
 SELECT e.db, e.id, e.name, e.state, e.total_amount, e.employee_id, e.employee_name, e.date, e.description
 FROM hr_expense e
