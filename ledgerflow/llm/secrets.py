@@ -39,11 +39,12 @@ THRESHOLDS = {"decimal": 2.7, "hex": 3.0, "letters": 3.7, "alphanumeric": 3.5, "
 _WHOLE = r"(?![A-Za-z0-9])"
 #: Parts of candidates in which nothing is reported (UUIDs, rulers, words of one case or with humps that are shorter
 #: than a window, joined by separators with short numbers at most, digits that count up, and the surroundings of
-#: well-known placeholders, up to a window with the whole word).
+#: well-known placeholders, up to a window with the whole word). A run of separators is tried at its start only, so
+#: the time of an entry grows with the length of the text.
 ALLOW = (
     rf"(?<![A-Za-z0-9])[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}{_WHOLE}",
     r"(.)\1{7,}",
-    rf"[-_/=+]*(?<![A-Za-z0-9])(?:(?:(?=[A-Za-z]{{1,19}}{_WHOLE})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}})*)|[0-9]{{1,4}})"
+    rf"(?<![-_/=+])[-_/=+]*(?<![A-Za-z0-9])(?:(?:(?=[A-Za-z]{{1,19}}{_WHOLE})(?:[A-Z]+|[A-Z]?[a-z]+(?:[A-Z][a-z]{{2,}})*)|[0-9]{{1,4}})"
     rf"{_WHOLE}[-_/=+]*)+",
     rf"(?<![A-Za-z0-9])0?(?:1234567890)+1?2?3?4?5?6?7?8?9?{_WHOLE}",
     r"[A-Za-z0-9]{0,13}(?i:example|placeholder|changeme|xxxxxx)[A-Za-z0-9]{0,13}",
@@ -152,15 +153,15 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                  thresholds: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans), one row per row.
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy), one row per row.
 
     Spans are kind:start:end in code points, by start, then kind. Null and empty texts have none (the
     hash is that of the empty string). Texts of any length are read whole; rows that repeat are each
     scanned; null ids stay; an empty table gives no rows; other columns are not read."""
     python_tasks(docs.sparkSession)
     kinds = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access", pa.int64()),
-                       ("n_hex", pa.int64()), ("n_entropy", pa.int64()), ("base_sha256", pa.string()),
-                       ("spans", pa.string())])
+                       ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()),
+                       ("n_entropy", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):
@@ -168,13 +169,13 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for text in part.column(1).to_pylist():
                 found = all_spans(text, window, thresholds, allow)
                 base = joined([x for x in found if x[1] < 3])
-                rows.append((*(sum(k == n for _, k, _ in found) for n in range(4)),
-                             hashlib.sha256(base.encode()).hexdigest(), joined(found)))
+                *counts, entropy = (sum(k == n for _, k, _ in found) for n in range(4))
+                rows.append((*counts, hashlib.sha256(base.encode()).hexdigest(), joined(found), entropy))
             yield pa.record_batch([part.column(0), *map(list, zip(*rows, strict=True))], schema=kinds)
 
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, n_entropy long, "
-                                  "base_sha256 string, spans string")
+    return plain.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, "
+                                  "n_entropy long")
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars",

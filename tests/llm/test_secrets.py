@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import re
 from collections import Counter
 
@@ -116,3 +117,14 @@ def test_allow_list_covers_matching_parts_only(text, inside):
     "=" * 30 + "quick-brown-fox-jumps", "Rindfleischetikettierungs", "docs/example/your-key-here"])
 def test_plain_parts_are_not_reported(text):
     assert not secrets.entropy_spans(text)
+
+
+@pytest.mark.parametrize("run", ["=", "-", "/", "+", "_", "-=", "a-", "1"])
+def test_time_grows_with_the_length_of_a_run(run):
+    """1 MB of separators before a key: every entry is tried once a run, not at each of its places."""
+    text = run * (1_000_000 // len(run)) + KEY
+    began = time.perf_counter()
+    spans = secrets.all_spans(text)
+    assert time.perf_counter() - began < 6 and spans[-1][2] == len(text)
+    few = run * (300 // len(run)) + KEY
+    assert [e - len(text) for _, _, e in spans][-1] == [e - len(few) for _, _, e in secrets.all_spans(few)][-1] == 0
