@@ -30,6 +30,13 @@ EXPAND = 4
 AT_ONCE = 256
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two so that their largest component is about 1: squares and products of very large
+    or small vectors stay finite, and cosines keep every bit."""
+    _, power = np.frexp(np.abs(x).max(axis=1, initial=0.0))
+    return np.ldexp(x, -power[:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows scaled to length 1, without overflow for large components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -190,13 +197,14 @@ class Shard:
     def __init__(self, payload: bytes):
         head, vectors, self.ids, self.begin, *layers = unpack(payload)
         dim, top = map(int, head)
-        self.vectors = vectors.reshape(-1, dim)
+        self.vectors = scaled(vectors.reshape(-1, dim))
         n = len(self.vectors)
         self.norm = np.sqrt(np.einsum("nd,nd->n", self.vectors, self.vectors))
         self.graph = Graph(unit(self.vectors).astype(np.float32), [a.reshape(n, -1) for a in layers], top)
 
     def nearest(self, ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, id, cosine) rows: at least the ``k`` best found of each query, without its own id."""
+        q = scaled(q)
         nodes = self.graph.search(unit(q).astype(np.float32), beam)[:, :max(beam, k + 1)]
         row, place = np.nonzero(nodes >= 0)
         node = nodes[row, place]
@@ -271,7 +279,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     ``vec_id``) holds, by cosine in double precision; ties go to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with a
-    null id. Only vectors of equal length are compared. Repeated rows count once; a row with the query's own id
+    null id. All others do, however large or small. Only vectors of equal length are compared. Repeated rows count once; a row with the query's own id
     is no candidate. With fewer than ``k`` candidates all are returned. An empty table gives no rows; other
     columns are not read."""
     spark = vectors.sparkSession

@@ -93,3 +93,27 @@ def test_copies_with_ties_go_to_the_smaller_ids(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = found(hnsw.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=50))
     assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[50]] == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("shard_rows", [4, 200])
+def test_very_large_and_small_vectors(spark, shard_rows):
+    """Cosines do not depend on the length of the vectors, from the smallest to the largest doubles."""
+    r = np.random.default_rng(1)
+    base = r.normal(size=(60, 6))
+    factor = 10.0 ** r.choice([-300, -200, 0, 200, 300], 60)
+    rows = [(i, (v * f).tolist()) for i, (v, f) in enumerate(zip(base, factor, strict=True))] + [(60, [5e-324] * 6), (61, [1.7e308] * 6)]
+    plain = [(i, v.tolist()) for i, v in enumerate(base)] + [(60, [1.0] * 6), (61, [1.0] * 6)]
+    got = found(hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 10 == 0,
+                             shard_rows=shard_rows))
+    want = brute(plain, lambda i: i % 10 == 0)
+    assert set(got) == set(want)
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]], abs=1e-12)
+
+
+def test_scaling_keeps_every_bit():
+    x = np.random.default_rng(2).normal(size=(50, 8)) * 10.0 ** np.arange(-20, 30)[:, None]
+    y = hnsw.scaled(x)
+    assert (np.abs(y).max(axis=1) < 1).all() and (np.abs(y).max(axis=1) >= 0.5).all()
+    assert (np.frexp(x)[0] == np.frexp(y)[0]).all()
