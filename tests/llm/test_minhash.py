@@ -84,7 +84,10 @@ def test_dropping_keeps_columns_and_one_of_each_group(edge, none):
     assert minhash.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [10_000, 12, 0])
+def test_components(spark, monkeypatch, hot):
+    """All, some or none of the nodes are looked up by broadcast."""
+    monkeypatch.setattr("ledgerflow.llm.components.HOT", hot)
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
     edges += [(500, 600 + i) for i in range(80)] + [(7, 7)]
