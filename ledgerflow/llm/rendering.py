@@ -66,6 +66,9 @@ IN_HEAD = frozenset("title meta link style script base template noscript".split(
 #: Elements nested deeper than this are laid as siblings, as browsers do.
 MAX_DEPTH = 200
 BULLET, COLUMN_GAP = "- ", "  "
+#: Lines of a cell longer than this do not widen their column, and no cell is moved further right than
+#: ``PADDED``: later cells of such a line follow after a gap. So a line gets 400 blanks at most.
+WIDEST, PADDED = 120, 400
 
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                   r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
@@ -683,9 +686,11 @@ def _table(table: Node, rules: Rules, keep: bool) -> list[str]:
     for r, line in enumerate(grid):
         for c, cell in enumerate(line):
             if (r, c) not in wide_cells:
-                width[c] = max([width[c], *map(len, cell)])
+                width[c] = max([width[c], *(len(x) for x in cell if len(x) <= WIDEST)])
+            width[c] = max(width[c], int(any(cell)))  # columns of long lines or wide cells only are used, too
     for (r, c), n in wide_cells.items():
-        need = max(map(len, grid[r][c]), default=0) - sum(width[c:c + n]) - len(COLUMN_GAP) * (n - 1)
+        longest = max((len(x) for x in grid[r][c] if len(x) <= WIDEST), default=0)
+        need = longest - sum(width[c:c + n]) - len(COLUMN_GAP) * (n - 1)
         if need > 0:
             width[c + n - 1] += need
     used = [c for c, w in enumerate(width) if w]
@@ -696,7 +701,9 @@ def _table(table: Node, rules: Rules, keep: bool) -> list[str]:
             at = 0
             for c in used:
                 cell = line[c] if c < len(line) else []
-                text = text.ljust(at) + (cell[i] if i < len(cell) else "")
+                if i < len(cell) and cell[i]:
+                    gap = COLUMN_GAP if text else ""
+                    text = (text + gap).ljust(min(at, PADDED)) + cell[i]
                 at += width[c] + len(COLUMN_GAP)
             lines.append(text.rstrip(" "))
     return lines

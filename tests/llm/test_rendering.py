@@ -61,6 +61,19 @@ def test_implied_tags():
     assert row.tag == "tr" and [c.tag for c in row.children] == ["td", "td"]
 
 
+def test_long_cells_do_not_widen_the_others():
+    rows = [f"row{i}<td>value{i}" for i in range(200)]
+    page = "<table>" + "".join(f"<tr><td>{r}" for r in rows) + f"<tr><td>{'x ' * 25_000}<td>end</table>"
+    text = render(page)
+    assert len(text) < 2 * len(page)
+    assert text.split("\n")[:2] == ["row0    value0", "row1    value1"]
+    assert text.split("\n")[-1] == "x " * 25_000 + " end"
+    wide = "<table><tr>" + "".join(f"<td>{'y' * 100}" for _ in range(50)) + "<tr><td>a<td colspan=48><td>b" * 100 + "</table>"
+    assert max(map(len, render(wide).split("\n")[1:])) == 401
+    assert render("<table><tr><td colspan=2>abc</table>") == "abc"
+    assert render(f"<table><tr><td>{'z' * 500}<tr><td>a</table>") == "z" * 500 + "\na"
+
+
 def test_rows(spark):
     rows = [(1, "<p>a"), (2, None), (3, ""), (1, "<p>a"), (None, "b<br>c")]
     df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "1 as text", "'x' as n_chars")
