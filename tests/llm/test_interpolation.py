@@ -4,6 +4,7 @@ import collections
 import math
 import zlib
 
+import numpy as np
 import pytest
 
 from llm_helpers import words
@@ -39,9 +40,11 @@ def model_rows(rows, order, weights):
     return out
 
 
-@pytest.mark.parametrize(("table", "order"), [("edge", 2), ("small", 2), ("small", 3)])
-def test_scores_equal_plain_counts(request, monkeypatch, table, order):
+@pytest.mark.parametrize(("table", "order", "bucket"), [
+    ("edge", 2, lm.BUCKET_BYTES), ("edge", 3, 50_000), ("small", 2, 20_000), ("small", 3, lm.BUCKET_BYTES)])
+def test_scores_equal_plain_counts(request, monkeypatch, table, order, bucket):
     docs = request.getfixturevalue(table)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", bucket)
     learned = {}
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda *a, **k: learned.update(learn(*a, **k)) or learned)
@@ -53,6 +56,14 @@ def test_scores_equal_plain_counts(request, monkeypatch, table, order):
         assert g[5:] == pytest.approx(w[5:], rel=1e-6, abs=1e-6)
 
 
+def test_keys_grow_with_the_text_and_buckets_are_ranges():
+    assert [lm.keys_for(3, size).bits for size in (0, 1 << 20, 1 << 29, 1 << 35, 10**14)] == [32, 45, 54, 60, 64]
+    names = lm.Keys(2, 7, 45)
+    for n, bits in ((1, 64), (2, 45)):
+        keys = np.array([0, 1, (1 << bits) // 7 - 9, 1 << (bits - 1), (1 << bits) - 1], np.uint64)
+        assert names.ranges(n, keys).tolist() == [7 * (n - 1) + b for b in (0, 0, 0, 3, 6)]
+
+
 def test_weights_are_those_of_plain_em(spark):
     rows = [(65, 0.1, 0.5, 30), (65, 0.1, 0.0, 20), (65, 0.01, 0.9, 50), (0, 0.2, 0.0, 7)]
     held = spark.createDataFrame(rows, "kind long, p1 double, p2 double, n long")
