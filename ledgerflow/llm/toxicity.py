@@ -45,17 +45,16 @@ LEARNED = ("learned_strong", "learned_weak", "learned_several", "learned_dense")
 VOTERS = (*LEXICONS, "phrase", "second_person", "exclaimed", "disguised", "several", *LEARNED)
 #: A learned word is in so many of the labelled toxic documents at least, and its share of them is so many
 #: times its share of the clean ones; distinct ones that count as several, and tokens per learned one in a
-#: dense text, at most.
+#: dense text, at most. Of more words than ``MOST_WORDS``, those in the most toxic documents are kept.
 LEARNED_DOCUMENTS, STRONG, WEAK = 3, 60.0, 6.0
 LEARNED_SEVERAL, DENSE = 2, 60
+MOST_WORDS = 1 << 16
 
 #: log2 of the number of word features; documents of either class that the classifier is fitted on, at most
 #: about; a feature occurs in so many of them at least.
 FEATURE_BITS = 18
 SAMPLE = 10_000
 LEAST_DOCUMENTS = 5
-#: Labelled documents of either class that the learned voters' words are taken from, at most about.
-LABELLED = 6_000
 #: Conditional mutual information (nats) from which two voters are taken as correlated.
 CORRELATED = 1e-4
 
@@ -70,22 +69,6 @@ def _member(values: np.ndarray, ascending: np.ndarray) -> np.ndarray:
     return ascending[np.minimum(np.searchsorted(ascending, values), len(ascending) - 1)] == values
 
 
-def learn_words(words: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strong and the weak learned words, from the distinct word hashes of labelled documents."""
-    if not toxic.any() or toxic.all():
-        return np.zeros(0, U64), np.zeros(0, U64)
-    word, n = np.unique(np.concatenate([w for w, t in zip(words, toxic, strict=True) if t]), return_counts=True)
-    often = n >= LEARNED_DOCUMENTS
-    word, n = word[often], n[often]
-    clean = np.concatenate([w for w, t in zip(words, toxic, strict=True) if not t])
-    found = np.searchsorted(word, clean)
-    hit = found < len(word)
-    found = found[hit][word[found[hit]] == clean[hit]]
-    other = np.bincount(found, minlength=len(word))
-    ratio = (n / toxic.sum()) / ((other + 0.5) / (~toxic).sum())
-    return word[ratio >= STRONG], word[(ratio >= WEAK) & (ratio < STRONG)]
-
-
 class Votes:
     """Token hashes and votes of the rows of a batch."""
 
@@ -261,40 +244,53 @@ def logistic(index: np.ndarray, row: np.ndarray, target: np.ndarray, weight: np.
     return w, bias
 
 
-def _draw(id_col: str) -> Column:
-    """A number from 0 to 1 that depends on the id alone."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.lit("labelled")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-
-
-def _learned_words(plain: DataFrame, known: DataFrame, labelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """The learned words, from a bounded sample of labelled documents (so it may be broadcast and collected)."""
-    total = dict(known.groupBy("label").count().collect())
-    cut = [labelled / max(1, total.get(c, 0)) for c in (0, 1)]
-    few = known.where(_draw("doc_id") < F.when(F.col("label") == 1, cut[1]).otherwise(cut[0]))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 1):
-            w = Words(*utf8(part.column(1)), lower=True, separators=_SEPARATORS)
-            h = w.hashes()
-            rows = [np.unique(h[a:b]).tobytes() for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
-            yield pa.record_batch([part.column(0), pa.array(rows, pa.binary()), part.column(2)],
-                                  names=["doc_id", "words", "label"])
-
-    rows = (plain.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
-            .mapInArrow(words, "doc_id long, words binary, label int").collect())
-    rows.sort(key=lambda r: (r["doc_id"], r["words"]))
-    return learn_words([np.frombuffer(r["words"], U64) for r in rows], np.array([r["label"] == 1 for r in rows], bool))
+def learned_words(texts: DataFrame, most: int = MOST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes of the strong and the weak learned words of labelled ``texts`` (text, label 0 or 1).
+
+    All rows are counted: a batch sends a row per distinct word with the documents of either class that have it
+    (a null word stands for every document), and Spark adds them up. A word's share of the toxic documents is
+    divided by its share of the clean ones, to which half a document (of the larger class) is added. At most
+    ``most`` words come to the driver, eight bytes each. Null texts have no words; without documents of both
+    classes there are no learned words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 0):
+            w = Words(*utf8(part.column(0)), lower=True, separators=_SEPARATORS)
+            toxic = part.column(1).to_numpy(zero_copy_only=False) == 1
+            h, row = w.hashes(), w.rows()
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            word, at = np.unique(h[new], return_inverse=True)
+            bad = np.bincount(at, weights=toxic[row[new]], minlength=len(word)).astype(np.int64)
+            both = np.bincount(at, minlength=len(word))
+            yield pa.record_batch([pa.concat_arrays([pa.array(word.view(np.int64)), pa.nulls(1, pa.int64())]),
+                                   pa.array(np.append(bad, toxic.sum())),
+                                   pa.array(np.append(both - bad, (~toxic).sum()))], names=["word", "bad", "good"])
+
+    counts = stored(texts.select("text", "label").mapInArrow(count, "word long, bad long, good long")
+                    .groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "label-words")
+    documents_of = counts.where("word is null").select("bad", "good").first()
+    if documents_of is None or not all(documents_of):
+        return np.zeros(0, U64), np.zeros(0, U64)
+    bad, good = documents_of
+    ratio = F.col("bad") / (F.col("good") * F.lit(bad / good) + F.lit(0.5 * max(1.0, bad / good)))
+    found = (counts.where(F.col("word").isNotNull() & (F.col("bad") >= LEARNED_DOCUMENTS))
+             .select("word", "bad", ratio.alias("ratio")).where(F.col("ratio") >= WEAK)
+             .orderBy(F.desc("bad"), "word").limit(most).collect())
+    words = [np.array([r["word"] for r in found if (r["ratio"] >= STRONG) == strong], np.int64) for strong in (True, False)]
+    return tuple(np.sort(w.view(U64)) for w in words)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_id_col: str = "doc_id", label_col: str = "toxic", held_out_of: int = 5,
-                   sample: int = SAMPLE, labelled: int = LABELLED, bits: int = FEATURE_BITS) -> DataFrame:
+                   sample: int = SAMPLE, most_words: int = MOST_WORDS, bits: int = FEATURE_BITS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per row of ``docs``.
 
     Labels of rows whose crc32(doc_id as text) modulo ``held_out_of`` is 0 are not used. Votes are counted
-    over all documents. The learned voters' words come from about ``labelled`` labelled documents of either
-    class, chosen by a hash of their id (all, where there are fewer). The classifier is fitted on documents with posterior labels, about ``sample`` of
-    either class, chosen by a hash of their id. Null and empty texts have no features and get the score of
+    over all documents, the learned voters' words over all labelled ones. The classifier is fitted on documents
+    with posterior labels, about ``sample`` of either class, chosen by a hash of their id. Null and empty texts have no features and get the score of
     that. Labels that contradict each other count as toxic; null labels as none. Rows with a null id are
     held out and scored. Without any document of a class every score is near the prior. An empty table
     gives no rows; other columns are not read."""
@@ -306,7 +302,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     known = (labels.select(F.col(label_id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
              .where("doc_id is not null and label in (0, 1)").where(taught).groupBy("doc_id")
              .agg(F.max("label").alias("label")))
-    lexicon = spark.sparkContext.broadcast(_learned_words(plain, known, labelled))
+    labelled = plain.join(known.hint("merge"), "doc_id")
+    lexicon = spark.sparkContext.broadcast(learned_words(labelled, most_words))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, 1):

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import collections
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from ledgerflow.llm import toxicity
-from ledgerflow.llm.text import U64, utf8
+from ledgerflow.llm.text import U64, hash_words, utf8
 
 NONE = np.zeros(0, U64)
 
@@ -86,3 +87,23 @@ def test_edge_rows(spark, edge, none):
     nobody = labels.limit(0)
     assert toxicity.score_toxicity(none, nobody).count() == 0
     assert toxicity.score_toxicity(edge, nobody).count() == edge.count()
+
+
+def test_learned_words_come_from_all_labelled_texts(spark):
+    rows = ([(f"vile word{i % 7} shared", 1) for i in range(40)] + [(f"word{i % 7} kind shared kind", 0) for i in range(300)]
+            + [("Rare rare vile", 1), ("rare vile", 1), ("RARE", 1), ("", 1), (None, 0), ("twice vile", 1), ("twice", 1)])
+    bad, good = collections.Counter(), collections.Counter()
+    for text, label in rows:
+        (bad if label else good).update(set((text or "").lower().split()))
+    toxic, clean = sum(x for _, x in rows), sum(not x for _, x in rows)
+    scale = toxic / clean
+    ratio = {w: n / (good[w] * scale + 0.5 * max(1, scale)) for w, n in bad.items() if n >= toxicity.LEARNED_DOCUMENTS}
+    texts = spark.createDataFrame(rows, "text string, label int").repartition(5)
+    strong, weak = toxicity.learned_words(texts)
+    hashes = lambda some: sorted(hash_words(sorted(some)).tolist())
+    assert strong.tolist() == hashes(w for w, x in ratio.items() if x >= toxicity.STRONG) != []
+    assert weak.tolist() == hashes(w for w, x in ratio.items() if toxicity.WEAK <= x < toxicity.STRONG) != []
+    # The words in the most toxic documents are kept, and one class alone teaches nothing.
+    assert [len(x) for x in toxicity.learned_words(texts, most=1)] == [1, 0]
+    assert [len(x) for x in toxicity.learned_words(texts.where("label = 1"))] == [0, 0]
+    assert [len(x) for x in toxicity.learned_words(texts.limit(0))] == [0, 0]
