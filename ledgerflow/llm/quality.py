@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import fold, python_tasks
+from ledgerflow.llm.common import fold, python_tasks, stored
 from ledgerflow.llm.text import U64, Words, inside, mix, ngrams, pieces, utf8
 
 #: log2 of the number of hash buckets. The model is two counts per bucket, whatever the corpus.
@@ -50,34 +50,32 @@ def features(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (mix(keys) >> U64(64 - bits)).astype(np.int64), np.concatenate([row, row[:len(two)][two]])
 
 
-def ngram_counts(docs: DataFrame, text_col: str, trusted_col: str, bits: int) -> DataFrame:
-    """(bucket, raw, trusted): n-gram counts over all rows and over trusted rows, summed per task first."""
+def ngram_counts(docs: DataFrame, text_col: str, bits: int) -> np.ndarray:
+    """Occurrences of the n-grams of all rows per bucket, summed per task first.
+
+    At most 2**bits rows come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, trusted = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for part in pieces(batches, 0):
-            bucket, row = features(Words(*utf8(part.column(0)), lower=True), bits)
-            raw += np.bincount(bucket, minlength=1 << bits)
-            good = part.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            trusted += np.bincount(bucket[good[row]], minlength=1 << bits)
-        some = np.flatnonzero(raw)
-        yield pa.record_batch([pa.array(some), pa.array(raw[some]), pa.array(trusted[some])],
-                              names=["bucket", "raw", "trusted"])
+            bucket, _ = features(Words(*utf8(part.column(0)), lower=True), bits)
+            total += np.bincount(bucket, minlength=1 << bits)
+        some = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("t"), F.coalesce(F.col(trusted_col), F.lit(False)).alias("g"))
-    return (rows.mapInArrow(count, "bucket long, raw long, trusted long")
-            .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")))
+    out = np.zeros(1 << bits)
+    counts = docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(count, "bucket long, n long")
+    for bucket, n in counts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[bucket] = n
+    return out
 
 
-def log_ratios(counts: DataFrame, bits: int, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p_trusted - log p_raw per bucket. The table has at most 2**bits rows, so it fits the driver.
+def log_ratios(raw: np.ndarray, trusted: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
+    """log p_trusted - log p_raw per bucket.
 
     Without trusted text there is nothing to compare with, and all ratios are 0."""
-    raw, trusted = np.zeros(1 << bits), np.zeros(1 << bits)
-    for bucket, r, t in counts.collect():
-        raw[bucket], trusted[bucket] = r, t
     if not trusted.sum():
-        return np.zeros(1 << bits, np.float32)
+        return np.zeros(len(raw), np.float32)
 
     def log_p(c: np.ndarray) -> np.ndarray:
         c = c + smoothing * c.sum() / len(c)
@@ -134,19 +132,16 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def _threshold(docs: DataFrame, left_out: DataFrame, weights, bits: int) -> float:
-    """The score under which documents are rejected, from trusted documents that the counts leave out."""
+def _threshold(left_out: DataFrame, weights, bits: int) -> float:
+    """The score under which documents are rejected, from trusted texts (one column) that the counts leave out."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches, 1):
-            *_, failed, llr = _score(part, 1, weights.value, bits)
-            yield pa.record_batch([part.column(0), pa.array(failed), pa.array(np.floor(llr / GRID).astype(np.int64))],
-                                  names=["_id", "failed", "cell"])
+        for part in pieces(batches, 0):
+            *_, failed, llr = _score(part, 0, weights.value, bits)
+            yield pa.record_batch([pa.array(np.floor(llr[~failed] / GRID).astype(np.int64))], names=["cell"])
 
-    scores = docs.mapInArrow(score, "_id long, failed boolean, cell long").where("not failed").select("_id", "cell")
     # A row per grid cell: log ratios of smoothed counts lie within some tens of nats.
-    cells = sorted(tuple(r) for r in scores.join(left_out.hint("merge"), F.col("_id") == F.col("_good"), "left_semi")
-                   .groupBy("cell").count().collect())
+    cells = sorted(tuple(r) for r in left_out.mapInArrow(score, "cell long").groupBy("cell").count().collect())
     passed = int(UNREACHED * sum(n for _, n in cells))
     for cell, n in cells:
         if passed < n:
@@ -170,12 +165,12 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     good = (trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("_good")).dropna().distinct()
             .withColumn("_counted", fold(F.col("_good"), 2) == 0))
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    # The trusted ids grow with the corpus, so they are never broadcast: one plan at every size.
-    counted = good.where("_counted").hint("merge")
-    marked = (plain.join(counted, F.col("_id") == F.col("_good"), "left")
-              .select("_text", F.col("_good").isNotNull().alias("_trusted")))
-    weights = spark.sparkContext.broadcast(log_ratios(ngram_counts(marked, "_text", "_trusted", bits), bits))
-    threshold = _threshold(plain, good.where("not _counted").select("_good"), weights, bits)
+    # The trusted ids grow with the corpus, so they are never broadcast: one plan at every size. The trusted texts are
+    # joined once and stored; only they are counted and scored a second time.
+    texts = stored(plain.join(good.hint("merge"), F.col("_id") == F.col("_good")).select("_text", "_counted"), "trusted", "zstd")
+    weights = spark.sparkContext.broadcast(log_ratios(
+        ngram_counts(plain, "_text", bits), ngram_counts(texts.where("_counted"), "_text", bits)))
+    threshold = _threshold(texts.where("not _counted").select("_text"), weights, bits)
     names = [f.name for f in docs.schema.fields]
     at = names.index(text_col)
     types = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
