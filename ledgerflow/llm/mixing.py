@@ -10,9 +10,12 @@ When a source has no blocks left a new phase starts: the weights of the others a
 up to 1 and windows are counted from the phase's first slot. Windows are those of the exact
 weights (kept as whole numbers) over the whole phase, so nothing adds up however long it is.
 The largest sources are tasks of their own; the others share a task with the sum of their
-weights, whose blocks are dealt out to them by windows in the same way. The schedule is made
-block by block in one task that keeps a heap of the sources; Spark deals documents to blocks
-and joins these with the blocks' slots.
+weights, whose blocks are dealt out to them by windows in the same way: the lane is less than
+a block off its share, a source of it less than a block off its part of the lane, so less than
+two blocks off in all. The schedule is made block by block in one task that keeps a heap of the
+sources; blocks get larger with the corpus, so that this task never places more than
+``MOST_BLOCKS`` of them and one per source. Spark deals documents to blocks and joins these
+with the blocks' slots.
 """
 
 from __future__ import annotations
@@ -30,7 +33,10 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import python_tasks
 
+#: Documents of a block, at least.
 BLOCK_DOCUMENTS = 64
+#: Full blocks of a schedule, at most: beyond BLOCK_DOCUMENTS times as many documents the blocks are larger.
+MOST_BLOCKS = 1 << 22
 #: Slots of a period where rounded weights are asked for: weights are then multiples of one part in this (or in
 #: ten times the sources, if more).
 RESOLUTION = 1000
@@ -187,13 +193,18 @@ def dealt(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int]]:
             heapq.heappush(waiting, (i / weights[s], s, i + 1))
 
 
+def block_size(documents: int) -> int:
+    """Documents of a block, so that the schedule of all has a bounded length."""
+    return max(BLOCK_DOCUMENTS, -(-documents // MOST_BLOCKS))
+
+
 def tempered(counts: dict[str | None, int], power: float) -> dict[str | None, float]:
     """Target weights in proportion to a power of the source sizes (1: as they are, 0: all equal)."""
     return {s: float(n) ** power for s, n in counts.items()}
 
 
 def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | None, float] | None, power: float,
-            block_docs: int, resolution: int | None, seed: int) -> DataFrame:
+            block_docs: int | None, resolution: int | None, seed: int) -> DataFrame:
     """``docs`` (columns without clashes) with _source lane, _block, _place, _phase and _slot."""
     spark = docs.sparkSession
     if weights is not None and (len(weights) > MAX_SOURCES or any(w < 0 for w in weights.values())):
@@ -227,8 +238,10 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
         docs = docs.withColumn("_lane", F.when(F.col("_lane") < len(named), F.col("_lane").cast("long")).otherwise(number))
         others = docs.where("_lane < 0").groupBy("_lane").count()
     counts = {r["_lane"]: r["count"] for r in docs.where("_lane >= 0").groupBy("_lane").count().collect()}
+    largest, shared = others.agg(F.max("count"), F.sum("count")).first() if others is not None else (None, None)
+    if block_docs is None:
+        block_docs = block_size(sum(counts.values()) + (shared or 0))
     sizes = [-(-counts.get(i, 0) // block_docs) for i in range(len(named) + 1)]
-    largest = others.agg(F.max("count")).first()[0] if others is not None else None
     table = _slots(spark, [weight_of[s] for s in named], sizes, None if largest is None else others, power, block_docs,
                    resolution)
 
@@ -244,7 +257,7 @@ def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str | N
     by_group = docs.groupBy("_lane", "_g").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_lane").orderBy("_g").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))
-    # A group's rows lie in some tens of blocks, whose slots it brings along.
+    # A group's rows lie in some tens of blocks (or fewer, larger ones), whose slots it brings along.
     starts = by_group.select(F.col("_lane").alias("_l2"), F.col("_g").alias("_g2"), before.alias("_before"), "_n")
     first = F.floor(F.col("_before") / block_docs)
     last = F.floor((F.col("_before") + F.col("_n") - 1) / block_docs)
@@ -290,12 +303,13 @@ def _slots(spark: SparkSession, weights: list[float], sizes: list[int], others:
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id",
-                source_col: str = "source", power: float = 0.5, block_docs: int = BLOCK_DOCUMENTS,
+                source_col: str = "source", power: float = 0.5, block_docs: int | None = None,
                 resolution: int | None = None, seed: int = 0) -> DataFrame:
     """(doc_id, source, block, place, phase, slot), one row per row of ``docs``.
 
     ``weights``: target weight per source (None: in proportion to the ``power`` of its number of documents).
-    They hold to less than one block at every slot of a phase, unless ``resolution`` asks for rounded weights.
+    They hold to less than one block at every slot of a phase (sources without a lane of their own: less than two),
+    unless ``resolution`` asks for rounded weights. ``block_docs``: documents of a block (None: by ``block_size``).
     ``block`` is the document's block in its source, ``place`` its place in the block, ``slot`` the block's
     place in the mixture. Every document is placed once; a block that is the last of its source may be short.
     A null source is a source of its own; sources without a weight share a lane that comes last. Documents
@@ -308,7 +322,7 @@ def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None,
 
 
 def in_mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id",
-                   source_col: str = "source", power: float = 0.5, block_docs: int = BLOCK_DOCUMENTS,
+                   source_col: str = "source", power: float = 0.5, block_docs: int | None = None,
                    resolution: int | None = None, seed: int = 0) -> DataFrame:
     """All rows and columns of ``docs`` in the order of the mixture: partitions (so files) by ascending slots,
     each sorted. Edge cases as in ``mix_sources``."""

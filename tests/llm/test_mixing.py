@@ -162,3 +162,45 @@ def test_sources_beyond_the_largest_keep_their_weights(spark, monkeypatch):
     for slot in range(min(r["slot"] for r in rows if r["phase"] == 1)):
         got[of_slot[slot].copy().pop()] += 1
         assert all(abs(got[s] - w / sum(weights.values()) * (slot + 1)) < 2 for s, w in weights.items())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_six_hundred_sources_keep_their_stated_bounds(seed):
+    """Deviation from the weights of all 600 sources, up to the first source that runs out: less than a block for the
+    500 with a lane of their own, less than two for the others."""
+    r = random.Random(seed)
+    blocks = sorted((r.randint(30, 400) for _ in range(600)), reverse=True)
+    weights = [n ** 0.5 for n in blocks]
+    own = mixing.MAX_SOURCES
+    inner = mixing.dealt(weights[own:], blocks[own:])
+    rows = list(mixing.placements([*weights[:own], sum(weights[own:])], [*blocks[:own], sum(blocks[own:])]))
+    assert len(rows) == sum(blocks)
+    got, total, most, seen = [0] * 600, sum(weights), [0.0, 0.0], set()
+    until = int(min(n / w for n, w in zip(blocks, weights, strict=True)) * total)  # nobody is through before
+    for t, (lane, block, _, _) in enumerate(rows, 1):
+        s = lane
+        if lane == own:
+            s, block = next(inner)
+            s += own
+        assert block == got[s]
+        seen.add((s, block))
+        got[s] += 1
+        if t <= until and (t % 20 == 0 or t < 1000):
+            for i, (g, w) in enumerate(zip(got, weights, strict=True)):
+                most[i >= own] = max(most[i >= own], abs(g - w / total * t))
+    assert len(seen) == sum(blocks) and most[0] < 1 + 1e-9 and most[1] < 2
+
+
+def test_blocks_grow_with_the_corpus(spark, monkeypatch, small):
+    assert mixing.block_size(0) == mixing.block_size(64 << 22) == 64
+    assert mixing.block_size((64 << 22) + 1) == 65 and mixing.block_size(10**12) * mixing.MOST_BLOCKS >= 10**12
+    monkeypatch.setattr(mixing, "BLOCK_DOCUMENTS", 2)
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    monkeypatch.setattr(mixing, "RANK_ROWS", 7)
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    rows = mixing.mix_sources(small).collect()
+    n = small.count()
+    largest = max(r["count"] for r in small.groupBy("source").count().collect())
+    assert len(rows) == n and max(r["place"] for r in rows) + 1 == min(-(-n // 10), largest) > 2
+    slots = {r["slot"] for r in rows}
+    assert slots == set(range(len(slots))) and len(slots) <= 10 + len({r["source"] for r in rows})
