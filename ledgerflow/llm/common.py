@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from ledgerflow.session import work_dir
 
 #: Bytes of one Arrow batch sent to a Python task (long texts then make short batches).
 BATCH_BYTES = 8 << 20
+#: Paths of the tables stored inside the innermost ``temporary`` block.
+_OWNED: ContextVar[list[str] | None] = ContextVar("_OWNED", default=None)
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -35,12 +40,37 @@ def python_tasks(spark: SparkSession) -> None:
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared work folder and read it back.
 
-    This cuts the lineage: a lost executor costs only the tasks that read it."""
+    This cuts the lineage: a lost executor costs only the tasks that read it. The table stays until its
+    ``temporary`` block ends; outside of one it is the caller's to delete."""
     path = work_dir(df.sparkSession, "llm", f"{name}-{uuid.uuid4().hex}")
+    owned = _OWNED.get()
+    if owned is not None:
+        owned.append(path)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators store inside this block are deleted when it ends, also after an error.
+
+    Operators return lazy DataFrames that read these tables, so write their results inside the block."""
+    paths: list[str] = []
+    token = _OWNED.set(paths)
+    try:
+        yield
+    finally:
+        _OWNED.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under fixed names (other columns cannot clash)."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

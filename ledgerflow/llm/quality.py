@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import fold, python_tasks, stored
+from ledgerflow.llm.common import fold, python_tasks, stored, temporary
 from ledgerflow.llm.text import U64, Words, inside, mix, ngrams, pieces, utf8
 
 #: log2 of the number of hash buckets. The model is two counts per bucket, whatever the corpus.
@@ -167,10 +167,12 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # The trusted ids grow with the corpus, so they are never broadcast: one plan at every size. The trusted texts are
     # joined once and stored; only they are counted and scored a second time.
-    texts = stored(plain.join(good.hint("merge"), F.col("_id") == F.col("_good")).select("_text", "_counted"), "trusted", "zstd")
-    weights = spark.sparkContext.broadcast(log_ratios(
-        ngram_counts(plain, "_text", bits), ngram_counts(texts.where("_counted"), "_text", bits)))
-    threshold = _threshold(texts.where("not _counted").select("_text"), weights, bits)
+    with temporary(spark):
+        texts = stored(plain.join(good.hint("merge"), F.col("_id") == F.col("_good")).select("_text", "_counted"),
+                       "trusted", "zstd")
+        weights = spark.sparkContext.broadcast(log_ratios(
+            ngram_counts(plain, "_text", bits), ngram_counts(texts.where("_counted"), "_text", bits)))
+        threshold = _threshold(texts.where("not _counted").select("_text"), weights, bits)
     names = [f.name for f in docs.schema.fields]
     at = names.index(text_col)
     types = pa.struct([("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()),
