@@ -7,6 +7,9 @@ with a third of all changes costs one row per task):
   exists (creates that meet a live key are refused), and
 * per column, the latest value set after that.
 
+One aggregate finds these in one reading (``_fold``); the creates of a key that was created, deleted
+and created again are read once more.
+
 A delete removes the row (later updates find nothing, as on the ERP); a create starts the
 row from its own values (columns it does not carry are NULL). Updates to keys that do not
 exist are dropped. The new snapshot is the full outer join of the table with the folded
@@ -50,18 +53,16 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: Sequence[str] | str
     """
     keys = [key] if isinstance(key, str) else list(key)
     columns = [c for c in base.columns if c not in keys and c in changes.columns]
-    live = _life(base, changes, keys, seq_col, op_col)
-    op = F.lower(F.col(op_col))
-    # What counts for a key: its valid create after the last delete, and the updates after that.
-    ch = changes.join(live, keys).filter(F.col("_exists"))
-    since = F.coalesce(F.col("_born"), F.col(seq_col))
-    ch = ch.filter(op.isin(*UPDATE_OPS) & (F.col(seq_col) >= since) | (op == "create") & (F.col(seq_col) == F.col("_born")))
-    aggs = []
-    for c in columns:
-        sets = F.when(op == "create", F.lit(True)).otherwise(_named(c, mask_col))
-        aggs.append(F.max_by(F.struct(F.col(c).alias("v")), F.when(sets, F.col(seq_col))).alias(f"_u_{c}"))
-    folded = ch.groupBy(*keys).agg(*aggs) if aggs else ch.select(*keys).distinct()
-    j = base.join(live.join(folded, keys, "left"), keys, "full_outer").filter(F.coalesce("_exists", F.lit(True)))
+    return _merge(base, _fold(changes, keys, columns, seq_col, op_col, mask_col), keys, columns)
+
+
+def _merge(base: DataFrame, folded: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``base`` after the folded changes of its keys."""
+    present = base.select(*keys).withColumn("_here", F.lit(True))
+    stays = F.col("_here").isNotNull() & F.col("_deleted").isNull()
+    live = folded.join(present, keys, "left").withColumn("_exists", stays | F.col("_create").isNotNull())
+    live = live.withColumn("_born", F.when(~stays, F.col("_create"))).drop("_here")
+    j = base.join(live, keys, "full_outer").filter(F.coalesce("_exists", F.lit(True)))
     out = []
     for c in base.columns:
         if c in keys:
@@ -69,24 +70,34 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: Sequence[str] | str
             continue
         value = F.when(F.col("_born").isNull(), F.col(c))  # a created row starts empty
         if c in columns:
-            value = F.when(F.col(f"_u_{c}").isNotNull(), F.col(f"_u_{c}.v")).otherwise(value)
+            set_ = F.col(f"_u_{c}")
+            value = (F.when(set_.isNotNull() & (F.col("_born").isNull() | (set_["s"] >= F.col("_born"))), set_["v"])
+                     .when(F.col("_born").isNotNull(), F.col("_made")[c]).otherwise(value))
         out.append(value.cast(base.schema[c].dataType).alias(c))
     return j.select(*out)
 
 
-def _life(base: DataFrame, changes: DataFrame, keys: list[str], seq_col: str, op_col: str) -> DataFrame:
-    """Per changed key: does it exist at the end (``_exists``), and the create it exists by (``_born``, else null)."""
-    op = F.lower(F.col(op_col))
-    steps = changes.filter(op.isin(*RESET_OPS, *UPDATE_OPS)).select(*keys, F.col(seq_col).alias("_seq"), op.alias("_op"))
-    last = steps.groupBy(*keys).agg(F.max(F.when(F.col("_op") == "delete", F.col("_seq"))).alias("_deleted"))
-    creates = steps.filter("_op = 'create'").join(last, keys)
-    creates = creates.filter(F.col("_deleted").isNull() | (F.col("_seq") > F.col("_deleted")))
-    first = creates.groupBy(*keys).agg(F.min("_seq").alias("_create"))
-    present = base.select(*keys).withColumn("_here", F.lit(True))
-    j = last.join(present, keys, "left").join(first, keys, "left")
-    stays = F.col("_here").isNotNull() & F.col("_deleted").isNull()
-    return j.select(*keys, F.when(~stays, F.col("_create")).alias("_born"),
-                    (stays | F.col("_create").isNotNull()).alias("_exists"))
+def _fold(changes: DataFrame, keys: list[str], columns: list[str], seq_col: str, op_col: str, mask_col: str | None) -> DataFrame:
+    """Per changed key: its latest delete (``_deleted``), the first create after that and its values (``_create``,
+    ``_made``), and per column the latest update that names it with its place (``_u_<column>``: ``v``, ``s``).
+
+    One aggregate over the changes finds all but the create of a key that was created before its latest delete and
+    again after it; of such keys the creates are read once more."""
+    op, seq = F.lower(F.col(op_col)), F.col(seq_col)
+    steps = changes.dropna(subset=keys).filter(op.isin(*RESET_OPS, *UPDATE_OPS))
+    made_at, row = F.when(op == "create", seq), F.struct(F.lit(True).alias("_made"), *columns)
+    resets = [F.max(F.when(op == "delete", seq)).alias("_deleted"), F.min(made_at).alias("_first")]
+    sets = [F.max_by(F.struct(F.col(c).alias("v"), seq.alias("s")), F.when(op.isin(*UPDATE_OPS) & _named(c, mask_col), seq)).alias(f"_u_{c}")
+            for c in columns]
+    folded = steps.groupBy(*keys).agg(*resets, F.min_by(row, made_at).alias("_made"), *sets)
+    again = (steps.filter(op.isin(*RESET_OPS)).groupBy(*keys).agg(*resets, F.max(made_at).alias("_last"))
+             .filter("_first <= _deleted AND _last > _deleted").select(*keys, "_deleted"))
+    later = steps.filter(op == "create").join(again, keys).filter(seq > F.col("_deleted"))
+    later = later.groupBy(*keys).agg(F.min(seq).alias("_later"), F.min_by(row, seq).alias("_later_made"))
+    dead = F.col("_first") <= F.col("_deleted")
+    return folded.join(later, keys, "left").select(
+        *keys, "_deleted", F.when(dead, F.col("_later")).otherwise(F.col("_first")).alias("_create"),
+        F.when(dead, F.col("_later_made")).otherwise(F.col("_made")).alias("_made"), *[f"_u_{c}" for c in columns])
 
 
 def refused_creates(base: DataFrame, changes: DataFrame, key: Sequence[str] | str = "name",
@@ -143,13 +154,30 @@ def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 #: Rows of a range when the table is created; there are ``GROUP_SLICES`` ranges at most.
 RANGE_ROWS = 1_000_000
 RANGE = "_range"
+#: Children of a node of the search tree over the bounds.
+FAN = 16
 
 
 def _ranged(df: DataFrame, keys: Sequence[str], bounds: DataFrame) -> DataFrame:
-    """``df`` with the number of the range of its key. ``bounds`` is one row: an array of some thousand keys at most."""
+    """``df`` with the number of the range of its key: how many bounds are not above it. ``bounds`` is one row: an
+    array of ``GROUP_SLICES`` keys at most.
+
+    The bounds are searched as a tree: a node holds ``FAN - 1`` of them and is looked up by its number, so that a
+    row meets one node per level and never carries the whole array."""
     key = F.struct(*[F.col(k) for k in keys])
-    one = df.withColumn("_one", F.lit(1)).join(F.broadcast(bounds.withColumn("_one", F.lit(1))), "_one")
-    return one.withColumn(RANGE, slice_of(key)).drop("_one", "_bounds")
+    at = F.col("_at") + 1
+    numbered = bounds.select(F.posexplode("_bounds").alias("_at", "_bound"))
+    out, width = df.withColumn(RANGE, F.lit(0)), FAN
+    while width < GROUP_SLICES:  # the last range takes all that is not below bound GROUP_SLICES - 1
+        width *= FAN
+    while width > 1:
+        step = width // FAN  # this level parts ranges of ``width`` numbers into ``FAN``
+        nodes = numbered.where((at % step == 0) & (at % width != 0)).groupBy((at - at % width).alias("_node"))
+        nodes = nodes.agg(F.sort_array(F.collect_list("_bound")).alias("_bounds"))
+        out = out.join(F.broadcast(nodes), F.col(RANGE) == F.col("_node"), "left")
+        out = out.withColumn(RANGE, F.col(RANGE) + slice_of(key, FAN) * step).drop("_node", "_bounds")
+        width = step
+    return out
 
 
 def _bounds(spark: SparkSession, path: str) -> DataFrame:
@@ -179,13 +207,18 @@ def read_ranged(spark: SparkSession, path: str, schema: T.StructType, ranges: Se
     if last is None:
         raise FileNotFoundError(f"no committed version under {path}")
     numbers = vs.partitions(spark, path, RANGE) if ranges is None else ranges
+    return _read_ranges(spark, path, schema, numbers, last).drop(RANGE)
+
+
+def _read_ranges(spark: SparkSession, path: str, schema: T.StructType, numbers: Sequence[int], version: int) -> DataFrame:
+    """Rows of some ranges as of a version, with the number of their range."""
     whole = T.StructType([*schema.fields, T.StructField(RANGE, T.IntegerType())])
-    got = vs.read_version(spark, path, [RANGE], [[r] for r in numbers], whole, last + 1)
-    return spark.createDataFrame([], schema) if got is None else got.drop(RANGE)
+    got = vs.read_version(spark, path, [RANGE], [[r] for r in numbers], whole, version + 1)
+    return spark.createDataFrame([], whole) if got is None else got
 
 
 def apply_to_ranged(spark: SparkSession, path: str, schema: T.StructType, changes: DataFrame, key: Sequence[str] | str = "name",
-                    version: int | None = None, **options) -> int:
+                    version: int | None = None, seq_col: str = "seq", op_col: str = "op", mask_col: str | None = None) -> int:
     """Apply a batch of changes (see ``apply_changes``) to a table kept by ranges; returns the new version.
 
     Only the ranges that hold a changed key are read and written, as files of the new version; the others keep
@@ -196,12 +229,15 @@ def apply_to_ranged(spark: SparkSession, path: str, schema: T.StructType, change
     new = before + 1 if version is None else int(version)
     if before is not None and new <= before:
         return before  # this batch is in the table already
-    batch = materialize(_ranged(changes, keys, _bounds(spark, path)))
-    touched = [(r[0],) for r in batch.select(RANGE).distinct().collect()]  # a row per range
+    columns = [c for c in schema.names if c not in keys and c in changes.columns]
+    # A row per changed key: its range is looked up once, and what is kept is no longer than that.
+    folded = _fold(changes, keys, columns, seq_col, op_col, mask_col)
+    folded = materialize(_ranged(folded, keys, _bounds(spark, path)))
+    touched = [(r[0],) for r in folded.select(RANGE).distinct().collect()]  # a row per range
     if touched:
-        base = read_ranged(spark, path, schema, [r for r, in touched])
-        out = apply_changes(base, batch.drop(RANGE), keys, **options)
-        vs.write_version(_ranged(out, keys, _bounds(spark, path)), path, [RANGE], new, touched)
+        base = _read_ranges(spark, path, schema, [r for r, in touched], -1 if before is None else before)
+        out = _merge(base, folded, [*keys, RANGE], columns)
+        vs.write_version(out, path, [RANGE], new, touched)
     vs.commit(spark, path, new)
     vs.drop_old(spark, path, [RANGE], touched, new)
     return new

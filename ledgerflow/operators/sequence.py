@@ -47,9 +47,9 @@ def slice_bounds(df: DataFrame, group_cols: Sequence[str], order: Column, slice_
     return sorted_.where("_slices > 1").select(*[f"_b{c}" for c in group_cols], F.array_distinct(at).alias("_bounds"))
 
 
-def slice_of(key: Column) -> Column:
-    """How many bounds are not above the key (0 without bounds): a binary search."""
-    steps = F.array(*[F.lit(1 << p) for p in reversed(range(GROUP_SLICES.bit_length() - 1))])
+def slice_of(key: Column, slices: int = GROUP_SLICES) -> Column:
+    """How many bounds (fewer than ``slices``, a power of two) are not above the key (0 without bounds): a binary search."""
+    steps = F.array(*[F.lit(1 << p) for p in reversed(range(slices.bit_length() - 1))])
     found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) <= key, at + step).otherwise(at))
     return F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(found)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import glob
 import uuid
 
@@ -92,3 +93,26 @@ def test_empty_table(spark):
     assert rows(spark, path, table) == []
     chg.apply_to_ranged(spark, path, table.schema, spark.createDataFrame([("a", 1, "create", 2)], CHANGES), "name")
     assert rows(spark, path, table) == [("a", 2)]
+
+
+def test_a_row_meets_few_bounds_and_gets_the_range_of_its_key(spark, monkeypatch):
+    """A row that carries all bounds is as long as the table has ranges: it meets one node of them per level."""
+    met = []
+    monkeypatch.setattr(chg, "slice_of", lambda key, slices=chg.GROUP_SLICES, real=chg.slice_of: met.append(slices) or real(key, slices))
+    for n in (0, 1, 15, 16, 17, 300, 4095, 4096):
+        cuts = [3 * i for i in range(n)]
+        bounds = spark.createDataFrame([([(c,) for c in cuts],)], "_bounds array<struct<k: bigint>>")
+        keys = spark.range(-2, 3 * n + 4, 1 if n < 100 else 5).selectExpr("if(id = -2, null, id) AS k")
+        got = {r.k: r[chg.RANGE] for r in chg._ranged(keys, ["k"], bounds).collect()}
+        assert got == {k: 0 if k is None else min(bisect.bisect_right(cuts, k), chg.GROUP_SLICES - 1) for k in got}
+    assert met and max(met) <= chg.FAN
+
+
+def test_a_batch_keeps_a_row_per_changed_key(spark, stored, monkeypatch):
+    path, table = stored
+    kept = []
+    monkeypatch.setattr(chg, "materialize", lambda df, real=chg.materialize: kept.append(real(df)) or kept[-1])
+    batch = spark.range(1000).selectExpr("concat('K000', id % 5) AS name", "id AS seq", "'update' AS op", "CAST(id AS int) AS qty")
+    chg.apply_to_ranged(spark, path, table.schema, batch, "name")
+    assert [df.count() for df in kept] == [5]
+    assert dict(rows(spark, path, table))["K0004"] == 999
