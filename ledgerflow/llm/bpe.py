@@ -116,23 +116,26 @@ class Transducer:
         if s < 0:
             self.pairs[key] = merge(self.tokens[t], self.ranks) == [self.tokens[t]]
             return self.pairs[key]
-        ok = self.joinable(-1, t)
+        ok = self.pairs.get((-1, t))
+        if ok is None:
+            ok = self.joinable(-1, t)
         left, right = self.tokens[s], self.tokens[t]
-        before = (1 << 60, 0)  # merges made before this moment: (rank, side); at one rank the left side goes first
-        ranks = self.ranks
+        # Merges end before a moment: 4 * rank + side; at one rank the left side goes first, the border next.
+        before, ranks, last_merge = 1 << 60, self.ranks, self.last_merge
+        undo_left = 4 * ranks[left] if len(left) > 1 else -1
+        undo_right = 4 * ranks[right] + 2 if len(right) > 1 else -1
         while ok:
             joint = ranks.get(left + right)
-            if joint is not None and (joint, 1) < before:
+            if joint is not None and 4 * joint + 1 < before:
                 ok = False
-                break
-            undo_left = (ranks[left], 0) if len(left) > 1 else (-1, 0)
-            undo_right = (ranks[right], 2) if len(right) > 1 else (-1, 0)
-            if max(undo_left, undo_right) == (-1, 0):
-                break
-            if undo_left > undo_right:
-                before, left = undo_left, self.last_merge(left)[1]
+            elif undo_left > undo_right:
+                before, left = undo_left, last_merge(left)[1]
+                undo_left = 4 * ranks[left] if len(left) > 1 else -1
+            elif undo_right >= 0:
+                before, right = undo_right, last_merge(right)[0]
+                undo_right = 4 * ranks[right] + 2 if len(right) > 1 else -1
             else:
-                before, right = undo_right, self.last_merge(right)[0]
+                break
         self.pairs[key] = ok
         return ok
 
@@ -141,11 +144,12 @@ class Transducer:
         live: list[int] = []
         found = -1
         child, rank, grows, pairs = self.child, self.rank, self.grows, self.pairs
-        for i in range(0, len(state), 2):
-            node = child.get(state[i] * 256 + byte)
+        places = iter(state)
+        for at, before in zip(places, places):
+            node = child.get(at << 8 | byte)
             if node is None:
                 continue
-            before, token = state[i + 1], rank[node]
+            token = rank[node]
             if found < 0 <= token:
                 ok = pairs.get((before, token))
                 if ok or ok is None and self.joinable(before, token):
@@ -157,6 +161,18 @@ class Transducer:
         live += (0, found)
         return tuple(live), found
 
+    def end(self, state: tuple[int, ...], byte: int) -> int:
+        """The last token after a text's last byte: what ``step`` finds, without the state that nothing reads."""
+        child, rank, pairs = self.child, self.rank, self.pairs
+        places = iter(state)
+        for at, before in zip(places, places):
+            token = rank[child.get(at << 8 | byte, 0)]  # no token ends at the root
+            if token >= 0:
+                ok = pairs.get((before, token))
+                if ok or ok is None and self.joinable(before, token):
+                    return token
+        raise ValueError(f"no token for byte {byte}")
+
     def move(self, at: int, byte: int) -> int:
         """A move that is not known yet. Tables that have grown too large are emptied first."""
         state, found = self.step(self.states[at], byte)
@@ -178,13 +194,17 @@ class Transducer:
             stream = Stream(self)
             return [t for i in range(0, len(data), self.longest) for t in stream.feed(data[i:i + self.longest])] \
                 + stream.finish()
+        if not data:
+            return []
         at, last, known = 0, [], self.moves.get
-        for byte in data:
+        for byte in data[:-1]:
             move = known(at << 8 | byte)
             if move is None:
                 move = self.move(at, byte)
             at = move >> 20
             last.append(move & 0xFFFFF)
+        move = known(at << 8 | data[-1])
+        last.append(self.end(self.states[at], data[-1]) if move is None else move & 0xFFFFF)
         return self.path(last, 0, len(last))
 
     def path(self, last: list[int], start: int, end: int) -> list[int]:

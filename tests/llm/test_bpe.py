@@ -44,6 +44,17 @@ def test_another_vocabulary_and_small_state_tables(library, monkeypatch):
         assert encoder.encode(t) == other.encode_ordinary(t)
 
 
+def test_the_last_byte_of_a_piece_makes_no_state(library):
+    """Nothing reads the state after the last byte, so it is neither worked out nor kept."""
+    machine = bpe.Transducer(bpe.load_ranks(PATH))
+    assert machine.encode(b"") == [] and len(machine.states) == 1
+    for word in (b"qzx", b" quixotry", "中文한".encode(), b"zzxqj"):
+        machine.clear()
+        assert machine.encode(word) == library.encode_ordinary(word.decode())
+        assert len(machine.moves) == len(word) - 1
+        assert machine.encode(word) == library.encode_ordinary(word.decode())  # from kept moves
+
+
 def test_tokens_come_after_bounded_lookahead(library):
     """Portions of any size give the same ids, and no more than two longest tokens are held back."""
     machine = bpe.coder(PATH, public_tokenizers.PATTERN)[0].machine
