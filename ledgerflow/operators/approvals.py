@@ -147,8 +147,13 @@ def apply_approvals(requests: DataFrame, table: DataFrame, kind: str, partners:
     ``table`` is the object table (``account_move`` / ``hr_expense`` /
     ``hr_leave``); ``partners`` names invoice partners; ``transitions`` maps
     kind -> action -> new state. Repeats of one request (see ``request_key``) have one outcome."""
+    return fold_requests(distinct_requests(requests, kind), table, kind, partners, transitions)
+
+
+def fold_requests(allreq: DataFrame, table: DataFrame, kind: str, partners: DataFrame | None = None,
+                  transitions: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """``apply_approvals`` for the rows of ``distinct_requests``, which it reads several times."""
     t = transitions_of(kind, transitions)
-    allreq = distinct_requests(requests, kind)
     # A request whose action is not approve/reject is refused at validation: it gets
     # its own outcome and is invisible to the fold of the valid ones.
     valid = F.coalesce(F.col("action").isin(*APPROVAL_ACTIONS), F.lit(False))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerflow.operators.approvals import apply_approvals, audit_rows, new_states, request_key
+from ledgerflow.operators.approvals import audit_rows, distinct_requests, fold_requests, new_states, request_key
 from ledgerflow.operators.chat import parse_commands
 from ledgerflow.session import materialize
 from ledgerflow.sources import versions as vs
@@ -154,17 +154,17 @@ def _parts(df: DataFrame, *keys: str) -> list[tuple]:
 
 def _fold_batch(spark: SparkSession, batch: DataFrame, batch_id: int, table: Callable[[], DataFrame], kind: str,
                 out_dir: str, seen_path: str, states_path: str, partners: Callable[[], DataFrame] | None, buckets: int) -> None:
-    # The batch is read once; what follows uses its requests several times.
-    reqs = materialize(batch.select("*", request_key(batch, kind).alias("_key"), _bucket(F.lit(kind), buckets),
-                                    *_day_part(F.lit(kind), buckets)))
+    # The batch is read once, its repeats are merged once and replays dropped once; what follows uses the rest several times.
+    reqs = distinct_requests(batch, kind)
+    reqs = materialize(reqs.select("*", _bucket(F.lit(kind), buckets), *_day_part(F.lit(kind), buckets)))
     touched = _parts(reqs, "day", "part", "bucket")
     seen = vs.read_version(spark, seen_path, ["day", "part"], sorted({(d, p) for d, p, _ in touched}), _SEEN, batch_id)
     if seen is not None:
-        reqs = reqs.join(seen.select("_key"), "_key", "left_anti")
+        reqs = materialize(reqs.join(seen.select(F.col("_key").alias("_rk")), "_rk", "left_anti"))
     states = current_states(spark, states_path, batch_id, sorted({b for _, _, b in touched}))
     named = reqs.select("db", F.col("object_id").alias("id")).distinct()
     objects = overlay_states(table().join(named, ["db", "id"], "left_semi"), states, kind)
-    outcomes = apply_approvals(reqs.drop("_key", "bucket", "day", "part"), objects, kind, partners() if partners is not None else None)
+    outcomes = fold_requests(reqs.drop("bucket", "day", "part"), objects, kind, partners() if partners is not None else None)
     outcomes.write.mode("overwrite").parquet(out_dir)
 
 

@@ -136,3 +136,17 @@ def test_replayed_stream_in_five_chunks_equals_the_batch(spark):
     want = ap.apply_approvals(fx["approval_request_replays"], fx["account_move"], "invoice", fx["res_partner"])
     got = replayed_approvals(fx, 5)
     assert got.count() == want.count() and got.select(*want.columns).exceptAll(want).count() == 0
+
+
+def test_a_batch_keeps_each_new_request_once(spark, monkeypatch):
+    """Repeats are merged before the batch is kept, replays are dropped before the fold reads it several times."""
+    kept = []
+    monkeypatch.setattr(st, "materialize", lambda df, real=st.materialize: kept.append(real(df)) or kept[-1])
+    s = Stream(spark)
+    rows = [(f"r{i}", i, "approve", 1) for i in range(10)]
+    s.batch(0, rows * 3)
+    assert kept[-1].count() == 10
+    s.batch(1, rows * 2 + [("new", 3, "reject", 2)])
+    assert kept[-1].count() == 1
+    got = spark.read.parquet(s.out)
+    assert got.count() == 11 and got.where("request_id = 'new'").first().state_before == "validate"
