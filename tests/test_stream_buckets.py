@@ -149,4 +149,4 @@ def test_a_batch_keeps_each_new_request_once(spark, monkeypatch):
     s.batch(1, rows * 2 + [("new", 3, "reject", 2)])
     assert kept[-1].count() == 1
     got = spark.read.parquet(s.out)
-    assert got.count() == 11 and got.where("request_id = 'new'").first().state_before == "validate"
+    assert got.count() == 11 and got.where("request_id = 'new'").first().state_before == "approved"
