@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,12 +57,13 @@ def apply_changes(base: DataFrame, changes: DataFrame, key: Sequence[str] | str
 
 
 def _merge(base: DataFrame, folded: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``base`` after the folded changes of its keys."""
-    present = base.select(*keys).withColumn("_here", F.lit(True))
-    stays = F.col("_here").isNotNull() & F.col("_deleted").isNull()
-    live = folded.join(present, keys, "left").withColumn("_exists", stays | F.col("_create").isNotNull())
-    live = live.withColumn("_born", F.when(~stays, F.col("_create"))).drop("_here")
-    j = base.join(live, keys, "full_outer").filter(F.coalesce("_exists", F.lit(True)))
+    """``base`` after the folded changes of its keys. Both are read once, and shuffled once by the keys."""
+    copies = base.withColumn("_copies", F.count(F.lit(1)).over(Window.partitionBy(*keys)).cast("int"))
+    j = copies.join(folded.withColumn("_changed", F.lit(True)), keys, "full_outer")
+    stays = F.col("_copies").isNotNull() & F.col("_deleted").isNull()
+    j = j.filter(stays | F.col("_create").isNotNull()).withColumn("_born", F.when(~stays, F.col("_create")))
+    # A changed key that comes n times in the table meets its change n times in each row.
+    repeated = F.when(F.col("_changed") & (F.col("_copies") > 1), F.array_repeat(F.lit(True), F.col("_copies")))
     out = []
     for c in base.columns:
         if c in keys:
@@ -70,34 +71,39 @@ def _merge(base: DataFrame, folded: DataFrame, keys: list[str], columns: list[st
             continue
         value = F.when(F.col("_born").isNull(), F.col(c))  # a created row starts empty
         if c in columns:
-            set_ = F.col(f"_u_{c}")
-            value = (F.when(set_.isNotNull() & (F.col("_born").isNull() | (set_["s"] >= F.col("_born"))), set_["v"])
+            at = F.col(f"_at_{c}")
+            value = (F.when(at.isNotNull() & (F.col("_born").isNull() | (at >= F.col("_born"))), F.col(f"_u_{c}"))
                      .when(F.col("_born").isNotNull(), F.col("_made")[c]).otherwise(value))
         out.append(value.cast(base.schema[c].dataType).alias(c))
-    return j.select(*out)
+    return j.withColumn("_copy", F.explode_outer(repeated)).select(*out)
 
 
 def _fold(changes: DataFrame, keys: list[str], columns: list[str], seq_col: str, op_col: str, mask_col: str | None) -> DataFrame:
-    """Per changed key: its latest delete (``_deleted``), the first create after that and its values (``_create``,
-    ``_made``), and per column the latest update that names it with its place (``_u_<column>``: ``v``, ``s``).
+    """Per changed key: its latest delete (``_deleted``), the first create after that and its values
+    (``_create``, ``_made``), and per column the latest update that names it: its value and place (``_u_<column>``,
+    ``_at_<column>``).
 
     One aggregate over the changes finds all but the create of a key that was created before its latest delete and
     again after it; of such keys the creates are read once more."""
-    op, seq = F.lower(F.col(op_col)), F.col(seq_col)
-    steps = changes.dropna(subset=keys).filter(op.isin(*RESET_OPS, *UPDATE_OPS))
-    made_at, row = F.when(op == "create", seq), F.struct(F.lit(True).alias("_made"), *columns)
-    resets = [F.max(F.when(op == "delete", seq)).alias("_deleted"), F.min(made_at).alias("_first")]
-    sets = [F.max_by(F.struct(F.col(c).alias("v"), seq.alias("s")), F.when(op.isin(*UPDATE_OPS) & _named(c, mask_col), seq)).alias(f"_u_{c}")
-            for c in columns]
+    op, seq, kind = F.lower(F.col(op_col)), F.col(seq_col), F.col("_kind")
+    kinds = F.when(op == "create", 0).when(op == "delete", 1).when(op.isin(*UPDATE_OPS), 2)  # short to sort and compare
+    steps = changes.dropna(subset=keys).withColumn("_kind", kinds).filter(kind.isNotNull())
+    made_at, row = F.when(kind == 0, seq), F.struct(F.lit(True).alias("_made"), *columns)
+    resets = [F.max(F.when(kind == 1, seq)).alias("_deleted"), F.min(made_at).alias("_first")]
+    sets = []
+    for c in columns:
+        at = F.when((kind == 2) & _named(c, mask_col), seq)
+        sets += [F.max_by(c, at).alias(f"_u_{c}"), F.max(at).alias(f"_at_{c}")]
     folded = steps.groupBy(*keys).agg(*resets, F.min_by(row, made_at).alias("_made"), *sets)
-    again = (steps.filter(op.isin(*RESET_OPS)).groupBy(*keys).agg(*resets, F.max(made_at).alias("_last"))
+    again = (steps.filter(kind < 2).groupBy(*keys).agg(*resets, F.max(made_at).alias("_last"))
              .filter("_first <= _deleted AND _last > _deleted").select(*keys, "_deleted"))
-    later = steps.filter(op == "create").join(again, keys).filter(seq > F.col("_deleted"))
+    later = steps.filter(kind == 0).join(again, keys).filter(seq > F.col("_deleted"))
     later = later.groupBy(*keys).agg(F.min(seq).alias("_later"), F.min_by(row, seq).alias("_later_made"))
     dead = F.col("_first") <= F.col("_deleted")
     return folded.join(later, keys, "left").select(
         *keys, "_deleted", F.when(dead, F.col("_later")).otherwise(F.col("_first")).alias("_create"),
-        F.when(dead, F.col("_later_made")).otherwise(F.col("_made")).alias("_made"), *[f"_u_{c}" for c in columns])
+        F.when(dead, F.col("_later_made")).otherwise(F.col("_made")).alias("_made"),
+        *[f"_{what}_{c}" for c in columns for what in ("u", "at")])
 
 
 def refused_creates(base: DataFrame, changes: DataFrame, key: Sequence[str] | str = "name",
